@@ -31,8 +31,13 @@ LENGTH = 4096
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Full sequences that are packed together.
 GROUP = 256
-#: Words whose ids a task remembers.
-WORDS = 400_000
+#: Words whose ids a Python worker remembers, some 300 bytes each.
+WORDS = 1_000_000
+#: A character that is a token of its own between spaces.
+MARK = "\x01"
+#: What the tokens end with that end a word.
+WORD_END = "</w>"
+PUNCTUATION = ".,!?;:%$&*#()\"-"
 #: Bits of sequence_id for the sequences of a task.
 PER_TASK = 34
 
@@ -47,41 +52,95 @@ class Piece(NamedTuple):
 class WordIds:
     """Token ids of texts, by a memory of words.
 
-    ``tokenizer`` has to treat what stands between spaces or line breaks on its own; the ids of a
-    text are then those of its words. ``mark`` is the text of a special token that its vocabulary
-    has with id ``mark_id``; new words are encoded at once with it between them.
-    """
+    ``tokenizer`` has to treat what stands between spaces or line breaks on its own, so that the ids
+    of a text are those of its words, to part letters from what follows them, not to tell cases
+    apart, and to give MARK a single id that no other word has."""
 
-    def __init__(self, tokenizer, mark: str, mark_id: int, end_id: int):
-        self.tokenizer, self.mark, self.mark_id = tokenizer, mark, mark_id
+    def __init__(self, tokenizer, end_id: int):
+        self.tokenizer = tokenizer
         self.end = np.array([end_id], "<u4").tobytes()
+        (self.mark,) = self._ids(MARK)
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith(WORD_END)]] = True
         self.memory: dict[str, bytes] = {}
 
-    def learn(self, words: Iterable[str]) -> None:
-        if len(self.memory) > WORDS:
-            self.memory.clear()
-        plain = ["", *(w for w in words if w and "<|" not in w)]
-        ids = np.array(self.tokenizer.encode(f" {self.mark} ".join(plain), add_special_tokens=False).ids, "<u4")
-        for word, own in zip(plain, np.split(ids, np.nonzero(ids == self.mark_id)[0]), strict=True):
-            self.memory[word] = own[bool(word) :].tobytes()  # all but the first begin with the mark
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, words: set[str]) -> None:
+        """Encodes new words. A word of letters alone is one piece to the tokenizer, whose last id
+        ends a word; marks after a word are a piece of their own. All others have MARK between them."""
+        letters: dict[str, list[str]] = {}
+        marked: list[tuple[str, str, str]] = []
+        rest: list[str] = []
         for word in words:
-            if word not in self.memory:
-                self.memory[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            base = word.rstrip(PUNCTUATION)
+            if not base.isalpha() or "İ" in base or "Σ" in base:  # whose lower case isn't one letter, or depends on its place
+                rest.append(word)
+                continue
+            if len(base) < len(word):
+                end = word[len(base) :]
+                marked.append((word, base, end))
+                if end not in self.memory:
+                    rest.append(end)
+                if base in self.memory or base in words:
+                    continue
+            letters.setdefault(base.lower(), []).append(base)
+        known = {w for w in letters if w in self.memory}
+        plain = [w for w in letters if w not in known]
+        for k in range(0, len(plain), 2000):
+            some = plain[k : k + 2000]
+            ids = self._ids(" ".join(some))
+            ends = (4 * np.nonzero(self.ends[ids])[0] + 4).tolist()
+            if len(ends) != len(some):
+                rest += some
+                continue
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(some, ends, strict=True):
+                self.memory[word] = raw[start:end]
+                start = end
+        plain = [w for w in dict.fromkeys(rest) if MARK not in w and "<|" not in w]
+        for k in range(0, len(plain), 2000):
+            some = plain[k : k + 2000]
+            ids = self._ids(f" {MARK} ".join(["", *some, ""]))
+            raw, at = ids.tobytes(), (4 * np.nonzero(ids == self.mark)[0]).tolist()
+            for word, start, end in zip(some, at[:-1], at[1:], strict=True):
+                self.memory[word] = raw[start + 4 : end]
+        for word in set(rest).difference(plain):
+            self.memory[word] = self._ids(word).tobytes()
+        for lower, forms in letters.items():
+            for form in forms:
+                self.memory[form] = self.memory[lower]
+        for word, base, end in marked:
+            self.memory[word] = self.memory[base] + self.memory[end]
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         for at in range(0, len(texts), 50):
             split = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 50]]
             new = set().union(*split).difference(self.memory)
-            if new or len(self.memory) > WORDS:
-                if len(self.memory) + len(new) > WORDS:
-                    self.memory.clear()
-                    new = set().union(*split)
-                self.learn(sorted(new))
+            if len(self.memory) + len(new) > WORDS:
+                self.memory.clear()
+                new = set().union(*split)
+            self.memory[""] = b""
+            self.learn(new.difference([""]))
             get = self.memory.__getitem__
             for words in split:
                 yield np.frombuffer(b"".join(map(get, words)) + self.end, "<u4")
 
 
+_remembered: dict[tuple[str, int], WordIds] = {}
+
+
+def word_ids(tokenizer_file: str, end_id: int) -> WordIds:
+    """One memory of words for all tasks that a Python worker runs; what it holds doesn't change results."""
+    from tokenizers import Tokenizer
+
+    if (tokenizer_file, end_id) not in _remembered:
+        _remembered[tokenizer_file, end_id] = WordIds(Tokenizer.from_file(tokenizer_file), end_id)
+    return _remembered[tokenizer_file, end_id]
+
+
 def balanced(pieces: list[Piece], sequences: int, length: int = LENGTH) -> tuple[list[tuple[Piece, int, int]], list[Piece]]:
     """(piece, sequence, offset) of a group, filling ``sequences`` of ``length``, and what was left.
 
@@ -138,16 +197,14 @@ def packed(docs: Iterable[tuple[int | None, np.ndarray]], length: int = LENGTH,
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 2, length: int = LENGTH, mark: tuple[str, int] = ("<|endoftext|>", 49407), with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 2, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start (ids of the document before it), length, ids_crc32,
     doc_tokens, sequence_id, offset, and with ``with_ids`` the ids themselves.
 
     ``tokenizer_file`` is a path that every executor can open: a vocabulary that is installed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        words = WordIds(Tokenizer.from_file(tokenizer_file), *mark, end_id)
+        words = word_ids(tokenizer_file, end_id)
         first = TaskContext.get().partitionId() << PER_TASK
 
         def stream() -> Iterator[tuple[int | None, np.ndarray]]:
