@@ -153,15 +153,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def filtered(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that are UNDETERMINED or whose language has a score below ``least``."""
+    """``docs`` without the rows that are UNDETERMINED or whose language has a score below ``least``;
+    under a model without languages, without the rows that have no letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names, schema = docs.columns, docs.schema
 
     def run(batches):
         score = Scorer(shared.value)
         for batch in batches:
-            found = [score(t) for t in batch.column("text").to_pylist()]
-            keep = [lang != UNDETERMINED and x >= least for lang, x in found]
+            texts = batch.column("text").to_pylist()
+            if shared.value.languages:
+                keep = [lang != UNDETERMINED and x >= least for lang, x in map(score, texts)]
+            else:
+                keep = [any(map(str.isalpha, t or "")) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_())).select(names)
 
     return small_batches(docs).mapInArrow(run, schema)

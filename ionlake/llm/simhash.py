@@ -280,15 +280,14 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, the one of the smallest doc_id.
-    A row without doc_id stays only if its group has no doc_id at all. Of rows that repeat a kept
-    doc_id one stays."""
+    Rows without doc_id belong to no group that could name them: one for each text stays. Of rows
+    that repeat a kept doc_id one stays."""
     found = near_duplicates(docs, words)
-    keep = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__rows"), F.min("fp").alias("__fp")))
-    ids = keep.where("doc_id is not null").select("doc_id")
-    out = docs.join(ids, "doc_id", "left_semi")
-    if not keep.where("__rows > 1 and doc_id is not null").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    if not keep.where("doc_id is null").isEmpty():
+    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
+    repeated = not found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty()
+    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
+    out = named.dropDuplicates(["doc_id"]) if repeated else named
+    if not found.where("doc_id is null").isEmpty():
         out = out.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
     return out.select(*docs.columns)
 
