@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -59,7 +60,9 @@ def seeded_draws(base: DataFrame, seed: int, variants: int) -> DataFrame:
     for residue in ALPHABET:
         others = [a for a in ALPHABET if a != residue]
         p = np.array([shares.get(a, 0.0) for a in others])
-        substitutes[residue] = (others, p / p.sum() if p.sum() else np.full(len(others), 1 / len(others)))
+        p = p / p.sum() if p.sum() else np.full(len(others), 1 / len(others))
+        edges = p.cumsum()
+        substitutes[residue] = (others, (edges / edges[-1]).tolist())
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -72,8 +75,8 @@ def seeded_draws(base: DataFrame, seed: int, variants: int) -> DataFrame:
                 for n in range(variants):
                     new = list(peptide)
                     for i in generator.choice(places, 2, replace=False):
-                        others, p = substitutes[peptide[i]]
-                        new[i] = str(generator.choice(others, p=p))
+                        others, edges = substitutes[peptide[i]]
+                        new[i] = others[bisect_right(edges, generator.random())]  # as the generator's own weighted choice draws
                     rows.append((peptide, "".join(new), n))
             yield pd.DataFrame(rows, columns=["src", "variant", "draw"])
 
@@ -104,7 +107,7 @@ def best_variants(draws: DataFrame, base: DataFrame, keys: Sequence[str] = METHO
     floor = F.lit(floor_da) if floor_da is not None else (F.col("__m0") + chem.FLOOR_PROTON) * (FLOOR_PPM / 1e6)
     kept = masses.where(F.abs(F.col("mass") - F.col("__m0")) >= floor)
     distance = [F.abs(chem.class_count(F.col("variant"), k) - chem.class_count(F.col("src"), k)).alias(f"d_{k}") for k in keys]
-    residual = F.abs(chem.mass_defect_residual(F.col("mass")) - chem.mass_defect_residual(F.col("__m0"))).alias("d_res")
+    residual = F.round(F.abs(chem.mass_defect_residual(F.col("mass")) - chem.mass_defect_residual(F.col("__m0"))), 9).alias("d_res")  # less digits than rounding moves
     return kept.groupBy("src").agg(F.min(F.struct(*distance, residual, "draw", "variant", "mass")).alias("b")).select("src", "b.variant", "b.mass")
 
 
@@ -119,15 +122,16 @@ def decoys(found: DataFrame, seed: int, method: str = "d1c_raw", floor_da: float
     keys, variants = METHODS[method]
     base = found.where("hyp_base is null")
     chosen = unique_variants(best_variants(draw(base, seed, variants), base, keys, floor_da))
-    own = chosen.join(base.select(F.col("peptide").alias("src"), "protein", "row_order"), "src").select(
-        F.col("variant").alias("peptide"), F.concat(F.lit("DECOY_"), "protein").alias("protein"), "mass", chem.protonated(F.col("mass")).alias("mh_mz"), F.col("src").alias("parent_peptide"), "row_order"
+    rows = found.withColumn("src", F.coalesce("hyp_base", "peptide")).select("src", F.col("peptide").alias("parent_peptide"), "protein", "hyp_base", "row_order").join(chosen, "src")
+    n = F.when(F.col("hyp_base").isNotNull(), F.regexp_extract("parent_peptide", r"\+h([0-9]+)$", 1).cast("int")).otherwise(0)
+    return rows.select(
+        F.when(F.col("hyp_base").isNull(), F.col("variant")).otherwise(chem.modified_name(F.col("variant"), n)).alias("peptide"),
+        F.concat(F.lit("DECOY_"), "protein").alias("protein"),
+        (F.col("mass") + n * chem.OXYGEN).alias("mass"),
+        (chem.protonated(F.col("mass")) + n * chem.OXYGEN).alias("mh_mz"),
+        "parent_peptide",
+        "row_order",
     )
-    forms = found.where("hyp_base is not null").select(F.col("peptide").alias("__form"), "hyp_base", F.col("row_order").alias("__order"))
-    n = F.regexp_extract("__form", r"\+h([0-9]+)$", 1).cast("int")
-    modified = forms.join(own, F.col("hyp_base") == F.col("parent_peptide")).select(
-        chem.modified_name(F.col("peptide"), n).alias("peptide"), "protein", (F.col("mass") + n * chem.OXYGEN).alias("mass"), (F.col("mh_mz") + n * chem.OXYGEN).alias("mh_mz"), F.col("__form").alias("parent_peptide"), F.col("__order").alias("row_order")
-    )
-    return own.unionByName(modified)
 
 
 def in_parent_family(mh_mz: Column, parent_mz: Column, ppm: float = EXCLUDE_PPM) -> Column:
