@@ -1,23 +1,31 @@
 """SimHash near-duplicates by a distributed vantage-point forest.
 
-Two 64-bit fingerprints that differ in at most 3 bits differ in at most 1 bit in one of their
-32-bit halves. So each half has a vantage-point tree whose metric is the Hamming distance in that
-half. A node splits its fingerprints by their distance to a vantage point; by the triangle
-inequality a fingerprint has to visit the other side only if its own distance is within the radius
-of the split. The tree is fitted on a bounded sample, every distinct fingerprint has one home shard
-a tree and visits the shards that its radius overlaps; inside a shard, pairs are found exactly (by
-a local vantage-point recursion, then a blockwise comparison of all 64 bits). A shard returns a
-spanning forest of its links, never all pairs, and the forests are joined to components by
-alternating large-star and small-star steps.
-
-Nulls and ties: a null or empty text has fingerprint zero and is linked like any other. A null
-doc_id takes part; a component's id is its smallest doc_id that isn't null, or null if it has none.
-Repeated rows each get their row. Other columns of the input are ignored. An empty table gives no
-rows.
+A scheme says how texts become fingerprints, how many bits two linked ones may differ in, and the
+masks (runs of bits) of the forest: each has a vantage-point tree whose metric is the Hamming
+distance under the mask. Under CLOSE, fingerprints of 64 bits that differ in at most 3 differ in at
+most 1 in one of their halves, so that the forest finds every pair. Under SIMILAR, fingerprints of
+192 bits over five-word shingles link at an estimated cosine similarity of 0.8 (39 bits); a pair is
+found if it differs in at most 1 bit under one of twelve masks of 16, which two texts with a Jaccard
+similarity of 0.8 do in 98 of 100 cases and closer ones in more.
+
+A node splits its fingerprints by their distance to a vantage point; by the triangle inequality a
+fingerprint has to visit the other side only if its own distance is within the radius of the split.
+The tree is fitted on a bounded sample, every distinct fingerprint has one home shard a tree and
+visits the shards that its radius overlaps; inside a shard, pairs are found exactly (by a local
+vantage-point recursion, then a blockwise comparison of all bits). A shard returns a spanning forest
+of its links, never all pairs, and the forests are joined to components by alternating large-star
+and small-star steps.
+
+Nulls and ties: a null or empty text has fingerprint zero; under CLOSE it is linked like any other,
+under SIMILAR such texts are a group of their own. A null doc_id takes part; a component's id is its
+smallest doc_id that isn't null, or null if it has none. Repeated rows each get their row. Other
+columns of the input are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,52 +36,81 @@ from pyspark.sql import functions as F
 
 from .common import cut, hash_share, per_batch, small_batches
 
-RADIUS = 3
-#: Fingerprints differ by at most RADIUS // 2 bits in one half.
-HALF_RADIUS = RADIUS // 2
-HALF_SHIFTS = (0, 32)
 #: Bound of the sample that the trees are fitted on.
 SAMPLE = 40_000
-#: Fingerprints a shard should hold.
-SHARD = 1_500
 #: A shard that no vantage point can split is dealt out in blocks of so many fingerprints.
 BLOCK = 20_000
-#: Cells of one blockwise comparison.
-CELLS = 2_000_000
+#: Fingerprints that are compared with each other without a further split, and cells of one comparison.
+LOCAL, CELLS = 1_000, 2_000_000
 #: Shingles whose bits are counted at once.
 CHUNK = 32_768
 SEED = 42
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """SimHash of the ``words``-word shingles of a text, repeats included; an unsigned integer."""
+@dataclass(frozen=True)
+class Scheme:
+    """``words``: of a shingle. ``longs``: 64-bit parts of a fingerprint. ``width``: bits of a mask;
+    masks lie side by side. ``mask_radius``, ``radius``: most differing bits under a mask, and of a
+    link. ``shard``: fingerprints that a shard should hold. ``empty_apart``: texts without words
+    aren't linked to others."""
+
+    words: int
+    longs: int
+    width: int
+    mask_radius: int
+    radius: int
+    shard: int
+    empty_apart: bool = False
+
+    @property
+    def masks(self) -> list[tuple[int, int]]:
+        """Part and shift of each mask."""
+        return [(i, s) for i in range(self.longs) for s in range(0, 64, self.width)]
+
+    @property
+    def parts(self) -> list[str]:
+        return [f"f{i}" for i in range(self.longs)]
+
+
+CLOSE = Scheme(words=3, longs=1, width=32, mask_radius=1, radius=3, shard=1_500)
+SIMILAR = Scheme(words=5, longs=3, width=16, mask_radius=1, radius=39, shard=4_000, empty_apart=True)
+
+
+def _hashes(shingles: Iterator[bytes], longs: int) -> np.ndarray:
+    """A row of ``longs`` unsigned numbers for each shingle; the first is XXH64 with SEED."""
+    if longs == 1:
+        return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64).reshape(-1, 1)
+    return np.frombuffer(b"".join(xxhash.xxh64_digest(s, SEED) + xxhash.xxh3_128_digest(s, SEED) for s in shingles), "<u8").reshape(-1, 3)[:, :longs]
+
+
+def fingerprint(text: str | None, scheme: Scheme = CLOSE) -> list[int]:
+    """SimHash of the shingles of a text, repeats included, as unsigned 64-bit parts."""
     tokens = (text or "").encode("utf-8").lower().split()  # bytes: A-Z alone, and the six ASCII spaces alone
     if not tokens:
-        return 0
-    joined, n = b" ".join(tokens), max(1, len(tokens) - words + 1)
+        return [0] * scheme.longs
+    joined, n = b" ".join(tokens), max(1, len(tokens) - scheme.words + 1)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    ends = ends[min(words, len(tokens)) - 1 :]
-    ones = np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
+    ends = ends[min(scheme.words, len(tokens)) - 1 :]
+    ones = np.zeros(64 * scheme.longs, np.int64)
     for i in range(0, n, CHUNK):
         cuts = zip(starts[i : min(n, i + CHUNK)].tolist(), ends[i : i + CHUNK].tolist(), strict=True)
-        h = np.fromiter((digest(joined[a:b], SEED) for a, b in cuts), np.uint64)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        h = np.ascontiguousarray(_hashes((joined[a:b] for a, b in cuts), scheme.longs))
+        bits = np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
         for j in range(0, len(bits), 255):  # so many ones fit a byte
             ones += np.add.reduce(bits[j : j + 255], axis=0, dtype=np.uint8)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8").tolist()
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of each row of ``docs``."""
+def fingerprints(docs: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
+    """doc_id and the fingerprint's parts (f0, ..., signed longs) of each row of ``docs``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        fps = np.array([fingerprint(t, scheme) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, i]) for i in range(scheme.longs))], ["doc_id", *scheme.parts])
 
-    return small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(per_batch(run), "doc_id long, fp long")
+    return small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(per_batch(run), "doc_id long, " + ", ".join(f"{p} long" for p in scheme.parts))
 
 
 # The forest.
@@ -93,21 +130,24 @@ class Node:
 
 @dataclass
 class Forest:
-    """A tree for each half."""
+    """A tree for each mask, and the number of its first shard."""
 
+    scheme: Scheme
     trees: list[Node] = field(default_factory=list)
+    first: list[int] = field(default_factory=list)
     shards: int = 0
 
 
-def _half(fps: np.ndarray, shift: int) -> np.ndarray:
-    return (fps >> np.uint64(shift)) & np.uint64(0xFFFFFFFF)
+def _masked(fps: np.ndarray, mask: tuple[int, int], width: int) -> np.ndarray:
+    """What rows of parts have under a mask, in as few bytes as hold it."""
+    return (fps[:, mask[0]] >> np.uint64(mask[1])).astype(np.uint16 if width <= 16 else np.uint32)
 
 
 def _distance(values: np.ndarray, vantage: int) -> np.ndarray:
-    return np.bitwise_count(values ^ np.uint64(vantage)).astype(np.int16)
+    return np.bitwise_count(values ^ values.dtype.type(vantage)).astype(np.int16)
 
 
-def _split(values: np.ndarray) -> tuple[int, int] | None:
+def _split(values: np.ndarray, radius: int) -> tuple[int, int] | None:
     """The vantage point and split, of a few tried, that send the fewest values to both sides;
     None if none of them separates the values."""
     best, found = np.inf, None
@@ -119,19 +159,20 @@ def _split(values: np.ndarray) -> tuple[int, int] | None:
             near, far = below[split], total - below[split]
             if not near or not far:
                 continue
-            overlap = counts[split + 1 : split + 1 + HALF_RADIUS].sum() + counts[max(0, split + 1 - HALF_RADIUS) : split + 1].sum()
+            overlap = counts[split + 1 : split + 1 + radius].sum() + counts[max(0, split + 1 - radius) : split + 1].sum()
             cost = max(near, far) / total + 0.7 * overlap / total
             if cost < best and max(near, far) < 0.95 * total:
                 best, found = cost, (vantage, split)
     return found
 
 
-def fit(sample: np.ndarray, share: float) -> Forest:
-    """Trees whose shards hold about SHARD fingerprints of the ``1 / share`` times larger whole."""
-    forest = Forest()
+def fit(sample: np.ndarray, share: float, scheme: Scheme = CLOSE) -> Forest:
+    """Trees whose shards hold about ``scheme.shard`` fingerprints of the ``1 / share`` times larger
+    whole. ``sample``: a row of parts for each fingerprint."""
+    forest = Forest(scheme)
 
     def grow(values: np.ndarray, depth: int) -> Node:
-        found = _split(values) if len(values) / share > SHARD and depth < 60 and len(values) > 1 else None
+        found = _split(values, scheme.mask_radius) if len(values) / share > scheme.shard and depth < 60 and len(values) > 1 else None
         if found is None:
             node = Node(shard=forest.shards, blocks=max(1, int(len(values) / share / BLOCK)))
             forest.shards += node.blocks
@@ -139,8 +180,9 @@ def fit(sample: np.ndarray, share: float) -> Forest:
         d = _distance(values, found[0])
         return Node(found[0], found[1], grow(values[d <= found[1]], depth + 1), grow(values[d > found[1]], depth + 1))
 
-    for shift in HALF_SHIFTS:
-        forest.trees.append(grow(np.unique(_half(sample, shift)), 0))
+    for mask in scheme.masks:
+        forest.first.append(forest.shards)
+        forest.trees.append(grow(np.sort(_masked(sample, mask, scheme.width)), 0))
     return forest
 
 
@@ -148,8 +190,9 @@ def _route(forest: Forest, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     """Index into ``fps``, shard and whether it is at home there, for each shard to which a
     fingerprint goes. Of two homes on either side of a split, only the far one visits."""
     rows: list[tuple[np.ndarray, np.ndarray, bool]] = []
+    radius = forest.scheme.mask_radius
 
-    def down(node: Node, half: np.ndarray, home: np.ndarray, guest: np.ndarray) -> None:
+    def down(node: Node, values: np.ndarray, home: np.ndarray, guest: np.ndarray) -> None:
         if not len(home) and not len(guest):
             return
         if node.vantage is None:
@@ -157,28 +200,28 @@ def _route(forest: Forest, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
                 rows.append((home, np.full(len(home), node.shard), True))
                 rows.append((guest, np.full(len(guest), node.shard), False))
                 return
-            block = (half[home] * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(node.blocks)
+            block = ((fps[home, 0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(node.blocks)
             for b in range(node.blocks):  # homes are dealt out, and all of the shard's rows are guests of each block
                 rows.append((home[block == b], np.full((block == b).sum(), node.shard + b), True))
                 other = np.concatenate([home[block != b], guest])
                 rows.append((other, np.full(len(other), node.shard + b), False))
             return
-        at_home, as_guest = _distance(half[home], node.vantage), _distance(half[guest], node.vantage)
-        near, far = at_home <= node.split, as_guest + HALF_RADIUS > node.split
-        crosses = ~near & (at_home - HALF_RADIUS <= node.split)
-        down(node.near, half, home[near], np.concatenate([home[crosses], guest[as_guest - HALF_RADIUS <= node.split]]))
-        down(node.far, half, home[~near], guest[far])
-
-    for tree, shift in zip(forest.trees, HALF_SHIFTS, strict=True):
-        down(tree, _half(fps, shift), np.arange(len(fps)), np.arange(0))
+        at_home, as_guest = _distance(values[home], node.vantage), _distance(values[guest], node.vantage)
+        near, far = at_home <= node.split, as_guest + radius > node.split
+        crosses = ~near & (at_home - radius <= node.split)
+        down(node.near, values, home[near], np.concatenate([home[crosses], guest[as_guest - radius <= node.split]]))
+        down(node.far, values, home[~near], guest[far])
+
+    for tree, mask in zip(forest.trees, forest.scheme.masks, strict=True):
+        down(tree, _masked(fps, mask, forest.scheme.width), np.arange(len(fps)), np.arange(0))
     at, shard, home = (np.concatenate(x) for x in zip(*[(a, s, np.full(len(a), h)) for a, s, h in rows], strict=True))
     return at, shard, home
 
 
-def _links(home: np.ndarray, guest: np.ndarray, shift: int) -> np.ndarray:
-    """A spanning forest of the links of a shard: rows of two positions in ``[*home, *guest]``."""
-    fps = np.concatenate([home, guest])
-    half, n = _half(fps, shift), len(home)
+def _links(fps: np.ndarray, homes: int, mask: tuple[int, int], scheme: Scheme) -> np.ndarray:
+    """A spanning forest of the links of a shard, whose first ``homes`` rows are at home: rows of two
+    positions in ``fps``."""
+    values, radius = _masked(fps, mask, scheme.width), scheme.mask_radius
     label = np.arange(len(fps))
 
     def join(a: np.ndarray, b: np.ndarray) -> None:
@@ -196,60 +239,60 @@ def _links(home: np.ndarray, guest: np.ndarray, shift: int) -> np.ndarray:
         step = max(1, CELLS // max(1, len(y)))
         for i in range(0, len(x), step):
             part = x[i : i + step]
-            a, b = np.nonzero(np.bitwise_count(fps[part][:, None] ^ fps[y][None, :]) <= RADIUS)
-            join(part[a], y[b])
+            a, b = np.nonzero(np.bitwise_count(values[part][:, None] ^ values[y][None, :]) <= radius)
+            a, b = part[a], y[b]
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            close = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64) <= scheme.radius
+            join(a[close], b[close])
 
     def search(x: np.ndarray, y: np.ndarray, depth: int) -> None:
         """Links of the homes ``x`` with ``y``, which holds them too."""
         if not len(x) or not len(y):
             return
-        found = _split(half[x]) if len(x) > 4 * SHARD and depth < 40 else None
+        found = _split(values[x], radius) if len(x) > LOCAL and depth < 40 else None
         if found is None:
             compare(x, y)
             return
         vantage, split = found
-        dx, dy = _distance(half[x], vantage), _distance(half[y], vantage)
-        search(x[dx <= split], y[dy - HALF_RADIUS <= split], depth + 1)
-        search(x[dx > split], y[dy + HALF_RADIUS > split], depth + 1)
+        dx, dy = _distance(values[x], vantage), _distance(values[y], vantage)
+        search(x[dx <= split], y[dy - radius <= split], depth + 1)
+        search(x[dx > split], y[dy + radius > split], depth + 1)
 
-    search(np.arange(n), np.arange(len(fps)), 0)
+    search(np.arange(homes), np.arange(len(fps)), 0)
     own = np.nonzero(label != np.arange(len(fps)))[0]
     return np.stack([own, label[own]], axis=1)
 
 
-def links(distinct: DataFrame, sample_bound: int = SAMPLE) -> DataFrame:
-    """Links a, b between the distinct fingerprints of column ``fp``: enough of them to join every
-    component, and none between fingerprints that no chain of pairs within RADIUS joins."""
+def links(distinct: DataFrame, scheme: Scheme = CLOSE, sample_bound: int = SAMPLE) -> DataFrame:
+    """Links a, b between the keys of distinct fingerprints (key, f0, ...): enough of them to join
+    every component, and none between fingerprints that no chain of linked pairs joins."""
     total = distinct.count()
     share = min(1.0, sample_bound / max(1, total))
-    rows = distinct.where(hash_share(F.col("fp"), share, SEED)).select("fp").toPandas()["fp"].to_numpy(np.int64)
-    forest = fit(np.sort(rows).view(np.uint64), max(share, 1e-12))
-    first_of_second = _first_shard(forest.trees[1])
-    shared = distinct.sparkSession.sparkContext.broadcast(forest)  # at most twice the sample's bound in nodes
+    rows = distinct.where(hash_share(F.col("key"), share, SEED)).select("key", *scheme.parts).toPandas().sort_values("key")
+    forest = fit(rows[scheme.parts].to_numpy(np.int64).view(np.uint64).reshape(-1, scheme.longs), max(share, 1e-12), scheme)
+    shared = distinct.sparkSession.sparkContext.broadcast(forest)  # at most two nodes a mask for each row of the sample
+    columns = ["key", *scheme.parts]
+
+    def stacked(data: pa.RecordBatch | pa.Table) -> np.ndarray:
+        return np.stack([np.asarray(data.column(p)).astype(np.int64) for p in scheme.parts], axis=1).view(np.uint64)
 
     def route(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        at, shard, home = _route(shared.value, fps.view(np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(fps[at]), pa.array(home)], ["shard", "fp", "home"])
+        at, shard, home = _route(shared.value, stacked(batch))
+        return pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), *(batch.column(c).take(pa.array(at)) for c in columns), pa.array(home)], ["shard", *columns, "home"])
 
     def within(group: pa.Table) -> pa.Table:
-        fps = group.column("fp").to_numpy().astype(np.int64).view(np.uint64)
-        home = group.column("home").to_numpy(zero_copy_only=False).astype(bool)
-        shift = HALF_SHIFTS[int(group.column("shard")[0].as_py() >= first_of_second)]
-        both = np.concatenate([fps[home], fps[~home]]).view(np.int64)
-        pair = _links(fps[home], fps[~home], shift)
-        return pa.table({"a": both[pair[:, 0]], "b": both[pair[:, 1]]})
-
-    routed = distinct.select("fp").mapInArrow(per_batch(route), "shard int, fp long, home boolean")
+        group = group.sort_by([("home", "descending")])
+        mask = scheme.masks[bisect_right(shared.value.first, group.column("shard")[0].as_py()) - 1]
+        pair = _links(stacked(group), int(np.asarray(group.column("home")).sum()), mask, scheme)
+        keys = np.asarray(group.column("key"))
+        return pa.table({"a": keys[pair[:, 0]], "b": keys[pair[:, 1]]})
+
+    types = ", ".join(f"{c} long" for c in columns)
+    routed = distinct.select(*columns).mapInArrow(per_batch(route), f"shard int, {types}, home boolean")
     return routed.groupBy("shard").applyInArrow(within, "a long, b long")
 
 
-def _first_shard(node: Node) -> int:
-    while node.vantage is not None:
-        node = node.near
-    return node.shard
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the component's smallest node) for each node of the edges a, b that isn't a root."""
     now = cut(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct())
@@ -267,22 +310,24 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id that a chain of fingerprints, each at most
-    RADIUS bits from the next, reaches) of each row of ``docs`` (doc_id, text)."""
-    own = cut(fingerprints(docs, words))
-    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(distinct)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
+def near_duplicates(docs: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
+    """doc_id, the fingerprint's parts (f0, ...) and component_id (the smallest doc_id that a chain of
+    linked fingerprints reaches) of each row of ``docs`` (doc_id, text)."""
+    own = fingerprints(docs, scheme)
+    own = cut(own.withColumn("key", F.col("f0") if scheme.longs == 1 else F.xxhash64(*scheme.parts)))
+    distinct = cut(own.groupBy("key").agg(*(F.first(p).alias(p) for p in scheme.parts), F.min("doc_id").alias("first_id")))
+    linked = distinct.where(" or ".join(f"{p} <> 0" for p in scheme.parts)) if scheme.empty_apart else distinct
+    roots = components(links(linked, scheme)).withColumnRenamed("node", "key")
+    rooted = distinct.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "first_id")
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return own.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return own.join(rooted.join(ids, "root").select("key", "component_id"), "key").select("doc_id", *scheme.parts, "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, the one of the smallest doc_id.
     Rows without doc_id belong to no group that could name them: one for each text stays. Of rows
     that repeat a kept doc_id one stays."""
-    found = near_duplicates(docs, words)
+    found = cut(near_duplicates(docs, scheme))
     gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
     repeated = not found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty()
     named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
@@ -292,5 +337,5 @@ def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
     return out.select(*docs.columns)
 
 
-def hex_of(fp: str = "fp"):
+def hex_of(fp: str = "f0"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
