@@ -80,7 +80,8 @@ def seeded_draws(base: DataFrame, seed: int, variants: int) -> DataFrame:
                     rows.append((peptide, "".join(new), n))
             yield pd.DataFrame(rows, columns=["src", "variant", "draw"])
 
-    return base.select("peptide").mapInPandas(draw, "src string, variant string, draw int")
+    tasks = 4 * base.sparkSession.sparkContext.defaultParallelism  # few rows, but each has many draws
+    return base.select("peptide").repartition(tasks, "peptide").mapInPandas(draw, "src string, variant string, draw int")
 
 
 def hashed_draws(base: DataFrame, seed: int, variants: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chem
 from ..operators import candidates, evidence, fdr, ordered, score
+from ..operators.lineage import cut
 from ..sources import readers, writers
 from . import views
 
@@ -24,13 +25,14 @@ def queries_of(found: DataFrame) -> DataFrame:
 def extract(events: DataFrame, frames: DataFrame, queries: DataFrame, ppm: float, tic_normalize: bool = False) -> dict[str, DataFrame]:
     """evidence, sums, profile and images (M on tissue) of the queries. ``frames`` has pix and is_on."""
     placed = events.join(frames.select("frame", "pix", "is_on"), "frame")
-    sums = evidence.window_sums(placed, evidence.windows(queries, ppm), ppm).persist()
+    sums = cut(evidence.window_sums(placed, evidence.windows(queries, ppm), ppm))
     counts = frames.agg(F.count_distinct("pix"), F.count_distinct(F.when(F.col("is_on"), F.col("pix")))).first()
     n_pixels, n_on = int(counts[0]), int(counts[1])
     by_channel = evidence.by_channel(sums).join(frames.select("pix", "is_on").distinct(), "pix")
+    by_channel = cut(by_channel)
     images = by_channel.where("is_on").select("qi", "pix", "m")
     bright = evidence.top_decile(images, n_on)
-    profile = evidence.profiles(placed.where("is_on"), queries, bright)
+    profile = cut(evidence.profiles(placed.where("is_on"), queries, bright))
     statistics = evidence.image_statistics(by_channel, n_pixels, n_on)
     coloc = evidence.tic_normalised(images) if tic_normalize else images
     n_queries = queries.count()
@@ -43,10 +45,10 @@ def extract(events: DataFrame, frames: DataFrame, queries: DataFrame, ppm: float
 def score_run(found: DataFrame, table: DataFrame, correlate, offset: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scored rows, peptides and proteins. k is that of the peptides before the competition."""
     rows = score.z_sum(score.terms(found, table, correlate, offset), list(score.SIGNS), "s0")
-    rows = score.ion_competition(rows).persist()
+    rows = cut(score.ion_competition(cut(rows)))
     ratio = fdr.decoy_ratio(found.groupBy("peptide").agg(F.min_by("is_decoy", "row_id").alias("is_decoy")))
-    peptides = fdr.q_values(fdr.peptide_table(rows.where("not removed")), ratio)
-    return rows, peptides, fdr.protein_table(peptides)
+    peptides = cut(fdr.q_values(cut(fdr.peptide_table(rows.where("not removed"))), ratio))
+    return rows, peptides, cut(fdr.protein_table(peptides))
 
 
 def run(spark: SparkSession, config: dict[str, Any]) -> dict[str, Any]:
@@ -65,20 +67,22 @@ def run(spark: SparkSession, config: dict[str, Any]) -> dict[str, Any]:
     else:
         frames = evidence.tissue_mask(frames, config["tic_quantile"])
     step("targets")
-    world = candidates.candidate_set(found, config["decoy_seeds"], config["decoy_method"], config["decoy_min_shift_da"], tuple(config["mz_range"]) if config["mz_range"] else None).persist()
-    asked = queries_of(world).persist()
+    found = cut(found)
+    world = cut(candidates.candidate_set(found, config["decoy_seeds"], config["decoy_method"], config["decoy_min_shift_da"], tuple(config["mz_range"]) if config["mz_range"] else None))
+    asked = cut(queries_of(world))
     keyed = asked.select(chem.mz_key(F.col("mz")).alias("__key"), "qi")
     world = world.withColumn("__key", chem.mz_key(F.col("feature_mz"))).join(keyed, "__key").drop("__key")
+    world = cut(world)
     step("decoys")
     got = extract(events, frames, asked, config["extraction_ppm"], config["tic_normalize"])
-    table = got["evidence"].persist()
+    table = cut(got["evidence"])
     correlate = lambda pairs: evidence.colocalisation(got["images"], pairs, got["n_queries"], got["n_on"])
     step("evidence")
     offset, estimate, z = (float(config["mz_offset_ppm"]), None, None) if config["mz_offset_ppm"] != "auto" else score.mz_offset(score.z_sum(score.terms(world, table, correlate), list(score.SIGNS)[:4], "s4"))
     step("offset")
     rows, peptides, proteins = score_run(world, table, correlate, offset)
     known = readers.read_known_peptides(spark, config["gt_peptides"]).withColumn("is_gt", F.lit(True)) if config["gt_peptides"] else None
-    peptides = (peptides.join(known, "peptide", "left").withColumn("is_gt", F.coalesce("is_gt", F.lit(False))) if known is not None else peptides.withColumn("is_gt", F.lit(False))).persist()
+    peptides = (peptides.join(known, "peptide", "left").withColumn("is_gt", F.coalesce("is_gt", F.lit(False))) if known is not None else peptides.withColumn("is_gt", F.lit(False)))
     out = config["output_dir"]
     writers.write_table(rows.withColumn("row_id", F.to_json("row_id")), out, "rows")
     writers.write_table(table, out, "evidence")
