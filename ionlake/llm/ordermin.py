@@ -39,6 +39,8 @@ BINS = TUPLES * TUPLE
 POSITION_BITS = 22
 #: Rows of a range, and most cells of ranges.
 ROWS, CELLS = 2_000, 256
+#: Most ranges of which a table of ids is broadcast; beyond it is shuffled.
+BROADCAST = 100_000
 
 _POSITION = (1 << POSITION_BITS) - 1
 _BIN_SHIFT = 63 - (BINS - 1).bit_length()
@@ -106,8 +108,8 @@ def likeness(a: str, b: str) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
-def _ranged(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, text) with cell and range, which ascend as doc_id descends."""
+def _ranged(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` (doc_id, text) with cell and range, which ascend as doc_id descends; most ranges."""
     total = rows.count()
     ranges = max(1, -(-total // ROWS))
     cells = min(CELLS, ranges)
@@ -122,17 +124,18 @@ def _ranged(rows: DataFrame) -> DataFrame:
     # a cell whose bounds are equal holds one doc_id, or the few rows beyond the bounds
     within = F.when(F.col("__up").isNull(), hashed).when(high > low, F.lit(inner - 1) - along).otherwise(F.lit(0) if inner == 1 else F.when(x == low, hashed).otherwise(F.lit(0)))
     rows = rows.withColumn("__up", F.when(x.isNotNull(), cell))
-    return rows.withColumns({"cell": F.coalesce(F.lit(cells - 1) - F.col("__up"), F.lit(cells)), "range": within.cast("int")}).drop("__up")
+    return rows.withColumns({"cell": F.coalesce(F.lit(cells - 1) - F.col("__up"), F.lit(cells)), "range": within.cast("int")}).drop("__up"), (cells + 1) * inner
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
     """doc_id, text, signature, next_text and next_signature of each row of ``docs``; the next
     document is the one of the next smaller doc_id, after the smallest the largest."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranged = _ranged(rows)
+    ranged, ranges = _ranged(rows)
     order = [F.desc_nulls_last("doc_id"), F.md5("text")]
     # The first row of each range: by its largest doc_id, and among rows of that by the MD5.
     largest = ranged.groupBy("cell", "range").agg(F.max("doc_id").alias("__largest"))
+    largest = F.broadcast(largest) if ranges <= BROADCAST else largest  # some 24 bytes each
     heads = ranged.join(largest, ["cell", "range"]).where(F.col("doc_id").eqNullSafe(F.col("__largest")))
     heads = heads.groupBy("cell", "range").agg(F.min_by("text", F.md5("text")).alias("head"))
     heads = cut(with_signature(heads, "head", "head_signature"))
@@ -144,8 +147,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
     ahead = ahead.join(following, "cell").select("cell", "range", F.coalesce("__lead", "__beyond").alias("__ahead"))
     within = Window.partitionBy("cell", "range").orderBy(*order)
     signed = with_signature(ranged, "text", "signature")
-    led = signed.withColumn("__next", F.lead(F.struct("text", "signature")).over(within)).join(ahead, ["cell", "range"], "left")
-    pick = lambda k, head: F.coalesce(F.col(f"__next.{k}"), F.col(f"__ahead.{head}"))
+    led = signed.withColumns({f"__next_{c}": F.lead(c).over(within) for c in ("text", "signature")}).join(ahead, ["cell", "range"], "left")
+    pick = lambda c, head: F.coalesce(F.col(f"__next_{c}"), F.col(f"__ahead.{head}"))
     return led.select("doc_id", "text", "signature", pick("text", "head").alias("next_text"), pick("signature", "head_signature").alias("next_signature"))
 
 
