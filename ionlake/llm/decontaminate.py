@@ -232,7 +232,7 @@ def _blocks(benchmark: DataFrame, window: int) -> list:
     return [context.broadcast(phrases_of([tuple(r) for r in (items.where(part == b) if n > 1 else items).collect()], window)) for b in range(n)]
 
 
-FOUND = {"n_words": "long", "word_spans": "array<array<int>>", "item_ids": "array<long>"}
+FOUND = {"__n_words": "long", "__word_spans": "array<array<int>>", "__item_ids": "array<long>"}
 
 
 def _searched(docs: DataFrame, blocks: list, window: int) -> DataFrame:
@@ -243,12 +243,12 @@ def _searched(docs: DataFrame, blocks: list, window: int) -> DataFrame:
         def run(batch: pa.RecordBatch, block=block) -> pa.RecordBatch:
             found = find(batch.column("text").to_pylist(), block.value, window)
             columns = {n: batch.column(n) for n in batch.schema.names}
-            if "word_spans" in columns:
-                spans, items = columns["word_spans"].to_pylist(), columns["item_ids"].to_pylist()
+            if "__word_spans" in columns:
+                spans, items = columns["__word_spans"].to_pylist(), columns["__item_ids"].to_pylist()
                 found = [(n, merged([*s, *had]), sorted({*i, *old})) for (n, s, i), had, old in zip(found, spans, items, strict=True)]
-            columns["n_words"] = pa.array([n for n, _, _ in found], pa.int64())
-            columns["word_spans"] = pa.array([s for _, s, _ in found], pa.list_(pa.list_(pa.int32())))
-            columns["item_ids"] = pa.array([i for _, _, i in found], pa.list_(pa.int64()))
+            columns["__n_words"] = pa.array([n for n, _, _ in found], pa.int64())
+            columns["__word_spans"] = pa.array([s for _, s, _ in found], pa.list_(pa.list_(pa.int32())))
+            columns["__item_ids"] = pa.array([i for _, _, i in found], pa.list_(pa.int64()))
             return pa.RecordBatch.from_pydict(columns)
 
         types = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name not in FOUND]
@@ -260,8 +260,8 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     """doc_id, n_words, n_hit (words inside occurrences), word_spans (merged, end exclusive),
     item_ids (sorted) and contaminated of each document."""
     out = _searched(docs.select(F.col("doc_id").cast("long"), "text"), _blocks(benchmark, window), window)
-    hit = F.aggregate("word_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), "word_spans", "item_ids", (hit > 0).alias("contaminated"))
+    hit = F.aggregate("__word_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return out.select("doc_id", F.col("__n_words").alias("n_words"), hit.alias("n_hit"), F.col("__word_spans").alias("word_spans"), F.col("__item_ids").alias("item_ids"), (hit > 0).alias("contaminated"))
 
 
 def without_spans(text: str, spans: list[list[int]]) -> str:
@@ -282,7 +282,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     blocks = _blocks(benchmark, window)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, spans = batch.column("text").to_pylist(), batch.column("word_spans").to_pylist()
+        texts, spans = batch.column("text").to_pylist(), batch.column("__word_spans").to_pylist()
         changed = todo = [i for i, s in enumerate(spans) if s]
         while todo:
             for i in todo:
@@ -301,4 +301,4 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
             columns["n_chars"] = pa.array(counts, batch.schema.field("n_chars").type)
         return pa.RecordBatch.from_pydict(columns).take(pa.array([i for i in range(len(texts)) if i not in gone], pa.int64()))
 
-    return _searched(docs, blocks, window).select(*names, "word_spans").mapInArrow(per_batch(run), schema)
+    return _searched(docs, blocks, window).select(*names, "__word_spans").mapInArrow(per_batch(run), schema)

@@ -50,7 +50,7 @@ ALLOWED = (
 #: What, just before a candidate, says that it is public.
 ALLOWED_BEFORE = re.compile(r"(?i)(?:commit|revision|checksum|digest|etag|md5|sha-?1|sha-?256|sha-?512|integrity)\W{1,4}$")
 
-_WEIGHT = [0.0, *(c * log2(c) for c in range(1, WINDOW + 1))]
+_WEIGHT = [0.0, *(c * log2(c) for c in range(1, WINDOW + 2))]  # for a moment a window has one more
 
 
 def entropy_spans(run: str) -> list[tuple[int, int]]:
