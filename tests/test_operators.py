@@ -179,6 +179,7 @@ def test_configuration():
         config.load(text + "other = 1\n")
     with pytest.raises(AssertionError, match="missing"):
         config.load("[RUN]\n")
+    assert config.load('[OTHER]\nmaldi-d = "e"\nlcms_peptides = "p"\noutput-dir = "o"\nthreads = 4\n')["events"] == "e"
     known, unknown = config.from_toml(text + "old_key = 3\n")
     assert unknown == ["old_key"] and config.from_form({k: config.shown(v) for k, v in known.items()}) == known
     assert config.parsed("0") == 0 and config.parsed("2.0") == 2.0 and config.parsed(" ") is None and config.parsed("abc") == "abc"
