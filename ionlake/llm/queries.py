@@ -81,5 +81,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_text": op10_html_text,
 }
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 #: DuckDB SQL for the queries that it can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_decontamination": f"""with item as (select item_id, {_WORDS} as ws from benchmark),
+win as (select item_id, unnest(case when len(ws) = 0 then [] when len(ws) < 10 then [ws] else list_transform(range(len(ws) - 9), lambda i: ws[i + 1 : i + 10]) end) as w from item),
+phrase as (select distinct w, len(w) as n from win), sizes as (select distinct n from phrase),
+doc as (select doc_id, {_WORDS} as ws from documents), place as (select doc_id, ws, unnest(range(len(ws))) as i from doc),
+here as (select doc_id, i, n, ws[i + 1 : i + n] as w from place, sizes where i + n <= len(ws)),
+occ as (select doc_id, i, here.n, w from here join phrase using (w)),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from occ) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as listed from (select distinct doc_id, item_id::varchar as item from occ join win using (w)) group by doc_id)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc left join hit using (doc_id) left join found using (doc_id)""",
+    "op7_warc": """with p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as h, octet_length(encode(coalesce(html, '')))::bigint as n from pages),
+o as (select h, max(page_id) as best, count(*) as copies from p where n >= 1000 group by h)
+select page_id, n as payload_bytes, sha1(p.h) as payload_digest, case when copies > 1 and page_id <> best then 'revisit' else 'response' end as record_type, case when copies > 1 and page_id <> best then best end as refers_to, url from p left join o on p.h = o.h""",
+}
