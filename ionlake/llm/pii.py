@@ -211,7 +211,8 @@ def replaced(docs: DataFrame, key: str, counts: str | None = None) -> DataFrame:
     of entities replaced in each row."""
     found = cut(_found(docs))
     table = cut(surrogates(found.select("value"), key))
-    maps = found.join(table, "value").groupBy("__text").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("__map"))
+    # written, so that the join below deals both sides out anew and a text with many copies can be split
+    maps = cut(found.join(table, "value").groupBy("__text").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("__map")))
     rows = docs.withColumn("__text", F.md5("text")).join(maps, "__text", "left")
     rows = rows.withColumn("__parts", F.when(F.col("__map").isNotNull(), _parts(F.col("text"))))
     new = F.array_join(F.transform("__parts", lambda p, i: F.when(i % 2 == 1, F.coalesce(F.try_element_at("__map", p), p)).otherwise(p)), "")
