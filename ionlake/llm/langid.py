@@ -32,7 +32,7 @@ UNDETERMINED = "und"
 #: Bound of the labelled documents of a language, of which the classifier is fitted.
 PER_LANGUAGE = 3_000
 #: Bounds of the model's tables.
-WORDS, GRAMS = 120_000, 60_000
+WORDS, GRAMS = 80_000, 40_000
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 #: Unseen words whose scores a task remembers.
@@ -86,19 +86,22 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORD
     for lang, n in sizes.items():
         sampled = sampled | ((F.col("lang") == lang) & hash_share(F.col("doc_id"), min(1.0, per_language / n), SEED))
     counts = _counted(rows.where(sampled)).persist()
-    items = counts.groupBy("kind", "item").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    best = lambda kind, k: items.where(kind).orderBy(F.desc("total"), "item").limit(k).collect()
-    table = [*best("kind = 0 and total > 1", words), *best("kind > 0 and total > 1", grams_kept)]
-    sums = {(r["kind"], r["lang"]): r["n"] for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
-    counts.unpersist()
     languages = sorted(sizes)
-    kinds = np.array([r["kind"] for r in table], np.int64)
-    seen = np.array([[r["by"].get(x, 0) for x in languages] for r in table], np.float64).reshape(len(table), len(languages))
-    whole = np.array([[sums.get((k, x), 0) for x in languages] for k in range(max(ORDERS) + 1)], np.float64)
-    sizes_of = np.array([max(1, (kinds == k).sum()) for k in range(max(ORDERS) + 1)])[:, None]
-    scores = np.log(seen + SMOOTHING) - np.log(whole + SMOOTHING * sizes_of)[kinds]
-    named = lambda kind: {r["item"]: i for i, r in enumerate(table) if (r["kind"] == 0) == kind}
-    return Model(languages, named(True), named(False), scores)
+    by = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(languages)]
+    items = counts.groupBy("kind", "item").agg(F.sum("n").alias("total"), *by)
+    best = lambda kind, k: items.where(kind).orderBy(F.desc("total"), "item").limit(k).toArrow()
+    table = pa.concat_tables([best("kind = 0 and total > 1", words), best("kind > 0 and total > 1", grams_kept)])
+    sums = counts.groupBy("kind").agg(*by).toArrow()
+    counts.unpersist()
+    seen_by = lambda t: np.stack([np.asarray(t.column(f"n{i}"), np.float64) for i in range(len(languages))], axis=1)
+    kinds = np.asarray(table.column("kind"), np.int64)
+    whole = np.zeros((max(ORDERS) + 1, len(languages)))
+    whole[np.asarray(sums.column("kind"), np.int64)] = seen_by(sums)
+    sizes_of = np.maximum(1, np.bincount(kinds, minlength=len(whole)))[:, None]
+    scores = np.log(seen_by(table) + SMOOTHING) - np.log(whole + SMOOTHING * sizes_of)[kinds]
+    listed = table.column("item").to_pylist()
+    n_words = int((kinds == 0).sum())
+    return Model(languages, {w: i for i, w in enumerate(listed[:n_words])}, {g: n_words + i for i, g in enumerate(listed[n_words:])}, scores)
 
 
 class Scorer:
