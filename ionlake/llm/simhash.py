@@ -5,8 +5,13 @@ masks (runs of bits) of the forest: each has a vantage-point tree whose metric i
 distance under the mask. Under CLOSE, fingerprints of 64 bits that differ in at most 3 differ in at
 most 1 in one of their halves, so that the forest finds every pair. Under SIMILAR, fingerprints of
 192 bits over five-word shingles link at an estimated cosine similarity of 0.8 (39 bits); a pair is
-found if it differs in at most 1 bit under one of twelve masks of 16, which two texts with a Jaccard
-similarity of 0.8 do in 98 of 100 cases and closer ones in more.
+found if it differs in at most 1 bit under one of twelve masks of 16.
+
+Groups of near-duplicates (one_of_each) link texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 (LIKE) or more, and no others: fingerprints only say which texts to compare, under
+WIDE, whose radius and masks miss a pair at 0.8 with a probability below 0.0002 (binomial; up to 0.004
+where texts have four or five shingles) and closer ones still less. Every pair of texts in a component
+of WIDE is then decided by the sets themselves, unless both are already joined by decided links.
 
 A node splits its fingerprints by their distance to a vantage point; by the triangle inequality a
 fingerprint has to visit the other side only if its own distance is within the radius of the split.
@@ -26,7 +31,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +50,10 @@ LOCAL, CELLS = 1_000, 2_000_000
 #: Shingles whose bits are counted at once.
 CHUNK = 32_768
 SEED = 42
+#: Least Jaccard similarity of near-duplicates, as a fraction.
+LIKE = (4, 5)
+#: Shingles of texts that one task compares with as many others.
+SETS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -52,7 +61,7 @@ class Scheme:
     """``words``: of a shingle. ``longs``: 64-bit parts of a fingerprint. ``width``: bits of a mask;
     masks lie side by side. ``mask_radius``, ``radius``: most differing bits under a mask, and of a
     link. ``shard``: fingerprints that a shard should hold. ``empty_apart``: texts without words
-    aren't linked to others."""
+    aren't linked to others. ``once``: repeats of a shingle don't count."""
 
     words: int
     longs: int
@@ -61,6 +70,7 @@ class Scheme:
     radius: int
     shard: int
     empty_apart: bool = False
+    once: bool = False
 
     @property
     def masks(self) -> list[tuple[int, int]]:
@@ -74,6 +84,9 @@ class Scheme:
 
 CLOSE = Scheme(words=3, longs=1, width=32, mask_radius=1, radius=3, shard=1_500)
 SIMILAR = Scheme(words=5, longs=3, width=16, mask_radius=1, radius=39, shard=4_000, empty_apart=True)
+WIDE = Scheme(words=5, longs=3, width=16, mask_radius=2, radius=52, shard=4_000, empty_apart=True, once=True)
+#: For the sets of shingles: the first part of WIDE's hashes alone.
+FIRST = replace(WIDE, longs=1)
 
 
 def _hashes(shingles: Iterator[bytes], longs: int) -> np.ndarray:
@@ -83,24 +96,44 @@ def _hashes(shingles: Iterator[bytes], longs: int) -> np.ndarray:
     return np.frombuffer(b"".join(xxhash.xxh64_digest(s, SEED) + xxhash.xxh3_128_digest(s, SEED) for s in shingles), "<u8").reshape(-1, 3)[:, :longs]
 
 
-def fingerprint(text: str | None, scheme: Scheme = CLOSE) -> list[int]:
-    """SimHash of the shingles of a text, repeats included, as unsigned 64-bit parts."""
-    tokens = (text or "").encode("utf-8").lower().split()  # bytes: A-Z alone, and the six ASCII spaces alone
-    if not tokens:
-        return [0] * scheme.longs
+def _tokens(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8").lower().split()  # bytes: A-Z alone, and the six ASCII spaces alone
+
+
+def _shingles(tokens: list[bytes], scheme: Scheme) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of some words, repeats included, in chunks."""
     joined, n = b" ".join(tokens), max(1, len(tokens) - scheme.words + 1)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     ends = ends[min(scheme.words, len(tokens)) - 1 :]
-    ones = np.zeros(64 * scheme.longs, np.int64)
     for i in range(0, n, CHUNK):
         cuts = zip(starts[i : min(n, i + CHUNK)].tolist(), ends[i : i + CHUNK].tolist(), strict=True)
-        h = np.ascontiguousarray(_hashes((joined[a:b] for a, b in cuts), scheme.longs))
-        bits = np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
-        for j in range(0, len(bits), 255):  # so many ones fit a byte
-            ones += np.add.reduce(bits[j : j + 255], axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > n, bitorder="little").view("<u8").tolist()
+        yield np.ascontiguousarray(_hashes((joined[a:b] for a, b in cuts), scheme.longs))
+
+
+def fingerprint(text: str | None, scheme: Scheme = CLOSE) -> list[int]:
+    """SimHash of the shingles of a text, repeats included unless the scheme leaves them out, as
+    unsigned 64-bit parts."""
+    return _fingerprint(_tokens(text), scheme)[0]
+
+
+def _fingerprint(tokens: list[bytes], scheme: Scheme) -> tuple[list[int], int]:
+    """The parts, and how many shingles they are made of."""
+    if not tokens:
+        return [0] * scheme.longs, 0
+    chunks: Iterator[np.ndarray] = _shingles(tokens, scheme)
+    if scheme.once:
+        whole = np.concatenate(list(chunks))
+        chunks = iter([whole[np.unique(whole[:, 0], return_index=True)[1]]])
+    ones, n = np.zeros(64 * scheme.longs, np.int64), 0
+    for h in chunks:
+        for i in range(0, len(h), CHUNK):
+            bits = np.unpackbits(h[i : i + CHUNK].view(np.uint8).reshape(-1, 8 * scheme.longs), axis=1, bitorder="little")
+            for j in range(0, len(bits), 255):  # so many ones fit a byte
+                ones += np.add.reduce(bits[j : j + 255], axis=0, dtype=np.uint8)
+        n += len(h)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8").tolist(), n
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
@@ -310,24 +343,140 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
+def _named(own: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """``own`` with component_id: the smallest doc_id of its key's component (node, root)."""
+    rooted = distinct.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"), "first_id")
+    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return own.join(rooted.join(ids, "root").select("key", "component_id"), "key")
+
+
+def _distinct(own: DataFrame, scheme: Scheme, *more: str) -> DataFrame:
+    return cut(own.groupBy("key").agg(*(F.first(p).alias(p) for p in (*scheme.parts, *more)), F.min("doc_id").alias("first_id")))
+
+
+def _with_words(distinct: DataFrame, scheme: Scheme) -> DataFrame:
+    return distinct.where(" or ".join(f"{p} <> 0" for p in scheme.parts)) if scheme.empty_apart else distinct
+
+
 def near_duplicates(docs: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
     """doc_id, the fingerprint's parts (f0, ...) and component_id (the smallest doc_id that a chain of
     linked fingerprints reaches) of each row of ``docs`` (doc_id, text)."""
     own = fingerprints(docs, scheme)
     own = cut(own.withColumn("key", F.col("f0") if scheme.longs == 1 else F.xxhash64(*scheme.parts)))
-    distinct = cut(own.groupBy("key").agg(*(F.first(p).alias(p) for p in scheme.parts), F.min("doc_id").alias("first_id")))
-    linked = distinct.where(" or ".join(f"{p} <> 0" for p in scheme.parts)) if scheme.empty_apart else distinct
-    roots = components(links(linked, scheme)).withColumnRenamed("node", "key")
-    rooted = distinct.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "first_id")
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return own.join(rooted.join(ids, "root").select("key", "component_id"), "key").select("doc_id", *scheme.parts, "component_id")
+    distinct = _distinct(own, scheme)
+    return _named(own, distinct, components(links(_with_words(distinct, scheme), scheme))).select("doc_id", *scheme.parts, "component_id")
+
+
+# Texts that are alike by their shingles.
+
+
+def _key(tokens: list[bytes]) -> int:
+    """Texts of the same words have the same key."""
+    return xxhash.xxh3_64_intdigest(b" ".join(tokens), SEED)
+
+
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """key and text of each row."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_signed([_key(_tokens(t)) for t in batch.column(0).to_pylist()]), batch.column(0)], ["key", "text"])
+
+    return small_batches(docs.select("text")).mapInArrow(per_batch(run), "key long, text string")
+
+
+def _alike(ids: np.ndarray, starts: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """A spanning forest of the pairs within each part whose sets have a similarity of LIKE. Set i is
+    ids[starts[i]:starts[i + 1]], of numbers from 0; parts are numbers too. Sets aren't empty."""
+    over, under = LIKE
+    sizes, label = np.diff(starts), np.arange(len(part))
+    marked = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    order = np.argsort(part, kind="stable")
+    for rows in np.split(order, np.nonzero(np.diff(part[order]))[0] + 1):
+        done = np.zeros(len(rows), bool)
+        at = 0
+        while len(rows) > 1:
+            x, done[at] = rows[at], True
+            others = rows[label[rows] != label[x]]
+            others = others[(sizes[others] * over <= sizes[x] * under) & (sizes[x] * over <= sizes[others] * under)]
+            if len(others):
+                own = ids[starts[x] : starts[x + 1]]
+                marked[own] = True
+                n = sizes[others]
+                begin = np.cumsum(n) - n
+                flat = np.repeat(starts[others] - begin, n) + np.arange(int(n.sum()))
+                shared = np.add.reduceat(marked[ids[flat]], begin, dtype=np.int64)
+                marked[own] = False
+                found = others[shared * under >= (n + sizes[x] - shared) * over]
+                if len(found):
+                    joined = np.append(np.unique(label[found]), label[x])
+                    label[rows[np.isin(label[rows], joined)]] = joined.min()
+            names, counts = np.unique(label[rows], return_counts=True)
+            left = np.nonzero(~done & (label[rows] != names[counts.argmax()]))[0]  # of sets in two groups, one isn't in the largest
+            if not len(left):
+                break
+            at = left[0]
+    own = np.nonzero(label != np.arange(len(part)))[0]
+    return np.stack([own, label[own]], axis=1)
+
+
+def like_links(docs: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links a, b between keys of texts of one component (roots: node, root) whose shingles have a
+    similarity of LIKE. sizes: key and n, the shingles of its text. A component with more shingles
+    than SETS is dealt out in blocks, and each two blocks meet in one task."""
+    members = cut(roots.select(F.col("node").alias("key"), "root").union(roots.select(F.col("root").alias("key"), "root").distinct()))
+    weights = cut(members.join(sizes.select("key", "n"), "key").groupBy("root").agg(F.sum("n").alias("n")))
+    tasks = max(1, -(-(weights.agg(F.sum("n")).first()[0] or 0) // SETS))
+    large = F.broadcast(weights.where(F.col("n") > SETS).select("root", F.ceil(F.col("n") / SETS).cast("int").alias("blocks")))  # one for each SETS shingles at most
+    texts = _keyed(docs).groupBy("key").agg(F.first("text").alias("text")).join(members, "key").join(large, "root", "left")
+    block = F.pmod(F.xxhash64("key", F.lit(SEED)), F.col("blocks")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("root", F.least(block, j), F.greatest(block, j)))
+    one = F.array(F.pmod(F.xxhash64("root"), F.lit(tasks)))
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.unique(np.concatenate([h[:, 0] for h in _shingles(_tokens(t), FIRST)])).view(np.int64) for t in batch.column(3).to_pylist()]
+        starts = np.cumsum([0, *map(len, found)])
+        lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate(found)))
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), lists], ["tasks", "root", "key", "shingles"])
+
+    def within(group: pa.Table) -> pa.Table:
+        lists = group.column("shingles").combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        ids = np.unique(np.asarray(lists.flatten()), return_inverse=True)[1]
+        starts = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()).astype(np.int64))])
+        pair = _alike(ids, starts, np.unique(np.asarray(group.column("root")), return_inverse=True)[1])
+        keys = np.asarray(group.column("key"))
+        return pa.table({"a": keys[pair[:, 0]], "b": keys[pair[:, 1]]})
+
+    dealt = small_batches(texts.select(F.when(F.col("blocks").isNull(), one).otherwise(pair).alias("tasks"), "root", "key", "text"))
+    dealt = dealt.mapInArrow(per_batch(sets), "tasks array<long>, root long, key long, shingles array<long>")
+    return dealt.select(F.explode("tasks").alias("task"), "root", "key", "shingles").groupBy("task").applyInArrow(within, "a long, b long")
+
+
+def alike(docs: DataFrame, scheme: Scheme = WIDE) -> DataFrame:
+    """doc_id, key (of its words) and component_id (the smallest doc_id that a chain of texts reaches
+    whose neighbours have a similarity of LIKE) of each row of ``docs`` (doc_id, text)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = [_tokens(t) for t in batch.column(1).to_pylist()]
+        found = [_fingerprint(w, scheme) for w in words]
+        fps = np.array([f for f, _ in found], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), _signed([_key(w) for w in words]), pa.array([n for _, n in found], pa.int64()), *(pa.array(fps[:, i]) for i in range(scheme.longs))], ["doc_id", "key", "n", *scheme.parts])
+
+    own = cut(small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(per_batch(run), "doc_id long, key long, n long, " + ", ".join(f"{p} long" for p in scheme.parts)))
+    distinct = _distinct(own, scheme, "n")
+    candidates = components(links(_with_words(distinct, scheme), scheme))
+    return _named(own, distinct, components(like_links(docs, distinct, candidates))).select("doc_id", "key", "component_id")
 
 
-def one_of_each(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
+def one_of_each(docs: DataFrame, scheme: Scheme = WIDE) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, the one of the smallest doc_id.
     Rows without doc_id belong to no group that could name them: one for each text stays. Of rows
     that repeat a kept doc_id one stays."""
-    found = cut(near_duplicates(docs, scheme))
+    found = cut(alike(docs, scheme))
     gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
     repeated = not found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty()
     named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")

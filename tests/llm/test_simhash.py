@@ -131,3 +131,35 @@ def test_one_of_each_group_stays_and_clean_documents_too(spark):
     assert s.one_of_each(df.limit(0)).count() == 0
     twice = s.one_of_each(spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "d e f g h i")], "doc_id long, text string"))
     assert sorted(r.doc_id for r in twice.collect()) == [1, 2]
+
+
+def test_groups_are_those_of_exact_similarity(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    docs = []
+    for _ in range(150):  # pairs whose similarity is just over 0.8, then just under: changed words lie at the end
+        for changed in (18, 30):
+            base = rng.choices(words, k=204)
+            docs += [" ".join(base), " ".join(base[:-changed] + rng.choices(words, k=changed))]
+    likeness = [jaccard(docs[i], docs[i + 1]) for i in range(0, len(docs), 2)]
+    assert all(0.8 <= x < 0.86 for x in likeness[::2]) and all(0.7 < x < 0.8 for x in likeness[1::2])
+    kept = {r.doc_id for r in s.one_of_each(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert kept == {i for i in range(len(docs)) if i % 2 == 0 or likeness[i // 2] < 0.8}
+
+
+def test_alike_sets_are_brute_force_also_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    sets = [np.sort(rng.choice(40, int(rng.integers(20, 40)), replace=False)) for _ in range(120)]
+    part = rng.integers(0, 2, 120)
+    label = np.arange(120)
+    for i, j in s._alike(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), part):
+        label[label == label[i]] = label[j]
+    for i in range(120):
+        for j in range(120):
+            if part[i] == part[j] and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])):
+                assert label[i] == label[j]
+    monkeypatch.setattr(s, "SETS", 300)  # a large component meets in pairs of blocks
+    base = [f"w{i}" for i in range(100)]
+    docs = [" ".join([*base, f"x{i}"]) for i in range(30)]
+    out = s.one_of_each(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+    assert [r.doc_id for r in out.collect()] == [0]
