@@ -195,3 +195,16 @@ def test_ids_curve_range(spark):
 def test_range_joins_are_equi_joins(spark):
     plan = ppm_join(spark.range(10).select(F.col("id").cast("double").alias("p")), spark.range(10).selectExpr("double(id) as lo", "double(id) + 1 as hi"), "p", "lo", "hi", 20)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_registered_decoys_are_the_default_methods(spark, monkeypatch):
+    from ionlake.plans import queries
+
+    peptides = spark.createDataFrame([("AGLPGEVGAK",), ("DEFGHIPSTWK",), ("SWQYLNEADTK",)], "peptide string")
+    monkeypatch.setattr(queries, "sequences", lambda spark, sf_dir: peptides)
+    drawn = []
+    draw = candidates.best_variants
+    monkeypatch.setattr(candidates, "best_variants", lambda draws, base, keys, floor_da=None: drawn.append((draws.agg({"draw": "max"}).first()[0], keys)) or draw(draws, base, keys, floor_da))
+    assert queries.decoys_seeded(spark, "").count() == 3
+    (last, keys), = drawn
+    assert last > 30 and keys == candidates.METHODS["d1c_raw"][0]
