@@ -18,6 +18,7 @@ import heapq
 import zlib
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,8 @@ class WordIds:
         rest: list[str] = []
         for word in words:
             base = word.rstrip(PUNCTUATION)
-            if not base.isalpha() or "İ" in base or "Σ" in base:  # whose lower case isn't one letter, or depends on its place
+            # lower case that isn't one letter, or depends on its place; letters that the tokenizer takes apart to letter and mark
+            if not base.isalpha() or "İ" in base or "Σ" in base or not is_normalized("NFC", base):
                 rest.append(word)
                 continue
             if len(base) < len(word):

@@ -23,6 +23,21 @@ def test_ids_are_the_tokenizers():
         assert got.tolist() == tokens(text).tolist()
 
 
+def test_ids_of_every_letter():
+    """Each code point inside a word and before a full stop; also in random strings."""
+    from tokenizers import Tokenizer
+
+    plain, words = Tokenizer.from_file(FILE), packing.WordIds(Tokenizer.from_file(FILE), 2)
+    texts = [f"x{chr(c)}y Q{chr(c)}." for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    rng = np.random.default_rng(5)
+    pool = "aZé́İΣſK\u0958\u09dc\ufb1d\u0f43.,'- \n\t1½漢<|>"
+    texts += ["".join(rng.choice(list(pool), 12)) for _ in range(3000)]
+    for k in range(0, len(texts), 2000):
+        expected = plain.encode_batch(texts[k : k + 2000], add_special_tokens=False)
+        for text, e, got in zip(texts[k:], expected, words.encode(texts[k : k + 2000]), strict=False):
+            assert got.tolist() == [*e.ids, 2], ascii(text)
+
+
 def check(pieces, docs):
     """Each id lies in one piece, sequences have no gap and no padding."""
     held = {}
