@@ -1,10 +1,17 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree. What can't be main text (scripts, menus, forms, adverts, notices, comments,
-by tag, role, class or id) is cut off. Every paragraph earns points for its length and commas and
-passes them to its ancestors, in full to its parent and less to those above; an ancestor's points
-are discounted by the share of its text that is in links. The best container is kept, with those of
-its siblings that have points or look like paragraphs or headings of the same article.
+A page becomes a tree. Every paragraph earns points for its length and commas and passes them to its
+ancestors, in full to its parent and less to those above; names of elements add or take some, and an
+ancestor's points are discounted by the share of its text that is in links. The best container is
+kept, with those of its siblings that have points, read like paragraphs or headings of the same
+article, or stand between such.
+
+Before that, what a page itself calls something else is cut off: scripts, menus, forms, adverts,
+notices and comments by tag or role, or by a class or id that says nothing else (``comment-body``,
+``mainMenu``). A name that says something more (``side-effects``, ``related-work``) only casts doubt:
+such an element stays if it has paragraphs, few links and no form. What holds the page's article or
+first heading isn't cut by a name. Nothing inside the chosen article is dropped for its links; only
+menus without a name at the very ends of a container that isn't called an article are.
 
 A block is the text between the bounds of block elements. Character references are decoded, white
 space inside a block becomes one space, and blocks are joined by a line break in page order.
@@ -19,6 +26,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,27 +40,35 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:
 
 # Fixed values of HTML: elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object select annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_ITSELF = {"li": "li", "dd": "dd dt", "dt": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tr td th", "tbody": "thead tr td th"}
 #: An element that closes itself doesn't close one beyond these.
 SCOPE = frozenset("ul ol dl table body html article section div td".split())
 
-#: Elements, roles, and words of classes and ids of what isn't main text.
+#: Elements and roles of what isn't main text.
 CUT_TAGS = frozenset("nav footer aside form button dialog menu".split())
 CUT_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu menubar".split())
-CUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|advertisement|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|disclaimer|popup|modal|overlay|newsletter|subscribe|signup|login"
-    r"|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|footer|masthead|toolbar|pagination|pager|share|sharing|social|related|recommended|comment|comments|disqus|respond|widget|skip|copyright)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words of classes and ids: of readers' comments, of other things that aren't main text, of main text, and that say nothing by themselves.
+COMMENTS = frozenset("comment comments commenter commenting disqus reply replies respond".split())
+OTHERS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense banner billboard breadcrumb breadcrumbs consent cookie cookies copyright disclaimer facebook footer gdpr instagram linkedin login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination pinterest popup promo promos promotion promotions recommended related share shares sharing side sidebar signin signup skip social sponsor sponsored sponsors subscribe subscription toolbar twitter whatsapp widget widgets".split()
 )
-KEPT_NAMES = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.IGNORECASE)
+ARTICLE = frozenset("article articles body content contents entry main page post posts stories story text".split())
+PLAIN = frozenset(
+    "area author avatar bar block blocks bottom box btn button buttons card cards center col column container fixed footer form global group header heading holder icon icons inline inner item items label large layer left line link links list lists meta mobile module nested new news panel primary right row secondary section site small sticky sub template thread title top unit wrap wrapper zone".split()
+)
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W_]+")
 START = {"article": 10, "main": 8, "div": 5, "section": 4, "blockquote": 3, "pre": 3, "td": 3, "ul": -3, "ol": -3, "dl": -3, "li": -3, "form": -3, "th": -5}
+#: Points for what an element's names call it.
+NAMED = {"article": 5, "doubtful": -5}
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPH = frozenset("p pre blockquote td li dd figcaption".split())
 #: Least length of text that earns points, and the characters that earn one point each, at most LENGTH_POINTS.
 SHORT, PER_POINT, LENGTH_POINTS = 20, 100, 30
-SIBLING_SHARE, LINK_LIMIT = 0.2, 0.5
+#: Share of the best score that makes a sibling part of the article; share of text in links, and links, that make a menu.
+SIBLING_SHARE, LINK_LIMIT, MENU_LINKS = 0.2, 0.5, 3
+ENDS = re.compile(r"[.!?…:;\"”»)\u3002\uff01\uff1f]\s*$")
 
 
 @dataclass(eq=False)
@@ -65,6 +81,9 @@ class Element:
     length: int = 0
     linked: int = 0
     links: int = 0
+    paragraphs: int = 0
+    fields: int = 0
+    inside: bool = False
 
     def density(self) -> float:
         return self.linked / self.length if self.length else 0.0
@@ -122,38 +141,111 @@ def _closed(at: Element, tags: str, stop: set[str] | frozenset[str]) -> Element:
     return found.parent if found is not None and found.parent is not None else at
 
 
-def _is_cut(e: Element, in_article: bool) -> bool:
-    if e.tag in CUT_TAGS or e.tag == "header" and not in_article:
+def _says(word: str) -> bool | None:
+    """Whether a word of a name says that an element isn't main text; None if it is unknown."""
+    if word in COMMENTS or word in OTHERS:
         return True
-    if not e.attributes.strip():
+    if word in ARTICLE or word in PLAIN or word.isdigit() or len(word) == 1:
         return False
-    names = ""
-    for m in ATTRIBUTE.finditer(e.attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE) or name == "role" and value.lower() in CUT_ROLES:
+    for i in range(2, len(word) - 1):  # two words written as one
+        parts = word[:i], word[i:]
+        if all(p in COMMENTS or p in OTHERS or p in ARTICLE or p in PLAIN for p in parts) and any(p in COMMENTS or p in OTHERS for p in parts):
             return True
-        if name in ("class", "id"):
-            names += f" {value}"
-    return e.tag not in ("html", "body", "article", "main") and bool(CUT_NAMES.search(names)) and not KEPT_NAMES.search(names)
+    return None
+
+
+@cache
+def _name(name: str) -> str:
+    """What a class or id calls its element: comments, other, doubtful, article, or nothing known."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    said = [_says(w) for w in words]
+    if True not in said:
+        return "article" if ARTICLE.intersection(words) and None not in said else ""
+    if None in said:
+        return "doubtful"
+    return "comments" if any(x and any(c in w for c in COMMENTS) for w, x in zip(words, said, strict=True)) else "other"
+
+
+@lru_cache(50_000)
+def _called(attributes: str) -> tuple[str, str]:
+    """An element's role, hidden being one, and what its names call it; comments and other prevail."""
+    role, kinds = "", set()
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
+            role = "hidden"
+        elif name == "role":
+            role = role or value.lower()
+        elif name in ("class", "id"):
+            kinds |= set(map(_name, value.split()))
+    if "other" in kinds and "article" in kinds:
+        kinds = kinds - {"other"} | {"doubtful"}
+    return role, next((k for k in ("comments", "other", "doubtful", "article") if k in kinds), "")
+
+
+def _is_main(e: Element) -> bool:
+    role, kind = _called(e.attributes)
+    return (e.tag in ("article", "main") or role in ("article", "main")) and kind not in ("comments", "other")
 
 
 def _prune(root: Element) -> None:
-    """Cuts off what can't be main text."""
-    stack = [(root, False)]
-    while stack:
-        e, inside = stack.pop()
-        inside = inside or e.tag in ("article", "main")
-        e.children = [c for c in e.children if isinstance(c, str) or not _is_cut(c, inside)]
-        if e.tag == "header":  # of an article: its headings
-            e.children = [c for c in e.children if not isinstance(c, str) and c.tag in HEADING | {"hgroup", "div"}]
-        stack += [(c, inside) for c in e.children if isinstance(c, Element)]
+    """Cuts off what isn't main text by tag, role or name."""
+    order = _measured(root)
+    holds: set[int] = set()  # elements that hold the page's article or first heading
+    first = next((e for e in order if e.tag == "h1" and not _within(e, CUT_TAGS | {"header"})), None)
+    for e in [*(e for e in order if _is_main(e)), *([first] if first else [])]:
+        up = e.parent
+        while up is not None:
+            if e is not first or up.paragraphs and 2 * up.paragraphs >= root.paragraphs:
+                holds.add(id(up))
+            up = up.parent
+    for e in order:
+        inside = e.tag in ("section", "article", "main") or _called(e.attributes)[1] == "article" or e.inside
+        keep: list[Element | str] = []
+        for c in e.children:
+            if isinstance(c, str):
+                keep.append(c)
+            elif not _is_cut(c, inside, id(c) in holds):
+                c.inside = inside
+                keep.append(c)
+        e.children = keep
+
+
+def _within(e: Element, tags: frozenset[str]) -> bool:
+    while e.parent is not None:
+        e = e.parent
+        if e.tag in tags:
+            return True
+    return False
+
+
+def _is_cut(e: Element, in_article: bool, holds: bool) -> bool:
+    role, kind = _called(e.attributes)
+    if role == "hidden" or e.tag in CUT_TAGS - {"form"}:
+        return True
+    if e.tag == "form" or role == "form":  # some pages are one form
+        return not holds and not _reads(e, 3)
+    if role in CUT_ROLES or kind == "comments" and e.tag not in ("html", "body"):
+        return not (holds and kind != "comments")
+    if holds or e.tag in ("html", "body"):
+        return False
+    if e.tag == "header" and not in_article or kind == "other":
+        return True
+    return kind == "doubtful" and (not _reads(e, 1) or e.fields > 0)
+
+
+def _reads(e: Element, least: int) -> bool:
+    """Whether an element has so many paragraphs and few links."""
+    return e.paragraphs >= least and e.density() < 1 / 3
 
 
 def _measured(root: Element) -> list[Element]:
-    """All elements in page order, with the length of their text and of that in links."""
+    """All elements in page order, with the length of their text and of that in links, their
+    paragraphs with text outside links, and the fields of forms."""
     order, stack = [], [root]
     while stack:
         e = stack.pop()
+        e.length = e.linked = e.links = e.paragraphs = e.fields = 0
         order.append(e)
         stack += [c for c in reversed(e.children) if isinstance(c, Element)]
     for e in reversed(order):
@@ -164,8 +256,14 @@ def _measured(root: Element) -> list[Element]:
                 e.length += c.length
                 e.linked += c.linked
                 e.links += c.links
+                e.paragraphs += c.paragraphs
+                e.fields += c.fields
         if e.tag == "a":
             e.linked, e.links = e.length, e.links + 1
+        elif e.tag in PARAGRAPH and e.length > e.linked:
+            e.paragraphs += 1
+        elif e.tag in ("input", "button", "form"):
+            e.fields += 1
     return order
 
 
@@ -195,7 +293,7 @@ def _score(order: list[Element]) -> list[Element]:
         while up is not None and level < 5:
             if id(up) not in got:
                 got[id(up)] = up
-                up.score += START.get(up.tag, 0)
+                up.score += START.get(up.tag, 0) + NAMED.get(_called(up.attributes)[1], 0)
             up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             up, level = up.parent, level + 1
     found = [e for e in order if id(e) in got]
@@ -204,29 +302,75 @@ def _score(order: list[Element]) -> list[Element]:
     return found
 
 
-def _chosen(root: Element) -> list[Element]:
-    """The best container and those of its siblings that belong to it, in page order."""
+def _chosen(root: Element) -> list[Element | str]:
+    """What the text is made of, in page order: the best container, or its children and those of its
+    parent that belong to it."""
     order = _measured(root)
     found = _score(order)
     if not found:
-        return [root]
+        return _without_menus(root.children)
     top = max(found, key=lambda e: e.score)
-    while top.parent is not None and sum(isinstance(c, Element) and c.tag != "head" or isinstance(c, str) and bool(c.strip()) for c in top.parent.children) == 1 and top.tag not in ("article", "main"):
+    while top.parent is not None and not _is_main(top) and sum(isinstance(c, Element) and c.tag != "head" or isinstance(c, str) and bool(c.strip()) for c in top.parent.children) == 1:
         top = top.parent
     up = top
-    while up is not None and up.tag not in ("article", "main"):
+    while up is not None and not _is_main(up):
         up = up.parent
     if up is not None and up.score >= 0.5 * top.score:  # what the page itself calls the article, with its headings
         top = up
+    own = _is_main(top)
     if top.parent is None:
-        return [top]
+        return [top] if own else _without_menus(top.children)
     least = max(10.0, SIBLING_SHARE * top.score)
-    siblings = [c for c in top.parent.children if isinstance(c, Element)]
-    own = top.tag in ("article", "main")
-    return [c for c in siblings if c is top or not own and c.tag in HEADING or c.score >= least or c.tag == "p" and c.length > 80 and c.density() < 0.25]
+    around = top.parent.children
+    if own:
+        return [c for c in around if c is top or isinstance(c, Element) and c.score >= least]
+    belongs = [c is top or isinstance(c, Element) and (c.score >= least or c.tag in HEADING or _is_text(c)) for c in around]
+    first, last = belongs.index(True), len(belongs) - 1 - belongs[::-1].index(True)
+    kept = around[first : last + 1]  # and all that stands between them
+    return _without_menus(top.children) if kept == [top] else _without_menus(kept)
+
+
+def _is_text(e: Element) -> bool:
+    """Whether a sibling of the article reads like part of it: sentences outside links."""
+    if e.tag not in BLOCK or e.density() >= LINK_LIMIT or not e.paragraphs:
+        return False
+    return e.length > 80 or bool(ENDS.search(_own_text(e) if e.tag in PARAGRAPH else _last_text(e)))
+
+
+def _last_text(e: Element) -> str:
+    while True:
+        last = next((c for c in reversed(e.children) if not isinstance(c, str) or c.strip()), "")
+        if isinstance(last, str):
+            return last
+        e = last
+
+
+def _without_menus(items: list[Element | str]) -> list[Element | str]:
+    """Without blocks of links before the first and after the last text. Links under a heading aren't
+    a menu, and nothing further in is judged."""
+
+    def is_menu(x: Element | str) -> bool:
+        return isinstance(x, Element) and x.tag in ("ul", "ol", "div", "section", "table") and x.links >= MENU_LINKS and x.density() > LINK_LIMIT
+
+    def is_blank(x: Element | str) -> bool:
+        return not x.strip() if isinstance(x, str) else not x.length
+
+    while len(whole := [x for x in items if not is_blank(x)]) == 1 and isinstance(whole[0], Element) and whole[0].tag in BLOCK and not _is_main(whole[0]) and not is_menu(whole[0]):
+        items = whole[0].children  # wrappers
+    a, b = 0, len(items)
+    while a < b and (is_menu(items[a]) or is_blank(items[a])):
+        a += 1
+    while b > a and (is_blank(items[b - 1]) or is_menu(items[b - 1]) and not _headed(items, b - 1)):
+        b -= 1
+    return items[a:b] if a < b else [x for x in items if not is_menu(x)]
+
+
+def _headed(items: list[Element | str], at: int) -> bool:
+    before = next((x for x in reversed(items[:at]) if not isinstance(x, str) or x.strip()), None)
+    return isinstance(before, Element) and before.tag in HEADING
 
 
-def _blocks(chosen: list[Element]) -> list[str]:
+def _blocks(chosen: list[Element | str]) -> list[str]:
     out: list[str] = []
     line: list[str] = []
 
@@ -244,8 +388,6 @@ def _blocks(chosen: list[Element]) -> list[str]:
             line.append(x)
         elif x.tag == "br":
             line.append(" ")
-        elif x.tag in ("ul", "ol", "div", "section", "table", "p") and x.links >= 3 and x.density() > LINK_LIMIT and x not in chosen:
-            flush()  # a menu
         elif x.tag in BLOCK:
             flush()
             stack.append(None)
