@@ -112,13 +112,62 @@ def test_languages(spark):
     assert langid.filtered(odd, langid.fit(docs.limit(0))).count() == 3
 
 
+def plain_language(train, text):
+    """The method with dictionaries, word by word."""
+    counts, totals = {}, {}
+    for t, lang in train:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            for item in [(0, w), *((k, g) for k in langid.ORDERS for g in langid.grams(w, k))]:
+                counts.setdefault(item, Counter())[lang] += 1
+                totals.setdefault(item[0], Counter())[lang] += 1
+    languages = sorted({lang for _, lang in train})
+    sizes = Counter(k for k, _ in counts)
+    of = lambda item: [math.log(counts[item][x] + 0.5) - math.log(totals[item[0]][x] + 0.5 * sizes[item[0]]) for x in languages]
+    words, total = re.findall(r"[^\W\d_]+", (text or "").lower()), [0.0] * len(languages)
+    for w in words:
+        found = [of((0, w))] if (0, w) in counts else next((f for k in langid.ORDERS if (f := [of((k, g)) for g in langid.grams(w, k) if (k, g) in counts])), [[0.0] * len(languages)])
+        total = [a + sum(f[i] for f in found) / len(found) for i, a in enumerate(total)]
+    if not languages or not words:
+        return "und", 0.0
+    best = max(range(len(languages)), key=lambda i: (total[i], -i))
+    return languages[best], 1 / sum(math.exp((x - total[best]) / len(words) ** 0.5) for x in total)
+
+
+def test_languages_are_brute_force(spark):
+    """Every word of the sample counts, also those seen once and those of a rare language."""
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect() if r.text and r.doc_id is not None]
+    train = [(r.doc_id, r.text[:1500], r.lang if r.doc_id % 40 else "rare") for r in docs if r.doc_id % 3]
+    df = spark.createDataFrame([*train, (None, None, "en"), (None, "x", None)], "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    score = langid.Scorer(model)
+    texts = [r.text[:700] for r in docs if r.doc_id % 3 == 0][:25] + ["zzqx", "漢字", "", "the The THE", "long " * 20_000]
+    for text in texts:
+        lang, x = plain_language([(t, y) for _, t, y in train], text)
+        got = score(text)
+        assert got[0] == lang and math.isclose(got[1], x, rel_tol=1e-4, abs_tol=1e-6), text[:40]
+    some = langid.fit(df, per_language=5)
+    assert some.languages == model.languages and 0 < len(some.keys) < len(model.keys)
+
+
+def test_a_small_memory_changes_nothing(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs)
+    texts = [r.text for r in docs.select("text").limit(40).collect()]
+    expected = list(map(langid.Scorer(model), texts))
+    monkeypatch.setattr(langid, "MEMORY", 60)
+    for (a, x), (b, y) in zip(expected, map(langid.Scorer(model), texts), strict=True):
+        assert a == b and math.isclose(x, y, rel_tol=1e-9)
+
+
 def test_backoff_uses_the_longest_known_grams():
     import numpy as np
 
-    model = langid.Model(["a", "b"], {"known": 0}, {"^unk": 1, "unkn": 2, "n": 3}, np.log(np.array([[0.9, 0.1], [0.2, 0.8], [0.4, 0.6], [0.99, 0.01]])))
+    items = [(0, "known", 9, 1), (0, "other", 1, 9), (4, "^unk", 2, 8), (4, "unkn", 4, 6), (4, "rest", 9, 1), (1, "n", 99, 1), (1, "m", 1, 99)]
+    rows = [(k, langid.keys_of([(k, g)])[0], i, n) for k, g, *counts in items for i, n in enumerate(counts)]
+    model = langid.model_of(["a", "b"], *(np.array(c) for c in zip(*rows, strict=True)))
     score = langid.Scorer(model)
-    assert score("known")[0] == "a" and score("unkn")[0] == "b"
-    assert np.allclose(score.unseen("unkn"), model.scores[[1, 2]].mean(axis=0)) and np.allclose(score.unseen("xnx"), model.scores[3])
+    assert score("known")[0] == "a" and score("unkn")[0] == "b" and score("nn")[0] == "a"
+
 
 
 def plain_page(h):
