@@ -97,12 +97,14 @@ def _counted(train: DataFrame, languages: list[str]) -> DataFrame:
     """kind, key, lang (its number) and n over the texts of ``train``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        total: Counter[tuple[int, int, str]] = Counter()
+        seen: dict[int, Counter[str]] = {}
         number = {x: i for i, x in enumerate(languages)}
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            lang = number[lang]
-            for word, n in Counter(WORD.findall(text.lower())).items():
-                total[lang, 0, word] += n
+            seen.setdefault(number[lang], Counter()).update(WORD.findall(text.lower()))
+        total: Counter[tuple[int, int, str]] = Counter()
+        for lang, words in seen.items():
+            for word, n in words.items():
+                total[lang, 0, word] = n
                 for order in ORDERS:
                     for g in grams(word, order):
                         total[lang, order, g] += n
