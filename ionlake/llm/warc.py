@@ -1,11 +1,13 @@
 """WARC archives with revisit records for repeated payloads.
 
 Only headers (id, address, digest, length) are shuffled by payload digest, pre-aggregated; the
-largest page_id of equal payloads keeps the response and the others become revisits of it. Records
-are written with fresh headers by Spark's text writer, whose line separator is the two line ends
-that close a WARC record, so that any file system that Spark knows will do; a file has at most
-RECORDS records. Archives are read back record by record by their Content-Length, and revisits are
-joined to the responses that they name.
+largest page_id of equal payloads keeps the response and the others become revisits of it. The table
+of repeated digests is then sent to the pages while it has at most BROADCAST rows, so that bodies
+are written where they lie; beyond that, pages that are long enough to repeat are dealt by digest,
+and the others still stay. Records are written with fresh headers by Spark's text writer, whose line
+separator is the two line ends that close a WARC record, so that any file system that Spark knows
+will do. A file holds at most FILE_BYTES of payload, or one record. Archives are read back once,
+record by record by their Content-Length, and revisits are joined to the responses that they name.
 
 Nulls and ties: null html is an empty payload, a null url an empty address. Payloads shorter than
 ``least`` bytes are never deduplicated. A row without page_id revisits the original of its payload
@@ -25,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, small_batches
+from .common import cut, shared_folder, small_batches
 
 #: Payloads of fewer bytes are written each time.
 LEAST = 1000
-#: Most records of an archive file, since a file is read as a whole.
-RECORDS = 4000
+#: Most records and bytes of payload of an archive file, since a file is read as a whole; pages beyond LARGE go to files of their own.
+RECORDS, FILE_BYTES = 4000, 256 << 20
+LARGE = FILE_BYTES // RECORDS
+#: Most repeated digests, some 150 bytes each, that are sent to all executors.
+BROADCAST = 200_000
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -53,14 +58,21 @@ def resolved(pages: DataFrame, least: int = LEAST) -> DataFrame:
     original_url)."""
     rows = _headers(pages)
     key = ["payload_digest", "payload_bytes"]
-    originals = rows.where(F.col("payload_bytes") >= least).groupBy(*key).agg(F.max(F.struct("page_id", "url")).alias("__best"), F.count("*").alias("__n")).where("__n > 1").select(*key, F.col("__best.page_id").alias("original_id"), F.col("__best.url").alias("original_url"))
-    found = rows.join(originals, key, "left")
+    able = rows.where(F.col("payload_bytes") >= least)
+    repeated = able.groupBy(*key).agg(F.max(F.struct("page_id", "url")).alias("__best"), F.count("*").alias("__n")).where("__n > 1")
+    originals = cut(repeated.select(*key, F.col("__best.page_id").alias("original_id"), F.col("__best.url").alias("original_url")))
+    if originals.count() <= BROADCAST:
+        found = rows.join(F.broadcast(originals), key, "left")
+    else:
+        none = {"original_id": F.lit(None).cast("long"), "original_url": F.lit(None).cast("string")}
+        found = able.join(originals, key, "left").unionByName(rows.where(F.col("payload_bytes") < least).withColumns(none))
     revisit = F.col("original_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original_id"))
     return found.withColumns({"revisit": F.coalesce(revisit, F.lit(False)), "original_id": F.when(revisit, F.col("original_id")), "original_url": F.when(revisit, F.col("original_url"))})
 
 
 def records(pages: DataFrame, written: datetime, least: int = LEAST) -> DataFrame:
-    """The text of a WARC record for each page, without the line ends that close it."""
+    """The text of a WARC record for each page, without the line ends that close it, and the bytes of
+    payload that are in it."""
     rows = resolved(pages, least)
     at = F.lit(written.strftime("%Y-%m-%dT%H:%M:%SZ"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -85,13 +97,20 @@ def records(pages: DataFrame, written: datetime, least: int = LEAST) -> DataFram
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    return rows.select(F.concat(head, block).alias("value"))
+    return rows.select(F.concat(head, block).alias("value"), F.when(F.col("revisit"), 0).otherwise(F.col("payload_bytes")).alias("stored"))
 
 
 def write(pages: DataFrame, folder: str, written: datetime | None = None, least: int = LEAST) -> None:
     """Writes deduplicated archives, gzip-compressed, to ``folder``."""
     found = records(pages, written or datetime.now(UTC), least)
-    found.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(folder)
+    most = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+
+    def put(rows: DataFrame, records_a_file: int, mode: str) -> None:
+        rows.select("value").write.mode(mode).option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(folder)
+
+    put(found.where(F.col("stored") <= LARGE), RECORDS, "error")
+    if most > LARGE:
+        put(found.where(F.col("stored") > LARGE), max(1, FILE_BYTES // most), "append")
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -108,10 +127,10 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + len(END)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
+def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """A row for each record of the archives in ``folder``: page_id, url, record_type, record_id,
     refers_to_record, the digest that its header names, and of responses the payload's own digest,
-    its bytes and itself."""
+    its bytes and, with ``payloads``, itself."""
     fields = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "record_id": pa.string(), "refers_to_record": pa.string(), "named_digest": pa.string(), "payload_digest": pa.string(), "payload_bytes": pa.int64(), "payload": pa.binary()}
 
     def run(batches):
@@ -121,7 +140,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 for h, payload in parse(gzip.decompress(archive.as_buffer())):
                     own = h["warc-type"] == "response"
                     page = h.get("x-page-id")
-                    rows.append((page and int(page), h["warc-target-uri"], h["warc-type"], h["warc-record-id"], h.get("warc-refers-to"), h["warc-payload-digest"].removeprefix("sha1:"), own and hashlib.sha1(payload).hexdigest() or None, len(payload) if own else None, payload if own else None))
+                    rows.append((page and int(page), h["warc-target-uri"], h["warc-type"], h["warc-record-id"], h.get("warc-refers-to"), h["warc-payload-digest"].removeprefix("sha1:"), own and hashlib.sha1(payload).hexdigest() or None, len(payload) if own else None, payload if own and payloads else None))
                 for k in range(0, len(rows), 1000):
                     columns = zip(*rows[k : k + 1000], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True)], list(fields))
@@ -136,7 +155,7 @@ def round_trip(pages: DataFrame, folder: str | None = None, least: int = LEAST)
     spark = pages.sparkSession
     folder = folder or f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4()}"
     write(pages, folder, least=least)
-    found = read(spark, folder).drop("payload")
+    found = cut(read(spark, folder, payloads=False).drop("payload"))  # headers
     responses = found.where("record_type = 'response'")
     originals = responses.groupBy(F.col("record_id").alias("refers_to_record")).agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("__bytes"), F.min("payload_digest").alias("__digest"))
     revisits = found.where("record_type = 'revisit'").join(originals, "refers_to_record", "left")

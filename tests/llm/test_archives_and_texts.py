@@ -11,7 +11,10 @@ import corpus_pipeline
 from ionlake.llm import decontaminate, ordermin, pii, simhash, warc
 
 
-def test_archives_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("limits", [{}, {"BROADCAST": 0}, {"LARGE": 1500, "FILE_BYTES": 5000, "RECORDS": 2}])
+def test_archives_round_trip(spark, tmp_path, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(warc, name, value)
     big = "<p>" + "é" * 600 + "\r\n\r\nWARC/1.1\r\n" + "</p>"
     rows = [(1, "http://a", big), (2, "http://b\r\nX: y", big), (3, None, None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", big), (None, "n", big), (8, "u", "z" * 1000), (8, "u", "z" * 1000), (9, "u", "z" * 999), (10, "u", "z" * 999), (11, "u", "y" * 200_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"record_type": F.lit(1), "payload_bytes": F.lit("x")})
@@ -24,6 +27,11 @@ def test_archives_round_trip(spark, tmp_path):
             own = best.get(html) if len(body) >= 1000 else None
             revisit = own is not None and own != page
             assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(body), hashlib.sha1(body).hexdigest(), "revisit" if revisit else "response", own if revisit else None)
+    if limits.get("RECORDS"):
+        import gzip
+
+        sizes = [len(gzip.decompress(p.read_bytes())) for p in tmp_path.glob("w/*.gz")]
+        assert sum(n > 6000 for n in sizes) == 1  # the one record that is larger
     stored = {r.page_id: r for r in warc.read(spark, f"{tmp_path}/w").collect()}
     assert bytes(stored[7].payload).decode() == big and stored[1].payload is None and stored[2].url == "http://b%0D%0AX: y"
     assert warc.round_trip(df.limit(0), f"{tmp_path}/e").count() == 0
