@@ -1,13 +1,15 @@
 """Benchmark decontamination with an FM-index of each training shard.
 
-A shard is one batch of documents of a Spark task. Its words become numbers of the benchmark's
-vocabulary; runs of them that are shorter than the shortest phrase can't hold a phrase and are left
-out. The shard's suffixes are sorted, their Burrows-Wheeler transform goes into a wavelet matrix,
-and all phrases are searched backwards at once by its ranks. Occurrences are located by walking to
-sampled suffix positions; overlapping ones are merged to removal spans. Documents aren't shuffled.
+A shard is what a Spark task has read until it holds SHARD_BYTES of text. Its words become numbers of
+the benchmark's vocabulary; runs of them that are shorter than the shortest phrase can't hold a
+phrase and are left out. The shard's suffixes are sorted, their Burrows-Wheeler transform goes into a
+wavelet matrix, and all phrases are searched backwards at once by its ranks. Occurrences are located
+by walking to sampled suffix positions; overlapping ones are merged to removal spans. Documents
+aren't shuffled.
 
-The benchmark is the query set. It is searched in blocks of at most BLOCK_BYTES of text, each of
-which is one more narrow pass over the documents, so that what is broadcast is bounded.
+The benchmark is the query set. Its texts are broadcast in blocks of at most BLOCK_BYTES, of which the
+driver holds one at a time while it sends it, and a worker the phrases of one at a time, which it
+searches in each shard.
 
 A word is a run of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased. A
 phrase is ``window`` consecutive words of an item, or the whole item if it has fewer (but some).
@@ -21,21 +23,23 @@ once for each distinct item_id; repeated documents each get their row. Other col
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, per_batch, small_batches
+from .common import kept, small_batches
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Every so manieth text position keeps its suffix's position.
 SAMPLED = 8
-#: Words of a shard of which one index is built; a longer batch has several.
-SHARD_WORDS = 4_000_000
+#: Bytes of text of a shard, and words of which one index is built at most; a larger shard has several.
+SHARD_BYTES, SHARD_WORDS = 24 << 20, 4_000_000
 
 #: For each byte, what it becomes before a text is split at spaces: a-z for A-Z, itself in a word, else a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -48,36 +52,41 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass
 class Phrases:
-    """A block of the benchmark: its vocabulary (numbers from 1), distinct phrases, and each
-    phrase's items as positions first[i]:first[i + 1] of ``items``."""
+    """A block of the benchmark: its vocabulary (numbers from 1); distinct phrases, a matrix for each
+    length; and each phrase's items as positions first[i]:first[i + 1] of ``items``."""
 
     vocabulary: dict[bytes, int]
-    phrases: list[tuple[int, ...]]
+    by_length: list[np.ndarray]
     first: np.ndarray
     items: np.ndarray
-    shortest: int
-    _matrices: dict[int, np.ndarray] = field(default_factory=dict)
 
-    def matrix(self, length: int, which: np.ndarray) -> np.ndarray:
-        if length not in self._matrices:
-            self._matrices[length] = np.array([self.phrases[i] for i in which.tolist()], np.int64)
-        return self._matrices[length]
+    @property
+    def shortest(self) -> int:
+        return min((m.shape[1] for m in self.by_length), default=0)
+
+    def lengths(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(np.full(len(m), m.shape[1]) for m in self.by_length)])
 
 
 def phrases_of(rows: list[tuple[int | None, str | None]], window: int = WINDOW) -> Phrases:
     vocabulary: dict[bytes, int] = {}
-    where: dict[tuple[int, ...], set[int]] = {}
+    found: dict[int, list[tuple[np.ndarray, int | None]]] = {}
     for item, text in rows:
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-        for i in range(max(1, len(ids) - window + 1) if ids else 0):
-            where.setdefault(tuple(ids[i : i + window]), set()).update([] if item is None else [item])
-    return Phrases(
-        vocabulary,
-        list(where),
-        np.cumsum([0, *map(len, where.values())]),
-        np.array([x for own in where.values() for x in sorted(own)], np.int64),
-        min(map(len, where), default=0),
-    )
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)], np.int32)
+        if len(ids):
+            n = min(len(ids), window)
+            found.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(ids, n), item))
+    by_length, owners, listed, start = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for _, windows in sorted(found.items()):
+        matrix, which = np.unique(np.concatenate([w for w, _ in windows]), axis=0, return_inverse=True)
+        item = np.repeat([x if x is not None else 0 for _, x in windows], [len(w) for w, _ in windows]).astype(np.int64)
+        named = np.repeat([x is not None for _, x in windows], [len(w) for w, _ in windows])
+        pairs = np.unique(np.stack([which.reshape(-1)[named], item[named]], axis=1), axis=0).reshape(-1, 2)
+        by_length.append(matrix)
+        owners.append(pairs[:, 0] + start)
+        listed.append(pairs[:, 1])
+        start += len(matrix)
+    return Phrases(vocabulary, by_length, np.searchsorted(np.concatenate(owners), np.arange(start + 1)), np.concatenate(listed))
 
 
 class WaveletMatrix:
@@ -162,13 +171,13 @@ class FMIndex:
         return found
 
 
-def occurrences(shard: list[list[bytes]], block: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, first word and phrase of each occurrence of a phrase in a shard."""
+def occurrences(shard: list[np.ndarray], block: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first word and phrase of each occurrence of a phrase in a shard, whose documents are
+    numbers of the vocabulary, 0 for other words."""
     none = np.zeros(0, np.int64)
     texts, docs, at = [], [], []
-    get, least = block.vocabulary.get, block.shortest
-    for k, words in enumerate(shard):
-        ids = np.array([get(w, 0) for w in words], np.int32)
+    least = block.shortest
+    for k, ids in enumerate(shard):
         edge = np.diff(np.concatenate([[0], (ids > 0).view(np.int8), [0]]))
         starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
         long = ends - starts >= least
@@ -176,19 +185,18 @@ def occurrences(shard: list[list[bytes]], block: Phrases) -> tuple[np.ndarray, n
             texts += [ids[a:b], np.zeros(1, np.int32)]
             docs.append(np.full(b - a + 1, k))
             at.append(np.arange(a, b + 1))
-    if not texts or not block.phrases:
+    if not texts or not block.by_length:
         return none, none, none
     doc, word = np.concatenate([[-1], *docs]), np.concatenate([[-1], *at])
     index = FMIndex(np.concatenate([[0], *texts]).astype(np.int64), len(block.vocabulary))
-    out = []
-    lengths = np.array([len(p) for p in block.phrases])
-    for n in np.unique(lengths):
-        which = np.nonzero(lengths == n)[0]
-        low, high = index.search(block.matrix(n, which))
+    out, start = [], 0
+    for matrix in block.by_length:
+        low, high = index.search(matrix)
         counts = high - low
         rows = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         position = index.locate(rows)
-        out.append((doc[position], word[position], np.repeat(which, counts)))
+        out.append((doc[position], word[position], np.repeat(np.arange(start, start + len(matrix)), counts)))
+        start += len(matrix)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -203,63 +211,96 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def find(texts: list[str | None], block: Phrases, window: int = WINDOW) -> list[tuple[int, list[list[int]], list[int]]]:
+Found = tuple[int, list[list[int]], list[int]]
+
+
+def find(texts: list[str | None], block: Phrases) -> list[Found]:
     """Words, merged word spans of all occurrences, and sorted items found, of each text."""
-    split = [words_of(t) for t in texts]
+    get = block.vocabulary.get
+    shard = [np.array([get(w, 0) for w in words_of(t)], np.int32) for t in texts]
     spans: list[list[list[int]]] = [[] for _ in texts]
     items: list[set[int]] = [set() for _ in texts]
-    lengths = [len(p) for p in block.phrases]
+    lengths = block.lengths()
     start = 0
-    while start < len(split):
-        end, size = start + 1, len(split[start])
-        while end < len(split) and size + len(split[end]) <= SHARD_WORDS:
-            size += len(split[end])
+    while start < len(shard):
+        end, size = start + 1, len(shard[start])
+        while end < len(shard) and size + len(shard[end]) <= SHARD_WORDS:
+            size += len(shard[end])
             end += 1
-        for k, word, phrase in zip(*(x.tolist() for x in occurrences(split[start:end], block)), strict=True):
-            spans[start + k].append([word, word + lengths[phrase]])
+        for k, word, phrase in zip(*(x.tolist() for x in occurrences(shard[start:end], block)), strict=True):
+            spans[start + k].append([word, word + int(lengths[phrase])])
             items[start + k].update(block.items[block.first[phrase] : block.first[phrase + 1]].tolist())
         start = end
-    return [(len(w), merged(s), sorted(i)) for w, s, i in zip(split, spans, items, strict=True)]
-
-
-def _blocks(benchmark: DataFrame, window: int) -> list:
-    """Broadcast phrases of the benchmark, a block for each BLOCK_BYTES of it."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // BLOCK_BYTES))
-    context = benchmark.sparkSession.sparkContext
-    part = F.pmod(F.xxhash64("text"), F.lit(n))
-    return [context.broadcast(phrases_of([tuple(r) for r in (items.where(part == b) if n > 1 else items).collect()], window)) for b in range(n)]
+    return [(len(w), merged(s), sorted(i)) for w, s, i in zip(shard, spans, items, strict=True)]
+
+
+class Blocks:
+    """The benchmark's texts, broadcast in blocks."""
+
+    _built: tuple[str, int, Phrases] | None = None  # of one block, for all tasks of a worker
+
+    def __init__(self, benchmark: DataFrame, window: int):
+        items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+        size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = max(1, -(-size // BLOCK_BYTES))
+        context = benchmark.sparkSession.sparkContext
+        part = F.pmod(F.xxhash64("text"), F.lit(n))
+        self.name, self.window = uuid.uuid4().hex, window
+        self.sent = [context.broadcast([tuple(r) for r in (items.where(part == b) if n > 1 else items).collect()]) for b in range(n)]
+
+    def phrases(self, k: int) -> Phrases:
+        built = Blocks._built
+        if built is None or built[:2] != (self.name, k):
+            Blocks._built = built = (self.name, k, phrases_of(self.sent[k].value, self.window))
+        return built[2]
+
+    def find(self, texts: list[str | None]) -> list[Found]:
+        out = find(texts, self.phrases(0))
+        for k in range(1, len(self.sent)):
+            out = [(n, merged([*s, *t]), sorted({*i, *j})) for (n, s, i), (_, t, j) in zip(out, find(texts, self.phrases(k)), strict=True)]
+        return out
+
+
+def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches until they hold SHARD_BYTES of text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column("text").nbytes
+        if size >= SHARD_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 FOUND = {"__n_words": "long", "__word_spans": "array<array<int>>", "__item_ids": "array<long>"}
 
 
-def _searched(docs: DataFrame, blocks: list, window: int) -> DataFrame:
+def _searched(docs: DataFrame, blocks: Blocks) -> DataFrame:
     """``docs`` (with a column text) and the columns of FOUND."""
-    out = small_batches(docs.select(*kept(docs, *FOUND)))
-    for block in blocks:
-
-        def run(batch: pa.RecordBatch, block=block) -> pa.RecordBatch:
-            found = find(batch.column("text").to_pylist(), block.value, window)
-            columns = {n: batch.column(n) for n in batch.schema.names}
-            if "__word_spans" in columns:
-                spans, items = columns["__word_spans"].to_pylist(), columns["__item_ids"].to_pylist()
-                found = [(n, merged([*s, *had]), sorted({*i, *old})) for (n, s, i), had, old in zip(found, spans, items, strict=True)]
-            columns["__n_words"] = pa.array([n for n, _, _ in found], pa.int64())
-            columns["__word_spans"] = pa.array([s for _, s, _ in found], pa.list_(pa.list_(pa.int32())))
-            columns["__item_ids"] = pa.array([i for _, _, i in found], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_pydict(columns)
-
-        types = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name not in FOUND]
-        out = out.mapInArrow(per_batch(run), ", ".join([*types, *(f"{k} {v}" for k, v in FOUND.items())]))
-    return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in shards(batches):
+            found = iter(blocks.find([t for batch in held for t in batch.column("text").to_pylist()]))
+            for batch in held:
+                own = [next(found) for _ in range(batch.num_rows)]
+                columns = {n: batch.column(n) for n in batch.schema.names}
+                columns["__n_words"] = pa.array([n for n, _, _ in own], pa.int64())
+                columns["__word_spans"] = pa.array([s for _, s, _ in own], pa.list_(pa.list_(pa.int32())))
+                columns["__item_ids"] = pa.array([i for _, _, i in own], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_pydict(columns)
+
+    rows = docs.select(*kept(docs, *FOUND))
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
+    return small_batches(rows).mapInArrow(run, ", ".join([*types, *(f"{k} {v}" for k, v in FOUND.items())]))
 
 
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit (words inside occurrences), word_spans (merged, end exclusive),
     item_ids (sorted) and contaminated of each document."""
-    out = _searched(docs.select(F.col("doc_id").cast("long"), "text"), _blocks(benchmark, window), window)
+    out = _searched(docs.select(F.col("doc_id").cast("long"), "text"), Blocks(benchmark, window))
     hit = F.aggregate("__word_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     return out.select("doc_id", F.col("__n_words").alias("n_words"), hit.alias("n_hit"), F.col("__word_spans").alias("word_spans"), F.col("__item_ids").alias("item_ids"), (hit > 0).alias("contaminated"))
 
@@ -279,17 +320,15 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     Documents that were nothing but benchmark text, which have no words left, go. Clean documents
     stay as they are. A column n_chars is brought up to date."""
     names, schema = docs.columns, docs.schema
-    blocks = _blocks(benchmark, window)
+    blocks = Blocks(benchmark, window)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, spans = batch.column("text").to_pylist(), batch.column("__word_spans").to_pylist()
+    def cleaned(batch: pa.RecordBatch, texts: list[str | None], spans: list[list[list[int]]]) -> pa.RecordBatch:
         changed = todo = [i for i, s in enumerate(spans) if s]
         while todo:
             for i in todo:
                 texts[i] = without_spans(texts[i], spans[i])
-            again = [find([texts[i] for i in todo], block.value, window) for block in blocks]
-            for i, own in zip(todo, zip(*again, strict=True), strict=True):
-                spans[i] = merged([s for _, found, _ in own for s in found])
+            for i, (_, again, _) in zip(todo, blocks.find([texts[i] for i in todo]), strict=True):
+                spans[i] = again
             todo = [i for i in todo if spans[i]]
         gone = {i for i in changed if not words_of(texts[i])}
         columns = {n: batch.column(n) for n in names}
@@ -301,4 +340,13 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
             columns["n_chars"] = pa.array(counts, batch.schema.field("n_chars").type)
         return pa.RecordBatch.from_pydict(columns).take(pa.array([i for i in range(len(texts)) if i not in gone], pa.int64()))
 
-    return _searched(docs, blocks, window).select(*names, "__word_spans").mapInArrow(per_batch(run), schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in shards(batches):
+            texts = [t for batch in held for t in batch.column("text").to_pylist()]
+            spans, at = [s for _, s, _ in blocks.find(texts)], 0
+            for batch in held:
+                end = at + batch.num_rows
+                yield cleaned(batch, texts[at:end], spans[at:end])
+                at = end
+
+    return small_batches(docs).mapInArrow(run, schema)

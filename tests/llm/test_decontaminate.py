@@ -32,7 +32,7 @@ def test_search_is_brute_force():
     for _ in range(30):
         items = [(k if k else None, make(rng.randint(0, 7))) for k in range(5)] + [(9, None), (10, "")]
         docs = [make(rng.randint(0, 60)) for _ in range(6)] + [None, "", items[1][1] * 2]
-        for text, (n, spans, found) in zip(docs, d.find(docs, d.phrases_of(items, 4), 4), strict=True):
+        for text, (n, spans, found) in zip(docs, d.find(docs, d.phrases_of(items, 4)), strict=True):
             words, hit, expected = brute(text, items, 4)
             assert (n, [i for a, b in spans for i in range(a, b)], found) == (words, hit, expected)
 
@@ -90,5 +90,17 @@ def test_blocks_of_a_large_benchmark_agree(spark, monkeypatch):
     docs, bench = frames(spark)
     many = bench.where("item_id is not null and text is not null").union(spark.createDataFrame([(20 + i, f"{PASSAGE} {i}") for i in range(9)], "item_id long, text string"))
     whole = sorted(map(str, d.search(docs, many).collect()))
-    monkeypatch.setattr(d, "BLOCK_BYTES", 100)
+    cleaned = sorted(map(str, d.remove_spans(docs, many).collect()))
+    for name, value in (("SHARD_WORDS", 20), ("SHARD_BYTES", 10), ("BLOCK_BYTES", 100)):
+        monkeypatch.setattr(d, name, value)
+    assert sorted(map(str, d.remove_spans(docs, many).collect())) == cleaned
     assert sorted(map(str, d.search(docs, many).collect())) == whole
+
+
+def test_very_long_texts_and_shards_of_several_batches(spark):
+    long = ("filler " * 300_000) + PASSAGE
+    docs = spark.createDataFrame([(k, long if k == 7 else f"{PASSAGE[:k]} text {k}") for k in range(1200)], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, PASSAGE), (2, "filler")], "item_id long, text string")
+    got = {r.doc_id: r for r in d.search(docs, bench).collect()}
+    assert got[7].n_words == 300_011 and got[7].n_hit == 300_011 and got[7].item_ids == [1, 2] and len(got) == 1200
+    assert sum(r.contaminated for r in got.values()) == 1 + sum("eight nine ten" in PASSAGE[:k] for k in range(1200) if k != 7)
