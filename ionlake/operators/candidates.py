@@ -104,7 +104,8 @@ def best_variants(draws: DataFrame, base: DataFrame, keys: Sequence[str] = METHO
     mass by less than the floor are left out. Equal draws are reduced before anything is joined."""
     distinct = draws.groupBy("src", "variant").agg(F.min("draw").alias("draw"))
     fresh = distinct.join(base.select(F.col("peptide").alias("variant")), "variant", "left_anti")
-    masses = fresh.withColumns({"mass": chem.peptide_mass(F.col("variant")), "__m0": chem.peptide_mass(F.col("src"))})
+    # masses before the filters that use them, each computed once a row: aggregates aren't inlined
+    masses = fresh.groupBy("src", "variant").agg(F.min("draw").alias("draw"), F.first(chem.peptide_mass(F.col("variant"))).alias("mass"), F.first(chem.peptide_mass(F.col("src"))).alias("__m0"))
     floor = F.lit(floor_da) if floor_da is not None else (F.col("__m0") + chem.FLOOR_PROTON) * (FLOOR_PPM / 1e6)
     kept = masses.where(F.abs(F.col("mass") - F.col("__m0")) >= floor)
     distance = [F.abs(chem.class_count(F.col("variant"), k) - chem.class_count(F.col("src"), k)).alias(f"d_{k}") for k in keys]

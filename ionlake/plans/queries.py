@@ -91,15 +91,18 @@ def protein_rollup(spark, sf_dir):
     return fdr.q_values(best, fdr.decoy_ratio(best)).select("key", "s", "is_decoy", "qi", "protein", F.round("q", 9).alias("q"))
 
 
-PICKED_SQL = f"""with {PROTEIN_SQL},
-g as (select *, replace(protein, 'DECOY_', '') as grp from pt),
-f as (select *, is_decoy and key > min(key) over (partition by grp, qi) as dropped from g),
-kg as (select grp, count(*) filter (where is_decoy) as k, count(*) filter (where not is_decoy) as tt from f where not dropped group by grp having k > 0 and tt > 0),
+PICKED_SQL = f"""with {PROTEIN_SQL.replace("pt as (", "pt as materialized (")},
+g as materialized (select *, replace(protein, 'DECOY_', '') as grp from pt),
+fk as (select grp, qi, min(key) as first_key from g group by all),
+f as materialized (select g.*, is_decoy and key > first_key as dropped from g join fk using (grp, qi)),
+kg as materialized (select grp, count(*) filter (where is_decoy) as k, count(*) filter (where not is_decoy) as tt from f where not dropped group by grp having k > 0 and tt > 0),
+unit as materialized (select 1.0::double / avg(k) as unit from kg),
 w as (select f.*, k, row_number() over (partition by f.grp order by s desc, is_decoy desc, key) as rn from f join kg using (grp) where not dropped),
-win as (select key, s, is_decoy, k, sum(case when is_decoy then 1.0::double / k else 0 end) over x as d, sum((not is_decoy)::int) over x as tt from w where rn = 1 window x as (order by s desc range between unbounded preceding and current row)),
-r as (select key, s, (d + 1.0::double / (select avg(k) from kg)) / greatest(tt, 1) as q0 from win),
-q as (select key, min(q0) over (order by s range between unbounded preceding and current row) as qp from r)
-select key, grp, is_decoy, s, round(coalesce(qp, 1.0), 9) as q_picked from g left join q using (key)"""
+steps as materialized (select s, sum(case when is_decoy then 1.0::double / k else 0 end) as d, sum((not is_decoy)::int) as tt from w where rn = 1 group by s),
+r as (select s, (sum(d) over (order by s desc) + unit) / greatest(sum(tt) over (order by s desc), 1) as q0 from steps, unit),
+q as materialized (select s, min(q0) over (order by s) as qp from r),
+won as (select key, qp from w join q using (s) where rn = 1)
+select key, grp, is_decoy, s, round(coalesce(qp, 1.0), 9) as q_picked from g left join won using (key)"""
 
 
 @query(PICKED_SQL)
@@ -200,9 +203,9 @@ def grid_search(spark, sf_dir):
     return views.searched(t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "12", "c_name", "c_mktsegment")
 
 
-@query("select distinct k, side from (select l_partkey as k, 'left' as side from lineitem where l_returnflag = 'R' and l_partkey not in (select l_partkey from lineitem where l_returnflag = 'A') union all select l_partkey, 'right' from lineitem where l_returnflag = 'A' and l_partkey not in (select l_partkey from lineitem where l_returnflag = 'R'))")
+@query("select distinct k, side from (select l_partkey as k, 'left' as side from lineitem where l_returnflag = 'R' and l_partkey not in (select l_partkey from lineitem where l_returnflag = 'A') union all select l_partkey, 'right' from lineitem where l_returnflag = 'A' and l_partkey not in (select l_partkey from lineitem where l_returnflag = 'R'))".replace("l_partkey", "l_orderkey"))
 def symmetric_difference(spark, sf_dir):
-    rows = t(spark, sf_dir, "lineitem").withColumn("k", F.col("l_partkey"))
+    rows = t(spark, sf_dir, "lineitem").withColumn("k", F.col("l_orderkey"))
     return views.only_in_one(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag = 'A'"), "k")
 
 
@@ -375,12 +378,13 @@ def common_mode_unit_norm(spark, sf_dir):
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qi"), F.col("label").alias("protein"), (F.col("vec_id") % 9).alias("slot"))
-    other = ids.select(F.col("qi").alias("pqi"), "protein", "slot")
-    return ids.join(other, ["protein", "slot"]).where("qi <> pqi").select("qi", "pqi")
+    """The partners of each image: all targets of its protein."""
+    rows = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qi"), F.col("label").cast("string").alias("protein"), (1000 + F.col("vec_id")).cast("double").alias("feature_mz"))
+    rows = rows.withColumns({"parent_peptide": F.lit(None).cast("string"), "peptide": F.col("qi").cast("string"), "is_decoy": F.lit(False), "row_id": F.col("qi")})
+    return score.partner_pairs(rows, rows.select("qi", F.lit(True).alias("valid")))
 
 
-PAIR_SQL = "pr as (select a.vec_id as qi, b.vec_id as pqi from embeddings a join embeddings b on a.label = b.label and a.vec_id % 9 = b.vec_id % 9 and a.vec_id <> b.vec_id)"
+PAIR_SQL = "pr as (select a.vec_id as qi, b.vec_id as pqi from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id)"
 
 
 @query(f"with {UNIT_SQL}, {PAIR_SQL} select pr.qi, pr.pqi, round(sum(a.x * b.x), 6) as r from pr join un a on a.qi = pr.qi join un b on b.qi = pr.pqi and a.pix = b.pix group by all")
@@ -402,9 +406,8 @@ def weighted_coloc_shrink(spark, sf_dir):
     own = rows.groupBy("qi").agg(F.sum("m").alias("isum"))
     pairs = _pairs(spark, sf_dir)
     r = evidence.colocalisation(rows, pairs, n, 64).withColumn("r", F.round("r", 6))
-    keyed = pairs.withColumns({"feature_mz": F.col("qi"), "protein": F.lit("x"), "partner_mz": F.col("pqi")})
-    found = score.weighted_coloc(keyed, r, own.withColumn("p90", F.col("isum")), own.select(F.col("qi").alias("partner_mz"), F.lit(1.0).alias("ev")))
-    joined = own.join(found.select(F.col("feature_mz").alias("qi"), "x", "n_partners"), "qi", "left")
+    found = score.weighted_coloc(pairs, r, own.withColumn("p90", F.col("isum")), own.select((1000 + F.col("qi")).cast("double").alias("partner_mz"), F.lit(1.0).alias("ev")))
+    joined = own.join(found.select((F.col("feature_mz") - 1000).cast("long").alias("qi"), "x", "n_partners"), "qi", "left")
     return score.shrunk(joined).select("qi", F.col("n_partners").cast("long").alias("n_partners"), F.round("coloc", 5).alias("coloc"))
 
 
@@ -421,6 +424,120 @@ def image_scaling(spark, sf_dir):
     return scaled_images(rows).groupBy("qi").agg(F.round(F.sum(F.col("inten") / F.col("scale")), 4).alias("total"), F.round(F.max("scale"), 6).alias("scale"))
 
 
+# Scoring and the viewer's queries.
+
+ROWS_SQL = """rw as (select vec_id as qi, case when vec_id % 5 = 0 then 'DECOY_' else '' end || label as protein, 1000 + vec_id % 97 * 0.015::double as feature_mz, vec_id % 5 = 0 as is_decoy, vec_id % 11 <> 3 as valid,
+case when vec_id % 5 = 0 then (vec_id + 1)::varchar end as parent_peptide, vec_id::varchar as peptide, (vec_id * 7919 % 1000 / 100.0)::double as s from embeddings)"""
+
+
+def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates: each image a peptide, every fifth a decoy of the next one."""
+    k = F.col("vec_id")
+    decoy = k % 5 == 0
+    return t(spark, sf_dir, "embeddings").select(
+        k.alias("qi"), F.concat(F.when(decoy, "DECOY_").otherwise(""), F.col("label").cast("string")).alias("protein"), (1000 + k % 97 * F.lit(0.015)).alias("feature_mz"), decoy.alias("is_decoy"), (k % 11 != 3).alias("valid"),
+        F.when(decoy, (k + 1).cast("string")).alias("parent_peptide"), k.cast("string").alias("peptide"), (k * 7919 % 1000 / 100.0).cast("double").alias("s"), k.alias("row_id"),
+    )
+
+
+@query(
+    f"""with {ROWS_SQL}, v as (select * from rw where valid), f as (select feature_mz, protein, min(qi) as qi from v group by all), fp as (select f.*, parent_peptide, starts_with(f.protein, 'DECOY_') as dec from f join v using (qi)),
+tg as (select protein as grp, feature_mz as partner_mz, qi as pqi from fp where not dec), pm as (select peptide as parent_peptide, feature_mz as parent_mz from rw where not is_decoy)
+select feature_mz, protein, qi, partner_mz, pqi from fp left join pm using (parent_peptide) join tg on grp = replace(protein, 'DECOY_', '')
+where (not dec or parent_mz is null or partner_mz <> parent_mz) and feature_mz <> partner_mz and abs(partner_mz - feature_mz) / feature_mz * 1e6 >= 20"""
+)
+def partner_pairs(spark, sf_dir):
+    rows = candidate_rows(spark, sf_dir)
+    return score.partner_pairs(rows.drop("valid"), rows.select("qi", "valid"))
+
+
+_PT = "lt as (select l_orderkey as row_id, l_partkey as peptide, max(l_extendedprice) as s, bool_or(l_returnflag = 'R') as is_decoy, min(l_suppkey) as qi, min(l_linenumber) as seed from lineitem group by all)"
+
+
+@query(f"with {_PT} select peptide, max(s) as s, arg_min(is_decoy, row_id) as is_decoy, arg_min(qi, row_id) as qi, arg_min(seed, row_id) as seed from lt group by peptide")
+def peptide_rollup(spark, sf_dir):
+    rows = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("peptide")).agg(F.max("l_extendedprice").alias("s"), F.expr("bool_or(l_returnflag = 'R')").alias("is_decoy"), F.min("l_suppkey").alias("qi"), F.min("l_linenumber").alias("seed"))
+    return fdr.peptide_table(rows, carried=("is_decoy", "qi", "seed"))
+
+
+EVIDENCE_SQL = """ev as (select p_partkey as qi, p_retailprice as mz, case when p_size > 5 then p_size / 50.0::double end as iso_r, case when p_size > 9 then p_size % 17 / 16.0::double end as mm1_r, case when p_size > 3 then p_size % 13 - 6.0::double end as cen,
+(p_size - 1)::double as env0, (p_partkey % 7)::double as env1, (p_partkey % 3)::double as env2 from part)"""
+
+
+@query(
+    f"""with {EVIDENCE_SQL}, e as (select ev.*, env0 + env1 + env2 as tot, {{iso}} from ev), m as (select median(iso_r) as mi, median(mm1_r) as mm, median(abs(cen - 0.5)) as mc from ev)
+select qi, round(coalesce(iso_r, mi), 9) as iso, round(case when tot > 0 then {{kl}} else 0 end, 6) as kl, round(greatest(coalesce(mm1_r, mm) - 0.5, 0), 9) as mm1, round(greatest(coalesce(abs(cen - 0.5), mc) - 2, 0), 9) as flank from e, m"""
+)
+def term_evaluation(spark, sf_dir):
+    p, k = F.col("p_size"), F.col("p_partkey")
+    rows = t(spark, sf_dir, "part").select(k.alias("qi"), F.col("p_retailprice").alias("mz"), F.when(p > 5, p / 50.0).alias("iso_r"), F.when(p > 9, p % 17 / 16.0).alias("mm1_r"), F.when(p > 3, p % 13 - 6.0).alias("cen"), (p - 1).cast("double").alias("env0"), (k % 7).cast("double").alias("env1"), (k % 3).cast("double").alias("env2"))
+    table = rows.withColumns({"isum": F.col("env0"), "p90": F.col("env0"), "valid": F.lit(True)})
+    found = score.single_terms(rows.select("qi"), table, 0.5)
+    return found.select("qi", F.round("iso", 9).alias("iso"), F.round("kl", 6).alias("kl"), F.round("mm1", 9).alias("mm1"), F.round("flank", 9).alias("flank"))
+
+
+@query(f"with {ROWS_SQL} select peptide, mz, s, case when is_decoy then 'decoy' when q <= 0.05 then 'reported' else 'target' end as class from (select *, s / 100 as q from rw) join (select vec_id as qi, 500 + vec_id / 8.0::double as mz from embeddings where vec_id % 3 <> 1) using (qi)")
+def score_against_mz(spark, sf_dir):
+    asked = t(spark, sf_dir, "embeddings").where("vec_id % 3 <> 1").select(F.col("vec_id").alias("qi"), (500 + F.col("vec_id") / 8.0).alias("mz"))
+    return views.score_against_mz(candidate_rows(spark, sf_dir).withColumn("q", F.col("s") / 100), asked, 0.05)
+
+
+@query("with f as (select user_id as pix, sum(json_extract(props, '$.k')::bigint)::double as tic from events group by user_id), c as (select quantile_cont(tic, 0.25) as cut from f where tic > 0) select pix, tic >= cut as is_on, round(case when tic > 0 then log10(tic) end, 9) as log_tic from f, c")
+def tissue_image(spark, sf_dir):
+    frames = t(spark, sf_dir, "events").groupBy(F.col("user_id").alias("pix")).agg(F.sum(F.get_json_object("props", "$.k").cast("long")).cast("double").alias("tic"))
+    return views.tissue_images(evidence.tissue_mask(frames, 0.25)).withColumn("log_tic", F.round("log_tic", 9))
+
+
+@query("with im as (select generate_subscripts(embedding, 1) - 1 as pix, greatest(unnest(embedding)::double, 0) as m from embeddings where vec_id = (select min(vec_id) + 1 from embeddings)), sc as (select greatest(max(m), 1e-30) as scale from im) select pix::int as pix, round(m / scale * scale, 6) as inten from im, sc")
+def ion_image(spark, sf_dir):
+    from ..sources.writers import scaled_images
+
+    rows = images(spark, sf_dir)
+    asked = rows.agg(F.min("qi")).first()[0] + 1
+    scaled = scaled_images(rows.select("qi", F.lit(0).alias("channel"), "pix", F.col("m").alias("inten")))
+    frames = rows.select("pix", F.lit(True).alias("is_on")).distinct()
+    return views.ion_image(scaled.withColumn("ratio", F.col("inten") / F.col("scale")), frames, asked, 0).select("pix", F.round("inten", 6).alias("inten"))
+
+
+@query(f"with {EVIDENCE_SQL}, e as (select ev.*, {{iso}} from ev where qi = 7) select i::int as channel, round(list_extract([env0, env1, env2], i + 1) / nullif(env0 + env1 + env2, 0), 9) as observed, round(list_extract([1.0::double, e1, e2], i + 1) / (1 + e1 + e2), 9) as expected from e, range(3) r(i)")
+def envelope_view(spark, sf_dir):
+    p, k = F.col("p_size"), F.col("p_partkey")
+    rows = t(spark, sf_dir, "part").select(k.alias("qi"), F.col("p_retailprice").alias("mz"), (p - 1).cast("double").alias("env0"), (k % 7).cast("double").alias("env1"), (k % 3).cast("double").alias("env2"))
+    return views.envelope_against_averagine(rows, 7).select("channel", F.round("observed", 9).alias("observed"), F.round("expected", 9).alias("expected"))
+
+
+@query(f"with {PROFILE_SQL}, o as (select min(o_orderkey) as o from p) select bin, inten from p, o where o_orderkey = o")
+def mz_profile(spark, sf_dir):
+    asked = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qi"), F.col("o_totalprice").alias("mz"))
+    events = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("pix"), F.col("l_extendedprice").alias("mz"), F.col("l_quantity").alias("inten"))
+    found = evidence.profiles(events, asked, evidence.window_sums(events, evidence.windows(asked, 27), 27).select("qi", "pix").distinct())
+    return views.mz_profile(found, found.agg(F.min("qi")).first()[0])
+
+
+@query(f"with r as (select l_orderkey, {', '.join(f'round(avg({x}), 6) as avg_{c}' for c, x in _FIVE.items())} from lineitem group by l_orderkey), z as (select l_orderkey, {', '.join(f'{s} * (avg_{c} - avg(avg_{c}) over ()) / stddev_pop(avg_{c}) over () as {c}' for c, s in score.SIGNS.items())} from r) select term, round(value, 4) as value from (select * from z where l_orderkey = (select min(l_orderkey) from z)) unpivot (value for term in ({', '.join(score.SIGNS)}))")
+def term_contributions(spark, sf_dir):
+    rows = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*(F.round(F.avg(x), 6).alias(c) for c, x in _FIVE.items()))
+    rows = rows.select(F.col("l_orderkey").cast("string").alias("peptide"), F.col("l_orderkey").alias("row_id"), F.lit(0.0).alias("s"), *_FIVE)
+    return views.contributions(rows, score.SIGNS, str(rows.agg(F.min("row_id")).first()[0])).select("term", F.round("value", 4).alias("value"))
+
+
+@query(f"with {IMAGE_SQL} select a.qi as i, b.qi as j, round({_R('a.m', 'b.m')}, 6) as r from im a join im b on a.protein = b.protein and a.pix = b.pix and a.qi < b.qi group by all")
+def image_correlations(spark, sf_dir):
+    rows = images(spark, sf_dir)
+    return views.image_correlations(rows, views.image_pairs(rows), 64).withColumn("r", F.round("r", 6))
+
+
+@query(f"with {ROWS_SQL} select peptide, parent_peptide, s from rw where peptide = '5' or parent_peptide = '5' or peptide = '6' or parent_peptide = '6'")
+def family_table(spark, sf_dir):
+    return views.family(candidate_rows(spark, sf_dir), "5").select("peptide", "parent_peptide", "s")
+
+
+@query(f"with {ROWS_SQL}, x as (select protein, s, peptide, row_number() over (partition by protein order by s desc, qi) as rn from rw) select protein as peptide, s, peptide as best from x where rn = 1")
+def best_rows(spark, sf_dir):
+    rows = candidate_rows(spark, sf_dir).select(F.col("protein").alias("peptide"), "s", "row_id", F.col("peptide").alias("best"))
+    return views.best_rows(rows).select("peptide", "s", "best")
+
+
 # Chemistry.
 
 _MASS = "p_retailprice"
@@ -446,6 +563,11 @@ def _iso(x: str) -> str:
     return f"({one}) as e1, ((({one}) * ({one}) - ({sq})) / 2 + {n['O']} * {chem.OXYGEN_18!r}::double) as e2"
 
 
+for _n in ("term_evaluation", "envelope_view"):
+    _kl_sql = " + ".join(f"greatest({o} / nullif(tot, 0), 1e-10) * ln(greatest({o} / nullif(tot, 0), 1e-10) / greatest({x} / (1 + e1 + e2), 1e-10))" for o, x in (("env0", "1"), ("env1", "e1"), ("env2", "e2")))
+    SQL[_n] = SQL[_n].replace("{iso}", _iso("mz - 1.007276::double")).replace("{kl}", _kl_sql)
+
+
 @query(f"with e as (select p_partkey, {_iso(f'{_MASS} - 1.007276::double')} from part) select p_partkey, round(1 / (1 + e1 + e2), 9) as m0, round(e1 / (1 + e1 + e2), 9) as m1, round(e2 / (1 + e1 + e2), 9) as m2 from e")
 def isotope_dist(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", *(F.round(c, 9).alias(f"m{i}") for i, c in enumerate(chem.averagine_isotopes(F.col(_MASS)))))
@@ -509,7 +631,9 @@ _C = lambda x, p: f"len(regexp_extract_all({x}, '{p}'))"
 _PMX = lambda x: _PM.replace("peptide", x)
 _AMX = lambda x: " + ".join(f"round_even({x} * {chem.AVERAGINE[a]}::double, 0) * {m}::double" for a, m in chem.ATOM_MASS.items())
 _RES = lambda x: f"(({x} - floor({x})) - (({_AMX(x)}) - floor({_AMX(x)})))"
-DRAWN_SQL = f"""{SEQ_SQL}, d0 as (select peptide as src, draw, length(peptide) - 2 as k from sq, range(5) r(draw)), d1 as (select *, {_D} as h from d0 where k >= 2),
+#: The keys and draws of the default method.
+KEYS, DRAWS = candidates.METHODS["d1c_raw"]
+DRAWN_SQL = f"""{SEQ_SQL}, d0 as (select peptide as src, draw, length(peptide) - 2 as k from sq, range({DRAWS}) r(draw)), d1 as (select *, {_D} as h from d0 where k >= 2),
 d2 as (select src, draw, {_N(1)} % k + 2 as i, {_N(7)} % 16 + 1 as a, {_N(13)} % k + 2 as j, {_N(19)} % 16 + 1 as b from d1),
 d3 as (select src, draw, {_PUT(_PUT("src", "i", "a"), "j", "b")} as variant from d2 where i <> j and substr(src, i, 1) not in ('K', 'R', 'C', 'M') and substr(src, j, 1) not in ('K', 'R', 'C', 'M')),
 d4 as (select src, variant, min(draw) as draw from d3 where variant not in (select peptide from sq) group by all),
@@ -520,8 +644,8 @@ best as (select src, variant, mass from (select *, row_number() over (partition
 
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = sequences(spark, sf_dir)
-    draws = candidates.hashed_draws(base, 7, 5)
-    return candidates.best_variants(draws, base)
+    draws = candidates.hashed_draws(base, 7, DRAWS)
+    return candidates.best_variants(draws, base, KEYS)
 
 
 @query(f"with {DRAWN_SQL} select src, variant, round(mass, 6) as mass from best")

@@ -133,15 +133,21 @@ def contributions(rows: DataFrame, signs: dict[str, float], peptide: str) -> Dat
     return best.select(F.explode(F.array(*(F.struct(F.lit(t).alias("term"), (F.col(f"__z_{t}") * s).alias("value")) for t, s in signs.items()))).alias("x")).select("x.*")
 
 
-def image_correlations(images: DataFrame, n_pixels: int) -> DataFrame:
-    """i, j and r for the pairs of images (qi, pix, m) of one protein: plain Pearson, no mean image."""
-    own = images.groupBy("qi").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("ss"))
-    shared = images.select(F.col("qi").alias("i"), "pix", F.col("m").alias("mi")).join(images.select(F.col("qi").alias("j"), "pix", F.col("m").alias("mj")), "pix").where("i < j").groupBy("i", "j").agg(F.sum(F.col("mi") * F.col("mj")).alias("g"))
-    ids = own.select("qi")
-    every = ids.select(F.col("qi").alias("i")).join(ids.select(F.col("qi").alias("j")), F.col("i") < F.col("j"))  # the images of one protein
-    rows = every.join(shared, ["i", "j"], "left").na.fill(0.0, ["g"]).join(own.toDF("i", "si", "ssi"), "i").join(own.toDF("j", "sj", "ssj"), "j")
+def image_pairs(found: DataFrame) -> DataFrame:
+    """i and j: the pairs of images of each protein (qi, protein), each once."""
+    ids = found.select("protein", "qi").distinct()
+    return ids.withColumnRenamed("qi", "i").join(ids.withColumnRenamed("qi", "j"), "protein").where("i < j").select("i", "j").distinct()
+
+
+def image_correlations(images: DataFrame, pairs: DataFrame, n_pixels: int) -> DataFrame:
+    """i, j and r for the asked pairs (i, j) of images (qi, pix, m): plain Pearson, no mean image. Each
+    image is one row of sorted pixels, so that a pair is one row too."""
+    packed = images.where("m <> 0").groupBy("qi").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("ss"), F.map_from_entries(F.collect_list(F.struct("pix", F.col("m").cast("double")))).alias("p"))
+    side = lambda x: packed.select(F.col("qi").alias(x), *(F.col(c).alias(c + x) for c in ("s", "ss", "p")))
+    rows = pairs.join(side("i"), "i", "left").join(side("j"), "j", "left").na.fill(0.0, ["si", "ssi", "sj", "ssj"])
+    shared = F.coalesce(F.aggregate(F.map_entries("pi"), F.lit(0.0), lambda g, e: g + e["value"] * F.coalesce(F.try_element_at("pj", e["key"]), F.lit(0.0))), F.lit(0.0))
     vi, vj = F.col("ssi") - F.col("si") * F.col("si") / n_pixels, F.col("ssj") - F.col("sj") * F.col("sj") / n_pixels
-    return rows.select("i", "j", F.when((vi > 1e-10) & (vj > 1e-10), (F.col("g") - F.col("si") * F.col("sj") / n_pixels) / F.sqrt(vi * vj)).alias("r"))
+    return rows.select("i", "j", F.when((vi > 1e-10) & (vj > 1e-10), (shared - F.col("si") * F.col("sj") / n_pixels) / F.sqrt(vi * vj)).alias("r"))
 
 
 def protein_rows(proteins: DataFrame, peptides: DataFrame, level: float, decoys: bool = False) -> DataFrame:
