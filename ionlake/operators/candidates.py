@@ -87,11 +87,16 @@ def seeded_draws(base: DataFrame, seed: int, variants: int) -> DataFrame:
 def hashed_draws(base: DataFrame, seed: int, variants: int) -> DataFrame:
     """Like ``seeded_draws`` but without Python: places and residues come from an MD5, each residue
     of ALPHABET being as likely as any. For pipelines that stay in the JVM, and for checks in SQL."""
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("src"), F.col("draw").cast("string")))
-    number = lambda at: F.conv(F.substring(h, at, 6), 16, 10).cast("int")
-    rows = base.select(F.col("peptide").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(variants - 1))).alias("draw"))
-    interior = F.length("src") - 2
-    rows = rows.where(interior >= 2).withColumns({"__i": number(1) % interior + 2, "__a": number(7) % len(ALPHABET) + 1, "__j": number(13) % interior + 2, "__b": number(19) % len(ALPHABET) + 1})
+    number = lambda h, at: F.conv(F.substring(h, at, 6), 16, 10).cast("int")
+    interior = F.length("peptide") - 2
+
+    def drawn(n: Column) -> Column:  # the hash is bound by a list of one, so that it is computed once
+        h = F.array(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("peptide"), n.cast("string"))))
+        return F.transform(h, lambda h: F.struct(n.alias("draw"), (number(h, 1) % interior + 2).alias("__i"), (number(h, 7) % len(ALPHABET) + 1).alias("__a"), (number(h, 13) % interior + 2).alias("__j"), (number(h, 19) % len(ALPHABET) + 1).alias("__b")))
+
+    draws = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(variants - 1)), drawn))
+    tasks = 4 * base.sparkSession.sparkContext.defaultParallelism  # few rows, but each has many draws
+    rows = base.where(interior >= 2).select("peptide").repartition(tasks, "peptide").select(F.col("peptide").alias("src"), F.explode(draws).alias("x")).select("src", "x.*")
     place = lambda text, i, a: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(F.lit(ALPHABET), a, F.lit(1)), F.substring(text, i + 1, F.length(text)))
     rows = rows.withColumn("variant", place(place(F.col("src"), F.col("__i"), F.col("__a")), F.col("__j"), F.col("__b")))
     free = lambda i: ~F.substring(F.col("src"), i, F.lit(1)).isin("K", "R", "C", "M")
