@@ -43,7 +43,7 @@ from .common import cut, hash_share, per_batch, small_batches
 
 #: Bound of the sample that the trees are fitted on.
 SAMPLE = 40_000
-#: A shard that no vantage point can split is dealt out in blocks of so many fingerprints.
+#: A shard that no vantage point can split is dealt out in blocks of so many fingerprints, each two of which meet in one task.
 BLOCK = 20_000
 #: Fingerprints that are compared with each other without a further split, and cells of one comparison.
 LOCAL, CELLS = 1_000, 2_000_000
@@ -208,7 +208,7 @@ def fit(sample: np.ndarray, share: float, scheme: Scheme = CLOSE) -> Forest:
         found = _split(values, scheme.mask_radius) if len(values) / share > scheme.shard and depth < 60 and len(values) > 1 else None
         if found is None:
             node = Node(shard=forest.shards, blocks=max(1, int(len(values) / share / BLOCK)))
-            forest.shards += node.blocks
+            forest.shards += node.blocks**2
             return node
         d = _distance(values, found[0])
         return Node(found[0], found[1], grow(values[d <= found[1]], depth + 1), grow(values[d > found[1]], depth + 1))
@@ -233,11 +233,14 @@ def _route(forest: Forest, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
                 rows.append((home, np.full(len(home), node.shard), True))
                 rows.append((guest, np.full(len(guest), node.shard), False))
                 return
-            block = ((fps[home, 0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(node.blocks)
-            for b in range(node.blocks):  # homes are dealt out, and all of the shard's rows are guests of each block
-                rows.append((home[block == b], np.full((block == b).sum(), node.shard + b), True))
-                other = np.concatenate([home[block != b], guest])
-                rows.append((other, np.full(len(other), node.shard + b), False))
+            block_of = lambda rows: ((fps[rows, 0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(node.blocks)
+            block, visiting = block_of(home), block_of(guest)
+            for i in range(node.blocks):  # both sides are dealt out: block i is at home beside what of block j it hasn't met elsewhere
+                own = home[block == i]
+                for j in range(node.blocks):
+                    shard, other = node.shard + i * node.blocks + j, np.concatenate([home[block == j] if j > i else home[:0], guest[visiting == j]])
+                    rows.append((own, np.full(len(own), shard), True))
+                    rows.append((other, np.full(len(other), shard), False))
             return
         at_home, as_guest = _distance(values[home], node.vantage), _distance(values[guest], node.vantage)
         near, far = at_home <= node.split, as_guest + radius > node.split
@@ -347,7 +350,7 @@ def _named(own: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
     """``own`` with component_id: the smallest doc_id of its key's component (node, root)."""
     rooted = distinct.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"), "first_id")
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return own.join(rooted.join(ids, "root").select("key", "component_id"), "key")
+    return own.join(rooted.join(ids, "root").select("key", "component_id", "root"), "key")
 
 
 def _distinct(own: DataFrame, scheme: Scheme, *more: str) -> DataFrame:
@@ -457,8 +460,8 @@ def like_links(docs: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame
 
 
 def alike(docs: DataFrame, scheme: Scheme = WIDE) -> DataFrame:
-    """doc_id, key (of its words) and component_id (the smallest doc_id that a chain of texts reaches
-    whose neighbours have a similarity of LIKE) of each row of ``docs`` (doc_id, text)."""
+    """doc_id, key (of its words), component_id (the smallest doc_id that a chain of texts reaches whose
+    neighbours have a similarity of LIKE) and root (the component's least key) of each row of ``docs`` (doc_id, text)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = [_tokens(t) for t in batch.column(1).to_pylist()]
@@ -469,21 +472,35 @@ def alike(docs: DataFrame, scheme: Scheme = WIDE) -> DataFrame:
     own = cut(small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(per_batch(run), "doc_id long, key long, n long, " + ", ".join(f"{p} long" for p in scheme.parts)))
     distinct = _distinct(own, scheme, "n")
     candidates = components(links(_with_words(distinct, scheme), scheme))
-    return _named(own, distinct, components(like_links(docs, distinct, candidates))).select("doc_id", "key", "component_id")
+    return _named(own, distinct, components(like_links(docs, distinct, candidates))).select("doc_id", "key", "component_id", "root")
 
 
 def one_of_each(docs: DataFrame, scheme: Scheme = WIDE) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates, the one of the smallest doc_id.
-    Rows without doc_id belong to no group that could name them: one for each text stays. Of rows
-    that repeat a kept doc_id one stays."""
+    """``docs`` with one document of each group of near-duplicates, the one of the smallest doc_id (rows
+    without doc_id last; of equal ones that whose words have the least hash). Of rows that repeat both
+    doc_id and words one stays."""
     found = cut(alike(docs, scheme))
-    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
-    repeated = not found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
-    out = named.dropDuplicates(["doc_id"]) if repeated else named
-    if not found.where("doc_id is null").isEmpty():
-        out = out.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
-    return out.select(*docs.columns)
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    kept = found.groupBy("root").agg(F.min(first).alias("x")).select("x.doc_id", "x.key")
+    repeated = not found.join(kept.withColumnRenamed("doc_id", "__id"), "key", "left_semi").groupBy("doc_id", "key").count().where("count > 1").isEmpty()
+    nameless = not found.where("doc_id is null").isEmpty()
+    twice = not found.groupBy("doc_id").agg(F.count_distinct("key").alias("n")).where("n > 1").isEmpty()
+    if not (repeated or nameless or twice):  # doc_id tells rows apart
+        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    keyed = _with_key(docs)
+    out = keyed.join(kept.withColumnRenamed("doc_id", "__id"), (F.col("__key") == F.col("key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    return out.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
+
+
+def _with_key(docs: DataFrame) -> DataFrame:
+    """``docs`` and the key of each text's words."""
+    names = docs.columns
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = _signed([_key(_tokens(t)) for t in batch.column("text").to_pylist()])
+        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), keys], [*names, "__key"])
+
+    return small_batches(docs).mapInArrow(per_batch(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__key long"]))
 
 
 def hex_of(fp: str = "f0"):

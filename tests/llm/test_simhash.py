@@ -88,8 +88,19 @@ def test_hot_shards_are_dealt_in_blocks(monkeypatch):
     forest = s.fit(fps, 1.0, scheme)
     at, shard, home = s._route(forest, fps)
     assert forest.shards > 2
+    sizes = np.bincount(shard)
+    assert sizes.max() <= 60  # two blocks, unevenly dealt
+    meets = {}
+    for k in range(forest.shards):
+        own, other = at[(shard == k) & home].tolist(), at[(shard == k) & ~home].tolist()
+        for i in own:
+            for j in own + other:
+                if i != j:
+                    meets.setdefault((k < forest.first[1], min(i, j), max(i, j)), set()).add(k)
     for i in range(128):
-        assert sum(home[at == i]) == 2  # one home a tree
+        for j in range(i):
+            if (i ^ j).bit_count() <= 1:  # linked under both masks: each tree has a task where they meet
+                assert meets[True, j, i] and meets[False, j, i]
 
 
 def test_components_of_chains_and_stars(spark):
