@@ -51,6 +51,12 @@ def score_run(found: DataFrame, table: DataFrame, correlate, offset: float = 0.0
     return rows, peptides, cut(fdr.protein_table(peptides))
 
 
+def _beside(events: str) -> str:
+    """Where the frames of a file of events are by default: beside it, under the name of frames."""
+    folder, slash, name = events.rstrip("/").rpartition("/")
+    return folder + slash + name.replace("events", "frames")
+
+
 def run(spark: SparkSession, config: dict[str, Any]) -> dict[str, Any]:
     """Reads, scores and writes a run as ``config`` asks; returns what run.json holds."""
     steps: list[dict[str, Any]] = []
@@ -61,7 +67,7 @@ def run(spark: SparkSession, config: dict[str, Any]) -> dict[str, Any]:
 
     found = candidates.targets(readers.read_psms(spark, config["psms"], config["psm_reader"]))
     events = readers.read_events(spark, config["events"], tuple(config["mz_range"]) if config["mz_range"] else None)
-    frames = evidence.pixels(readers.read_frames(spark, config["frames"] or config["events"].replace("events", "frames")))
+    frames = evidence.pixels(readers.read_frames(spark, config["frames"] or _beside(config["events"])))
     if config["tissue_mask"]:
         frames = frames.join(readers.read_mask(spark, config["tissue_mask"]), "pix", "left").withColumn("is_on", F.coalesce("is_on", F.lit(False)))
     else:

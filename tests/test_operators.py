@@ -175,10 +175,13 @@ def test_psm_reader(spark, tmp_path):
 def test_configuration():
     text = '[RUN]\nevents = "e"\npsms = "p"\noutput-dir = "o"\ntic-quantile = 0.5\n'
     assert config.load(text)["tic_quantile"] == 0.5 and config.load(text, tic_quantile=0.1)["tic_quantile"] == 0.1
-    with pytest.raises(AssertionError, match="unknown"):
+    with pytest.raises(config.ConfigError, match="other: unknown"):
         config.load(text + "other = 1\n")
-    with pytest.raises(AssertionError, match="missing"):
+    with pytest.raises(config.ConfigError, match="events: missing"):
         config.load("[RUN]\n")
+    with pytest.raises(config.ConfigError, match="figures: str instead of bool"):
+        config.load(text + 'figures = "yes"\n')
+    assert config.load(text, extraction_ppm=5, decoy_seeds=[1])["extraction_ppm"] == 5
     assert config.load('[OTHER]\nmaldi-d = "e"\nlcms_peptides = "p"\noutput-dir = "o"\nthreads = 4\n')["events"] == "e"
     known, unknown = config.from_toml(text + "old_key = 3\n")
     assert unknown == ["old_key"] and config.from_form({k: config.shown(v) for k, v in known.items()}) == known
