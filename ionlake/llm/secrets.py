@@ -1,10 +1,13 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy for each character class.
 
-Candidates of the entropy scan are runs of base64 characters. A run belongs to the narrowest class
-that holds it, and each class has a threshold. A window slides over the run; its counts, and the
-sum of ``c * log2(c)`` over them, change by the character that enters and the one that leaves.
-Windows at or over the threshold that mix letters and digits are merged to spans. The allow-list
-suppresses spans of the entropy scan alone, never a pattern's.
+Candidates of the entropy scan are runs of base64 characters, over which a window slides. Its counts
+(of characters, of classes, of turns), and the sum of ``c * log2(c)`` over the characters' counts,
+change by the character that enters and the one that leaves. The classes in a window say which
+entropy it has to reach, so that a prefix or a suffix of other characters doesn't change what is
+asked of the rest. A turn is a change of class between two neighbours, but not a capital before a
+small letter: words, paths, dates and identifiers have few. Windows that pass are merged to spans.
+The allow-list suppresses windows that lie in, hold or largely overlap what it matches; it never
+suppresses a pattern's span.
 
 Nulls and ties: a null text is empty and has no spans. Spans are ordered by start, then kind in the
 order of KINDS, then end. A null doc_id is carried through and repeated rows each get their row.
@@ -34,18 +37,18 @@ LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
 WINDOW = 20
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-#: Character classes from the narrowest, with the entropy in bits that a window has to reach.
-CLASSES = (
-    ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 2.9),
-    ("one case", re.compile(r"[0-9a-z]+|[0-9A-Z]+"), 3.6),
-    ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.9),
-)
+DIGIT, SMALL, CAPITAL, JOINER = range(4)
+_CLASS = {c: k for k, chars in enumerate(("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "+/_=-")) for c in chars}
+_HEX = frozenset("0123456789abcdefABCDEF")
+#: Entropy in bits and turns that a window has to reach: of hexadecimal digits alone, with digits and
+#: letters of one case, with digits and both cases, and with both cases but no digit.
+HEX_WINDOW, ONE_CASE, BOTH_CASES, NO_DIGIT = (2.9, 2), (3.6, 2), (3.9, 2), (4.0, 3)
 #: What isn't a secret although it is random: UUIDs, placeholders, runs of the alphabet, named digests.
 ALLOWED = (
     r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
-    r"(?i).*(?:example|placeholder|changeme|dummy|xxxx|0000000).*",
-    r"(?i).*(?:abcdefgh|12345678|87654321).*",
-    r"(?:sha1|sha224|sha256|sha384|sha512|md5)[-=_].*",
+    r"(?i)example|placeholder|changeme|dummy|xxxx|0000000",
+    r"(?i)abcdefgh|12345678|87654321",
+    r"(?<![A-Za-z0-9])(?:sha1|sha224|sha256|sha384|sha512|md5)[-=_][A-Za-z0-9+/=_-]+",
 )
 #: What, just before a candidate, says that it is public.
 ALLOWED_BEFORE = re.compile(r"(?i)(?:commit|revision|checksum|digest|etag|md5|sha-?1|sha-?256|sha-?512|integrity)\W{1,4}$")
@@ -53,31 +56,54 @@ ALLOWED_BEFORE = re.compile(r"(?i)(?:commit|revision|checksum|digest|etag|md5|sh
 _WEIGHT = [0.0, *(c * log2(c) for c in range(1, WINDOW + 2))]  # for a moment a window has one more
 
 
-def entropy_spans(run: str) -> list[tuple[int, int]]:
-    """Merged spans of the windows of ``run`` that are as random as its class asks for."""
-    least = next(t for _, pattern, t in CLASSES if pattern.fullmatch(run))
+def _asked(digits: int, small: int, capital: int, other: int) -> tuple[float, int] | None:
+    """What a window with so many characters of each class (``other``: not hexadecimal) has to reach."""
+    if digits and (small or capital):
+        return HEX_WINDOW if not other else BOTH_CASES if small and capital else ONE_CASE
+    return NO_DIGIT if small and capital else None
+
+
+def _turn(a: int, b: int) -> bool:
+    return a != b and JOINER not in (a, b) and (a, b) != (CAPITAL, SMALL)
+
+
+def entropy_spans(run: str, allowed: Sequence[re.Pattern[str]] = ()) -> list[tuple[int, int]]:
+    """Merged spans of the windows of ``run`` that are as random as their classes ask for."""
+    kinds = [_CLASS[c] for c in run]
     counts: dict[str, int] = {}
-    total, digits, letters = 0.0, 0, 0
+    classes = [0, 0, 0, 0]
+    total, other, turns = 0.0, 0, 0
     spans: list[tuple[int, int]] = []
+    known: list[tuple[int, int]] | None = None
     for i, c in enumerate(run):
         n = counts.get(c, 0)
         counts[c] = n + 1
         total += _WEIGHT[n + 1] - _WEIGHT[n]
-        digits += c.isdigit()
-        letters += c.isalpha()
+        classes[kinds[i]] += 1
+        other += c not in _HEX
+        turns += i > 0 and _turn(kinds[i - 1], kinds[i])
         if i >= WINDOW:
-            old = run[i - WINDOW]
+            out = i - WINDOW
+            old = run[out]
             n = counts[old]
             counts[old] = n - 1
             total += _WEIGHT[n - 1] - _WEIGHT[n]
-            digits -= old.isdigit()
-            letters -= old.isalpha()
-        if i >= WINDOW - 1 and digits and letters and log2(WINDOW) - total / WINDOW >= least - 1e-9:
-            start = i - WINDOW + 1
-            if spans and start <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], i + 1)
-            else:
-                spans.append((start, i + 1))
+            classes[kinds[out]] -= 1
+            other -= old not in _HEX
+            turns -= _turn(kinds[out], kinds[out + 1])
+        if i < WINDOW - 1 or not (asked := _asked(*classes[:JOINER], other)):
+            continue
+        if turns < asked[1] or log2(WINDOW) - total / WINDOW < asked[0] - 1e-9:
+            continue
+        start, end = i - WINDOW + 1, i + 1
+        if known is None:
+            known = [m.span() for p in allowed for m in p.finditer(run)]
+        if any(min(b, end) - max(a, start) >= min(b - a, WINDOW // 2) > 0 for a, b in known):
+            continue
+        if spans and start <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], end)
+        else:
+            spans.append((start, end))
     return spans
 
 
@@ -92,9 +118,9 @@ def scan(text: str | None, allowed: Sequence[re.Pattern[str]]) -> list[tuple[str
     found += [("hex", *m.span()) for m in LONG_HEX.finditer(text)]
     base = list(found)
     for m in CANDIDATE.finditer(text):
-        if any(p.fullmatch(m[0]) for p in allowed) or ALLOWED_BEFORE.search(text, max(0, m.start() - 24), m.start()):
+        if ALLOWED_BEFORE.search(text, max(0, m.start() - 24), m.start()):
             continue
-        for a, b in entropy_spans(m[0]):
+        for a, b in entropy_spans(m[0], allowed):
             a, b = a + m.start(), b + m.start()
             if not any(x <= a and b <= y for _, x, y in base):
                 found.append(("entropy", a, b))
@@ -106,7 +132,7 @@ SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32
 
 def secrets(docs: DataFrame, allow: Sequence[str] = ALLOWED) -> DataFrame:
     """doc_id and spans (kind, start and end in code points, end exclusive) of each document.
-    ``allow``: patterns of whole candidates that the entropy scan leaves alone."""
+    ``allow``: patterns of what the entropy scan leaves alone within a candidate."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         patterns = [re.compile(p) for p in allow]

@@ -33,30 +33,44 @@ def test_base_secrets_are_brute_force():
 
 
 def brute_entropy(run):
-    least = next(t for _, p, t in secrets.CLASSES if p.fullmatch(run))
     covered = set()
     for i in range(len(run) - 19):
         w = run[i : i + 20]
         e = -sum(n / 20 * math.log2(n / 20) for n in Counter(w).values())
-        if e >= least - 1e-9 and any(c.isdigit() for c in w) and any(c.isalpha() for c in w):
+        turns = sum(bool(re.match(r"\d[A-Za-z]|[A-Za-z]\d|[a-z][A-Z]", w[j : j + 2])) for j in range(19))
+        digits, small, capital = (bool(re.search(c, w)) for c in ("[0-9]", "[a-z]", "[A-Z]"))
+        if not (small or capital) or not digits and not (small and capital):
+            continue
+        least, most = (4.0, 3) if not digits else (2.9, 2) if re.fullmatch("[0-9a-fA-F]+", w) else (3.9, 2) if small and capital else (3.6, 2)
+        if e >= least - 1e-9 and turns >= most:
             covered |= set(range(i, i + 20))
     return covered
 
 
 def test_entropy_is_brute_force():
     rng = random.Random(2)
-    for alphabet in ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCabc0129+/", "a1"):
+    for alphabet in ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCabc0129+/", "a1", "".join(secrets._CLASS), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFabcdef_g"):
         for _ in range(60):
             run = "".join(rng.choices(alphabet, k=rng.randint(20, 60)))
             assert {i for a, b in secrets.entropy_spans(run) for i in range(a, b)} == brute_entropy(run)
 
 
+def entropy_of(text):
+    return [text[a:b] for k, a, b in secrets.scan(text, ALLOWED) if k == "entropy"]
+
+
 def test_allow_list_and_added_spans():
     key = "q7Zr2KpX9vLw4NbT6yHs"
     assert secrets.scan(f"x {key} y", ALLOWED) == [("entropy", 2, 22)]
-    for text in ("123e4567-e89b-12d3-a456-426614174000", "commit: 3f2A9c8b7D6e5F4a3B2c1", f"{key}EXAMPLE", "internationalization_of_things_without"):
-        assert not [s for s in secrets.scan(text, ALLOWED) if s[0] == "entropy"], text
+    for text in ("123e4567-e89b-12d3-a456-426614174000", "commit: 3f2A9c8b7D6e5F4a3B2c1", "sha256-" + key * 2, "q7Zr2KpX9vLEXAMPLEw4NbT6yHs", "internationalization_of_things_without", "https://example.org/2021/05/some-long-path-with-words-and-2021-numbers", "getCustomerOrderHistoryByAccountNumber", "release-2024-10-31-build-1234-of-branch-main", "MAX_CONNECTION_RETRY_COUNT_30_SECONDS"):
+        assert not entropy_of(text), text
     assert secrets.scan(f"token={key}", ALLOWED) == [("assign", 0, 26)]  # the added span lies in the pattern's
+    assert entropy_of(f"{key}EXAMPLE")[0].startswith(key)  # windows before the placeholder stand
+
+
+def test_tokens_of_several_classes_are_found():
+    for text in ("ghp_16C7e42F292c6912E7710c838347Ae178B4a", "xoxb-123456789012-abcdEFGHijklMNOPqrstUVWX", "wJalrXUtnFEMIbKdMDENGobPxRfiCYzQhTvUwKey", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQhTvUwKey"):
+        assert entropy_of(f"value {text} end"), text
 
 
 def test_secrets_rows(spark):
