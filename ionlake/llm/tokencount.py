@@ -7,6 +7,10 @@ strictly better score, so the longest of equal pieces wins; a character that is
 costs the least score of the vocabulary less 10; with byte fallback it counts as its UTF-8 bytes,
 else a run of such characters is one token.
 
+The vocabulary is a parameter: pieces and scores of a SentencePiece file. Counts are those of that
+file's own encoder if it is a unigram model. A BPE file's scores are merge ranks, with which the
+counts are those of a unigram model of the same pieces and scores, not those of the file's encoder.
+
 No piece of such vocabularies has a space mark after another character, so that a text's best path
 is that of its words one after the other, and a task remembers words. (With scores that aren't
 whole numbers the sums of long texts are rounded in another order than the tokenizer's.)
@@ -35,11 +39,13 @@ SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 def vocabulary(model_file: str) -> list[tuple[str, float]]:
-    """Pieces and scores of a SentencePiece model file."""
+    """Pieces and scores of a SentencePiece model file, without those that no text matches: control
+    marks, the unknown piece, unused ones and bytes (which only stand in for unknown characters)."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    silent = (model.is_control, model.is_unknown, model.is_unused, model.is_byte)
+    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not any(of(i) for of in silent)]
 
 
 @dataclass

@@ -85,7 +85,9 @@ def test_token_counts_are_the_tokenizers(fallback):
     from tokenizers import Tokenizer, models, normalizers
 
     vocabulary = tokencount.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
-    exact = Tokenizer(models.Unigram(vocabulary, 0, byte_fallback=fallback))
+    assert not {"<unk>", "<s>", "</s>", "<0x0A>"} & {p for p, _ in vocabulary}
+    silent = [("<unk>", 0.0), *((f"<0x{b:02X}>", -1e9) for b in range(256))]  # the tokenizer wants the bytes listed, at a score that no path takes
+    exact = Tokenizer(models.Unigram([*silent, *vocabulary], 0, byte_fallback=fallback))
     exact.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
     counter, rng = tokencount.Counter(vocabulary, fallback), random.Random(3)
     texts = ["", "a", " a  b   c", "<s> <0x0A> </s>", "漢字😀😀 x", "\n\n\t tab", "word " * 3000, "The quick brown fox."]
