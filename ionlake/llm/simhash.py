@@ -54,6 +54,8 @@ SEED = 42
 LIKE = (4, 5)
 #: Shingles of texts that one task compares with as many others.
 SETS = 2_000_000
+#: Rows of one key that are joined where they lie, and the bound of such keys.
+HUB, HUBS = 1_000, 20_000
 
 
 @dataclass(frozen=True)
@@ -329,32 +331,42 @@ def links(distinct: DataFrame, scheme: Scheme = CLOSE, sample_bound: int = SAMPL
     return routed.groupBy("shard").applyInArrow(within, "a long, b long")
 
 
+def _met(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``values``, which has a row for each value of ``key`` and in n the rows
+    that have it; the n add up to ``total`` at most. Values that more than HUB rows share are joined
+    where the rows lie, so that no task gets all rows of one."""
+    heavy = F.broadcast(values.where(F.col("n") > max(HUB, total // HUBS)).drop("n"))  # fewer than HUBS rows, since their n add up to at most the total
+    light = rows.join(heavy.select(key), key, "left_anti").join(values.drop("n"), key)
+    return rows.join(heavy, key).unionByName(light)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the component's smallest node) for each node of the edges a, b that isn't a root."""
     now = cut(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct())
-    seen = None
+    total, seen = now.count(), None
     while True:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(down, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo").where("hi <> lo").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _met(both.where("v > u"), least, "u", 2 * total).select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+        down = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        small = _met(large, down, "hi", total).select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo").where("hi <> lo").distinct()
         now = cut(small)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        seen = state
+        total, seen = state[0], state
 
 
 def _named(own: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
     """``own`` with component_id: the smallest doc_id of its key's component (node, root)."""
-    rooted = distinct.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"), "first_id")
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return own.join(rooted.join(ids, "root").select("key", "component_id", "root"), "key")
+    rooted = distinct.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"), "first_id", "copies")
+    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    named = _met(rooted, ids, "root", distinct.count()).select("key", "component_id", "root", F.col("copies").alias("n"))
+    return _met(own, named, "key", own.count())
 
 
 def _distinct(own: DataFrame, scheme: Scheme, *more: str) -> DataFrame:
-    return cut(own.groupBy("key").agg(*(F.first(p).alias(p) for p in (*scheme.parts, *more)), F.min("doc_id").alias("first_id")))
+    return cut(own.groupBy("key").agg(*(F.first(p).alias(p) for p in (*scheme.parts, *more)), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
 
 
 def _with_words(distinct: DataFrame, scheme: Scheme) -> DataFrame:
