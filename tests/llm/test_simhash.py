@@ -110,16 +110,6 @@ def test_components_of_chains_and_stars(spark):
     assert s.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_hubs_are_joined_where_they_lie(spark, monkeypatch):
-    edges = spark.createDataFrame([(1000, 1000 + i) for i in range(1, 60)] + [(i, i + 1) for i in range(20)], "a long, b long")
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["same words here"] * 30 + ["one", "two", None] * 2)], "doc_id long, text string")
-    found = lambda: ({(r.node, r.root) for r in s.components(edges).collect()}, sorted((r.doc_id, r.component_id) for r in s.near_duplicates(docs).collect()), sorted(r.doc_id for r in s.one_of_each(docs).collect()))
-    plain = found()
-    monkeypatch.setattr(s, "HUB", 5)
-    assert found() == plain and len(plain[1]) == 36
-    assert dict(plain[1])[29] == 0 and plain[2] == [0, 30, 31, 32]
-
-
 def jaccard(a, b, k=5):
     cut = lambda t: {tuple(t.split()[i : i + k]) for i in range(max(1, len(t.split()) - k + 1))}
     a, b = cut(a), cut(b)
