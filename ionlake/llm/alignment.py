@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import cut, shared_folder, small_batches
 
 #: Bytes of the parts that a Python worker remembers, by what their numbers and texts take.
-MEMORY = 150 << 20
+MEMORY = 200 << 20
 #: (pair, document) records of a chunk (or one document's), and runs that are merged at once.
 CHUNK_RECORDS, FAN = 3_000_000, 64
 #: Most radices that B ids are dealt to.
@@ -70,6 +70,25 @@ def piece_bytes(piece: str) -> bytes:
     return piece.replace(SPACE_MARK, " ").encode()
 
 
+class Rows:
+    """A numpy array to which rows are added."""
+
+    def __init__(self, room: np.ndarray):
+        self.room, self.n = room, 0
+
+    def add(self, rows: np.ndarray) -> None:
+        need = self.n + len(rows)
+        if need > len(self.room):
+            more = np.zeros((max(need, 2 * len(self.room)), *self.room.shape[1:]), self.room.dtype)
+            more[: self.n] = self.filled()
+            self.room = more
+        self.room[self.n : need] = rows
+        self.n = need
+
+    def filled(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
 class Parts:
     """What is known of the parts of texts: token numbers, groups, and their pairs with counts."""
 
@@ -91,14 +110,20 @@ class Parts:
             raise ValueError(f"pieces that go on past a space: {crossing[:3]}")
         self.b_bytes = [piece_bytes(p) for p in pieces]
         self.a_bits, self.b_bits, self.radix_bits = (len(self.a_bytes) - 1).bit_length(), (len(self.b_bytes) - 1).bit_length(), radix_bits
+        self.a_size, self.b_size = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
+        self.space = self.b.piece_to_id(SPACE_MARK)
+        #: each id as text with what may stand after it
+        self.n_ids = max(len(self.a_bytes), len(self.b_bytes))
+        self.id_text = np.array([f"{i}{after}" for after in ",|;\n" for i in range(self.n_ids)], object)
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.groups_text: list[bytes] = []
-        self.numbers: list[tuple[int, int, int, int, bool]] = []
-        self.pairs: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
+        #: n_a, n_b, n_groups and n_links of each part, and 1 if its tokens give its bytes back
+        self.numbers = Rows(np.zeros((1024, 5), np.int64))
+        #: the pairs of all parts, one part's after the other's, where each part's end, and their counts
+        self.pairs, self.ends, self.counts = Rows(np.zeros(1024, np.int64)), Rows(np.zeros(1024, np.int64)), Rows(np.zeros(1024, np.int64))
         self.size = 0
 
     def code(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -109,49 +134,63 @@ class Parts:
 
     def learn(self, words: list[str]) -> None:
         """``words``: parts without the space that they begin with."""
-        for k in range(0, len(words), 4096):
-            some = words[k : k + 4096]
-            found = self.a.encode_batch_fast([f" {w}" for w in some], add_special_tokens=False)
-            for word, a, b in zip(some, found, self.b.encode(some, num_threads=1), strict=True):
-                self._add(word, a.ids, b if word else [self.b.piece_to_id(SPACE_MARK)])  # a space at the end
-
-    def _add(self, word: str, a: list[int], b: list[int]) -> None:
-        raw = f" {word}".encode()
-        ab, bb = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        self.place[word] = len(self.numbers)
-        ok = b"".join(ab) == raw and b"".join(bb) == raw
-        self.size += 400 + 2 * len(raw)
-        if not ok:
-            self.numbers.append((0, 0, 0, 0, False))
-            self.groups_text.append(b"")
-            self.pairs.append(np.zeros(0, np.int64))
-            self.counts.append(np.zeros(0, np.int64))
-            return
-        groups: list[str] = []
-        links: dict[tuple[int, int], int] = {}
-        i = j = done_a = done_b = 0
-        end_a, end_b = len(ab[0]), len(bb[0])
-        while True:
-            pair = (a[i], b[j])
-            links[pair] = links.get(pair, 0) + 1
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[done_a : i + 1]))}|{','.join(map(str, b[done_b : j + 1]))}")
-                done_a, done_b = i + 1, j + 1
-                if done_a == len(a):
-                    break
-            go_a, go_b = end_a <= end_b, end_b <= end_a
-            if go_a:
-                i += 1
-                end_a += len(ab[i])
-            if go_b:
-                j += 1
-                end_b += len(bb[j])
-        text = ";".join(groups).encode()
-        self.numbers.append((len(a), len(b), len(groups), sum(links.values()), True))
-        self.groups_text.append(text)
-        self.pairs.append(self.code(np.array([p for p, _ in links], np.int64), np.array([q for _, q in links], np.int64)))
-        self.counts.append(np.array(list(links.values()), np.int64))
-        self.size += len(text) + 16 * len(links)
+        for k in range(0, len(words), 8192):
+            some = words[k : k + 8192]
+            a = [e.ids for e in self.a.encode_batch_fast([f" {w}" for w in some], add_special_tokens=False)]
+            b = [x if w else [self.space] for w, x in zip(some, self.b.encode(some, num_threads=1), strict=True)]  # "": a space at the end
+            self._add(some, a, b)
+
+    def _add(self, words: list[str], a: list[list[int]], b: list[list[int]]) -> None:
+        raw = [f" {w}".encode() for w in words]
+        fits = lambda table, ids: b"".join([table[i] for x in ids for i in x]) == b"".join(raw)
+        ok = np.ones(len(words), bool)
+        if not (fits(self.a_bytes, a) and fits(self.b_bytes, b)):
+            gives = lambda table, ids, text: b"".join([table[i] for i in ids]) == text
+            ok[:] = [gives(self.a_bytes, x, r) and gives(self.b_bytes, y, r) for x, y, r in zip(a, b, raw, strict=True)]
+            a, b = ([x if good else [] for x, good in zip(ids, ok, strict=True)] for ids in (a, b))
+        flat = lambda ids: np.fromiter((i for x in ids for i in x), np.int64)
+        of = lambda ids: np.repeat(np.arange(len(words)), [len(x) for x in ids])
+        ia, ib, wa, wb = flat(a), flat(b), of(a), of(b)
+        end_a, end_b = np.cumsum(self.a_size[ia]), np.cumsum(self.b_size[ib])
+        begin_a, begin_b = end_a - self.a_size[ia], end_b - self.b_size[ib]
+        # groups: both end there
+        last_a, last_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        # links: B's tokens from the first that ends after an A token's begin to the last that begins before its end
+        low, high = np.searchsorted(end_b, begin_a, "right"), np.searchsorted(begin_b, end_a, "left")
+        each = high - low
+        other = np.arange(each.sum()) + np.repeat(low - (np.cumsum(each) - each), each)
+        linked = np.stack([np.repeat(wa, each), self.code(np.repeat(ia, each), ib[other])])
+        order = np.lexsort(linked[::-1])
+        linked = linked[:, order]
+        new = np.ones(linked.shape[1], bool)
+        new[1:] = (linked[:, 1:] != linked[:, :-1]).any(axis=0)
+        first = np.flatnonzero(new)
+        count = lambda w: np.bincount(w, minlength=len(words))
+        n = np.stack([count(wa), count(wb), count(wa[last_a]), count(np.repeat(wa, each)), ok], axis=1)
+        self.place.update(zip(words, range(len(self.groups_text), len(self.groups_text) + len(words)), strict=True))
+        text = self._groups(ia, ib, wa, wb, last_a, last_b, group_a, group_b, ok)
+        self.groups_text += text
+        self.ends.add(len(self.pairs.filled()) + np.cumsum(count(linked[0, first])))
+        self.numbers.add(n)
+        self.pairs.add(linked[1, first])
+        self.counts.add(np.diff(np.append(first, linked.shape[1])))
+        self.size += 250 * len(words) + 2 * sum(map(len, raw)) + sum(map(len, text)) + 16 * len(first)
+
+    def _groups(self, ia, ib, wa, wb, last_a, last_b, group_a, group_b, ok) -> list[bytes]:
+        """The groups of each part as text: A's ids, a bar, B's ids, and so on."""
+        if not len(ia):
+            return [b""] * len(ok)
+        # a token's place: after what stands in its own list before it, and what of the other list is before its group (B: after it)
+        of_a, of_b = np.bincount(group_a), np.bincount(group_b)
+        at_a = np.arange(len(ia)) + (np.cumsum(of_b) - of_b)[group_a]
+        at_b = np.arange(len(ib)) + np.cumsum(of_a)[group_b]
+        whole = np.zeros(len(ia) + len(ib), np.int64)
+        whole[at_a] = np.where(last_a, ia + self.n_ids, ia)
+        ends = np.append(wb[1:] != wb[:-1], True)
+        whole[at_b] = ib + self.n_ids * np.where(ends, 3, np.where(last_b, 2, 0))
+        found = iter("".join(self.id_text[whole].tolist()).encode().split(b"\n"))
+        return [next(found) if good else b"" for good in ok]
 
     def of(self, text: str) -> list[str]:
         """The parts of a space and a text, without the space that each begins with."""
@@ -252,24 +291,25 @@ class Chunk:
         split = [parts.of(t) if t else [] for t in texts]
         new = set().union(*split).difference(parts.place)
         parts.learn(list(new))
-        get = parts.place.__getitem__
-        for doc_id, words in zip(doc_ids, split, strict=True):
-            own = list(map(get, words))
-            numbers = np.array([0, 0, 0, 0], np.int64)
-            hash_ = ""
-            if own:
-                place, n = np.unique(np.array(own, np.int64), return_counts=True)
-                found = [parts.numbers[i] for i in place.tolist()]
-                table = np.array(found, np.int64)
-                if table[:, 4].all():
-                    numbers = (table[:, :4] * n[:, None]).sum(axis=0)
-                    hash_ = hashlib.sha256(b";".join([parts.groups_text[i] for i in own])).hexdigest()
-                    lengths = np.array([len(parts.pairs[i]) for i in place.tolist()])
-                    self.held.append((np.concatenate([parts.pairs[i] for i in place.tolist()]), np.concatenate([parts.counts[i] for i in place.tolist()]) * np.repeat(n, lengths), np.full(lengths.sum(), len(self.rows))))
-                    self.records += int(lengths.sum())
-            self.rows.append(doc_id)
-            self.numbers.append(numbers)
-            self.hashes.append(hash_)
+        get, texts_of = parts.place.__getitem__, parts.groups_text
+        own = [list(map(get, words)) for words in split]
+        document = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        key, n = np.unique((document << 32) | np.fromiter((i for x in own for i in x), np.int64, len(document)), return_counts=True)
+        document, place = key >> 32, key & 0xFFFFFFFF
+        found = parts.numbers.filled()[place]
+        bad = np.bincount(document[found[:, 4] == 0], minlength=len(own)) > 0
+        good = ~bad[document]
+        document, place, n, found = document[good], place[good], n[good], found[good]
+        numbers = np.zeros((len(own), 4), np.int64)
+        np.add.at(numbers, document, found[:, :4] * n[:, None])
+        ends = parts.ends.filled()
+        lengths = ends[place] - np.where(place > 0, ends[place - 1], 0)
+        at = np.arange(lengths.sum()) + np.repeat(ends[place] - np.cumsum(lengths), lengths)
+        self.held.append((parts.pairs.filled()[at], parts.counts.filled()[at] * np.repeat(n, lengths), len(self.rows) + np.repeat(document, lengths)))
+        self.records += len(at)
+        self.hashes += [hashlib.sha256(b";".join([texts_of[i] for i in x])).hexdigest() if x and not b else "" for x, b in zip(own, bad.tolist(), strict=True)]
+        self.rows += doc_ids
+        self.numbers.append(numbers)
         if parts.size > MEMORY:
             parts.clear()
 
@@ -290,7 +330,7 @@ class Chunk:
         each = np.diff(np.append(begin, len(codes)))
         pairs = codes[begin]
         total = np.add.reduceat(counts, begin) if len(begin) else counts
-        numbers = np.array(self.numbers, np.int64).reshape(-1, 4)
+        numbers = np.concatenate(self.numbers)
         docs = pa.RecordBatch.from_arrays([pa.array(self.rows, pa.int64()), *(pa.array(numbers[:, i]) for i in range(4)), pa.array(self.hashes, pa.string())], schema=_DOCS)
         yield "chunk", chunk, 0, docs.serialize().to_pybytes(), packed(documents, counts, each)
         p = self.parts

@@ -234,7 +234,7 @@ def test_parts_give_whole_texts_tokens(monkeypatch):
     chunk = alignment.Chunk(parts)
     for k in range(0, len(rows), 100):
         chunk.add([i for i, _ in rows[k : k + 100]], [t for _, t in rows[k : k + 100]])
-    got = {(i, *n.tolist(), h) for i, n, h in zip(chunk.rows, chunk.numbers, chunk.hashes, strict=True)}
+    got = {(i, *n.tolist(), h) for i, n, h in zip(chunk.rows, np.concatenate(chunk.numbers), chunk.hashes, strict=True)}
     assert got == {(d, x, y, g, links, h) for d, x, y, g, links, _, _, h in brute(rows)}
     made = list(chunk.made(1))
     assert sum(len(alignment.opened(r[4])[0]) for r in made[1:]) == len({p for i in chunk.held for p in i[0].tolist()})
