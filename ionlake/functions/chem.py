@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -28,11 +29,48 @@ CLASSES = {"arom": "[FWYH]", "pro": "P", "acid": "[DE]", "basic": "H"}
 LEAST = 1e-10
 
 
+#: Masses are summed as whole numbers of this many to a dalton, so that they don't depend on the order
+#: of summing and equal compositions are equal: residues have 8 decimals, atoms 11.
+UNITS = 10**11
+
+
+def as_units(mass: float) -> int:
+    return int(Decimal(str(mass)) * UNITS)
+
+
+def _by_letter(values: dict[str, int]) -> Column:
+    return F.array(*(F.lit(values.get(chr(65 + i), 0)) for i in range(26)))
+
+
+def residue_units(letter: Column) -> Column:
+    """Mass of the residue whose letter has this code, in UNITS; 0 for others."""
+    return F.coalesce(F.get(_by_letter({r: as_units(m) for r, m in RESIDUES.items()}), letter - 65), F.lit(0)).cast("long")
+
+
+def in_class(letter: Column, name: str) -> Column:
+    """1 if the residue whose letter has this code is of a class, else 0."""
+    return F.coalesce(F.get(_by_letter({r: 1 for r in CLASSES[name] if r.isalpha()}), letter - 65), F.lit(0))
+
+
+def peptide_units(peptide: Column) -> Column:
+    """Monoisotopic mass of a sequence of the twenty residues in UNITS; others weigh nothing. One pass
+    over the letters, so that the generated code stays short enough to be compiled."""
+    return F.aggregate(F.split(peptide, ""), F.lit(as_units(WATER)).cast("long"), lambda m, c: m + residue_units(F.ascii(c)))
+
+
+def daltons(units: Column) -> Column:
+    return units.cast("double") / F.lit(float(UNITS))
+
+
 def peptide_mass(peptide: Column) -> Column:
-    """Monoisotopic mass of a sequence of the twenty residues; others weigh nothing. One pass over the
-    letters, so that the generated code stays short enough to be compiled."""
-    weights = F.array(*(F.lit(RESIDUES.get(chr(65 + i), 0.0)) for i in range(26)))
-    return F.aggregate(F.split(peptide, ""), F.lit(WATER), lambda m, c: m + F.coalesce(F.get(weights, F.ascii(c) - 65), F.lit(0.0)))
+    return daltons(peptide_units(peptide))
+
+
+def residual_units(units: Column) -> Column:
+    """``mass_defect_residual`` in UNITS, exact but for the rounding of averagine's counts."""
+    counts = averagine(daltons(units))
+    other = reduce(lambda a, b: a + b, [counts[atom].cast("long") * F.lit(as_units(m)) for atom, m in ATOM_MASS.items()])
+    return F.pmod(units, F.lit(UNITS)) - F.pmod(other, F.lit(UNITS))
 
 
 def protonated(mass: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,12 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chem
+from .lineage import cut
 
 # Substitutes (no cleavage site, no sulfur), and decoy methods with their keys in
 # priority order and variants for each target.
 ALPHABET = "ADEFGHILNPQSTVWY"
 METHODS = {"d1c_raw": (("arom", "pro", "acid", "basic"), 100), "d1b": (("arom",), 30)}
 FDR, FLOOR_PPM, EXCLUDE_PPM = 0.01, 10.0, 20.0
+#: Bits of a residual's difference (of two fractions of a dalton, in units) and of a draw's number.
+RESIDUAL_BITS, DRAW_BITS = 38, 10
 ISOTOPE_STEPS, OXYGEN_STEPS = (0, 1, -1, 2, -2), (0, 1, -1, 2, -2, 3, -3)
 
 
@@ -51,10 +55,21 @@ def residue_frequency(base: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(counts.agg(F.sum("n").alias("__all")))).select("residue", "n", (F.col("n") / F.col("__all")).alias("share"))
 
 
-def seeded_draws(base: DataFrame, seed: int, variants: int) -> DataFrame:
-    """src, variant and draw: random substitutions of two interior residues that aren't K, R, C or M,
-    each by another of ALPHABET with its frequency. A peptide's generator is seeded by ``seed`` and
-    the MD5 of its sequence, so that a variant doesn't depend on where it is drawn."""
+def varied(src: Column, i: Column, a: Column, j: Column, b: Column) -> Column:
+    """``src`` with the letters of codes ``a`` and ``b`` at places ``i`` and ``j`` (from 1)."""
+    put = lambda text, at, code: F.concat(F.substring(text, F.lit(1), at - 1), F.char(code), F.substring(text, at + 1, F.length(text)))
+    return put(put(src, i, a), j, b)
+
+
+def _with_variant(draws: DataFrame) -> DataFrame:
+    return draws.withColumn("variant", varied(F.col("src"), F.col("i"), F.col("a"), F.col("j"), F.col("b")))
+
+
+def seeded_draws(base: DataFrame, seed: int, variants: int, some: DataFrame | None = None) -> DataFrame:
+    """src, draw, i, a, j, b and variant: random substitutions of two interior residues that aren't K,
+    R, C or M, each by another of ALPHABET with its frequency in ``base``. A peptide's generator is
+    seeded by ``seed`` and the MD5 of its sequence, so that a variant doesn't depend on where it is
+    drawn. ``some``: the peptides that are asked for, if not all of ``base``."""
     shares = {r["residue"]: r["share"] for r in residue_frequency(base).collect()}  # at most as many as ALPHABET
     substitutes = {}
     for residue in ALPHABET:
@@ -62,60 +77,88 @@ def seeded_draws(base: DataFrame, seed: int, variants: int) -> DataFrame:
         p = np.array([shares.get(a, 0.0) for a in others])
         p = p / p.sum() if p.sum() else np.full(len(others), 1 / len(others))
         edges = p.cumsum()
-        substitutes[residue] = (others, (edges / edges[-1]).tolist())
+        substitutes[residue] = (list(map(ord, others)), (edges / edges[-1]).tolist())
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for peptide in batch["peptide"]:
+            for peptide, m0 in zip(batch["peptide"], batch["m0"], strict=True):
                 places = [i for i in range(1, len(peptide) - 1) if peptide[i] not in "KRCM"]
                 if len(places) < 2 or any(peptide[i] not in ALPHABET for i in places):
                     continue
                 generator = np.random.default_rng([seed, int.from_bytes(hashlib.md5(peptide.encode()).digest()[:8], "little")])
                 for n in range(variants):
-                    new = list(peptide)
+                    row = [peptide, m0, n]
                     for i in generator.choice(places, 2, replace=False):
                         others, edges = substitutes[peptide[i]]
-                        new[i] = others[bisect_right(edges, generator.random())]  # as the generator's own weighted choice draws
-                    rows.append((peptide, "".join(new), n))
-            yield pd.DataFrame(rows, columns=["src", "variant", "draw"])
+                        row += [i + 1, others[bisect_right(edges, generator.random())]]  # as the generator's own weighted choice draws
+                    rows.append(row)
+            yield pd.DataFrame(rows, columns=["src", "m0", "draw", "i", "a", "j", "b"])
 
+    asked = base if some is None else some
     tasks = 4 * base.sparkSession.sparkContext.defaultParallelism  # few rows, but each has many draws
-    return base.select("peptide").repartition(tasks, "peptide").mapInPandas(draw, "src string, variant string, draw int")
+    return _with_variant(asked.select("peptide", chem.peptide_units(F.col("peptide")).alias("m0")).repartition(tasks, "peptide").mapInPandas(draw, "src string, m0 long, draw int, i int, a int, j int, b int"))
 
 
-def hashed_draws(base: DataFrame, seed: int, variants: int) -> DataFrame:
+def hashed_draws(base: DataFrame, seed: int, variants: int, some: DataFrame | None = None) -> DataFrame:
     """Like ``seeded_draws`` but without Python: places and residues come from an MD5, each residue
     of ALPHABET being as likely as any. For pipelines that stay in the JVM, and for checks in SQL."""
-    number = lambda h, at: F.conv(F.substring(h, at, 6), 16, 10).cast("int")
-    interior = F.length("peptide") - 2
-
-    def drawn(n: Column) -> Column:  # the hash is bound by a list of one, so that it is computed once
-        h = F.array(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("peptide"), n.cast("string"))))
-        return F.transform(h, lambda h: F.struct(n.alias("draw"), (number(h, 1) % interior + 2).alias("__i"), (number(h, 7) % len(ALPHABET) + 1).alias("__a"), (number(h, 13) % interior + 2).alias("__j"), (number(h, 19) % len(ALPHABET) + 1).alias("__b")))
-
-    draws = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(variants - 1)), drawn))
+    number = lambda at: F.conv(F.substring("h", at, 6), 16, 10).cast("int")
+    interior = F.length("src") - 2
+    letter = lambda at: F.ascii(F.substring(F.lit(ALPHABET), number(at) % len(ALPHABET) + 1, F.lit(1)))
+    asked = (base if some is None else some).select(F.col("peptide").alias("src"), chem.peptide_units(F.col("peptide")).alias("m0")).where(interior >= 2)
     tasks = 4 * base.sparkSession.sparkContext.defaultParallelism  # few rows, but each has many draws
-    rows = base.where(interior >= 2).select("peptide").repartition(tasks, "peptide").select(F.col("peptide").alias("src"), F.explode(draws).alias("x")).select("src", "x.*")
-    place = lambda text, i, a: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(F.lit(ALPHABET), a, F.lit(1)), F.substring(text, i + 1, F.length(text)))
-    rows = rows.withColumn("variant", place(place(F.col("src"), F.col("__i"), F.col("__a")), F.col("__j"), F.col("__b")))
-    free = lambda i: ~F.substring(F.col("src"), i, F.lit(1)).isin("K", "R", "C", "M")
-    return rows.where((F.col("__i") != F.col("__j")) & free(F.col("__i")) & free(F.col("__j"))).select("src", "variant", "draw")
+    rows = asked.repartition(tasks, "src").select("src", "m0", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))).alias("draw"))
+    rows = rows.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), "src", F.col("draw").cast("string"))))
+    rows = rows.select("src", "m0", "draw", (number(1) % interior + 2).alias("i"), letter(7).alias("a"), (number(13) % interior + 2).alias("j"), letter(19).alias("b"))
+    free = lambda i: ~F.substring(F.col("src"), F.col(i), F.lit(1)).isin("K", "R", "C", "M")
+    return _with_variant(rows.where((F.col("i") != F.col("j")) & free("i") & free("j")))
 
 
-def best_variants(draws: DataFrame, base: DataFrame, keys: Sequence[str] = METHODS["d1c_raw"][0], floor_da: float | None = None) -> DataFrame:
+def best_variants(draw: Callable[[DataFrame], DataFrame], base: DataFrame, keys: Sequence[str] = METHODS["d1c_raw"][0], floor_da: float | None = None) -> DataFrame:
     """src, variant and mass: each target's variant that is closest in residue classes (in the order
     of ``keys``), then in mass-defect residual, then by draw. Variants that are targets or move the
-    mass by less than the floor are left out. Equal draws are reduced before anything is joined."""
-    distinct = draws.groupBy("src", "variant").agg(F.min("draw").alias("draw"))
-    fresh = distinct.join(base.select(F.col("peptide").alias("variant")), "variant", "left_anti")
-    # masses before the filters that use them, each computed once a row: aggregates aren't inlined
-    masses = fresh.groupBy("src", "variant").agg(F.min("draw").alias("draw"), F.first(chem.peptide_mass(F.col("variant"))).alias("mass"), F.first(chem.peptide_mass(F.col("src"))).alias("__m0"))
-    floor = F.lit(floor_da) if floor_da is not None else (F.col("__m0") + chem.FLOOR_PROTON) * (FLOOR_PPM / 1e6)
-    kept = masses.where(F.abs(F.col("mass") - F.col("__m0")) >= floor)
-    distance = [F.abs(chem.class_count(F.col("variant"), k) - chem.class_count(F.col("src"), k)).alias(f"d_{k}") for k in keys]
-    residual = F.round(F.abs(chem.mass_defect_residual(F.col("mass")) - chem.mass_defect_residual(F.col("__m0"))), 9).alias("d_res")  # less digits than rounding moves
-    return kept.groupBy("src").agg(F.min(F.struct(*distance, residual, "draw", "variant", "mass")).alias("b")).select("src", "b.variant", "b.mass")
+    mass by less than the floor are left out. ``draw`` gives the draws of those peptides of ``base``
+    that it is given.
+
+    A draw is compared by what its two substitutions change: whole numbers of classes and of mass
+    units, so that ties are ties. All of it is one number, RESIDUAL_BITS for the residual, DRAW_BITS
+    for the draw and two bits for each class above them; the least is found by a pre-aggregated
+    minimum over numbers, before anything is joined. The few peptides whose best variant is a target
+    are asked again for the next one."""
+    todo, last = base.select("peptide"), None
+    known = base.select(F.col("peptide").alias("variant"))
+    chosen: list[DataFrame] = []
+    while True:
+        best = _least(draw(todo), keys, floor_da, last)
+        best = cut(_with_variant(best))
+        taken = cut(best.join(known, "variant", "left_semi").select("src", F.col("order").alias("__last")))
+        chosen.append(best.join(taken, "src", "left_anti") if not taken.isEmpty() else best)
+        if taken.isEmpty():
+            break
+        todo, last = taken.select(F.col("src").alias("peptide")), taken
+    return reduce(DataFrame.unionByName, [c.select("src", "variant", chem.daltons(F.col("units")).alias("mass")) for c in chosen])
+
+
+def _least(draws: DataFrame, keys: Sequence[str], floor_da: float | None, last: DataFrame | None) -> DataFrame:
+    """src, order, i, a, j, b and units of the draw of each src that comes first (after ``last``)."""
+    at = lambda place: F.ascii(F.substring("src", F.col(place), F.lit(1)))
+    rows = draws.select("src", "m0", "draw", "i", "a", "j", "b", at("i").alias("__x"), at("j").alias("__y"))
+    change = lambda value: value(F.col("a")) - value(F.col("__x")) + value(F.col("b")) - value(F.col("__y"))
+    rows = rows.withColumn("units", F.col("m0") + change(chem.residue_units))
+    floor = F.lit(floor_da) if floor_da is not None else (chem.daltons(F.col("m0")) + chem.FLOOR_PROTON) * (FLOOR_PPM / 1e6)
+    rows = rows.where(chem.daltons(F.abs(F.col("units") - F.col("m0"))) >= floor)
+    order = F.lit(0).cast("long")
+    for k in keys:
+        order = order * 4 + F.abs(change(lambda letter: chem.in_class(letter, k)))  # noqa: B023
+    residual = F.abs(chem.residual_units(F.col("units")) - chem.residual_units(F.col("m0")))
+    order = order * (1 << (RESIDUAL_BITS + DRAW_BITS)) + residual * (1 << DRAW_BITS) + F.col("draw")
+    rows = rows.withColumns({"order": order, "__place": (F.col("i").cast("long") * (1 << 21) + F.col("j")) * (1 << 14) + F.col("a") * 128 + F.col("b")})
+    if last is not None:
+        rows = rows.join(last, "src").where("order > __last")
+    best = rows.groupBy("src").agg(F.min("order").alias("order"), F.min_by("__place", "order").alias("__p"), F.min_by("units", "order").alias("units"))
+    part = lambda shift, bits: F.shiftright("__p", shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    return best.select("src", "order", part(35, 28).alias("i"), part(7, 7).alias("a"), part(14, 21).alias("j"), part(0, 7).alias("b"), "units")
 
 
 def unique_variants(best: DataFrame) -> DataFrame:
@@ -128,7 +171,7 @@ def decoys(found: DataFrame, seed: int, method: str = "d1c_raw", floor_da: float
     protein, mass, mh_mz, parent_peptide and row_order."""
     keys, variants = METHODS[method]
     base = found.where("hyp_base is null")
-    chosen = unique_variants(best_variants(draw(base, seed, variants), base, keys, floor_da))
+    chosen = unique_variants(best_variants(lambda some: draw(base, seed, variants, some), base, keys, floor_da))
     rows = found.withColumn("src", F.coalesce("hyp_base", "peptide")).select("src", F.col("peptide").alias("parent_peptide"), "protein", "hyp_base", "row_order").join(chosen, "src")
     n = F.when(F.col("hyp_base").isNotNull(), F.regexp_extract("parent_peptide", r"\+h([0-9]+)$", 1).cast("int")).otherwise(0)
     return rows.select(

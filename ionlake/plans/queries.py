@@ -629,23 +629,23 @@ _N = lambda at: f"('0x' || substr(h, {at}, 6))::int"
 _PUT = lambda x, i, a: f"(substr({x}, 1, {i} - 1) || substr('{candidates.ALPHABET}', {a}, 1) || substr({x}, {i} + 1))"
 _C = lambda x, p: f"len(regexp_extract_all({x}, '{p}'))"
 _PMX = lambda x: _PM.replace("peptide", x)
-_AMX = lambda x: " + ".join(f"round_even({x} * {chem.AVERAGINE[a]}::double, 0) * {m}::double" for a, m in chem.ATOM_MASS.items())
-_RES = lambda x: f"(({x} - floor({x})) - (({_AMX(x)}) - floor({_AMX(x)})))"
+_PUX = lambda x: " + ".join(f"(length({x}) - length(replace({x}, '{r}', ''))) * {chem.as_units(m)}::bigint" for r, m in chem.RESIDUES.items()) + f" + {chem.as_units(chem.WATER)}::bigint"
+_AUX = lambda u: " + ".join(f"round_even({u} / {chem.UNITS}.0::double * {chem.AVERAGINE[a]}::double, 0)::bigint * {chem.as_units(m)}::bigint" for a, m in chem.ATOM_MASS.items())
+_RES = lambda u: f"({u} % {chem.UNITS} - ({_AUX(u)}) % {chem.UNITS})"
 #: The keys and draws of the default method.
 KEYS, DRAWS = candidates.METHODS["d1c_raw"]
 DRAWN_SQL = f"""{SEQ_SQL}, d0 as (select peptide as src, draw, length(peptide) - 2 as k from sq, range({DRAWS}) r(draw)), d1 as (select *, {_D} as h from d0 where k >= 2),
 d2 as (select src, draw, {_N(1)} % k + 2 as i, {_N(7)} % 16 + 1 as a, {_N(13)} % k + 2 as j, {_N(19)} % 16 + 1 as b from d1),
 d3 as (select src, draw, {_PUT(_PUT("src", "i", "a"), "j", "b")} as variant from d2 where i <> j and substr(src, i, 1) not in ('K', 'R', 'C', 'M') and substr(src, j, 1) not in ('K', 'R', 'C', 'M')),
 d4 as (select src, variant, min(draw) as draw from d3 where variant not in (select peptide from sq) group by all),
-d5 as (select *, {_PMX("variant")} as mass, {_PMX("src")} as m0 from d4),
-d6 as (select *, {", ".join(f"abs({_C('variant', p)} - {_C('src', p)}) as d_{k}" for k, p in chem.CLASSES.items())}, abs({_RES("mass")} - {_RES("m0")}) as d_res from d5 where abs(mass - m0) >= (m0 + 1.00728::double) * 1e-5),
-best as (select src, variant, mass from (select *, row_number() over (partition by src order by d_arom, d_pro, d_acid, d_basic, round(d_res, 9), draw) as rn from d6) where rn = 1)"""
+d5 as (select *, {_PUX("variant")} as mass, {_PUX("src")} as m0 from d4),
+d6 as (select *, {", ".join(f"abs({_C('variant', p)} - {_C('src', p)}) as d_{k}" for k, p in chem.CLASSES.items())}, abs({_RES("mass")} - {_RES("m0")}) as d_res from d5 where abs(mass - m0) / {chem.UNITS}.0::double >= (m0 / {chem.UNITS}.0::double + 1.00728::double) * 1e-5::double),
+best as (select src, variant, mass / {chem.UNITS}.0::double as mass from (select *, row_number() over (partition by src order by d_arom, d_pro, d_acid, d_basic, d_res, draw) as rn from d6) where rn = 1)"""
 
 
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = sequences(spark, sf_dir)
-    draws = candidates.hashed_draws(base, 7, DRAWS)
-    return candidates.best_variants(draws, base, KEYS)
+    return candidates.best_variants(lambda some: candidates.hashed_draws(base, 7, DRAWS, some), base, KEYS)
 
 
 @query(f"with {DRAWN_SQL} select src, variant, round(mass, 6) as mass from best")

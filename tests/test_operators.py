@@ -207,7 +207,42 @@ def test_registered_decoys_are_the_default_methods(spark, monkeypatch):
     monkeypatch.setattr(queries, "sequences", lambda spark, sf_dir: peptides)
     drawn = []
     draw = candidates.best_variants
-    monkeypatch.setattr(candidates, "best_variants", lambda draws, base, keys, floor_da=None: drawn.append((draws.agg({"draw": "max"}).first()[0], keys)) or draw(draws, base, keys, floor_da))
+    monkeypatch.setattr(candidates, "best_variants", lambda draws, base, keys, floor_da=None: drawn.append((draws(base).agg({"draw": "max"}).first()[0], keys)) or draw(draws, base, keys, floor_da))
     assert queries.decoys_seeded(spark, "").count() == 3
     (last, keys), = drawn
     assert last > 30 and keys == candidates.METHODS["d1c_raw"][0]
+
+
+def test_a_best_variant_that_is_a_target_gives_way_to_the_next(spark):
+    """By brute force over exact masses; equal distances go to the first draw."""
+    from decimal import Decimal
+
+    base = spark.createDataFrame([("ESASIEESR",), ("AGLPGEVGAK",), ("AAAAAAK",), ("ADADADAK",), ("AEAEAEAK",)], "peptide string")
+    draws = candidates.hashed_draws(base, 7, 100).select("src", "draw", "variant").collect()
+    known = {r.peptide for r in base.collect()}
+    units = lambda p: sum(Decimal(str(chem.RESIDUES[c])) for c in p) + Decimal(str(chem.WATER))
+
+    def residual(p):
+        m = units(p)
+        other = sum(Decimal(round(float(m) * chem.AVERAGINE[a])) * Decimal(str(w)) for a, w in chem.ATOM_MASS.items())
+        return m % 1 - other % 1
+
+    def expected(taken):
+        best = {}
+        for r in draws:
+            if r.variant in taken or abs(units(r.variant) - units(r.src)) < (units(r.src) + Decimal("1.00728")) / 100_000:
+                continue
+            d = [abs(sum(c in letters for c in r.variant) - sum(c in letters for c in r.src)) for letters in ("FWYH", "P", "DE", "H")]
+            key = (*d, abs(residual(r.variant) - residual(r.src)), r.draw)
+            if r.src not in best or key < best[r.src][0]:
+                best[r.src] = (key, r.variant)
+        return {src: v for src, (_, v) in best.items()}
+
+    plain = expected(known)
+    own = lambda rows, b: {r.src: r.variant for r in candidates.best_variants(lambda some: candidates.hashed_draws(base, 7, 100, some), b, rows).collect()}
+    keys = candidates.METHODS["d1c_raw"][0]
+    assert own(keys, base) == plain
+    taken = known | set(list(plain.values())[:3])
+    more = spark.createDataFrame([(p,) for p in sorted(taken)], "peptide string")
+    got = own(keys, more)
+    assert {s: v for s, v in got.items() if s in plain} == {s: v for s, v in expected(taken).items()}
