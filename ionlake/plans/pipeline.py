@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import chem
 from ..operators import candidates, evidence, fdr, ordered, score
 from ..operators.lineage import cut
-from ..sources import readers, writers
+from ..sources import imaging, readers, writers
 from . import views
 
 
@@ -52,7 +52,10 @@ def score_run(found: DataFrame, table: DataFrame, correlate, offset: float = 0.0
 
 
 def _beside(events: str) -> str:
-    """Where the frames of a file of events are by default: beside it, under the name of frames."""
+    """Where the frames of a file of events are by default: an imaging file has its own, others have them
+    beside them, under the name of frames."""
+    if imaging.is_imaging(events):
+        return events
     folder, slash, name = events.rstrip("/").rpartition("/")
     return folder + slash + name.replace("events", "frames")
 

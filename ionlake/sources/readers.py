@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chem
+from . import imaging
 
 #: Column names of identification tables by reader; "infer" finds the first that fits the header.
 READERS = {
@@ -42,15 +43,15 @@ def read_psms(spark: SparkSession, path: str, reader: str = "infer") -> DataFram
 
 
 def read_events(spark: SparkSession, path: str, mz_range: tuple[float, float] | None = None) -> DataFrame:
-    """frame, mz and inten (scan and tof where there are any) from Parquet. A range reaches the scan as
-    a pushed filter."""
-    rows = spark.read.parquet(path)
+    """frame, mz and inten (scan and tof where there are any) from Parquet or an imaging file. A range
+    reaches the scan as a pushed filter."""
+    rows = imaging.read(spark, path).select("frame", "mz", "inten") if imaging.is_imaging(path) else spark.read.parquet(path)
     return rows.where(F.col("mz").between(*mz_range)) if mz_range else rows
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """frame, x, y and tic from Parquet."""
-    return spark.read.parquet(path)
+    """frame, x, y and tic from Parquet or an imaging file."""
+    return imaging.read(spark, path, "frames") if imaging.is_imaging(path) else spark.read.parquet(path)
 
 
 def read_frames_sqlite(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[float, float]]:
