@@ -39,10 +39,18 @@ def windows(queries: DataFrame, ppm: float) -> DataFrame:
     return rows.select("qi", "channel", low.alias("lo"), high.alias("hi"))
 
 
-def window_sums(events: DataFrame, windowed: DataFrame, ppm: float) -> DataFrame:
-    """qi, channel, pix and inten: events (pix, mz, inten) summed in each window and pixel."""
-    hits = ppm_join(events.select("pix", "mz", "inten"), windowed, "mz", "lo", "hi", ppm * 2)
-    return hits.groupBy("qi", "channel", "pix").agg(F.sum("inten").alias("inten"))
+def met(events, intervals: DataFrame, ppm: float, at: str) -> DataFrame:
+    """Events (``at``, mz, inten) with the intervals (lo, hi) that hold them. ``events``: a DataFrame, or
+    a store of events, which aren't moved then."""
+    if isinstance(events, DataFrame):
+        return ppm_join(events.select(at, "mz", "inten"), intervals, "mz", "lo", "hi", ppm * 2)
+    return events.met(intervals, "lo", "hi", ppm)
+
+
+def window_sums(events, windowed: DataFrame, ppm: float, at: str = "pix") -> DataFrame:
+    """qi, channel, pix and inten: events (pix, mz, inten) summed in each window and pixel. ``at``:
+    another column than pix that says where events are."""
+    return met(events, windowed, ppm, at).groupBy("qi", "channel", at).agg(F.sum("inten").alias("inten"))
 
 
 def by_channel(sums: DataFrame) -> DataFrame:
@@ -83,14 +91,22 @@ def top_decile(images: DataFrame, n_on: int) -> DataFrame:
     return images.join(cuts, "qi").where("m > 0 and m >= __cut").select("qi", "pix")
 
 
-def profiles(events: DataFrame, queries: DataFrame, bright: DataFrame) -> DataFrame:
-    """qi, bin (-25 to 25 ppm) and inten over each query's bright pixels."""
+def profile_hits(events, queries: DataFrame, at: str = "pix") -> DataFrame:
+    """qi, pix (or another ``at``), bin (-25 to 25 ppm) and inten of all pixels."""
     ppm = PROFILE_PPM + 1.0
     low, high = ppm_window(F.col("q_mz"), ppm)
     asked = queries.select("qi", F.col("mz").alias("q_mz")).withColumns({"lo": low, "hi": high})
-    hits = ppm_join(events.select("pix", "mz", "inten"), asked, "mz", "lo", "hi", ppm * 2).withColumn("bin", chem.ppm_bin(F.col("mz"), F.col("q_mz")))
-    kept = hits.where(F.col("bin").between(0, 2 * PROFILE_PPM)).join(bright, ["qi", "pix"], "left_semi")
-    return kept.groupBy("qi", (F.col("bin") - PROFILE_PPM).alias("bin")).agg(F.sum("inten").alias("inten"))
+    hits = met(events, asked, ppm, at).withColumn("bin", chem.ppm_bin(F.col("mz"), F.col("q_mz")))
+    return hits.where(F.col("bin").between(0, 2 * PROFILE_PPM)).groupBy("qi", at, (F.col("bin") - PROFILE_PPM).alias("bin")).agg(F.sum("inten").alias("inten"))
+
+
+def profiles(events, queries: DataFrame, bright: DataFrame) -> DataFrame:
+    """qi, bin (-25 to 25 ppm) and inten over each query's bright pixels."""
+    return profile_of(profile_hits(events, queries), bright)
+
+
+def profile_of(hits: DataFrame, bright: DataFrame) -> DataFrame:
+    return hits.join(bright, ["qi", "pix"], "left_semi").groupBy("qi", "bin").agg(F.sum("inten").alias("inten"))
 
 
 def centroids(profile: DataFrame) -> DataFrame:

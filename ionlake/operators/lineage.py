@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, for tables that are written and read back."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4()}"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import chem
 from ..operators import candidates, evidence, fdr, ordered, score
 from ..operators.lineage import cut
 from ..sources import imaging, readers, writers
+from ..sources.eventstore import EventStore
 from . import views
 
 
@@ -22,17 +23,21 @@ def queries_of(found: DataFrame) -> DataFrame:
     return rows.select((F.col("__n") - 1).cast("int").alias("qi"), "mz")
 
 
-def extract(events: DataFrame, frames: DataFrame, queries: DataFrame, ppm: float, tic_normalize: bool = False) -> dict[str, DataFrame]:
-    """evidence, sums, profile and images (M on tissue) of the queries. ``frames`` has pix and is_on."""
-    placed = events.join(frames.select("frame", "pix", "is_on"), "frame")
-    sums = cut(evidence.window_sums(placed, evidence.windows(queries, ppm), ppm))
+def extract(events, frames: DataFrame, queries: DataFrame, ppm: float, tic_normalize: bool = False) -> dict[str, DataFrame]:
+    """evidence, sums, profile and images (M on tissue) of the queries. ``frames`` has pix and is_on.
+    ``events`` (a DataFrame, or a store whose events stay where they are) are summed by frame first;
+    the sums, not the events, get their pixels."""
+    place = frames.select("frame", "pix", "is_on")
+    by_frame = evidence.window_sums(events, evidence.windows(queries, ppm), ppm, "frame")
+    sums = cut(by_frame.join(place, "frame").groupBy("qi", "channel", "pix").agg(F.sum("inten").alias("inten")))
     counts = frames.agg(F.count_distinct("pix"), F.count_distinct(F.when(F.col("is_on"), F.col("pix")))).first()
     n_pixels, n_on = int(counts[0]), int(counts[1])
     by_channel = evidence.by_channel(sums).join(frames.select("pix", "is_on").distinct(), "pix")
     by_channel = cut(by_channel)
     images = by_channel.where("is_on").select("qi", "pix", "m")
     bright = evidence.top_decile(images, n_on)
-    profile = cut(evidence.profiles(placed.where("is_on"), queries, bright))
+    hits = evidence.profile_hits(events, queries, "frame").join(place.where("is_on"), "frame")
+    profile = cut(evidence.profile_of(hits, bright))
     statistics = evidence.image_statistics(by_channel, n_pixels, n_on)
     coloc = evidence.tic_normalised(images) if tic_normalize else images
     n_queries = queries.count()
@@ -69,7 +74,10 @@ def run(spark: SparkSession, config: dict[str, Any]) -> dict[str, Any]:
         since[0] = time.time()
 
     found = candidates.targets(readers.read_psms(spark, config["psms"], config["psm_reader"]))
-    events = readers.read_events(spark, config["events"], tuple(config["mz_range"]) if config["mz_range"] else None)
+    if config["event_store"]:
+        events = EventStore.kept(spark, config["event_store"], config["events"], readers.read_events)
+    else:
+        events = readers.read_events(spark, config["events"], tuple(config["mz_range"]) if config["mz_range"] else None)
     frames = evidence.pixels(readers.read_frames(spark, config["frames"] or _beside(config["events"])))
     if config["tissue_mask"]:
         frames = frames.join(readers.read_mask(spark, config["tissue_mask"]), "pix", "left").withColumn("is_on", F.coalesce("is_on", F.lit(False)))

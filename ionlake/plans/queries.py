@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import chem
 from ..operators import candidates, evidence, fdr, ordered, score, stats
+from ..operators.lineage import scratch
 from ..operators.rangejoin import ppm_join, ppm_window
+from ..sources.eventstore import EventStore
 from . import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -273,6 +275,14 @@ def isotope_windows(spark, sf_dir):
     return evidence.window_sums(events, evidence.windows(asked, 10), 10)
 
 
+@query(SQL["isotope_windows"])
+def indexed_windows(spark, sf_dir):
+    """The sums of isotope_windows from a store, whose events aren't shuffled."""
+    asked = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qi"), F.col("o_totalprice").alias("mz"))
+    events = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("pix"), F.col("l_extendedprice").alias("mz"), F.col("l_quantity").alias("inten"))
+    return evidence.window_sums(EventStore.build(events, scratch(spark, "events")), evidence.windows(asked, 10), 10)
+
+
 ION_SQL = """r as (select l_orderkey as id, l_returnflag = 'R' as dec, max(l_extendedprice) as mz, max(l_quantity) / 10 as s from lineitem group by all)"""
 
 
