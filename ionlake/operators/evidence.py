@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chem
 from .rangejoin import ppm_join, ppm_window
+from .selection import quantiles
 from .stats import p90_of_nonzero, zero_aware_quantile
 
 CHANNELS = (-1, 0, 1, 2)
@@ -28,8 +29,8 @@ def tissue_mask(frames: DataFrame, quantile: float) -> DataFrame:
     tic = frames.withColumn("tic", F.coalesce("tic", F.lit(0.0)))
     if quantile <= 0:
         return tic.withColumn("is_on", F.col("tic") > 0)
-    cut = tic.where("tic > 0").agg(F.percentile("tic", quantile).alias("__cut"))
-    return tic.join(F.broadcast(cut)).withColumn("is_on", F.coalesce(F.col("tic") >= F.col("__cut"), F.lit(False))).drop("__cut")  # one row
+    least = quantiles(tic.where("tic > 0"), {"tic": ("tic", quantile)})["tic"]
+    return tic.withColumn("is_on", F.coalesce(F.col("tic") >= F.lit(least).cast("double"), F.lit(False)))
 
 
 def windows(queries: DataFrame, ppm: float) -> DataFrame:

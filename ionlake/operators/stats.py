@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import quantiles
+
 
 def with_scalars(df: DataFrame, **aggregates: Column) -> DataFrame:
     """``df`` with the aggregates over all its rows as columns."""
@@ -16,24 +18,21 @@ def with_scalars(df: DataFrame, **aggregates: Column) -> DataFrame:
 
 def median_filled(df: DataFrame, *columns: str) -> DataFrame:
     """Nulls of each column become its median over all rows."""
-    out = with_scalars(df, **{f"__m_{c}": F.median(c) for c in columns})
-    return out.withColumns({c: F.coalesce(c, f"__m_{c}") for c in columns}).drop(*(f"__m_{c}" for c in columns))
+    medians = quantiles(df, {c: (c, 0.5) for c in columns})
+    return df.withColumns({c: F.coalesce(c, F.lit(medians[c]).cast("double")) for c in columns})
 
 
 def z_scores(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Adds a z-score (population deviation, 1 where it is 0) for each column, after the median
     fill (0 where all are null). ``columns``: column -> name of its z-score."""
-    aggregates: dict[str, Column] = {}
-    for c in columns:
-        aggregates[f"__med_{c}"] = F.coalesce(F.median(c), F.lit(0.0))
-    rows = with_scalars(df, **aggregates)
-    rows = rows.withColumns({f"__f_{c}": F.coalesce(F.col(c).cast("double"), F.col(f"__med_{c}")) for c in columns})
+    medians = quantiles(df, {c: (c, 0.5) for c in columns})
+    rows = df.withColumns({f"__f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(medians[c] or 0.0)) for c in columns})
     spread: dict[str, Column] = {}
     for c in columns:
         spread |= {f"__avg_{c}": F.avg(f"__f_{c}"), f"__sd_{c}": F.stddev_pop(f"__f_{c}")}
     rows = with_scalars(rows, **spread)
     rows = rows.withColumns({z: (F.col(f"__f_{c}") - F.col(f"__avg_{c}")) / F.when(F.col(f"__sd_{c}") > 0, F.col(f"__sd_{c}")).otherwise(1.0) for c, z in columns.items()})
-    return rows.drop(*(f"__{k}_{c}" for k in ("med", "f", "avg", "sd") for c in columns))
+    return rows.drop(*(f"__{k}_{c}" for k in ("f", "avg", "sd") for c in columns))
 
 
 def signed_sum(signs: Mapping[str, float]) -> Column:

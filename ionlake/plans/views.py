@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import chem
 from ..operators.ordered import bucketed, running_sums
 from ..operators.rangejoin import ppm_window
+from ..operators.selection import quantiles
 from ..operators.stats import bin_of, histogram, with_scalars
 
 REPORTED_Q, TOP_DECOYS = 0.1, 50
@@ -40,7 +41,8 @@ def score_tail(peptides: DataFrame, points: int = 300) -> DataFrame:
     median to the best score. Each row is counted at its last point and the counts are summed over
     the points, so that nothing is joined by range."""
     target = F.when(~F.col("is_decoy"), F.col("s"))
-    scalars = peptides.agg(F.median(target).alias("lo"), F.max("s").alias("hi"), (F.count_if("is_decoy") / F.greatest(F.count_if(~F.col("is_decoy")), F.lit(1))).alias("k"))
+    median = quantiles(peptides.select(target.alias("s")), {"s": ("s", 0.5)})["s"]
+    scalars = peptides.agg(F.lit(median).cast("double").alias("lo"), F.max("s").alias("hi"), (F.count_if("is_decoy") / F.greatest(F.count_if(~F.col("is_decoy")), F.lit(1))).alias("k"))
     rows = peptides.join(F.broadcast(scalars)).where(F.col("s") >= F.col("lo"))  # one row
     step = (F.col("hi") - F.col("lo")) / (points - 1)
     at = F.least(F.floor(F.coalesce(F.try_divide(F.col("s") - F.col("lo"), step), F.lit(points - 1.0)) + 1e-9), F.lit(points - 1)).cast("int")
@@ -96,9 +98,10 @@ def mz_density(evidence: DataFrame, low: float, high: float, bins: int, *by: str
 
 def centroid_histogram(rows: DataFrame, bins: int, x: str = "cen", *by: str) -> DataFrame:
     """Histogram from the 1st to the 99th percentile."""
-    ranged = with_scalars(rows.where(F.col(x).isNotNull()), __lo=F.percentile(x, 0.01), __hi=F.percentile(x, 0.99))
-    inside = ranged.where(F.col(x).between(F.col("__lo"), F.col("__hi")))
-    return inside.groupBy(*by, F.coalesce(bin_of(F.col(x), F.col("__lo"), (F.col("__hi") - F.col("__lo")) / bins, bins), F.lit(0)).alias("bin")).agg(F.count("*").alias("n"))
+    ends = quantiles(rows, {"low": (x, 0.01), "high": (x, 0.99)})
+    low, high = (F.lit(ends[k]).cast("double") for k in ("low", "high"))
+    inside = rows.where(F.col(x).between(low, high))
+    return inside.groupBy(*by, F.coalesce(bin_of(F.col(x), low, (high - low) / bins, bins), F.lit(0)).alias("bin")).agg(F.count("*").alias("n"))
 
 
 def ion_image(images: DataFrame, frames: DataFrame, qi: int, channel: int) -> DataFrame:
