@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chem
+from .gram import products
 from .rangejoin import ppm_join, ppm_window
 from .selection import quantiles
 from .stats import p90_of_nonzero, zero_aware_quantile
@@ -122,18 +123,19 @@ def tic_normalised(images: DataFrame) -> DataFrame:
 
 def colocalisation(images: DataFrame, pairs: DataFrame, n_queries: int, n_on: int) -> DataFrame:
     """qi, pqi and r of the asked pairs: the correlation of two images (qi, pix, m) after the mean
-    image of all queries is taken from each. Never dense: with G the products of two images over the
-    pixels they share and b, m2 those with and of the mean image,
+    image of all queries is taken from each. Pairs of one protein (if they name it) share tiles. With G
+    the products of two images over the pixels they share and b, m2 those with and of the mean image,
     C = G - b_i - b_j + m2 - n * (mean_i - mean) * (mean_j - mean) and r = C_ij / sqrt(C_ii C_jj)."""
     one = images.where("m <> 0").select("qi", "pix", F.col("m").cast("double").alias("m"))
     mean = one.groupBy("pix").agg((F.sum("m") / n_queries).alias("mu"))
     scalars = mean.agg(F.coalesce(F.sum(F.col("mu") * F.col("mu")), F.lit(0.0)).alias("m2"), F.coalesce(F.sum("mu") / n_on, F.lit(0.0)).alias("mbar"))
     own = one.join(mean, "pix").groupBy("qi").agg(F.sum(F.col("m") * F.col("mu")).alias("b"), (F.sum("m") / n_on).alias("avg"), F.sum(F.col("m") * F.col("m")).alias("g"))
-    asked = pairs.select(F.least("qi", "pqi").alias("i"), F.greatest("qi", "pqi").alias("j")).distinct()
-    left = asked.join(one.select(F.col("qi").alias("i"), "pix", F.col("m").alias("mi")), "i")
-    shared = left.join(one.select(F.col("qi").alias("j"), "pix", F.col("m").alias("mj")), ["j", "pix"]).groupBy("i", "j").agg(F.sum(F.col("mi") * F.col("mj")).alias("G"))
+    group = F.regexp_replace("protein", "^DECOY_", "") if "protein" in pairs.columns else F.lit("")
+    asked = pairs.select(F.least("qi", "pqi").alias("i"), F.greatest("qi", "pqi").alias("j"), group.alias("group")).groupBy("i", "j").agg(F.min("group").alias("group"))
+    shared = products(one, asked.where("i < j")).withColumnRenamed("g", "G")
     side = lambda s: own.select(F.col("qi").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("b", "avg", "g")))
     rows = asked.join(shared, ["i", "j"], "left").join(side("i"), "i", "left").join(side("j"), "j", "left").na.fill(0.0).join(F.broadcast(scalars))  # one row
+    rows = rows.withColumn("G", F.when(F.col("i") == F.col("j"), F.col("g_i")).otherwise(F.col("G")))
     centred = lambda g, s, t: F.col(g) - F.col(f"b_{s}") - F.col(f"b_{t}") + F.col("m2") - n_on * (F.col(f"avg_{s}") - F.col("mbar")) * (F.col(f"avg_{t}") - F.col("mbar"))
     spread = centred("g_i", "i", "i") * centred("g_j", "j", "j")
     r = rows.select("i", "j", F.when((centred("g_i", "i", "i") > FLAT) & (centred("g_j", "j", "j") > FLAT), centred("G", "i", "j") / F.sqrt(spread)).alias("r"))

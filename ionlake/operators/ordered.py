@@ -48,6 +48,13 @@ def running_min(df: DataFrame, by: str, name: str, value: str, descending: bool
     return out.withColumn(name, F.least("__in", f"__before_{name}")).drop("__in", f"__before_{name}")
 
 
+def following(df: DataFrame, by: str, name: str) -> DataFrame:
+    """Adds the next larger value of ``by``, whose values are distinct; infinity after the last."""
+    ahead = _before(df, {name: F.min(by)}, {name: F.min(name)}, descending=True)
+    out = df.withColumn("__next", F.lead(by).over(Window.partitionBy(BUCKET).orderBy(by))).join(F.broadcast(ahead), BUCKET)
+    return out.withColumn(name, F.coalesce("__next", f"__before_{name}", F.lit(float("inf")))).drop("__next", f"__before_{name}")
+
+
 def average_rank(df: DataFrame, by: str, name: str) -> DataFrame:
     """Adds the average rank of ``by`` over the number of rows, equal values sharing theirs."""
     rows = running_sums(bucketed(df, by), by, {"__upto": F.lit(1)}, descending=False)

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+from .ordered import bucketed, following, running_sums
 from .selection import quantiles
 
 
@@ -69,21 +71,52 @@ def histogram(df: DataFrame, x: str, low: float, high: float, bins: int, *by: st
     return inside.groupBy(*by, bin_of(F.col(x), low, (high - low) / bins, bins).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def box_mode(df: DataFrame, x: str, width: float, step: float = 0.05, reach: float = 5.0, rounds: int = 20) -> float | None:
-    """Centre of the box of half-width ``width`` that holds most values: the mean of the best points
-    of a grid, then so many times the median inside the box. One number; the grid's counts are
-    aggregated by Spark, and each round is an aggregate of its own."""
-    steps = round(2 * reach / step)
-    near = df.where(F.abs(x) < 10).select(F.col(x).cast("double").alias("x"))
-    cells = F.sequence(F.greatest(F.ceil((F.col("x") - width + reach) / step - 1e-9), F.lit(0)).cast("int"), F.least(F.floor((F.col("x") + width + reach) / step + 1e-9), F.lit(steps)).cast("int"))
-    touched = near.where((F.col("x") + width >= -reach) & (F.col("x") - width <= reach))
-    counts = touched.select(F.explode(cells).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-    best = counts.withColumn("__most", F.max("n").over(Window.partitionBy(F.lit(0)))).where("n = __most").agg(F.avg("g")).first()[0]  # at most steps + 1 rows
-    if best is None:
-        return None
-    mode = best * step - reach
-    for _ in range(rounds):
-        mode = near.where(F.abs(F.col("x") - mode) < width).agg(F.median("x")).first()[0]
-        if mode is None:
-            return None
-    return float(mode)
+#: The grid of a box mode, the reach of its numbers, and the rounds of medians.
+GRID_STEP, GRID_REACH, NUMBERS_REACH, ROUNDS = 0.05, 5.0, 10.0, 20
+
+
+def box_counts(df: DataFrame, x: str, width: float) -> DataFrame:
+    """i and n: how many numbers lie in the box of half-width ``width`` (closed) around the i-th point of
+    the grid. A number is counted at each of its points, by a pre-aggregated sum."""
+    steps = round(2 * GRID_REACH / GRID_STEP)
+    near = df.where(F.abs(x) < NUMBERS_REACH).select(F.col(x).cast("double").alias("x"))
+    at = lambda y: (F.col("x") + y + GRID_REACH) / GRID_STEP
+    cells = F.sequence(F.greatest(F.ceil(at(-width) - 1e-7), F.lit(0)).cast("int"), F.least(F.floor(at(width) + 1e-7), F.lit(steps)).cast("int"))
+    touched = near.where((F.col("x") + width >= -GRID_REACH) & (F.col("x") - width <= GRID_REACH))
+    counts = touched.select(F.explode(cells).alias("i")).groupBy("i").agg(F.count("*").alias("n"))
+    grid = df.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("i"))
+    return grid.join(counts, "i", "left").na.fill(0, ["n"])
+
+
+def prefix_counts(df: DataFrame, x: str) -> DataFrame:
+    """x, before, upto and next of each distinct number: how many are smaller, how many at most as large,
+    and the next larger one; and a row of minus infinity. Made of sums in buckets, not of one sort."""
+    counts = bucketed(df.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("x")).agg(F.count("*").alias("__n")), "x")
+    rows = following(running_sums(counts, "x", {"upto": F.col("__n")}, descending=False), "x", "next")
+    rows = rows.select("x", (F.col("upto") - F.col("__n")).alias("before"), "upto", "next")
+    least = rows.agg(F.coalesce(F.min("x"), F.lit(float("inf"))).alias("next"))
+    return rows.unionByName(least.select(F.lit(float("-inf")).alias("x"), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("upto"), "next"))
+
+
+#: One round looks up how many numbers lie below each end of the open box, then the numbers of the two
+#: middle ranks between; the rounds are a recursive query over the table of counts.
+_ROUNDS = """with recursive rounds(k, mode) as (
+  select 0, mode from {start}
+  union all
+  select k + 1, (one.x + two.x) / 2 from rounds
+  join {counts} low on low.x <= mode - {width} and mode - {width} < low.next
+  join {counts} high on high.x < mode + {width} and mode + {width} <= high.next and high.upto > low.upto
+  join {counts} one on one.before <= (low.upto + high.upto - 1) div 2 and (low.upto + high.upto - 1) div 2 < one.upto
+  join {counts} two on two.before <= (low.upto + high.upto) div 2 and (low.upto + high.upto) div 2 < two.upto
+  where k < {rounds}
+) select max(case when k = {rounds} then mode end) as mode from rounds"""
+
+
+def box_mode(df: DataFrame, x: str, width: float) -> DataFrame:
+    """One row: mode, the centre of the box of half-width ``width`` that holds most numbers: the mean of
+    the grid's best points, then ROUNDS times the median inside the open box (null once it is empty)."""
+    counts = box_counts(df, x, width)
+    best = with_scalars(counts, __most=F.max("n")).where("n = __most and n > 0")  # a row for each point
+    start = best.agg((F.avg("i") * GRID_STEP - GRID_REACH).alias("mode")).where("mode is not null")
+    table = cut(prefix_counts(df.where(F.abs(x) < NUMBERS_REACH), x))
+    return df.sparkSession.sql(_ROUNDS, start=cut(start), counts=table, width=float(width), rounds=ROUNDS)

@@ -16,6 +16,10 @@ from ..sources.eventstore import EventStore
 from . import views
 
 
+#: The terms that find the m/z offset: all but the one that needs it.
+FOUR = list(score.SIGNS)[:4]
+
+
 def queries_of(found: DataFrame) -> DataFrame:
     """qi and mz: the distinct query m/z in order. Numbers come from a bucketed count, not a global sort."""
     distinct = found.select(F.col("feature_mz").alias("mz")).distinct()
@@ -95,7 +99,7 @@ def run(spark: SparkSession, config: dict[str, Any]) -> dict[str, Any]:
     table = cut(got["evidence"])
     correlate = lambda pairs: evidence.colocalisation(got["images"], pairs, got["n_queries"], got["n_on"])
     step("evidence")
-    offset, estimate, z = (float(config["mz_offset_ppm"]), None, None) if config["mz_offset_ppm"] != "auto" else score.mz_offset(score.z_sum(score.terms(world, table, correlate), list(score.SIGNS)[:4], "s4"))
+    offset, estimate, z = (float(config["mz_offset_ppm"]), None, None) if config["mz_offset_ppm"] != "auto" else tuple(score.mz_offset(score.z_sum(score.terms(world, table, correlate), FOUR, "s4")).first())
     step("offset")
     rows, peptides, proteins = score_run(world, table, correlate, offset)
     known = readers.read_known_peptides(spark, config["gt_peptides"]).withColumn("is_gt", F.lit(True)) if config["gt_peptides"] else None

@@ -716,28 +716,29 @@ OFFSET_SQL = "x as (select (l_extendedprice * 100)::bigint % 2000 / 100.0::doubl
 
 
 def _offset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t(spark, sf_dir, "lineitem").select((F.bround(F.col("l_extendedprice") * 100, 0).cast("long") % 2000 / 100.0 - 10).alias("cen"), F.col("l_quantity").alias("s4"))
-    cut = rows.agg(F.percentile("s4", 0.99).alias("__cut"))
-    return rows.join(F.broadcast(cut)).where("s4 >= __cut").select(F.col("cen").alias("x"))
+    return t(spark, sf_dir, "lineitem").select((F.bround(F.col("l_extendedprice") * 100, 0).cast("long") % 2000 / 100.0 - 10).alias("cen"), F.col("l_quantity").alias("s4"))
 
 
 @query(f"with {OFFSET_SQL}, g as (select i::int as i, -5 + i * 0.05::double as g from range(201) r(i)) select i, count(x) as n from g left join b on abs(x) < 10 and x >= g - 2 - 1e-9 and x <= g + 2 + 1e-9 group by i")
 def box_mode_grid(spark, sf_dir):
-    near = _offset_rows(spark, sf_dir).where(F.abs("x") < 10)
-    cells = F.sequence(F.greatest(F.ceil((F.col("x") - 2 + 5) / 0.05 - 1e-7), F.lit(0)).cast("int"), F.least(F.floor((F.col("x") + 2 + 5) / 0.05 + 1e-7), F.lit(200)).cast("int"))
-    counts = near.where(F.abs("x") <= 7).select(F.explode(cells).alias("i")).groupBy("i").agg(F.count("*").alias("n"))
-    grid = spark.range(201).select(F.col("id").cast("int").alias("i"))
-    return grid.join(counts, "i", "left").na.fill(0, ["n"])
+    return stats.box_counts(score.best_centroids(_offset_rows(spark, sf_dir)), "x", 2.0)
 
 
-@query()
+MODE_SQL = f"""{OFFSET_SQL}, near as materialized (select x from b where abs(x) < 10),
+grid as (select i, count(x) as n from (select i, -5 + i * 0.05::double as g from range(201) r(i)) g join near on x >= g - 0.5 - 1e-9 and x <= g + 0.5 + 1e-9 group by i),
+start as (select avg(i) * 0.05::double - 5 as mode from grid where n = (select max(n) from grid)),
+rounds as (select 0 as k, mode from start union all select k + 1, (select median(x) from near where abs(x - mode) < 0.5) from rounds where k < 20), m as (select mode from rounds where k = 20)"""
+
+
+@query(
+    f"""with recursive {MODE_SQL}, g as (select count(*) filter (where abs(x - mode) < 0.5) as inside, count(*) filter (where abs(x - mode) >= 1.5 and abs(x - mode) < 2.5) * 0.5::double as half from b, m),
+z as (select mode as estimate, (inside - half) / sqrt(greatest(half, 1)) as z from m, g) select case when z > 6 and abs(estimate) >= 1 then estimate else 0::double end as used, round(estimate, 9) as estimate, round(z, 9) as z from z"""
+)
 def mz_offset(spark, sf_dir):
-    """The offset's estimate: an iteration, so without SQL; the tests compare it with numpy."""
-    used, estimate, z = score.mz_offset(t(spark, sf_dir, "lineitem").select((F.bround(F.col("l_extendedprice") * 100, 0).cast("long") % 2000 / 100.0 - 10).alias("cen"), F.col("l_quantity").alias("s4")))
-    return spark.createDataFrame([(used, estimate, z)], "used double, estimate double, z double")
+    found = score.mz_offset(_offset_rows(spark, sf_dir))
+    return found.select("used", F.round("estimate", 9).alias("estimate"), F.round("z", 9).alias("z"))
 
 
 @query(f"with {OFFSET_SQL} select count(*) filter (where abs(x + 1.5) < 0.5) as inside, count(*) filter (where abs(x + 1.5) >= 1.5 and abs(x + 1.5) < 2.5) as beside from b")
 def mz_offset_gate(spark, sf_dir):
-    away = F.abs(F.col("x") + 1.5)
-    return _offset_rows(spark, sf_dir).agg(F.count_if(away < 0.5).alias("inside"), F.count_if((away >= 1.5) & (away < 2.5)).alias("beside"))
+    return score.offset_gate(score.best_centroids(_offset_rows(spark, sf_dir)), F.lit(-1.5))

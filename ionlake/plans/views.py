@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chem
+from ..operators.gram import products
 from ..operators.ordered import bucketed, running_sums
 from ..operators.rangejoin import ppm_window
 from ..operators.selection import quantiles
@@ -137,20 +138,19 @@ def contributions(rows: DataFrame, signs: dict[str, float], peptide: str) -> Dat
 
 
 def image_pairs(found: DataFrame) -> DataFrame:
-    """i and j: the pairs of images of each protein (qi, protein), each once."""
+    """i, j and group: the pairs of images of each protein (qi, protein), each once."""
     ids = found.select("protein", "qi").distinct()
-    return ids.withColumnRenamed("qi", "i").join(ids.withColumnRenamed("qi", "j"), "protein").where("i < j").select("i", "j").distinct()
+    pairs = ids.withColumnRenamed("qi", "i").join(ids.withColumnRenamed("qi", "j"), "protein").where("i < j")
+    return pairs.groupBy("i", "j").agg(F.min(F.col("protein").cast("string")).alias("group"))
 
 
 def image_correlations(images: DataFrame, pairs: DataFrame, n_pixels: int) -> DataFrame:
-    """i, j and r for the asked pairs (i, j) of images (qi, pix, m): plain Pearson, no mean image. Each
-    image is one row of sorted pixels, so that a pair is one row too."""
-    packed = images.where("m <> 0").groupBy("qi").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("ss"), F.map_from_entries(F.collect_list(F.struct("pix", F.col("m").cast("double")))).alias("p"))
-    side = lambda x: packed.select(F.col("qi").alias(x), *(F.col(c).alias(c + x) for c in ("s", "ss", "p")))
-    rows = pairs.join(side("i"), "i", "left").join(side("j"), "j", "left").na.fill(0.0, ["si", "ssi", "sj", "ssj"])
-    shared = F.coalesce(F.aggregate(F.map_entries("pi"), F.lit(0.0), lambda g, e: g + e["value"] * F.coalesce(F.try_element_at("pj", e["key"]), F.lit(0.0))), F.lit(0.0))
+    """i, j and r for the asked pairs (i, j, group) of images (qi, pix, m): plain Pearson, no mean image."""
+    own = images.groupBy("qi").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("ss"))
+    side = lambda x: own.select(F.col("qi").alias(x), F.col("s").alias(f"s{x}"), F.col("ss").alias(f"ss{x}"))
+    rows = products(images, pairs).join(side("i"), "i", "left").join(side("j"), "j", "left").na.fill(0.0, ["si", "ssi", "sj", "ssj"])
     vi, vj = F.col("ssi") - F.col("si") * F.col("si") / n_pixels, F.col("ssj") - F.col("sj") * F.col("sj") / n_pixels
-    return rows.select("i", "j", F.when((vi > 1e-10) & (vj > 1e-10), (shared - F.col("si") * F.col("sj") / n_pixels) / F.sqrt(vi * vj)).alias("r"))
+    return rows.select("i", "j", F.when((vi > 1e-10) & (vj > 1e-10), (F.col("g") - F.col("si") * F.col("sj") / n_pixels) / F.sqrt(vi * vj)).alias("r"))
 
 
 def protein_rows(proteins: DataFrame, peptides: DataFrame, level: float, decoys: bool = False) -> DataFrame:

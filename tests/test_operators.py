@@ -58,10 +58,48 @@ def test_picked_fdr_drops_a_decoy_that_repeats_an_earlier_ion(spark):
     assert got["T3"] == pytest.approx(0.25) and got["T0"] == pytest.approx(0.25) and got["DECOY_T0|1"] == 1.0
 
 
-def test_box_mode(spark):
+def test_box_mode(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.uniform(-10, 10, 20_000), np.full(500, -1.5)])
-    assert abs(stats.box_mode(spark.createDataFrame([(float(v),) for v in x], "x double"), "x", 2.0) + 1.5) < 0.3
+    mode = lambda values, w: stats.box_mode(spark.createDataFrame([(float(v),) for v in values], "x double"), "x", w).first().mode
+    assert abs(mode(x, 2.0) + 1.5) < 0.3
+    assert mode([], 2.0) is None and mode([50.0], 2.0) is None and mode([3.0], 0.5) == 3.0
+    small = rng.normal(1.7, 1.5, 301).round(2)
+
+    def plain(values, w):
+        near = values[np.abs(values) < 10]
+        grid = np.arange(201) * 0.05 - 5
+        n = np.array([(np.abs(near - g) <= w + 1e-9).sum() for g in grid])
+        m = grid[n == n.max()].mean()
+        for _ in range(20):
+            m = np.median(near[np.abs(near - m) < w])
+        return m
+
+    monkeypatch.setattr(ordered, "ROWS", 40)
+    for w in (0.5, 1.25):
+        assert mode(small, w) == pytest.approx(plain(small, w), abs=1e-9)
+
+
+def test_prefix_counts_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(stats, "bucketed", lambda df, by: ordered.bucketed(df, by, rows=7))
+    values = [round(v, 1) for v in np.random.default_rng(1).normal(0, 3, 200).tolist()]
+    got = rows(stats.prefix_counts(spark.createDataFrame([(v,) for v in values], "x double"), "x"), "x")
+    distinct = sorted(set(values))
+    expected = [(float("-inf"), 0, 0, distinct[0])] + [(v, sum(y < v for y in values), sum(y <= v for y in values), n) for v, n in zip(distinct, [*distinct[1:], float("inf")], strict=True)]
+    assert got == expected
+
+
+def test_offset_is_used_only_when_it_stands_out(spark):
+    rng = np.random.default_rng(3)
+    cen = np.concatenate([rng.uniform(-10, 10, 9000), rng.normal(-2.4, 0.1, 100)])
+    s4 = np.concatenate([rng.uniform(0, 1, 9000), rng.uniform(5, 6, 100)])
+    df = spark.createDataFrame(list(zip(cen.tolist(), s4.tolist(), strict=True)), "cen double, s4 double")
+    r = score.mz_offset(df).first()
+    assert r.used == r.estimate and abs(r.estimate + 2.4) < 0.1 and r.z > 6
+    near = score.mz_offset(df.withColumn("cen", F.col("cen") + 2.3)).first()
+    assert near.used == 0.0 and abs(near.estimate + 0.1) < 0.1
+    none = score.mz_offset(df.where("false")).first()
+    assert tuple(none) == (0.0, None, None)
 
 
 def test_tissue_mask(spark):
