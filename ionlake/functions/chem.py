@@ -25,6 +25,11 @@ ATOM_MASS = {"C": 12.0, "H": 1.00782503207, "N": 14.0030740048, "O": 15.99491461
 #: Abundance of the isotope one neutron heavier relative to the lightest, and of oxygen-18.
 HEAVIER = {"C": 0.0107 / 0.9893, "H": 0.000115 / 0.999885, "N": 0.00364 / 0.99636, "O": 0.00038 / 0.99757}
 OXYGEN_18 = 0.00205 / 0.99757
+#: Abundances of isotopes by neutrons above the lightest.
+ABUNDANCES = {
+    "C": (0.9893, 0.0107), "H": (0.999885, 0.000115), "N": (0.99636, 0.00364),
+    "O": (0.99757, 0.00038, 0.00205), "S": (0.9499, 0.0075, 0.0425, 0.0, 0.0001),
+}
 CLASSES = {"arom": "[FWYH]", "pro": "P", "acid": "[DE]", "basic": "H"}
 LEAST = 1e-10
 
@@ -133,6 +138,38 @@ def isotopes(c: Column, h: Column, n: Column, o: Column) -> list[Column]:
     return [F.lit(1.0) / total, one / total, two / total]
 
 
+def power_sums(abundances: tuple[float, ...], peaks: int) -> list[float]:
+    """k times the k-th coefficient of the logarithm of an element's isotope polynomial, for k from 1:
+    what an atom adds to Newton's identities. Plain numbers, since abundances are fixed."""
+    a = [x / abundances[0] for x in abundances] + [0.0] * peaks
+    out: list[float] = []
+    for k in range(1, peaks):
+        out.append(k * a[k] - sum(out[j - 1] * a[k - j] for j in range(1, k)))
+    return out
+
+
+def isotope_envelope(counts: dict[str, Column], peaks: int) -> Column:
+    """The first ``peaks`` isotope peaks of a composition as an array that sums to one. The logarithm of a
+    product is a sum, so that elements' power sums are added, and the peaks follow one from the other
+    by Newton's identities, k e_k = p_1 e_(k-1) + ... + p_k e_0: no polynomial is multiplied."""
+    sums = {atom: power_sums(ABUNDANCES[atom], peaks) for atom in counts}
+    p = F.array(*(reduce(lambda a, b: a + b, [n * F.lit(sums[atom][k]) for atom, n in counts.items()]) for k in range(peaks - 1)))
+
+    def grow(e: Column, k: Column) -> Column:
+        terms = F.zip_with(F.slice(p, F.lit(1), k), F.reverse(e), lambda x, y: x * y)
+        return F.concat(e, F.array(F.aggregate(terms, F.lit(0.0), lambda t, x: t + x) / k))
+
+    peaks_of = F.aggregate(F.sequence(F.lit(1), F.lit(peaks - 1)), F.array(F.lit(1.0)), grow) if peaks > 1 else F.array(F.lit(1.0))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda t, x: t + x)
+    return F.element_at(F.transform(F.array(peaks_of), lambda e: F.transform(e, lambda x: x / total(e))), 1)
+
+
+def averagine_envelope(mz: Column, peaks: int, sulphur: bool = True) -> Column:
+    """``isotope_envelope`` of averagine at a protonated m/z."""
+    counts = averagine(mz - F.lit(PROTON))
+    return isotope_envelope({a: n for a, n in counts.items() if sulphur or a != "S"}, peaks)
+
+
 def averagine_isotopes(mz: Column) -> list[Column]:
     a = averagine(mz - F.lit(PROTON))
     return isotopes(a["C"], a["H"], a["N"], a["O"])

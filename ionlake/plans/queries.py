@@ -583,6 +583,28 @@ def isotope_dist(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", *(F.round(c, 9).alias(f"m{i}") for i, c in enumerate(chem.averagine_isotopes(F.col(_MASS)))))
 
 
+PEAKS = 5
+_CONVOLVED = lambda x, y: f"list_transform(range({PEAKS}), lambda k: list_sum(list_transform(range(k + 1), lambda i: {x}[i + 1] * {y}[k - i + 1])))"
+
+
+def _power_sql(atom: str) -> str:
+    """An element's isotope polynomial to the power of its count n, by enumeration: 1 + a x + b x^2 + d x^4."""
+    a, b, _, d = [x / chem.ABUNDANCES[atom][0] for x in (*chem.ABUNDANCES[atom], 0.0, 0.0, 0.0, 0.0)][1:5]
+    choose = lambda n, k: f"list_product(list_transform(range({k}), lambda t: ({n} - t) / (t + 1.0::double)))" if k else "1.0::double"
+    term = lambda k, two: f"{choose('n', two)} * {b**two!r}::double * {choose(f'(n - {two})', k - 2 * two)} * {a ** (k - 2 * two)!r}::double"
+    return "[" + ", ".join(" + ".join([*(term(k, two) for two in range(k // 2 + 1)), *([f"n * {d!r}::double"] if k == 4 else [])]) for k in range(PEAKS)) + "]"
+
+
+_ATOMS = list(chem.AVERAGINE.items())
+_STEPS = ", ".join(f"p{i} as (select p_partkey, mz, {_CONVOLVED('e', 'f')} as e from (select *, {_power_sql(atom)} as f from (select *, round_even((mz - 1.007276::double) * {k}::double, 0) as n from p{i - 1})))" for i, (atom, k) in ((j + 1, x) for j, x in enumerate(_ATOMS)))
+
+
+@query(f"with p0 as (select p_partkey, p_retailprice as mz, [1.0::double, 0, 0, 0, 0] as e from part), {_STEPS} select p_partkey, " + ", ".join(f"round(e[{i + 1}] / list_sum(e), 9) as m{i}" for i in range(PEAKS)) + f" from p{len(_ATOMS)}")
+def isotope_envelope(spark, sf_dir):
+    envelope = chem.averagine_envelope(F.col(_MASS), PEAKS)
+    return t(spark, sf_dir, "part").select("p_partkey", envelope.alias("e")).select("p_partkey", *(F.round(F.get("e", F.lit(i)), 9).alias(f"m{i}") for i in range(PEAKS)))
+
+
 _OBS = ["(p_size - 1)::double", "(p_partkey % 7)::double", "(p_partkey % 3)::double"]
 _KL = " + ".join(f"greatest(({o}) / nullif(tot, 0), 1e-10) * ln(greatest(({o}) / nullif(tot, 0), 1e-10) / greatest({e} / (1 + e1 + e2), 1e-10))" for o, e in zip(_OBS, ("1", "e1", "e2"), strict=True))
 

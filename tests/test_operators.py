@@ -191,6 +191,21 @@ def test_peptide_chemistry(spark):
     assert kl(None, None, None) == 0.0 and kl(0.0, 0.0, 0.0) == 0.0 and kl(1.0, 0.0, 0.0) > 0.1
 
 
+def test_isotope_envelopes_are_convolutions(spark):
+    composition = {"C": 50, "H": 81, "N": 14, "O": 16, "S": 3}
+    one = spark.range(1)
+    for peaks in (1, 2, 3, 5, 9):
+        got = one.select(chem.isotope_envelope({a: F.lit(float(n)) for a, n in composition.items()}, peaks)).first()[0]
+        whole = np.ones(1)
+        for atom, n in composition.items():
+            for _ in range(n):
+                whole = np.convolve(whole, chem.ABUNDANCES[atom])[:peaks]
+        assert got == pytest.approx((whole / whole.sum()).tolist(), rel=1e-12)
+    three = one.select(F.array(*chem.isotopes(*(F.lit(float(composition[a])) for a in "CHNO")))).first()[0]
+    assert one.select(chem.isotope_envelope({a: F.lit(float(composition[a])) for a in "CHNO"}, 3)).first()[0] == pytest.approx(three, rel=1e-12)
+    assert one.select(chem.isotope_envelope({"C": F.lit(0.0), "S": F.lit(0.0)}, 4)).first()[0] == [1.0, 0.0, 0.0, 0.0]
+
+
 def test_coloc_fill_comes_before_the_median(spark):
     df = spark.createDataFrame([(1, 0.2, 2, 5.0), (2, 0.6, 1, 5.0), (3, None, 0, 0.0), (4, None, 0, 5.0)], "i int, x double, n_partners int, isum double")
     got = dict(rows(score.shrunk(df).select("i", "coloc"), "i"))
