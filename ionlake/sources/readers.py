@@ -7,18 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions import chem
 from . import imaging
+from .identifications import xml_reader
 
 #: Column names of identification tables by reader; "infer" finds the first that fits the header.
 READERS = {
     "tsv": {"sequence": "peptidoform", "protein": "protein_list", "q": "qvalue", "decoy": "is_decoy"},
     "fragpipe": {"sequence": "Modified Peptide", "bare": "Peptide", "protein": "Protein", "q": "Qvalue", "decoy": None},
     "sage": {"sequence": "peptide", "protein": "proteins", "q": "spectrum_q", "decoy": "label"},
+    "maxquant": {"sequence": "Modified sequence", "bare": "Sequence", "protein": "Proteins", "q": "q-value", "decoy": "Reverse"},
+    "percolator": {"sequence": "peptide", "protein": "proteinIds", "q": "q-value", "decoy": None},
     "plain": {"sequence": "sequence", "protein": "protein", "q": "q", "decoy": "is_decoy"},
 }
 
 
 def read_psms(spark: SparkSession, path: str, reader: str = "infer") -> DataFrame:
-    """psm_idx, sequence, protein, q, n_hyp and is_decoy of a tab-separated identification table."""
+    """psm_idx, sequence, protein, q, n_hyp and is_decoy of a tab-separated identification table, or of a
+    file of mzIdentML, pepXML or idXML."""
+    if read := xml_reader(path, reader):
+        return read(spark, path)
     raw = spark.read.option("sep", "\t").option("header", True).csv(path)
     if reader == "infer":
         reader = next((name for name, c in READERS.items() if {c["sequence"], c["protein"]} <= set(raw.columns)), "")
@@ -28,8 +34,10 @@ def read_psms(spark: SparkSession, path: str, reader: str = "infer") -> DataFram
     form = F.col(f"`{c['sequence']}`")
     if "bare" in c and c["bare"] in raw.columns:
         form = F.coalesce(F.when(form == "", None).otherwise(form), F.col(f"`{c['bare']}`"))
+    # flanking residues (K.PEPTIDE.R), and modifications in nested brackets
+    form = F.regexp_replace(F.regexp_replace(form, r"^[A-Z-]\.|\.[A-Z-]$", ""), r"\((Oxidation|Hydroxylation) \(P\)\)", "[Oxidation]")
     text = lambda key: F.col(f"`{c[key]}`") if c[key] in raw.columns else F.lit(None).cast("string")
-    decoy = F.lower(text("decoy")).isin("true", "1", "-1", "decoy") if c["decoy"] else F.lit(False)
+    decoy = F.lower(text("decoy")).isin("true", "1", "-1", "decoy", "+") if c["decoy"] else F.lit(False)
     q = F.expr(f"try_cast(`{c['q']}` as double)") if c["q"] in raw.columns else F.lit(None).cast("double")
     rows = raw.select(
         F.monotonically_increasing_id().alias("psm_idx"),  # file order
