@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import chem
 from ..operators import candidates, evidence, fdr, ordered, score, stats
-from ..operators.lineage import scratch
+from ..operators.lineage import cut, scratch
 from ..operators.rangejoin import ppm_join, ppm_window
 from ..sources.eventstore import EventStore
-from . import views
+from . import pipeline, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -164,12 +164,12 @@ def score_class(spark, sf_dir):
 @query(
     f"""with {PEPTIDES_SQL}, {K_SQL}, {Q_SQL}, {PROTEIN_SQL.replace("pt as (", "pr as (")},
 part as (select distinct l_orderkey, l_partkey, l_returnflag = 'R' as is_decoy from lineitem),
-p as (select l_partkey::varchar as protein, count(*) as n_peptides, count(*) filter (where q <= 0.05) as n_reported from qq join part using (l_orderkey, is_decoy) where not is_decoy group by all)
-select pr.key, pr.s, coalesce(n_peptides, 0) as n_peptides, coalesce(n_reported, 0) as n_reported, coalesce(n_gt, 0) as n_gt from pr left join p using (protein) left join (select protein, 0::bigint as n_gt from p) z using (protein) where not pr.is_decoy"""
+p as (select l_partkey::varchar as protein, count(*) as n_peptides, count(*) filter (where q <= 0.05) as n_reported, count(*) filter (where l_orderkey % 7 = 0) as n_gt from qq join part using (l_orderkey, is_decoy) where not is_decoy group by all)
+select pr.key, pr.s, coalesce(n_peptides, 0) as n_peptides, coalesce(n_reported, 0) as n_reported, coalesce(n_gt, 0) as n_gt from pr left join p using (protein) where not pr.is_decoy"""
 )
 def protein_table(spark, sf_dir):
     parts = scored(spark, sf_dir).select("l_orderkey", "l_partkey", "is_decoy").distinct()
-    rows = with_q(spark, sf_dir).where("not is_decoy").join(parts, ["l_orderkey", "is_decoy"]).select(F.col("l_partkey").cast("string").alias("protein"), "q", F.lit(False).alias("is_gt"))
+    rows = with_q(spark, sf_dir).where("not is_decoy").join(parts, ["l_orderkey", "is_decoy"]).select(F.col("l_partkey").cast("string").alias("protein"), "q", (F.col("l_orderkey") % 7 == 0).alias("is_gt"))
     return views.protein_rows(protein_rows(spark, sf_dir), rows, 0.05).select("key", "s", "n_peptides", "n_reported", "n_gt")
 
 
@@ -193,11 +193,12 @@ def viewer_selection(spark, sf_dir):
 
 
 @query(
-    f"""with {PEPTIDES_SQL}, {K_SQL}, {Q_SQL} select count(*) filter (where q <= 0.05 and not is_decoy) as peptides, count(*) filter (where q <= 0.05 and l_orderkey % 7 = 0) as known from qq"""
+    f"""with {PEPTIDES_SQL}, {K_SQL}, {Q_SQL} select count(*) filter (where q <= 0.05 and not is_decoy) as peptides, count(*) filter (where q <= 0.05 and l_orderkey % 7 = 0) as known,
+count(*) filter (where q <= 0.05 and not is_decoy and l_orderkey % 3 = 0) as proteins, count(*) filter (where 2 * q <= 0.05 and not is_decoy and l_orderkey % 3 = 0) as proteins_picked from qq"""
 )
 def headline(spark, sf_dir):
     rows = with_q(spark, sf_dir).withColumn("is_gt", F.col("l_orderkey") % 7 == 0)
-    return views.headline(rows, rows.withColumn("q_picked", F.col("q")), 0.05).select("peptides", "known")
+    return views.headline(rows, rows.where("l_orderkey % 3 = 0").withColumn("q_picked", 2 * F.col("q")), 0.05)
 
 
 @query("select c_custkey, c_name, c_mktsegment from customer where contains(lower(c_name), '12') or contains(lower(c_mktsegment), '12')")
@@ -404,19 +405,23 @@ def pairwise_coloc(spark, sf_dir):
     return evidence.colocalisation(rows, _pairs(spark, sf_dir), n, 64).withColumn("r", F.round("r", 6))
 
 
+RANKED_SQL = "s as (select qi, sum(m) as isum, list_sort(list(m) filter (where m > 0)) as l from im group by qi), sp as (select qi, isum, coalesce(l[floor(0.9::double * len(l))::int + 1], 0) as p90, (rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0::double) / count(*) over () as ev from (select *, round(isum, 4) as p from s))"
+
+
 @query(
     f"""with {UNIT_SQL}, {PAIR_SQL}, r as (select pr.qi, pr.pqi, round(sum(a.x * b.x), 6) as r from pr join un a on a.qi = pr.qi join un b on b.qi = pr.pqi and a.pix = b.pix group by all),
-s as (select qi, sum(m) as isum from im group by qi), x as (select r.qi, sum(w * r) / sum(w) as x, count(*) as n from (select r.*, sqrt(a.isum) * sqrt(b.isum) as w from r join s a on a.qi = r.qi join s b on b.qi = r.pqi) r group by r.qi),
-j as (select s.qi, x, coalesce(n, 0) as n from s left join x using (qi)), md as (select median(x) as md from j)
+{RANKED_SQL}, x as (select r.qi, sum(w * r) / sum(w) as x, count(*) as n from (select r.*, sqrt(a.p90) * sqrt(b.p90) * b.ev as w from r join sp a on a.qi = r.qi join sp b on b.qi = r.pqi) r group by r.qi),
+j as (select sp.qi, x, coalesce(n, 0) as n from sp left join x using (qi)), md as (select median(x) as md from j)
 select qi, n as n_partners, round(case when n < 1 then x else (n * x + 4 * md) / (n + 4) end, 5) as coloc from j, md"""
 )
 def weighted_coloc_shrink(spark, sf_dir):
     rows = images(spark, sf_dir)
     n = rows.select("qi").distinct().count()
-    own = rows.groupBy("qi").agg(F.sum("m").alias("isum"))
-    pairs = _pairs(spark, sf_dir)
+    own = rows.groupBy("qi").agg(F.sum("m").alias("isum"), stats.p90_of_nonzero(F.collect_list("m")).alias("p90"))
+    ranked = ordered.average_rank(own.withColumn("p", F.round("isum", 4)), "p", "__rank").withColumn("feature_mz", (1000 + F.col("qi")).cast("double"))
+    pairs = cut(_pairs(spark, sf_dir))
     r = evidence.colocalisation(rows, pairs, n, 64).withColumn("r", F.round("r", 6))
-    found = score.weighted_coloc(pairs, r, own.withColumn("p90", F.col("isum")), own.select((1000 + F.col("qi")).cast("double").alias("partner_mz"), F.lit(1.0).alias("ev")))
+    found = score.weighted_coloc(pairs, r, own, score.evidence_means(ranked, "__rank"))
     joined = own.join(found.select((F.col("feature_mz") - 1000).cast("long").alias("qi"), "x", "n_partners"), "qi", "left")
     return score.shrunk(joined).select("qi", F.col("n_partners").cast("long").alias("n_partners"), F.round("coloc", 5).alias("coloc"))
 
@@ -461,6 +466,60 @@ def partner_pairs(spark, sf_dir):
     return score.partner_pairs(rows.drop("valid"), rows.select("qi", "valid"))
 
 
+_ZED = lambda x: f"({x} - avg({x}) over ()) / case when stddev_pop({x}) over () > 0 then stddev_pop({x}) over () else 1 end"
+#: The whole chain: evidence of each image, terms, partners and their correlations, score, competition.
+CHAIN_SQL = f"""{UNIT_SQL}, {ROWS_SQL.replace("rw as (", "rw as materialized (")}, sums as (select qi, sum(m) as isum, list_sort(list(m) filter (where m > 0)) as l from im group by qi),
+q0 as (select qi, 1000 + qi % 97 * 0.015::double as mz, isum, coalesce(l[floor(0.9::double * len(l))::int + 1], 0) as p90, isum / 64 as env0, (qi % 7 * 0.05)::double as env1, (qi % 3 * 0.02)::double as env2,
+case when qi % 6 > 0 then qi % 17 / 16.0::double end as iso_r, case when qi % 10 > 1 then qi % 13 / 12.0::double end as mm1_r, case when qi % 9 > 0 then qi % 21 - 10.0::double end as cen from sums),
+q1 as (select *, env0 + env1 + env2 as tot, {{iso}} from q0), q2 as (select *, case when tot > 0 then {{kl}} else 0 end as kl from q1),
+t0 as materialized (select rw.*, isum, p90, kl, iso_r, mm1_r, abs(cen - 0.5) as away from rw join q2 using (qi)), md as (select median(iso_r) as mi, median(mm1_r) as mm, median(away) as ma from t0),
+t1 as (select t0.*, coalesce(iso_r, mi) as iso, greatest(coalesce(mm1_r, mm) - 0.5, 0) as mm1, greatest(coalesce(away, ma) - 2, 0) as flank from t0, md),
+t2 as materialized (select *, {_ZED("iso")} as z_iso, {_ZED("kl")} as z_kl, {_ZED("mm1")} as z_mm1, {_ZED("flank")} as z_flank from t1),
+rk as (select feature_mz, (rank() over (order by sub) + (count(*) over (partition by sub) - 1) / 2.0::double) / count(*) over () as pct from (select feature_mz, z_iso - z_kl - z_mm1 - z_flank as sub from t2)),
+ev as (select feature_mz as partner_mz, avg(pct) as ev from rk group by feature_mz),
+v as (select * from rw where valid), f as (select feature_mz, protein, min(qi) as qi from v group by all), fp as (select f.*, parent_peptide, starts_with(f.protein, 'DECOY_') as dec from f join v using (qi)),
+tg as (select protein as grp, feature_mz as partner_mz, qi as pqi from fp where not dec), pm as (select peptide as parent_peptide, feature_mz as parent_mz from rw where not is_decoy),
+pr as materialized (select feature_mz, protein, qi, partner_mz, pqi from fp left join pm using (parent_peptide) join tg on grp = replace(protein, 'DECOY_', '')
+where (not dec or parent_mz is null or partner_mz <> parent_mz) and feature_mz <> partner_mz and abs(partner_mz - feature_mz) / feature_mz * 1e6 >= 20),
+rr as (select qi, pqi, sum(a.x * b.x) as r from (select distinct qi, pqi from pr) p join un a using (qi) join un b on b.qi = pqi and a.pix = b.pix group by qi, pqi),
+x as (select feature_mz, protein, case when sum(w) > 0 then coalesce(sum(w * r), 0) / sum(w) end as x, count(*) as n from (select pr.*, r, sqrt(a.p90) * sqrt(b.p90) * ev as w from pr left join rr using (qi, pqi) join q0 a using (qi) join q0 b on b.qi = pqi join ev using (partner_mz)) group by feature_mz, protein),
+c0 as (select t2.*, x, coalesce(n, 0) as n_partners from t2 left join x using (feature_mz, protein)), c1 as (select c0.* exclude (x), case when isum <= 0 and x is null then min(x) over () else x end as x from c0), m2 as (select median(x) as m from c1),
+c2 as (select c1.*, case when n_partners < 1 then x else (n_partners * x + 4 * m) / (n_partners + 4) end as coloc from c1, m2), m3 as (select median(coloc) as mc from c2), c3 as (select c2.*, coalesce(coloc, mc) as full_coloc from c2, m3),
+sc as materialized (select *, {_ZED("full_coloc")} + z_iso - z_kl - z_mm1 - z_flank as s0 from c3),
+met as (select a.qi, max(b.s0) as best, sum(case when a.qi <> b.qi then exp(b.s0 - a.s0) end) as rivals from sc a join sc b on not b.is_decoy and b.feature_mz between a.feature_mz * (1 - 0.05 * 1e-6::double) and a.feature_mz * (1 + 0.05 * 1e-6::double) group by a.qi),
+fin as materialized (select sc.* exclude (s), coalesce(best > s0, false) as removed, s0 - ln(1 + coalesce(rivals, 0)) as s from sc left join met using (qi))"""
+
+
+def _chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows, k = images(spark, sf_dir), F.col("qi")
+    sums = rows.groupBy("qi").agg(F.sum("m").alias("isum"), stats.p90_of_nonzero(F.collect_list("m")).alias("p90"))
+    table = sums.select(
+        "qi", (1000 + k % 97 * F.lit(0.015)).alias("mz"), "isum", "p90", (F.col("isum") / 64).alias("env0"), (k % 7 * F.lit(0.05)).alias("env1"), (k % 3 * F.lit(0.02)).alias("env2"),
+        F.when(k % 6 > 0, k % 17 / 16.0).alias("iso_r"), F.when(k % 10 > 1, k % 13 / 12.0).alias("mm1_r"), F.when(k % 9 > 0, k % 21 - 10.0).alias("cen"), (k % 11 != 3).alias("valid"),
+    )
+    found = candidate_rows(spark, sf_dir).drop("s", "valid").withColumn("seed", k % 3)
+    n = rows.select("qi").distinct().count()
+    return pipeline.score_run(cut(found), cut(table), lambda pairs: evidence.colocalisation(rows, pairs, n, 64), 0.5)
+
+
+@query(f"with {CHAIN_SQL} select peptide, round(coloc, 5) as coloc, round(iso, 6) as iso, round(kl, 5) as kl, round(mm1, 6) as mm1, round(flank, 6) as flank, n_partners, round(s0, 4) as s0, removed, round(s, 4) as s from fin")
+def scored_rows(spark, sf_dir):
+    """All five terms, the score, and the competition on ions."""
+    rows, _, _ = _chain(spark, sf_dir)
+    digits = {"coloc": 5, "iso": 6, "kl": 5, "mm1": 6, "flank": 6, "s0": 4, "s": 4}
+    return rows.select("peptide", F.col("n_partners").cast("long").alias("n_partners"), "removed", *(F.round(c, d).alias(c) for c, d in digits.items()))
+
+
+@query(
+    f"""with {CHAIN_SQL}, pt as (select peptide, s, is_decoy, qi, protein, qi % 3 as seed from fin where not removed), kk as (select count(*) filter (where is_decoy)::double / count(*) filter (where not is_decoy) as k from rw),
+{Q_SQL} select peptide, is_decoy, protein, seed, round(s, 4) as s, round(q, 6) as q from qq"""
+)
+def score_run(spark, sf_dir):
+    """Peptides of the whole chain with their q-values; k is that before the competition."""
+    _, peptides, _ = _chain(spark, sf_dir)
+    return peptides.select("peptide", "is_decoy", "protein", "seed", F.round("s", 4).alias("s"), F.round("q", 6).alias("q"))
+
+
 _PT = "lt as (select l_orderkey as row_id, l_partkey as peptide, max(l_extendedprice) as s, bool_or(l_returnflag = 'R') as is_decoy, min(l_suppkey) as qi, min(l_linenumber) as seed from lineitem group by all)"
 
 
@@ -573,7 +632,7 @@ def _iso(x: str) -> str:
     return f"({one}) as e1, ((({one}) * ({one}) - ({sq})) / 2 + {n['O']} * {chem.OXYGEN_18!r}::double) as e2"
 
 
-for _n in ("term_evaluation", "envelope_view"):
+for _n in ("term_evaluation", "envelope_view", "scored_rows", "score_run"):
     _kl_sql = " + ".join(f"greatest({o} / nullif(tot, 0), 1e-10) * ln(greatest({o} / nullif(tot, 0), 1e-10) / greatest({x} / (1 + e1 + e2), 1e-10))" for o, x in (("env0", "1"), ("env1", "e1"), ("env2", "e2")))
     SQL[_n] = SQL[_n].replace("{iso}", _iso("mz - 1.007276::double")).replace("{kl}", _kl_sql)
 
