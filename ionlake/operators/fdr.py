@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import BUCKET, bucketed, running_min, running_sums
+from .lineage import cut
+from .ordered import bucketed, running_min, running_sums
 
 LEVELS = (0.01, 0.05, 0.1)
 
@@ -15,14 +16,20 @@ def decoy_ratio(df: DataFrame, decoy: str = "is_decoy") -> DataFrame:
     return df.agg((F.count_if(decoy) / F.greatest(F.count_if(~F.col(decoy)), F.lit(1))).alias("k"))
 
 
+def _by_score(steps: DataFrame, score: str, q: Column, name: str) -> DataFrame:
+    """``score`` and ``name`` of each distinct score: ``q`` of what all rows at or above it add up to (d and
+    t of ``steps``, a row for each score), made monotone from the worst score up."""
+    rows = running_sums(bucketed(cut(steps), score), score, {"__d": F.col("d"), "__t": F.col("t")})
+    return running_min(rows.withColumn("__q", q), score, name, "__q").select(score, name)
+
+
 def q_values(df: DataFrame, k: DataFrame | float, score: str = "s", decoy: str = "is_decoy", name: str = "q") -> DataFrame:
     """Adds q: of all rows at or above a row's score, (decoys + 1) / (k * targets), made monotone from
-    the worst score up. ``k``: a number or a one-row frame with column k."""
-    rows = bucketed(df, score)
-    rows = running_sums(rows, score, {"__d": F.col(decoy).cast("long"), "__t": (~F.col(decoy)).cast("long")})
-    rows = rows.withColumn("k", F.lit(float(k))) if not isinstance(k, DataFrame) else rows.join(F.broadcast(k))
-    rows = rows.withColumn("__q", (F.col("__d") + 1) / (F.col("k") * F.greatest("__t", F.lit(1))))
-    return running_min(rows, score, name, "__q").drop("__d", "__t", "__q", "k", BUCKET)
+    the worst score up. ``k``: a number or a one-row frame with column k. Rows are counted by score
+    before anything is ordered, so that a score which many share is one row."""
+    steps = df.groupBy(score).agg(F.count_if(decoy).alias("d"), F.count_if(~F.col(decoy)).alias("t"))
+    ratio = F.lit(float(k)) if not isinstance(k, DataFrame) else F.lit(k.first()["k"])
+    return df.join(_by_score(steps, score, (F.col("__d") + 1) / (ratio * F.greatest("__t", F.lit(1))), name), score, "left")
 
 
 def ids_at(df: DataFrame, q: str = "q", decoy: str = "is_decoy", levels: tuple[float, ...] = LEVELS) -> DataFrame:
@@ -69,14 +76,10 @@ def picked_q_values(best: DataFrame, score: str = "s") -> DataFrame:
         F.min_by("key", F.struct(-F.col(score), ~F.col("is_decoy"), F.col("key"))).alias("__winner"),
     )
     groups = groups.where("__targets > 0 and __k > 0")
-    joined = rows.join(groups, "grp", "left").withColumn("__wins", ~F.col("__dropped") & (F.col("key") == F.col("__winner")))
-    mean = groups.agg((1 / F.avg("__k")).alias("__unit"))
-    winners = running_sums(
-        bucketed(joined.where("__wins").select("key", score, "is_decoy", "__k"), score),
-        score,
-        {"__d": F.when(F.col("is_decoy"), 1 / F.col("__k")).otherwise(0.0), "__t": (~F.col("is_decoy")).cast("long")},
-    ).join(F.broadcast(mean))
-    winners = winners.withColumn("__q", (F.col("__d") + F.col("__unit")) / F.greatest("__t", F.lit(1)))
-    winners = running_min(winners, score, "q_picked", "__q").select("key", "q_picked")
-    out = joined.select(*rows.drop("__dropped").columns).join(winners, "key", "left")
-    return out.withColumn("q_picked", F.coalesce("q_picked", F.lit(1.0)))
+    joined = cut(rows.join(groups, "grp", "left").withColumn("__wins", ~F.col("__dropped") & (F.col("key") == F.col("__winner"))))
+    # of a group once: its winner stands for it
+    steps = joined.where("__wins").groupBy(score).agg(F.sum(F.when(F.col("is_decoy"), 1 / F.col("__k")).otherwise(0.0)).alias("d"), F.count_if(~F.col("is_decoy")).alias("t"))
+    unit = joined.where("__wins").agg((1 / F.avg("__k")).alias("unit")).first()["unit"]
+    curve = _by_score(steps, score, (F.col("__d") + F.lit(unit).cast("double")) / F.greatest("__t", F.lit(1)), "__q_picked")
+    out = joined.select(*rows.drop("__dropped").columns, "__wins").join(curve, score, "left")
+    return out.withColumn("q_picked", F.when(F.coalesce("__wins", F.lit(False)), F.col("__q_picked")).otherwise(1.0)).drop("__wins", "__q_picked")
