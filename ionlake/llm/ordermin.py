@@ -122,11 +122,11 @@ def _ranged(rows: DataFrame) -> DataFrame:
     total = rows.count()
     cells = max(1, min(CELLS, round((total / ROWS) ** 0.5)))
     fractions = [i / cells for i in range(1, cells)]
-    x = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
+    x = F.coalesce("doc_id", F.lit(-(1 << 63)))  # the long itself: a double would make one of many ids
     rows = rows.withColumns({"__x": x, "__share": F.conv(F.substring(F.md5("text"), 1, 12), 16, 10).cast("double") / float(1 << 48)})
     if cells == 1:
         return rows.select("doc_id", "text", F.lit(0).alias("cell"), F.lit(0).alias("range"))
-    bounds = F.array(*map(F.lit, rows.approxQuantile("__x", fractions, 0.25 / cells)))
+    bounds = F.array(*map(F.lit, rows.agg(F.percentile_approx("__x", fractions, 4 * cells)).first()[0]))
     cell, share = _place(F.col("__x"), F.col("__share"), bounds)
     rows = rows.withColumns({"__up": cell, "__share": share})
     inner = rows.groupBy("__up").agg(F.percentile_approx("__x", fractions, 8 * cells).alias("__edges"))
@@ -142,7 +142,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     ranged = _ranged(rows)
     order = [F.desc_nulls_last("doc_id"), F.md5("text")]
     # The first row of each range; its keys are found before its text is moved.
-    keys = ranged.groupBy("cell", "range").agg(F.max("doc_id").alias("__largest"), F.min_by(F.md5("text"), F.struct(F.col("doc_id").isNull(), -F.col("doc_id"), F.md5("text"))).alias("__md5"))
+    keys = ranged.groupBy("cell", "range").agg(F.max("doc_id").alias("__largest"), F.min_by(F.md5("text"), F.struct(F.col("doc_id").isNull(), F.bitwise_not("doc_id"), F.md5("text"))).alias("__md5"))
     heads = ranged.join(F.broadcast(cut(keys)), ["cell", "range"]).where(F.col("doc_id").eqNullSafe(F.col("__largest")) & (F.md5("text") == F.col("__md5")))  # CELLS * CELLS rows
     heads = heads.dropDuplicates(["cell", "range"]).select("cell", "range", F.col("text").alias("head"))
     heads = cut(with_signature(heads, "head", "head_signature"))

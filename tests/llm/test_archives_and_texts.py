@@ -236,6 +236,15 @@ def test_edited_nulls_repeats_and_small_tables(spark, monkeypatch):
     assert odd.count() == 5
 
 
+def test_neighbours_of_ids_that_doubles_cannot_tell(spark, monkeypatch):
+    monkeypatch.setattr(ordermin, "ROWS", 10)
+    ids = [2**62 + i for i in range(300)] + [-(2**62) - 3 * i for i in range(300)] + [2**62 + 7] * 200 + [-(2**63), 2**63 - 1]
+    rows = spark.createDataFrame([(d, f"text {i}") for i, d in enumerate(ids)], "doc_id long, text string").repartition(5, "text")
+    order = sorted((-d, hashlib.md5(f"text {i}".encode()).hexdigest(), f"text {i}") for i, d in enumerate(ids))
+    following = {a[2]: b[2] for a, b in zip(order, [*order[1:], order[0]], strict=True)}
+    assert {r.text: r.next_text for r in ordermin.neighbours(rows).collect()} == following
+
+
 def test_pipeline_stages_take_effect(spark):
     """Each stage against a plain version of its own input."""
     sf = "/root/testdata/sf0.001"
