@@ -43,9 +43,9 @@ from pyspark.sql import functions as F
 from .common import cut, shared_folder, small_batches
 
 #: Bytes of the parts that a Python worker remembers, by what their numbers and texts take.
-MEMORY = 200 << 20
+MEMORY = 120 << 20
 #: (pair, document) records of a chunk (or one document's), and runs that are merged at once.
-CHUNK_RECORDS, FAN = 3_000_000, 64
+CHUNK_RECORDS, FAN = 2_000_000, 64
 #: Most radices that B ids are dealt to.
 RADICES = 4096
 DOCUMENT_BITS = 22
