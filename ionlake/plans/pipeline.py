@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import chem
 from ..operators import candidates, evidence, fdr, ordered, score
 from ..operators.lineage import cut
-from ..sources import imaging, readers, writers
+from ..sources import imaging, readers, results, writers
 from ..sources.eventstore import EventStore
 from . import views
 
@@ -105,6 +105,7 @@ def run(spark: SparkSession, config: dict[str, Any]) -> dict[str, Any]:
     known = readers.read_known_peptides(spark, config["gt_peptides"]).withColumn("is_gt", F.lit(True)) if config["gt_peptides"] else None
     peptides = (peptides.join(known, "peptide", "left").withColumn("is_gt", F.coalesce("is_gt", F.lit(False))) if known is not None else peptides.withColumn("is_gt", F.lit(False)))
     out = config["output_dir"]
+    results.retract(spark, out)
     writers.write_table(rows.withColumn("row_id", F.to_json("row_id")), out, "rows")
     writers.write_table(table, out, "evidence")
     writers.write_tsv(peptides, out, "peptides")
@@ -124,6 +125,7 @@ def run(spark: SparkSession, config: dict[str, Any]) -> dict[str, Any]:
         "steps": steps,
     }
     writers.write_run(spark, info, out)
+    results.publish(spark, out)
     return info
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chem
-from ..operators import candidates, evidence, fdr, ordered, score, stats
+from ..operators import candidates, compare, evidence, fdr, ordered, score, stats
 from ..operators.lineage import cut, scratch
 from ..operators.rangejoin import ppm_join, ppm_window
 from ..sources.eventstore import EventStore
@@ -212,6 +212,41 @@ def symmetric_difference(spark, sf_dir):
     return views.only_in_one(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag = 'A'"), "k")
 
 
+_LEFT = "select l_orderkey, sum(l_quantity)::bigint as a, max(l_linenumber)::bigint as b from lineitem group by l_orderkey"
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A table, and the same in another order with rows left out of both and some values changed."""
+    rows = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("long").alias("a"), F.max("l_linenumber").cast("long").alias("b"))
+    changed = rows.withColumn("b", F.when(F.col("l_orderkey") % 1000 == 7, F.col("b") + F.col("l_orderkey") % 13).otherwise(F.col("b")))
+    return rows.where("l_orderkey % 997 <> 0"), changed.where("l_orderkey % 1001 <> 0").orderBy(F.desc("l_orderkey"))
+
+
+@query(
+    f"""with l as (select * from ({_LEFT}) where l_orderkey % 997 <> 0), r as (select l_orderkey, a, case when l_orderkey % 1000 = 7 then b + l_orderkey % 13 else b end as b from ({_LEFT}) where l_orderkey % 1001 <> 0),
+j as (select coalesce(l.l_orderkey, r.l_orderkey)::varchar as k, l.l_orderkey as lk, r.l_orderkey as rk, l.a as la, r.a as ra, l.b as lb, r.b as rb from l full join r on l.l_orderkey = r.l_orderkey),
+d as (select k, lk, rk, 'a' as term, abs(la - ra) as d from j union all select k, lk, rk, 'b', abs(lb - rb) from j)
+select term, count(*) filter (where d is not null) as n_both, count(*) filter (where rk is null) as n_left, count(*) filter (where lk is null) as n_right, count(*) filter (where d > 0) as n_differ, max(d)::double as greatest,
+min(k) filter (where d > 0 and d = (select max(d) from d x where x.term = d.term)) as "at" from d group by term"""
+)
+def run_comparison(spark, sf_dir):
+    return compare.differences(*_versions(spark, sf_dir), ["l_orderkey"], ["a", "b"])
+
+
+_CHAINED = lambda table: f"select count(*) as n, list_reduce(list_prepend('', (select list(d order by g) from (select g, sha256(string_agg(d, '' order by place)) as d from {table} group by g))), lambda h, x: sha256(h || x)) as digest from {table}"
+_NUMBERED = lambda rows: f"(select place, (place - 1) // 1000 as g, sha256(concat_ws('|', l_orderkey::varchar, a::varchar, b::varchar)) as d from (select *, row_number() over (order by l_orderkey) as place from ({rows})))"
+
+
+@query(
+    f"""with l as {_NUMBERED(f"select * from ({_LEFT}) where l_orderkey % 997 <> 0")}, r as {_NUMBERED(f"select l_orderkey, a, case when l_orderkey % 1000 = 7 then b + l_orderkey % 13 else b end as b from ({_LEFT}) where l_orderkey % 1001 <> 0")}
+select 'left' as side, * from ({_CHAINED("l")}) union all select 'right', * from ({_CHAINED("r")})"""
+)
+def run_digest(spark, sf_dir):
+    digest = lambda df, side: compare.chained_digest(df, "l_orderkey", ["l_orderkey", "a", "b"], 1000).withColumn("side", F.lit(side))
+    left, right = _versions(spark, sf_dir)
+    return digest(left, "left").unionByName(digest(right, "right"))
+
+
 # Statistics.
 
 

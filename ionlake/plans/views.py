@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chem
+from ..operators.compare import differences
+from ..operators.fdr import LEVELS
 from ..operators.gram import products
 from ..operators.ordered import bucketed, running_sums
 from ..operators.rangejoin import ppm_window
+from ..operators.score import SIGNS
 from ..operators.selection import quantiles
 from ..operators.stats import bin_of, histogram, with_scalars
 
@@ -215,3 +220,14 @@ def headline(peptides: DataFrame, proteins: DataFrame, level: float) -> DataFram
 def only_in_one(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     """Keys that one of two tables has and the other hasn't, with a column side."""
     return a.select(*keys).distinct().join(b, list(keys), "left_anti").withColumn("side", F.lit("left")).unionByName(b.select(*keys).distinct().join(a, list(keys), "left_anti").withColumn("side", F.lit("right")))
+
+
+def compared_runs(a: dict[str, DataFrame], b: dict[str, DataFrame], levels: tuple[float, ...] = LEVELS) -> dict[str, DataFrame]:
+    """Of two runs (as results are opened): terms (the greatest difference of every term over the rows of
+    both), and ids (peptides that only one of them reports, with the level and the side)."""
+    terms = [*SIGNS, "n_partners", "s0", "s"]
+    parts = []
+    for level in levels:
+        reported = lambda run: run["peptides"].where((F.col("q") <= level) & ~F.col("is_decoy"))  # noqa: B023, E731
+        parts.append(only_in_one(reported(a), reported(b), "peptide").withColumn("level", F.lit(level)))
+    return {"terms": differences(a["rows"], b["rows"], ["peptide"], terms), "ids": reduce(DataFrame.unionByName, parts)}
