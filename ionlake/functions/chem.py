@@ -52,11 +52,6 @@ def residue_units(letter: Column) -> Column:
     return F.coalesce(F.get(_by_letter({r: as_units(m) for r, m in RESIDUES.items()}), letter - 65), F.lit(0)).cast("long")
 
 
-def in_class(letter: Column, name: str) -> Column:
-    """1 if the residue whose letter has this code is of a class, else 0."""
-    return F.coalesce(F.get(_by_letter({r: 1 for r in CLASSES[name] if r.isalpha()}), letter - 65), F.lit(0))
-
-
 def peptide_units(peptide: Column) -> Column:
     """Monoisotopic mass of a sequence of the twenty residues in UNITS; others weigh nothing. One pass
     over the letters, so that the generated code stays short enough to be compiled."""
@@ -117,7 +112,7 @@ def accession(text: Column) -> Column:
 
 
 def averagine(mass: Column) -> dict[str, Column]:
-    return {atom: F.bround(mass * F.lit(k), 0) for atom, k in AVERAGINE.items()}
+    return {atom: F.rint(mass * F.lit(k)) for atom, k in AVERAGINE.items()}  # half to even
 
 
 def mass_defect_residual(mass: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -65,6 +64,11 @@ def _with_variant(draws: DataFrame) -> DataFrame:
     return draws.withColumn("variant", varied(F.col("src"), F.col("i"), F.col("a"), F.col("j"), F.col("b")))
 
 
+def _with_mass(base: DataFrame) -> DataFrame:
+    """peptide with its mass and the residual of it, in units, once for all its draws."""
+    return base.select("peptide", chem.peptide_units(F.col("peptide")).alias("m0")).withColumn("r0", chem.residual_units(F.col("m0")))
+
+
 def seeded_draws(base: DataFrame, seed: int, variants: int, some: DataFrame | None = None) -> DataFrame:
     """src, draw, i, a, j, b and variant: random substitutions of two interior residues that aren't K,
     R, C or M, each by another of ALPHABET with its frequency in ``base``. A peptide's generator is
@@ -82,22 +86,22 @@ def seeded_draws(base: DataFrame, seed: int, variants: int, some: DataFrame | No
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for peptide, m0 in zip(batch["peptide"], batch["m0"], strict=True):
+            for peptide, m0, r0 in zip(batch["peptide"], batch["m0"], batch["r0"], strict=True):
                 places = [i for i in range(1, len(peptide) - 1) if peptide[i] not in "KRCM"]
                 if len(places) < 2 or any(peptide[i] not in ALPHABET for i in places):
                     continue
                 generator = np.random.default_rng([seed, int.from_bytes(hashlib.md5(peptide.encode()).digest()[:8], "little")])
                 for n in range(variants):
-                    row = [peptide, m0, n]
+                    row = [peptide, m0, r0, n]
                     for i in generator.choice(places, 2, replace=False):
                         others, edges = substitutes[peptide[i]]
                         row += [i + 1, others[bisect_right(edges, generator.random())]]  # as the generator's own weighted choice draws
                     rows.append(row)
-            yield pd.DataFrame(rows, columns=["src", "m0", "draw", "i", "a", "j", "b"])
+            yield pd.DataFrame(rows, columns=["src", "m0", "r0", "draw", "i", "a", "j", "b"])
 
     asked = base if some is None else some
     tasks = 4 * base.sparkSession.sparkContext.defaultParallelism  # few rows, but each has many draws
-    return _with_variant(asked.select("peptide", chem.peptide_units(F.col("peptide")).alias("m0")).repartition(tasks, "peptide").mapInPandas(draw, "src string, m0 long, draw int, i int, a int, j int, b int"))
+    return _with_variant(_with_mass(asked).repartition(tasks, "peptide").mapInPandas(draw, "src string, m0 long, r0 long, draw int, i int, a int, j int, b int"))
 
 
 def hashed_draws(base: DataFrame, seed: int, variants: int, some: DataFrame | None = None) -> DataFrame:
@@ -106,11 +110,12 @@ def hashed_draws(base: DataFrame, seed: int, variants: int, some: DataFrame | No
     number = lambda at: F.conv(F.substring("h", at, 6), 16, 10).cast("int")
     interior = F.length("src") - 2
     letter = lambda at: F.ascii(F.substring(F.lit(ALPHABET), number(at) % len(ALPHABET) + 1, F.lit(1)))
-    asked = (base if some is None else some).select(F.col("peptide").alias("src"), chem.peptide_units(F.col("peptide")).alias("m0")).where(interior >= 2)
+    asked = _with_mass(base if some is None else some).withColumnRenamed("peptide", "src").where(interior >= 2)
     tasks = 4 * base.sparkSession.sparkContext.defaultParallelism  # few rows, but each has many draws
-    rows = asked.repartition(tasks, "src").select("src", "m0", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))).alias("draw"))
+    rows = asked.repartition(tasks, "src").select("src", "m0", "r0", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))).alias("draw"))
     rows = rows.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), "src", F.col("draw").cast("string"))))
-    rows = rows.select("src", "m0", "draw", (number(1) % interior + 2).alias("i"), letter(7).alias("a"), (number(13) % interior + 2).alias("j"), letter(19).alias("b"))
+    drawn = F.struct((number(1) % interior + 2).alias("i"), letter(7).alias("a"), (number(13) % interior + 2).alias("j"), letter(19).alias("b"))
+    rows = rows.select("src", "m0", "r0", "draw", F.inline(F.array(drawn)))  # computed once, however often conditions ask for it
     free = lambda i: ~F.substring(F.col("src"), F.col(i), F.lit(1)).isin("K", "R", "C", "M")
     return _with_variant(rows.where((F.col("i") != F.col("j")) & free("i") & free("j")))
 
@@ -125,40 +130,39 @@ def best_variants(draw: Callable[[DataFrame], DataFrame], base: DataFrame, keys:
     units, so that ties are ties. All of it is one number, RESIDUAL_BITS for the residual, DRAW_BITS
     for the draw and two bits for each class above them; the least is found by a pre-aggregated
     minimum over numbers, before anything is joined. The few peptides whose best variant is a target
-    are asked again for the next one."""
-    todo, last = base.select("peptide"), None
+    are asked again, and only of these all variants are held against the targets."""
     known = base.select(F.col("peptide").alias("variant"))
-    chosen: list[DataFrame] = []
-    while True:
-        best = _least(draw(todo), keys, floor_da, last)
-        best = cut(_with_variant(best))
-        taken = cut(best.join(known, "variant", "left_semi").select("src", F.col("order").alias("__last")))
-        chosen.append(best.join(taken, "src", "left_anti") if not taken.isEmpty() else best)
-        if taken.isEmpty():
-            break
-        todo, last = taken.select(F.col("src").alias("peptide")), taken
-    return reduce(DataFrame.unionByName, [c.select("src", "variant", chem.daltons(F.col("units")).alias("mass")) for c in chosen])
-
-
-def _least(draws: DataFrame, keys: Sequence[str], floor_da: float | None, last: DataFrame | None) -> DataFrame:
-    """src, order, i, a, j, b and units of the draw of each src that comes first (after ``last``)."""
-    at = lambda place: F.ascii(F.substring("src", F.col(place), F.lit(1)))
-    rows = draws.select("src", "m0", "draw", "i", "a", "j", "b", at("i").alias("__x"), at("j").alias("__y"))
-    change = lambda value: value(F.col("a")) - value(F.col("__x")) + value(F.col("b")) - value(F.col("__y"))
-    rows = rows.withColumn("units", F.col("m0") + change(chem.residue_units))
+    best = cut(_with_variant(_least(draw(base.select("peptide")), keys, floor_da)))
+    taken = cut(best.join(known, "variant", "left_semi").select("src"))
+    again = draw(taken.select(F.col("src").alias("peptide"))).join(known, "variant", "left_anti")
+    rest = _with_variant(_least(again, keys, floor_da))
+    columns = ["src", "variant", chem.daltons(F.col("units")).alias("mass")]
+    return best.join(taken, "src", "left_anti").select(columns).unionByName(rest.select(columns))
+
+
+def _least(draws: DataFrame, keys: Sequence[str], floor_da: float | None) -> DataFrame:
+    """src, i, a, j, b and units of the draw of each src that comes first."""
+    # an exchange of one letter for another is a number, and what it changes stands in two tables
+    exchange = lambda place, new: (F.ascii(F.substring("src", F.col(place), F.lit(1))) - 65) * 26 + F.col(new) - 65
+    letters = [chr(65 + i) for i in range(26)]
+    units = {r: chem.as_units(m) for r, m in chem.RESIDUES.items()}
+    classes = {r: sum((r in chem.CLASSES[k]) << (4 * i) for i, k in enumerate(keys)) for r in letters}
+    middle = sum(4 << (4 * i) for i in range(len(keys)))  # so that no class's four bits go below 0
+    table = lambda values, plus, kind: F.array(*(F.lit(values.get(y, 0) - values.get(x, 0) + plus) for x in letters for y in letters)).cast(f"array<{kind}>")
+    of = lambda values, plus, kind: F.get(table(values, plus, kind), F.col("__i")) + F.get(table(values, plus, kind), F.col("__j"))
+    rows = draws.select("src", "m0", "r0", "draw", "i", "a", "j", "b", exchange("i", "a").alias("__i"), exchange("j", "b").alias("__j"))
+    rows = rows.withColumns({"__change": of(units, 0, "bigint"), "__classes": of(classes, middle, "int")})
     floor = F.lit(floor_da) if floor_da is not None else (chem.daltons(F.col("m0")) + chem.FLOOR_PROTON) * (FLOOR_PPM / 1e6)
-    rows = rows.where(chem.daltons(F.abs(F.col("units") - F.col("m0"))) >= floor)
-    order = F.lit(0).cast("long")
-    for k in keys:
-        order = order * 4 + F.abs(change(lambda letter: chem.in_class(letter, k)))  # noqa: B023
-    residual = F.abs(chem.residual_units(F.col("units")) - chem.residual_units(F.col("m0")))
-    order = order * (1 << (RESIDUAL_BITS + DRAW_BITS)) + residual * (1 << DRAW_BITS) + F.col("draw")
+    rows = rows.where(chem.daltons(F.abs("__change")) >= floor).withColumn("units", F.col("m0") + F.col("__change"))
+    away = F.lit(0)
+    for i in range(len(keys)):
+        away = away * 4 + F.abs(F.shiftright("__classes", 4 * i).bitwiseAND(F.lit(15)) - 8)
+    residual = F.abs(chem.residual_units(F.col("units")) - F.col("r0"))
+    order = away.cast("long") * (1 << (RESIDUAL_BITS + DRAW_BITS)) + residual * (1 << DRAW_BITS) + F.col("draw")
     rows = rows.withColumns({"order": order, "__place": (F.col("i").cast("long") * (1 << 21) + F.col("j")) * (1 << 14) + F.col("a") * 128 + F.col("b")})
-    if last is not None:
-        rows = rows.join(last, "src").where("order > __last")
-    best = rows.groupBy("src").agg(F.min("order").alias("order"), F.min_by("__place", "order").alias("__p"), F.min_by("units", "order").alias("units"))
+    best = rows.groupBy("src").agg(F.min_by("__place", "order").alias("__p"), F.min_by("units", "order").alias("units"))
     part = lambda shift, bits: F.shiftright("__p", shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-    return best.select("src", "order", part(35, 28).alias("i"), part(7, 7).alias("a"), part(14, 21).alias("j"), part(0, 7).alias("b"), "units")
+    return best.select("src", part(35, 28).alias("i"), part(7, 7).alias("a"), part(14, 21).alias("j"), part(0, 7).alias("b"), "units")
 
 
 def unique_variants(best: DataFrame) -> DataFrame:
