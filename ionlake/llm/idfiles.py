@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from .common import cut, small_batches
+from .common import cut, filesystem, small_batches
 from .packing import word_ids
 
 MAGIC = b"zids0001"
@@ -57,11 +57,6 @@ FILE_BYTES, READ_IDS = 64 << 20, 1 << 20
 MANIFEST = "manifest.json"
 
 
-def filesystem(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system of a folder that Spark names by path or URI."""
-    return pyarrow.fs.FileSystem.from_uri(folder.rstrip("/"))
-
-
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=_loaded(dictionary), write_content_size=True)
 

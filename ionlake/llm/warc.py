@@ -1,13 +1,18 @@
 """WARC archives with revisit records for repeated payloads.
 
-Only headers (id, address, digest, length) are shuffled by payload digest, pre-aggregated; the
-largest page_id of equal payloads keeps the response and the others become revisits of it. The table
-of repeated digests is then sent to the pages while it has at most BROADCAST rows, so that bodies
-are written where they lie; beyond that, pages that are long enough to repeat are dealt by digest,
-and the others still stay. Records are written with fresh headers by Spark's text writer, whose line
-separator is the two line ends that close a WARC record, so that any file system that Spark knows
-will do. A file holds at most FILE_BYTES of payload, or one record. Archives are read back once,
-record by record by their Content-Length, and revisits are joined to the responses that they name.
+Only headers (digest, length, largest page_id and its address, a number for the source file) are
+shuffled by payload digest, pre-aggregated by source file, so that a payload that is everywhere is one
+row for each file. The largest page_id of equal payloads keeps the response and the others become
+revisits of it. What is decided is written by source file, some SOURCES files to a bucket, and the
+tasks that write records look up the decisions of the files that they read: bodies stay where they
+lie, whatever the number of repeated digests, and nothing is broadcast. Tables that don't come from
+files are written to the shared folder first.
+
+Records are written with fresh headers by Spark's text writer, whose line separator is the two line
+ends that close a WARC record, so that any file system that Spark knows will do. A file holds at most
+FILE_BYTES of payload, or one record: records of up to LARGE bytes lie in the folder itself, larger
+ones by their size, doubled from class to class, in ``large``. Archives are read back once, record by
+record by their Content-Length, and revisits are joined, salted, to the responses that they name.
 
 Nulls and ties: null html is an empty payload, a null url an empty address. Payloads shorter than
 ``least`` bytes are never deduplicated. A row without page_id revisits the original of its payload
@@ -22,29 +27,48 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_folder, small_batches
+from .common import cut, filesystem, shared_folder, small_batches
 
 #: Payloads of fewer bytes are written each time.
 LEAST = 1000
 #: Most records and bytes of payload of an archive file, since a file is read as a whole; pages beyond LARGE go to files of their own.
 RECORDS, FILE_BYTES = 4000, 256 << 20
 LARGE = FILE_BYTES // RECORDS
-#: Most repeated digests, some 150 bytes each, that are sent to all executors.
-BROADCAST = 200_000
+#: Source files whose decisions lie together.
+SOURCES = 32
+#: Copies of a response's header that its revisits are joined to.
+SALTS = 16
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def _with_source(pages: DataFrame) -> DataFrame:
+    """page_id, url, html and source, a number for the file that a row comes from. (Files that share a
+    number share their decisions, which are by digest.)"""
+    columns = ["page_id", "url", "html"]
+    number = F.xxhash64("_metadata.file_path").alias("source")
+    try:
+        return pages.select(*columns, number)
+    except AnalysisException:  # not from files
+        folder = f"{shared_folder(pages.sparkSession).rstrip('/')}/pages-{uuid.uuid4()}"
+        pages.select(columns).write.parquet(folder)
+        return pages.sparkSession.read.parquet(folder).select(*columns, number)
+
+
 def _headers(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, payload_digest and payload_bytes."""
+    """page_id, url, html, source, payload_digest and payload_bytes."""
     html = F.coalesce("html", F.lit(""))
     url = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"))
+    rows = _with_source(pages).select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"), "source")
     return rows.withColumns({"payload_digest": F.sha1("html"), "payload_bytes": F.octet_length("html").cast("long")})
 
 
@@ -53,21 +77,51 @@ def _record_id(page_id: Column, url: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
+def _decide(rows: DataFrame, least: int) -> tuple[str, int]:
+    """Writes the original of each payload that repeats for every source file that has it: the folder
+    and its number of buckets."""
+    key = ["payload_digest", "payload_bytes"]
+    able = rows.where(F.col("payload_bytes") >= least)
+    seen = cut(able.groupBy(*key, "source").agg(F.max(F.struct("page_id", "url")).alias("best"), F.count("*").alias("n")))
+    repeated = seen.groupBy(*key).agg(F.max("best").alias("original"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    buckets = 1 + seen.agg(F.approx_count_distinct("source")).first()[0] // SOURCES
+    decided = seen.join(repeated, key).select(F.pmod("source", F.lit(buckets)).alias("bucket"), "source", *key, F.col("original.page_id").alias("original_id"), F.col("original.url").alias("original_url"))
+    folder = f"{shared_folder(rows.sparkSession).rstrip('/')}/originals-{uuid.uuid4()}"
+    decided.repartition("bucket").sortWithinPartitions("bucket", "source").write.partitionBy("bucket").parquet(folder)
+    return folder, buckets
+
+
+@lru_cache(2)
+def _decided(folder: str, buckets: int, source: int) -> dict[tuple[str, int], tuple[int | None, str]]:
+    """The originals of the payloads that repeat and are in a source file, by digest and length."""
+    fs, path = filesystem(f"{folder}/bucket={source % buckets}")
+    if fs.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
+        return {}
+    rows = pyarrow.parquet.read_table(path, filesystem=fs, filters=[("source", "=", source)], partitioning=None)
+    digest, size, page, url = (rows.column(c).to_pylist() for c in ("payload_digest", "payload_bytes", "original_id", "original_url"))
+    return dict(zip(zip(digest, size, strict=True), zip(page, url, strict=True), strict=True))
+
+
+def _original(folder: str, buckets: int, *columns: str) -> Column:
+    """A struct of original_id and original_url by source, payload_digest and payload_bytes."""
+
+    @F.arrow_udf("original_id long, original_url string")
+    def look_up(source: pa.Array, digest: pa.Array, size: pa.Array) -> pa.Array:
+        keys = zip(source.to_pylist(), digest.to_pylist(), size.to_pylist(), strict=True)
+        found = [_decided(folder, buckets, s).get((d, n), (None, None)) for s, d, n in keys]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.string())], ["original_id", "original_url"])
+
+    return look_up(*columns)
+
+
 def resolved(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows of ``pages`` with their headers, and of revisits the original's (original_id,
     original_url)."""
-    rows = _headers(pages)
-    key = ["payload_digest", "payload_bytes"]
-    able = rows.where(F.col("payload_bytes") >= least)
-    repeated = able.groupBy(*key).agg(F.max(F.struct("page_id", "url")).alias("__best"), F.count("*").alias("__n")).where("__n > 1")
-    originals = cut(repeated.select(*key, F.col("__best.page_id").alias("original_id"), F.col("__best.url").alias("original_url")))
-    if originals.count() <= BROADCAST:
-        found = rows.join(F.broadcast(originals), key, "left")
-    else:
-        none = {"original_id": F.lit(None).cast("long"), "original_url": F.lit(None).cast("string")}
-        found = able.join(originals, key, "left").unionByName(rows.where(F.col("payload_bytes") < least).withColumns(none))
-    revisit = F.col("original_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original_id"))
-    return found.withColumns({"revisit": F.coalesce(revisit, F.lit(False)), "original_id": F.when(revisit, F.col("original_id")), "original_url": F.when(revisit, F.col("original_url"))})
+    rows = _headers(small_batches(pages))
+    found = rows.withColumn("__found", _original(*_decide(rows, least), "source", "payload_digest", "payload_bytes"))
+    original = F.col("__found.original_id")
+    revisit = F.coalesce(original.isNotNull() & ~F.col("page_id").eqNullSafe(original), F.lit(False))
+    return found.withColumns({"revisit": revisit, "original_id": F.when(revisit, original), "original_url": F.when(revisit, F.col("__found.original_url"))}).drop("__found", "source")
 
 
 def records(pages: DataFrame, written: datetime, least: int = LEAST) -> DataFrame:
@@ -103,14 +157,17 @@ def records(pages: DataFrame, written: datetime, least: int = LEAST) -> DataFram
 def write(pages: DataFrame, folder: str, written: datetime | None = None, least: int = LEAST) -> None:
     """Writes deduplicated archives, gzip-compressed, to ``folder``."""
     found = records(pages, written or datetime.now(UTC), least)
-    most = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    large = F.col("stored") > LARGE
 
-    def put(rows: DataFrame, records_a_file: int, mode: str) -> None:
-        rows.select("value").write.mode(mode).option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(folder)
+    def put(rows: DataFrame, to: str, *by: str) -> None:
+        rows.select("value", *by).write.partitionBy(*by).option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(to)
 
-    put(found.where(F.col("stored") <= LARGE), RECORDS, "error")
-    if most > LARGE:
-        put(found.where(F.col("stored") > LARGE), max(1, FILE_BYTES // most), "append")
+    put(found.where(~large), folder)
+    if (pages.agg(F.max(F.octet_length("html"))).first()[0] or 0) > LARGE:
+        size = F.ceil(F.log2(F.col("stored") / LARGE)).cast("int")
+        # of each stretch of a task's rows that would fill a file, those of one size share it
+        stretch = F.floor(F.monotonically_increasing_id() / F.greatest(F.lit(1), F.lit(FILE_BYTES) / (LARGE * F.pow(F.lit(2), "size"))))
+        put(found.where(large).withColumn("size", size).withColumn("stretch", stretch), f"{folder}/large", "size", "stretch")
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -145,7 +202,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
                     columns = zip(*rows[k : k + 1000], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True)], list(fields))
 
-    files = small_batches(spark.read.format("binaryFile").load(folder)).select("content")
+    files = small_batches(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)).select("content")
     return files.mapInArrow(run, "page_id long, url string, record_type string, record_id string, refers_to_record string, named_digest string, payload_digest string, payload_bytes long, payload binary")
 
 
@@ -158,6 +215,8 @@ def round_trip(pages: DataFrame, folder: str | None = None, least: int = LEAST)
     found = cut(read(spark, folder, payloads=False).drop("payload"))  # headers
     responses = found.where("record_type = 'response'")
     originals = responses.groupBy(F.col("record_id").alias("refers_to_record")).agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("__bytes"), F.min("payload_digest").alias("__digest"))
-    revisits = found.where("record_type = 'revisit'").join(originals, "refers_to_record", "left")
+    salt = (F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).cast("int")
+    copies = originals.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    revisits = found.where("record_type = 'revisit'").withColumn("__salt", salt).join(copies, ["refers_to_record", "__salt"], "left")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
     return responses.withColumn("refers_to", F.lit(None).cast("long")).select(columns).unionByName(revisits.select("page_id", F.col("__bytes").alias("payload_bytes"), F.col("__digest").alias("payload_digest"), "record_type", "refers_to", "url"))

@@ -11,7 +11,7 @@ import corpus_pipeline
 from ionlake.llm import decontaminate, ordermin, pii, simhash, warc
 
 
-@pytest.mark.parametrize("limits", [{}, {"BROADCAST": 0}, {"LARGE": 1500, "FILE_BYTES": 5000, "RECORDS": 2}])
+@pytest.mark.parametrize("limits", [{}, {"SOURCES": 1, "SALTS": 2}, {"LARGE": 1500, "FILE_BYTES": 5000, "RECORDS": 2}])
 def test_archives_round_trip(spark, tmp_path, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(warc, name, value)
@@ -30,13 +30,31 @@ def test_archives_round_trip(spark, tmp_path, monkeypatch, limits):
     if limits.get("RECORDS"):
         import gzip
 
-        sizes = [len(gzip.decompress(p.read_bytes())) for p in tmp_path.glob("w/*.gz")]
+        sizes = [len(gzip.decompress(p.read_bytes())) for p in tmp_path.glob("w/**/*.gz")]
         assert sum(n > 6000 for n in sizes) == 1  # the one record that is larger
     stored = {r.page_id: r for r in warc.read(spark, f"{tmp_path}/w").collect()}
     assert bytes(stored[7].payload).decode() == big and stored[1].payload is None and stored[2].url == "http://b%0D%0AX: y"
     assert warc.round_trip(df.limit(0), f"{tmp_path}/e").count() == 0
 
 
+def test_pages_of_many_files(spark, tmp_path, monkeypatch):
+    """Originals and revisits in different files, read where they lie; one huge page doesn't scatter the others."""
+    monkeypatch.setattr(warc, "SOURCES", 3)
+    body = {0: "a" * 1500, 1: "b" * 999, 2: "c" * 70_000, 3: "d" * 90_000}
+    rows = [(i, f"u{i}", body[i % 4] + (str(i) if i % 8 == 3 else "")) for i in range(400)] + [(400, "u", "e" * 20_000_000)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(9).write.parquet(f"{tmp_path}/pages")
+    got = {r.page_id: r for r in warc.round_trip(spark.read.parquet(f"{tmp_path}/pages"), f"{tmp_path}/w").collect()}
+    best = {}
+    for page, _, html in rows:
+        best[html] = max(page, best.get(html, 0))
+    for page, _, html in rows:
+        revisit = len(html) >= 1000 and best[html] != page
+        assert (got[page].record_type, got[page].refers_to, got[page].payload_bytes) == ("revisit" if revisit else "response", best[html] if revisit else None, len(html))
+    assert len(got) == len(rows)
+    large = list(tmp_path.glob("w/large/**/*.gz"))
+    assert len(large) < 20  # some 50 pages of 90 KB, one of 70 KB and one of 20 MB by nine tasks
+
+
 def test_headers_are_fresh_and_complete(spark, tmp_path):
     import gzip
 
