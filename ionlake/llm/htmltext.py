@@ -9,8 +9,12 @@ article, or stand between such.
 Before that, what a page itself calls something else is cut off: scripts, menus, forms, adverts,
 notices and comments by tag or role, or by a class or id that says nothing else (``comment-body``,
 ``mainMenu``). A name that says something more (``side-effects``, ``related-work``) only casts doubt:
-such an element stays if it has paragraphs, few links and no form. What holds the page's article or
-first heading isn't cut by a name. Nothing inside the chosen article is dropped for its links; only
+such an element stays if it has paragraphs, few links and no form. An id may come from a heading
+(``<section id="comments">`` of a manual): alone it never cuts a heading or what is in one, nor inside
+an article a paragraph or list item, and a section only if it doesn't read like one: ``comments`` that
+are repeated, signed or have a form, others without paragraphs. Discussions, threads and reviews are
+cut where they are a minority of the page made of two or more short items of one shape. What holds the
+page's article or first heading isn't cut by a name. Nothing inside the chosen article is dropped for its links; only
 menus without a name at the very ends of a container that isn't called an article are.
 
 A block is the text between the bounds of block elements. Character references are decoded, white
@@ -25,8 +29,11 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache, lru_cache
+from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,20 +61,30 @@ COMMENTS = frozenset("comment comments commenter commenting disqus reply replies
 OTHERS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner billboard breadcrumb breadcrumbs consent cookie cookies copyright disclaimer facebook footer gdpr instagram linkedin login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination pinterest popup promo promos promotion promotions recommended related share shares sharing side sidebar signin signup skip social sponsor sponsored sponsors subscribe subscription toolbar twitter whatsapp widget widgets".split()
 )
+#: Words that may name a thread of readers' texts, what is in a text that somebody signed, and names of what only screen readers get.
+THREADS = frozenset("discussion discussions thread threads review reviews responses feedback opinions".split())
+SIGNED = frozenset("author avatar byline date nick posted reviewer time timestamp user username".split())
+UNSEEN = frozenset("sr-only visually-hidden screen-reader-text".split())
 ARTICLE = frozenset("article articles body content contents entry main page post posts stories story text".split())
 PLAIN = frozenset(
     "area author avatar bar block blocks bottom box btn button buttons card cards center col column container fixed footer form global group header heading holder icon icons inline inner item items label large layer left line link links list lists meta mobile module nested new news panel primary right row secondary section site small sticky sub template thread title top unit wrap wrapper zone".split()
 )
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W_]+")
 START = {"article": 10, "main": 8, "div": 5, "section": 4, "blockquote": 3, "pre": 3, "td": 3, "ul": -3, "ol": -3, "dl": -3, "li": -3, "form": -3, "th": -5}
+#: Most characters of an item of a thread, on average.
+ITEM_LENGTH = 1000
 #: Points for what an element's names call it.
 NAMED = {"article": 5, "doubtful": -5}
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements inside an article that an id alone never cuts, and those that an item of a thread can be.
+NAMED_BY_ID = frozenset("p li a span dt dd figure figcaption pre blockquote code em strong b i".split())
+ITEMS = frozenset("div li article section blockquote dd".split())
 PARAGRAPH = frozenset("p pre blockquote td li dd figcaption".split())
 #: Least length of text that earns points, and the characters that earn one point each, at most LENGTH_POINTS.
 SHORT, PER_POINT, LENGTH_POINTS = 20, 100, 30
 #: Share of the best score that makes a sibling part of the article; share of text in links, and links, that make a menu.
 SIBLING_SHARE, LINK_LIMIT, MENU_LINKS = 0.2, 0.5, 3
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 ENDS = re.compile(r"[.!?…:;\"”»)\u3002\uff01\uff1f]\s*$")
 
 
@@ -154,7 +171,7 @@ def _says(word: str) -> bool | None:
     return None
 
 
-@cache
+@lru_cache(50_000)
 def _name(name: str) -> str:
     """What a class or id calls its element: comments, other, doubtful, article, or nothing known."""
     words = [w.lower() for w in WORDS.findall(name)]
@@ -166,25 +183,43 @@ def _name(name: str) -> str:
     return "comments" if any(x and any(c in w for c in COMMENTS) for w, x in zip(words, said, strict=True)) else "other"
 
 
+class Called(NamedTuple):
+    """What attributes say of an element: its role, hidden being one; what its names call it; whether
+    only its id calls it so; the words of its names; and its class."""
+
+    role: str
+    kind: str
+    by_id: bool
+    words: frozenset[str]
+    shape: str
+
+
 @lru_cache(50_000)
-def _called(attributes: str) -> tuple[str, str]:
-    """An element's role, hidden being one, and what its names call it; comments and other prevail."""
-    role, kinds = "", set()
+def _called(attributes: str) -> Called:
+    role, shape, words = "", "", set()
+    kinds: dict[str, set[str]] = {"class": set(), "id": set()}
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
             role = "hidden"
         elif name == "role":
             role = role or value.lower()
-        elif name in ("class", "id"):
-            kinds |= set(map(_name, value.split()))
-    if "other" in kinds and "article" in kinds:
-        kinds = kinds - {"other"} | {"doubtful"}
-    return role, next((k for k in ("comments", "other", "doubtful", "article") if k in kinds), "")
+        elif name in kinds:
+            names = value.split()
+            if name == "class":
+                shape = value
+                role = "hidden" if UNSEEN.intersection(names) else role
+            kinds[name] |= set(map(_name, names))
+            words |= {w.lower() for n in names for w in WORDS.findall(n)}
+    both = kinds["class"] | kinds["id"]
+    if "other" in both and "article" in both:
+        both = both - {"other"} | {"doubtful"}
+    kind = next((k for k in ("comments", "other", "doubtful", "article") if k in both), "")
+    return Called(role, kind, kind not in kinds["class"], frozenset(words), shape)
 
 
 def _is_main(e: Element) -> bool:
-    role, kind = _called(e.attributes)
+    role, kind = _called(e.attributes)[:2]
     return (e.tag in ("article", "main") or role in ("article", "main")) and kind not in ("comments", "other")
 
 
@@ -205,7 +240,7 @@ def _prune(root: Element) -> None:
         for c in e.children:
             if isinstance(c, str):
                 keep.append(c)
-            elif not _is_cut(c, inside, id(c) in holds):
+            elif not _is_cut(c, inside, id(c) in holds, root.paragraphs):
                 c.inside = inside
                 keep.append(c)
         e.children = keep
@@ -219,21 +254,53 @@ def _within(e: Element, tags: frozenset[str]) -> bool:
     return False
 
 
-def _is_cut(e: Element, in_article: bool, holds: bool) -> bool:
-    role, kind = _called(e.attributes)
+def _is_cut(e: Element, in_article: bool, holds: bool, paragraphs: int) -> bool:
+    """``paragraphs``: those of the whole page."""
+    role, kind, by_id, words, shape = _called(e.attributes)
     if role == "hidden" or e.tag in CUT_TAGS - {"form"}:
         return True
     if e.tag == "form" or role == "form":  # some pages are one form
         return not holds and not _reads(e, 3)
+    if by_id and kind in ("comments", "other", "doubtful"):
+        if e.tag in HEADING or e.parent is not None and e.parent.tag in HEADING or in_article and e.tag in NAMED_BY_ID:
+            kind = ""
+        elif in_article and (e.tag == "section" or "section" in shape.split()):
+            kind = "doubtful" if kind != "comments" or not (e.fields or _is_thread(e)) else kind
     if role in CUT_ROLES or kind == "comments" and e.tag not in ("html", "body"):
         return not (holds and kind != "comments")
     if holds or e.tag in ("html", "body"):
         return False
     if e.tag == "header" and not in_article or kind == "other":
         return True
+    if words & THREADS and e.tag not in HEADING and 2 * e.paragraphs <= paragraphs and _is_thread(e):
+        return True
     return kind == "doubtful" and (not _reads(e, 1) or e.fields > 0)
 
 
+def _is_thread(e: Element) -> bool:
+    """Whether an element is made of two or more short items of one shape, without headings, or of
+    some that are signed."""
+    within = e
+    while len(inner := [c for c in within.children if isinstance(c, Element) and c.tag not in HEADING]) == 1 and inner[0].tag in BLOCK - PARAGRAPH:
+        within = inner[0]
+    items = [c for c in inner if c.tag in ITEMS and c.length]
+    if not items:
+        return False
+    shape, n = Counter((c.tag, _called(c.attributes).shape) for c in items).most_common(1)[0]
+    alike = [c for c in items if (c.tag, _called(c.attributes).shape) == shape]
+    if sum(c.length for c in alike) > ITEM_LENGTH * n or any(x.tag in HEADING for c in alike for x in _all(c)):
+        return False
+    return n > 1 or any(x.tag == "time" or SIGNED & _called(x.attributes).words for x in _all(alike[0]))
+
+
+def _all(e: Element) -> Iterator[Element]:
+    stack = [e]
+    while stack:
+        x = stack.pop()
+        yield x
+        stack += [c for c in x.children if isinstance(c, Element)]
+
+
 def _reads(e: Element, least: int) -> bool:
     """Whether an element has so many paragraphs and few links."""
     return e.paragraphs >= least and e.density() < 1 / 3
@@ -350,7 +417,7 @@ def _without_menus(items: list[Element | str]) -> list[Element | str]:
     a menu, and nothing further in is judged."""
 
     def is_menu(x: Element | str) -> bool:
-        return isinstance(x, Element) and x.tag in ("ul", "ol", "div", "section", "table") and x.links >= MENU_LINKS and x.density() > LINK_LIMIT
+        return isinstance(x, Element) and x.tag in ("ul", "ol", "div", "section", "table", "td") and x.links >= MENU_LINKS and x.density() > LINK_LIMIT
 
     def is_blank(x: Element | str) -> bool:
         return not x.strip() if isinstance(x, str) else not x.length

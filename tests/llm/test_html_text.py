@@ -80,6 +80,37 @@ def test_short_sections_between_siblings_stay():
     assert text.split("\n") == [A, B, SHORT, "one", C, A, "The end."]
 
 
+@pytest.mark.parametrize("slug", ["comments", "menu", "cookies", "notices", "social-sharing"])
+def test_slugs_of_headings_cut_nothing(slug):
+    for open_, close in ((f'<section id="{slug}"><h2>Slug</h2>', "</section>"), (f'<div class="section" id="{slug}"><h2>Slug</h2>', "</div>"), (f'<h2 id="{slug}">Slug</h2>', ""), (f'<h2><span class="mw-headline" id="{slug}">Slug</span></h2>', "")):
+        text = main_text(f'<body><nav>{MENU}</nav><article><h1>Title</h1><p>{A}</p>{open_}<p id="{slug}-1">{B}</p><p>{SHORT}</p>{close}<p>{C}</p></article></body>')
+        assert text.split("\n") == ["Title", A, "Slug", B, SHORT, C]
+
+
+COMMENT = '<div class="row"><b>{}</b><time>today</time><p>Nice read, I thought, and I have read a lot, believe me, on this.</p></div>'
+THREAD = COMMENT.format("Ann") + COMMENT.format("Bo")
+
+
+@pytest.mark.parametrize("name", ["discussion", "discussion-thread", "user-reviews"])
+def test_threads_of_readers_go(name):
+    body = f"<h1>Title</h1><p>{A}</p><p>{B}</p><p>{C}</p>"
+    for page in (f'<main>{body}</main><div class="{name}">{THREAD}</div>', f'<article>{body}<div class="{name}"><h3>Readers</h3><div>{THREAD}</div></div></article>', f'<article>{body}<section id="comments"><h2>Comments</h2>{THREAD}</section></article>'):
+        assert main_text(page).split("\n") == ["Title", A, B, C]
+
+
+def test_discussions_that_are_the_article_stay():
+    section = f'<section id="discussion" class="discussion"><h2>Discussion</h2><p>{B}</p><p>{SHORT}</p></section>'
+    assert main_text(f"<article><p>{A}</p>{section}<p>{C}</p></article>").split("\n") == [A, "Discussion", B, SHORT, C]
+    posts = "".join(f'<div class="post"><b>Ann</b><p>{t}</p></div>' for t in (A, B, C))
+    assert main_text(f'<body><nav>{MENU}</nav><div class="thread">{posts}</div></body>').split("\n") == [x for t in (A, B, C) for x in ("Ann", t)]
+
+
+def test_hidden_text_and_menus_of_table_layouts_go():
+    assert main_text(f'<article><p>{A}</p><p style="visibility: hidden">no</p><span class="sr-only">no</span><p>{B}</p></article>') == f"{A}\n{B}"
+    menu = "".join(f'<a href="/{i}">{i}</a>' for i in range(1, 4))
+    assert main_text(f"<table><tr><td>{menu}</td><td><p>{A}</p><p>{B}</p></td></tr></table>") == f"{A}\n{B}"
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<nav>x</nav>") == ""
     assert main_text("just text") == "just text"
