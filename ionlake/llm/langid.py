@@ -17,7 +17,6 @@ row. Other columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from collections.abc import Sequence
@@ -25,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +36,12 @@ UNDETERMINED = "und"
 PER_LANGUAGE = 3_000
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
-#: Scores that a Python worker remembers, one for each word and language.
-MEMORY = 4_000_000
+#: Scores that a Python worker remembers, one for each word and language, and the longest word that it does.
+MEMORY, LONGEST = 4_000_000, 64
 SEED = 7
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters and the marks that belong to them, as the vowel signs of Indic scripts do.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 
 
 def grams(word: str, order: int) -> list[str]:
@@ -122,9 +123,14 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
-    sampled = F.lit(False)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    shares: dict[float, list[str]] = {}
     for lang, n in sizes.items():
-        sampled = sampled | ((F.col("lang") == lang) & hash_share(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), min(1.0, per_language / n), SEED))
+        shares.setdefault(min(1.0, per_language / n), []).append(lang)
+    sampled = F.lit(True)
+    for share, some in shares.items():
+        if share < 1:  # the others' rows are all taken
+            sampled = sampled & (~F.col("lang").isin(some) | hash_share(key, share, SEED))
     table = _counted(rows.where(sampled), languages).toArrow()  # of the bounded sample
     column = lambda c, kind: np.asarray(table.column(c), kind)
     return model_of(languages, column("kind", np.int64), column("key", np.int64).view(np.uint64), column("lang", np.int64), column("n", np.float64))
@@ -168,12 +174,17 @@ class Scorer:
         if not self.model.languages or not any(c.isalpha() for w in words for c in w):
             return UNDETERMINED, 0.0
         total = np.zeros(len(self.model.languages))
+        long, words_of_text = [w for w in words if len(w) > LONGEST], len(words)
+        for w in long:
+            total += self.scored([w])[0]
+        if long:
+            words = [w for w in words if len(w) <= LONGEST]
         for at in range(0, len(words), self.words):
             part = words[at : at + self.words]
             self.learn(set(part))
             total += self.table[list(map(self.rows.__getitem__, part))].sum(axis=0)
         best = int(total.argmax())
-        return self.model.languages[best], float(1 / np.exp((total - total[best]) / len(words) ** 0.5).sum())
+        return self.model.languages[best], float(1 / np.exp((total - total[best]) / words_of_text ** 0.5).sum())
 
 
 _remembered: dict[str, Scorer] = {}

@@ -32,8 +32,8 @@ LENGTH = 4096
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Full sequences that are packed together.
 GROUP = 256
-#: Words whose ids a Python worker remembers, some 300 bytes each.
-WORDS = 1_000_000
+#: Words whose ids a Python worker remembers, some 300 bytes each, and the longest that it keeps.
+WORDS, LONGEST = 1_000_000, 64
 #: A character that is a token of its own between spaces.
 MARK = "\x01"
 #: What the tokens end with that end a word.
@@ -129,6 +129,11 @@ class WordIds:
             get = self.memory.__getitem__
             for words in split:
                 yield np.frombuffer(b"".join(map(get, words)) + self.end, "<u4")
+            for word in new:
+                if len(word) > LONGEST:
+                    base = word.rstrip(PUNCTUATION)
+                    for w in (word, base, base.lower(), word[len(base) :]):
+                        self.memory.pop(w, None)
 
 
 _remembered: dict[tuple[str, int], WordIds] = {}

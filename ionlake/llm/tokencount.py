@@ -33,8 +33,8 @@ from .common import small_batches
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Words whose counts a task remembers.
-MEMORY = 400_000
+#: Words whose counts a task remembers, and the longest of them.
+MEMORY, LONGEST = 400_000, 64
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -100,6 +100,10 @@ class Counter:
         tokens, score = 0, 0.0
         for first in range(0, len(words), MEMORY):
             part = words[first : first + MEMORY]
+            for word in (w for w in part if len(w) > LONGEST):
+                n, gain = self.viterbi(word)
+                tokens, score = tokens + n, score + gain
+            part = [w for w in part if len(w) <= LONGEST]
             new = set(part).difference(self.memory)
             if len(self.memory) + len(new) > MEMORY:
                 self.memory.clear()

@@ -125,8 +125,8 @@ def resolved(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def records(pages: DataFrame, written: datetime, least: int = LEAST) -> DataFrame:
-    """The text of a WARC record for each page, without the line ends that close it, and the bytes of
-    payload that are in it."""
+    """The text of a WARC record for each page, without the line ends that close it, the bytes of
+    payload that are in it (stored), and those of the payload itself."""
     rows = resolved(pages, least)
     at = F.lit(written.strftime("%Y-%m-%dT%H:%M:%SZ"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -151,7 +151,7 @@ def records(pages: DataFrame, written: datetime, least: int = LEAST) -> DataFram
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    return rows.select(F.concat(head, block).alias("value"), F.when(F.col("revisit"), 0).otherwise(F.col("payload_bytes")).alias("stored"))
+    return rows.select(F.concat(head, block).alias("value"), F.when(F.col("revisit"), 0).otherwise(F.col("payload_bytes")).alias("stored"), "payload_bytes")
 
 
 def write(pages: DataFrame, folder: str, written: datetime | None = None, least: int = LEAST) -> None:
@@ -167,7 +167,8 @@ def write(pages: DataFrame, folder: str, written: datetime | None = None, least:
         size = F.ceil(F.log2(F.col("stored") / LARGE)).cast("int")
         # of each stretch of a task's rows that would fill a file, those of one size share it
         stretch = F.floor(F.monotonically_increasing_id() / F.greatest(F.lit(1), F.lit(FILE_BYTES) / (LARGE * F.pow(F.lit(2), "size"))))
-        put(found.where(large).withColumn("size", size).withColumn("stretch", stretch), f"{folder}/large", "size", "stretch")
+        big = found.where(F.col("payload_bytes") > LARGE)  # before originals are looked up
+        put(big.where(large).withColumn("size", size).withColumn("stretch", stretch), f"{folder}/large", "size", "stretch")
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -89,3 +89,13 @@ def test_last_sequences_are_powers_of_two(n):
     for p, s, _ in (x for g in groups for x in g):
         lengths[s] = lengths.get(s, 0) + len(p.ids)
     assert sum(lengths.values()) == n and all(v & (v - 1) == 0 for v in lengths.values())
+
+
+def test_long_words_are_encoded_but_not_remembered():
+    texts = [f"a {'xy' * 400}, b", "XY" * 50 + "!" * 70, "one two"]
+    from tokenizers import Tokenizer
+
+    words = packing.WordIds(Tokenizer.from_file(FILE), 2)
+    for text, got in zip(texts * 2, [*words.encode(texts), *words.encode(texts)], strict=True):
+        assert got.tolist() == tokens(text).tolist()
+    assert max(map(len, words.memory)) <= packing.LONGEST

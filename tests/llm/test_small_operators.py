@@ -165,6 +165,23 @@ def test_languages_are_brute_force(spark):
     assert some.languages == model.languages and 0 < len(some.keys) < len(model.keys)
 
 
+def test_marks_belong_to_words_and_labels_may_be_many(spark):
+    assert langid.WORD.findall("हिन्दी में लिखा 12 cafe\u0301_x") == ["हिन्दी", "में", "लिखा", "cafe\u0301", "x"]
+    rows = [(i, f"word{'abcdefghij'[i % 10]} and more", f"junk{i}") for i in range(3000)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 3000
+
+
+def test_long_words_are_scored_but_not_remembered(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    score = langid.Scorer(langid.fit(docs))
+    text = "the long and " + "ab" * 5000 + " of the " + "ba" * 40
+    assert score(text)[0] in score.model.languages and max(map(len, score.rows)) <= langid.LONGEST
+    counter = tokencount.Counter(tokencount.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    whole = counter.viterbi("▁" + text.replace(" ", "▁"))
+    assert counter(text)[0] == whole[0] and max(map(len, counter.memory)) <= tokencount.LONGEST
+
+
 def test_a_small_memory_changes_nothing(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = langid.fit(docs)
