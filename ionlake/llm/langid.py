@@ -17,6 +17,7 @@ row. Other columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import Counter
 from collections.abc import Sequence
@@ -42,6 +43,11 @@ SEED = 7
 
 #: Letters and the marks that belong to them, as the vowel signs of Indic scripts do.
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
+ASCII_WORD = re.compile("[A-Za-z]+")
+
+
+def words_of(text: str) -> list[str]:
+    return (ASCII_WORD if text.isascii() else WORD).findall(text)
 
 
 def grams(word: str, order: int) -> list[str]:
@@ -101,7 +107,7 @@ def _counted(train: DataFrame, languages: list[str]) -> DataFrame:
         seen: dict[int, Counter[str]] = {}
         number = {x: i for i, x in enumerate(languages)}
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen.setdefault(number[lang], Counter()).update(WORD.findall(text.lower()))
+            seen.setdefault(number[lang], Counter()).update(words_of(text.lower()))
         total: Counter[tuple[int, int, str]] = Counter()
         for lang, words in seen.items():
             for word, n in words.items():
@@ -170,7 +176,7 @@ class Scorer:
         self.rows.update(zip(new, range(start, start + len(new)), strict=True))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall((text or "").lower())
+        words = words_of((text or "").lower())
         if not self.model.languages or not any(c.isalpha() for w in words for c in w):
             return UNDETERMINED, 0.0
         total = np.zeros(len(self.model.languages))
