@@ -12,7 +12,13 @@ gender. Equal entities get equal surrogates everywhere (names and mail domains b
 person stays the same person under a title or a given name). Candidates are checked against all
 other surrogates and all real entities of their type, and those that clash are drawn again until none
 does; given names are permuted within their list, so that they stay distinct, and since no surrogate
-of a surname is a real one, no person's surrogate is a real person.
+of a surname is a real one, no person's surrogate is a real person. Of a telephone number the country
+code, or the trunk 0 and the digit behind it, or an area code's first digit stays.
+
+Who is named in a text once is replaced all over it: after the entities, each capitalised word that is
+a given name or surname of a person found in the same text gets that part's surrogate, alone, in
+another order or before an apostrophe. A part that the text also writes in lower case is taken for a
+word, and stays where no entity is.
 
 Only distinct entities are shuffled and joined, and each distinct text with entities gets a map of
 its own. Texts with entities are shuffled once, by their MD5, to meet those maps; others don't move.
@@ -55,11 +61,11 @@ _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 KINDS = {
     "email": r"(?<![._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "ipv6": r"(?<![:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*[0-9])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Za-z:])",
-    "ipv4": r"(?<!\.)(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
+    "ipv4": r"(?<!\.)(?<![Vv]ersion )(?<![Rr]elease )(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "iban": rf"{_EDGE}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}",
     "card": r"(?<![+.-])(?:[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9A-Za-z]|-[0-9])",
     "ssn": r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "phone": r"(?<!\+)(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|\(?0[0-9]{1,4}\)?[ /-][0-9]{3,4}[ -]?[0-9]{3,4}|0[0-9](?: [0-9]{2}){4})(?![0-9A-Za-z]|[.-][0-9])",
+    "phone": r"(?<!\+)(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|(?<![0-9][ .,])[2-9][0-8][0-9] [2-9][0-9]{2} [0-9]{4}(?! [0-9])|\(?0[0-9]{1,4}\)?[ /-][0-9]{3,4}[ -]?[0-9]{3,4}|0[0-9](?: [0-9]{2}){4})(?![0-9A-Za-z]|[.-][0-9])",
     "person": rf"(?=\p{{Lu}}){_EDGE}(?:(?:(?:{_TITLE})\.? {_BETWEEN}{{0,3}}|(?:{_GIVEN}) {_BETWEEN}{{0,2}}){_CAP}|(?<=(?:{'|'.join(CUES)}) ){_CAP} {_BETWEEN}{{0,2}}{_CAP}){_END}",
 }
 #: Nothing begins inside a word.
@@ -166,9 +172,12 @@ def _ipv6(entity: Column, digest: Column) -> Column:
     return F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c == ":", c).otherwise(drawn(c, i))), "")
 
 
-def _digits(entity: Column, digest: Column) -> Column:
-    """Digits replaced; of a telephone number the country code stays."""
-    code = F.regexp_extract(entity, r"^(\+[0-9]{1,3}[ .-])?", 0)
+#: What stays of a telephone number: its country code, trunk 0 with what follows, or an area code's first digit.
+_PREFIX = r"^(?:\+[0-9]{1,3}[ .-]|\+(?:[17]|[2-9][0-9])|\(?0[0-9]|\(?[0-9])"
+
+
+def _phone(entity: Column, digest: Column) -> Column:
+    code = F.regexp_extract(entity, _PREFIX, 0)
     return F.concat(code, _masked(F.substring(entity, F.length(code) + 1, F.length(entity)), digest))
 
 
@@ -219,7 +228,8 @@ def _candidate(key: str) -> Column:
         .when(F.col("kind") == "iban", _iban(value, digest))
         .when(F.col("kind") == "card", _card(value, digest))
         .when(F.col("kind") == "surname", _surname(value, key, attempt))
-        .otherwise(_digits(value, digest))
+        .when(F.col("kind") == "phone", _phone(value, digest))
+        .otherwise(_masked(value, digest))
     )
 
 
@@ -271,17 +281,42 @@ def _found(docs: DataFrame) -> DataFrame:
     return found.where(valid).select("__text", "value")
 
 
+#: A capitalised word, which may mention a person by a part of the name.
+_MENTION = rf"(?=\p{{Lu}}){_EDGE}{_CAP}{_END}"
+
+
+def _parts() -> Column:
+    """part and new of the names of the persons in ``__map``."""
+    people = F.filter(F.map_entries("__map"), lambda x: ~x["key"].rlike("[0-9@:]"))
+    zipped = F.transform(people, lambda x: F.zip_with(F.split(x["key"], " "), F.split(x["value"], " "), lambda part, new: F.struct(part.alias("part"), new.alias("new"))))
+    return F.array_distinct(F.filter(F.flatten(zipped), lambda x: x["part"].rlike(rf"^(?!(?:{_TITLE})$){_CAP}$")))
+
+
+def _words_too(text: str) -> Column:
+    """The ``__parts``, in lower case, that ``text`` has in lower case."""
+    return F.array_intersect(F.transform("__parts", lambda x: F.lower(x["part"])), F.split(text, r"[^\p{L}'’-]+"))
+
+
+def _renamed(plain: Column) -> Column:
+    """``plain`` with the parts in ``__names`` replaced."""
+    new = F.transform(F.regexp_extract_all(plain, F.lit(_MENTION), F.lit(0)), lambda w: F.coalesce(F.try_element_at("__names", w), w))
+    return F.array_join(F.zip_with(F.split(plain, _MENTION, -1), new, lambda between, w: F.concat(between, F.coalesce(w, F.lit("")))), "")
+
+
 def replaced(docs: DataFrame, key: str, counts: str | None = None) -> DataFrame:
     """``docs`` with surrogates in column text; with ``counts``, a column of that name has the number
-    of entities replaced in each row."""
+    of entities replaced in each row, further mentions of their persons not counted."""
     found = cut(_found(docs))
     table = cut(surrogates(found.select("value"), key))
     # written, so that the join below deals both sides out anew and a text with many copies can be split
     maps = cut(found.join(table, "value").groupBy("__text").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("__map")))
     has = _has_entities("text")
     rows = docs.where(has).withColumn("__text", F.md5("text")).join(maps, "__text", "left")
-    rows = rows.withColumn("__entities", F.when(F.col("__map").isNotNull(), _entities("text")))
-    changed = F.zip_with(F.split("text", PATTERN, -1), F.transform("__entities", lambda e: F.coalesce(F.try_element_at("__map", e), e)), lambda plain, e: F.concat(plain, F.coalesce(e, F.lit(""))))
+    rows = rows.withColumn("__entities", F.when(F.col("__map").isNotNull(), _entities("text"))).withColumn("__parts", _parts())
+    words = F.when(F.size("__parts") > 0, _words_too("text"))
+    rows = rows.withColumn("__words", words).withColumn("__names", F.map_from_entries(F.filter("__parts", lambda x: ~F.array_contains("__words", F.lower(x["part"])))))
+    between = F.when(F.size("__names") > 0, F.transform(F.split("text", PATTERN, -1), _renamed)).otherwise(F.split("text", PATTERN, -1))
+    changed = F.zip_with(between, F.transform("__entities", lambda e: F.coalesce(F.try_element_at("__map", e), e)), lambda plain, e: F.concat(plain, F.coalesce(e, F.lit(""))))
     text = F.when(F.col("__map").isNull(), F.col("text")).otherwise(F.array_join(changed, ""))
     rows = rows.withColumns({"__new": text, "__count": F.coalesce(F.size(F.filter("__entities", lambda e: F.map_contains_key("__map", e))), F.lit(0)).cast("long")})
     columns = [F.col("__new").alias("text") if c == "text" else F.when(F.col("__map").isNull(), F.col("n_chars")).otherwise(F.char_length("__new")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns if c != counts]

@@ -119,7 +119,14 @@ def test_surrogates_are_brute_force(spark):
     got = {r.doc_id: (r.text, r.n) for r in pii.replaced(docs, "key", counts="n").collect()}
     for doc_id, text in texts.items():
         count = sum(valid(m[0]) for m in pattern.finditer(text or ""))
-        new = None if text is None else pattern.sub(lambda m: table[m[0]].surrogate if valid(m[0]) else m[0], text)
+        people = [v for m in pattern.finditer(text or "") if (v := m[0]) in table and table[v].kind == "person"]
+        names = {p: q for v in people for p, q in zip(v.split(), table[v].surrogate.split(), strict=True) if regex.fullmatch(pii._CAP, p) and p not in pii.TITLES.split()}
+        words = set(regex.split(r"[^\p{L}'’-]+", text or ""))
+        renamed = lambda s: regex.sub(pii._MENTION, lambda m: m[0] if m[0].lower() in words else names.get(m[0], m[0]), s)  # noqa: B023, E731
+        new, last = "", 0
+        for m in pattern.finditer(text or ""):
+            new, last = new + renamed(text[last : m.start()]) + (table[m[0]].surrogate if valid(m[0]) else m[0]), m.end()
+        new = None if text is None else new + renamed(text[last:])
         assert got[doc_id] == (new, count)
     for v, r in table.items():
         assert r.kind == of(v) and r.surrogate not in table and valid(r.surrogate) and len(r.surrogate) == len(v) or r.kind == "person" or r.kind == "ipv4"
@@ -148,6 +155,30 @@ def test_entities_of_many_forms(spark):
     assert m[4] == f"{m[2]}а" and m[1] in pii.GIVEN["cyrillic", "male"].split() and m[3] in pii.GIVEN["cyrillic", "female"].split()
 
 
+def test_a_person_who_is_found_once_is_replaced_all_over_the_text(spark):
+    rows = [
+        "Tamika Okafor wrote. Contact Tamika Okafor at noon, or Tamika's dad, or OKAFOR.",
+        "Петров Иван и Иван Петров",
+        "Contact Rosa Field today. The field is wide, Field said, and Rosa agreed.",
+        "Tamika Okafor wrote.",
+        "call 07700 900123 or 06 12 34 56 78 or 415 555 2671 or +44 20 7946 0958 or +14155552671",
+        "release 1.2.3.4 and version 1.2.3.4, table 300 400 5000 600",
+        "Dr. Otis Otisson and Dr. Otisson; Mr. Hu",
+    ]
+    got = [r.text for r in pii.replaced(spark.createDataFrame(list(enumerate(rows)), "i int, text string"), "k").orderBy("i").collect()]
+    m = re.fullmatch(r"(\w+) (\w+) wrote\. Contact (\w+) (\w+) at noon, or (\w+)'s dad, or OKAFOR\.", got[0])
+    assert m and m[1] == m[3] == m[5] != "Tamika" and m[2] == m[4] != "Okafor"
+    m = re.fullmatch(r"(\w+) (\w+) и (\w+) (\w+)", got[1])
+    assert m and m[1] == m[4] != "Петров" and m[2] == m[3] != "Иван"
+    m = re.fullmatch(r"Contact (\w+) (\w+) today\. The field is wide, Field said, and (\w+) agreed\.", got[2])
+    assert m and m[1] == m[3] != "Rosa" and m[2] != "Field"  # a word of the text too
+    assert got[3] == rows[3] and got[5] == rows[5]
+    m = re.fullmatch(r"call (07\d{3} \d{6}) or (06(?: \d\d){4}) or (4\d\d \d{3} \d{4}) or (\+44 \d\d \d{4} \d{4}) or (\+1\d{10})", got[4])
+    assert m and not set(m.groups()) & set(re.split(" or |call ", rows[4]))
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) and Dr\. (\w+); Mr\. (\w+)", got[6])
+    assert m and m[2] == m[3] != "Otisson" and m[1] != "Otis"
+
+
 def test_a_format_that_runs_out_grows(spark):
     values = [f"{a}::{b}" for a in "123456789abcdef" for b in "123456789abcd" if (a + b).strip("abcdef")]
     new = [r.surrogate for r in pii.surrogates(spark.createDataFrame([(v,) for v in values], "value string"), "k").collect()]
