@@ -7,9 +7,9 @@ wavelet matrix, and all phrases are searched backwards at once by its ranks. Occ
 by walking to sampled suffix positions; overlapping ones are merged to removal spans. Documents
 aren't shuffled.
 
-The benchmark is the query set. Its texts are broadcast in blocks of at most BLOCK_BYTES, of which the
-driver holds one at a time while it sends it, and a worker the phrases of one at a time, which it
-searches in each shard.
+The benchmark is the query set. Its texts are dealt by hash to blocks of about BLOCK_BYTES; a task for
+each block writes its phrases to the shared folder, and a worker has those of one block in memory at a
+time, which it searches in each shard. Nothing is broadcast or collected, however large the benchmark is.
 
 A word is a run of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased. A
 phrase is ``window`` consecutive words of an item, or the whole item if it has fewer (but some).
@@ -22,6 +22,7 @@ once for each distinct item_id; repeated documents each get their row. Other col
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches
+from .common import filesystem, kept, shared_folder, small_batches
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -235,29 +236,43 @@ def find(texts: list[str | None], block: Phrases) -> list[Found]:
 
 
 class Blocks:
-    """The benchmark's texts, broadcast in blocks."""
+    """The benchmark's phrases, a file for each block in a folder that all executors reach."""
 
-    _built: tuple[str, int, Phrases] | None = None  # of one block, for all tasks of a worker
+    _read: tuple[str, Phrases] | None = None  # of one block, for all tasks of a worker
 
     def __init__(self, benchmark: DataFrame, window: int):
         items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
         size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         n = max(1, -(-size // BLOCK_BYTES))
-        context = benchmark.sparkSession.sparkContext
-        part = F.pmod(F.xxhash64("text"), F.lit(n))
-        self.name, self.window = uuid.uuid4().hex, window
-        self.sent = [context.broadcast([tuple(r) for r in (items.where(part == b) if n > 1 else items).collect()]) for b in range(n)]
-
-    def phrases(self, k: int) -> Phrases:
-        built = Blocks._built
-        if built is None or built[:2] != (self.name, k):
-            Blocks._built = built = (self.name, k, phrases_of(self.sent[k].value, self.window))
-        return built[2]
+        folder = f"{shared_folder(benchmark.sparkSession).rstrip('/')}/phrases-{uuid.uuid4()}"
+
+        def written(block: tuple, group: pa.Table) -> pa.Table:
+            rows = zip(group.column("item_id").to_pylist(), group.column("text").to_pylist(), strict=True)
+            fs, path = filesystem(folder)
+            fs.create_dir(path, recursive=True)
+            own = f"{block[0].as_py()}-{uuid.uuid4()}"  # an attempt's own file, so that another attempt can't spoil it
+            with fs.open_output_stream(f"{path}/{own}") as out:
+                out.write(pickle.dumps(phrases_of(list(rows), window)))
+            return pa.table({"file": [own]})
+
+        dealt = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(n)))
+        self.files = sorted(f"{folder}/{r.file}" for r in dealt.groupBy("block").applyInArrow(written, "file string").collect())  # a name for each block
+
+    def phrases(self, file: str) -> Phrases:
+        if Blocks._read is None or Blocks._read[0] != file:
+            fs, path = filesystem(file)
+            with fs.open_input_stream(path) as f:
+                Blocks._read = (file, pickle.loads(f.read()))
+        return Blocks._read[1]
 
     def find(self, texts: list[str | None]) -> list[Found]:
-        out = find(texts, self.phrases(0))
-        for k in range(1, len(self.sent)):
-            out = [(n, merged([*s, *t]), sorted({*i, *j})) for (n, s, i), (_, t, j) in zip(out, find(texts, self.phrases(k)), strict=True)]
+        if not self.files:
+            return [(len(words_of(t)), [], []) for t in texts]
+        last = Blocks._read and Blocks._read[0]
+        files = sorted(self.files, key=lambda f: f != last)  # the block in memory first
+        out = find(texts, self.phrases(files[0]))
+        for file in files[1:]:
+            out = [(n, merged([*s, *t]), sorted({*i, *j})) for (n, s, i), (_, t, j) in zip(out, find(texts, self.phrases(file)), strict=True)]
         return out
 
 
