@@ -8,16 +8,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where the session names none, a local session gets
+    one of its own; on a cluster that is an error, since no folder of one machine would do."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share, for tables that are written and read back."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4()}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` read back from a checkpoint: later plans are short, and a lost executor loses nothing.
-    A folder is chosen only where the session names none."""
+    """``df`` read back from a checkpoint: later plans are short, and a lost executor loses nothing."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
