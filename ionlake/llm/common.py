@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,10 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ionlake.operators.lineage import cut, shared_folder
+
+__all__ = ["BATCH_ROWS", "cut", "filesystem", "hash_share", "kept", "per_batch", "shared_folder", "small_batches", "table"]
+
 #: Rows that Spark hands to a Python task at once. Texts are whole, so that fewer rows mean less memory.
 BATCH_ROWS = 500
 
@@ -24,20 +27,6 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and reads it back, so that neither lost
-    executors nor a second use run its plan again. A folder is chosen only where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share, for files that are read back."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-
-
 def filesystem(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     """The file system of a folder that Spark names by path or URI."""
     return pyarrow.fs.FileSystem.from_uri(folder.rstrip("/"))

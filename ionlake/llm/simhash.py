@@ -3,9 +3,7 @@
 A scheme says how texts become fingerprints, how many bits two linked ones may differ in, and the
 masks (runs of bits) of the forest: each has a vantage-point tree whose metric is the Hamming
 distance under the mask. Under CLOSE, fingerprints of 64 bits that differ in at most 3 differ in at
-most 1 in one of their halves, so that the forest finds every pair. Under SIMILAR, fingerprints of
-192 bits over five-word shingles link at an estimated cosine similarity of 0.8 (39 bits); a pair is
-found if it differs in at most 1 bit under one of twelve masks of 16.
+most 1 in one of their halves, so that the forest finds every pair.
 
 Groups of near-duplicates (one_of_each) link texts whose sets of five-word shingles have a Jaccard
 similarity of 0.8 (LIKE) or more, and no others: fingerprints only say which texts to compare, under
@@ -22,7 +20,7 @@ of its links, never all pairs, and the forests are joined to components by alter
 and small-star steps.
 
 Nulls and ties: a null or empty text has fingerprint zero; under CLOSE it is linked like any other,
-under SIMILAR such texts are a group of their own. A null doc_id takes part; a component's id is its
+under WIDE such texts are a group of their own. A null doc_id takes part; a component's id is its
 smallest doc_id that isn't null, or null if it has none. Repeated rows each get their row. Other
 columns of the input are ignored. An empty table gives no rows.
 """
@@ -83,7 +81,6 @@ class Scheme:
 
 
 CLOSE = Scheme(words=3, longs=1, width=32, mask_radius=1, radius=3, shard=1_500)
-SIMILAR = Scheme(words=5, longs=3, width=16, mask_radius=1, radius=39, shard=4_000, empty_apart=True)
 WIDE = Scheme(words=5, longs=3, width=16, mask_radius=2, radius=52, shard=4_000, empty_apart=True, once=True)
 #: For the sets of shingles: the first part of WIDE's hashes alone.
 FIRST = replace(WIDE, longs=1)

@@ -2,7 +2,6 @@
 
 import hashlib
 import re
-import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -324,4 +323,16 @@ def test_pipeline_stages_take_effect(spark):
             assert all(r.n & (r.n - 1) == 0 for r in full)
         assert name == "packing" or out.columns == columns
         docs = out
-    assert zlib.crc32(b"") == 0 and simhash.SIMILAR.radius == 39
+
+
+def test_pipeline_of_nulls_and_empty_tables(spark, tmp_path):
+    whole = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    some = whole.limit(30).collect()
+    odd = [{**some[0].asDict(), "doc_id": None}, {**some[1].asDict(), "text": None}, {**some[2].asDict(), "text": ""}, {**some[3].asDict(), "lang": None}, some[4].asDict(), some[4].asDict()]
+    rows = spark.createDataFrame([*odd, *(r.asDict() for r in some[5:])], whole.schema)
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    for name, docs, items in (("empty", whole.limit(0), bench), ("plain", rows, bench.limit(0)), ("odd", rows, bench)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = {name: corpus_pipeline.run(spark, f"{tmp_path}/{name}").select("doc_id").distinct().count() for name in ("empty", "plain", "odd")}
+    assert got["empty"] == 0 and 0 < got["odd"] <= got["plain"] <= 28

@@ -174,3 +174,24 @@ def test_alike_sets_are_brute_force_also_in_blocks(spark, monkeypatch):
     docs = [" ".join([*base, f"x{i}"]) for i in range(30)]
     out = s.one_of_each(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
     assert [r.doc_id for r in out.collect()] == [0]
+
+
+def test_planted_pairs_are_linked_from_a_similarity_of_four_fifths_on(spark):
+    """Pairs whose last words differ: n - 4 shingles each, of which all but ``changed`` are shared."""
+    rng = random.Random(11)
+    rows, linked = [], []
+    for n, changed in ((44, 4), (104, 11), (204, 22), (104, 5), (104, 12), (204, 23)):
+        for _ in range(150):
+            base, other = ([f"w{rng.getrandbits(60):x}" for _ in range(n)] for _ in range(2))
+            rows += [" ".join(base), " ".join(base[: n - changed] + other[:changed])]
+            linked.append(10 * (n - 4 - changed) >= 8 * (n - 4 + changed))
+    assert sum(linked) == 600
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in s.alike(docs).collect()}
+    assert [found[2 * i] == found[2 * i + 1] for i in range(len(linked))] == linked
+    assert {r.doc_id for r in s.one_of_each(docs).collect()} == {i for i in range(len(rows)) if i % 2 == 0 or not linked[i // 2]}
+
+
+def test_an_empty_table_has_no_groups(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert s.near_duplicates(docs).count() == 0 and s.alike(docs).count() == 0 and s.one_of_each(docs).count() == 0
