@@ -156,6 +156,18 @@ def mirror_histogram(spark, sf_dir):
     return views.mirror_histogram(rows, 50).withColumn("n_scaled", F.round("n_scaled", 6))
 
 
+@query(f"select bin, is_decoy, n, n_scaled, round(case when is_decoy then -log10(1 + n_scaled) else log10(1 + n) end, 6) as height from ({SQL['mirror_histogram']})")
+def mirror_heights(spark, sf_dir):
+    bars = views.mirror_heights(mirror_histogram(spark, sf_dir))
+    return bars.select("bin", "is_decoy", "n", "n_scaled", F.round("height", 6).alias("height"))
+
+
+@query("select p_partkey, case when length(p_name) > 16 then p_name[:16] || '…' else p_name end as title, case when length(p_name) > 12 then p_name[:11] || '…' else p_name end as axis, rtrim(rtrim(printf('%.3f', p_retailprice / 8.0), '0'), '.') as price from part")
+def display_labels(spark, sf_dir):
+    name, price = F.col("p_name"), F.col("p_retailprice").cast("double") / 8
+    return t(spark, sf_dir, "part").select("p_partkey", views.shortened(name, 16).alias("title"), views.shortened(name, 12, 11).alias("axis"), views.number_text(price).alias("price"))
+
+
 @query(f"with {PEPTIDES_SQL}, {K_SQL}, {Q_SQL} select l_orderkey, s, case when is_decoy then 'decoy' when q <= 0.05 then 'reported' else 'target' end as class from qq")
 def score_class(spark, sf_dir):
     return with_q(spark, sf_dir).select("l_orderkey", "s", views.score_class(0.05).alias("class"))

@@ -81,6 +81,23 @@ def term_histograms(rows: DataFrame, terms: list[str], bins: int) -> DataFrame:
     return binned.groupBy("term", "is_decoy", "bin").agg(F.count("*").alias("n"))
 
 
+def mirror_heights(bars: DataFrame) -> DataFrame:
+    """A mirror histogram with height: log10(1 + n) of targets upwards, of scaled decoys downwards."""
+    height = lambda n: F.log10(1 + F.col(n))
+    return bars.withColumn("height", F.when(F.col("is_decoy"), -height("n_scaled")).otherwise(height("n")))
+
+
+def shortened(text: Column, longest: int, kept: int | None = None) -> Column:
+    """A label: a text of more than ``longest`` characters as its first ``kept`` and an ellipsis."""
+    return F.when(F.char_length(text) > longest, F.concat(F.substring(text, 1, longest if kept is None else kept), F.lit("…"))).otherwise(text)
+
+
+def number_text(x: Column, digits: int = 3) -> Column:
+    """A number with at most so many decimals, no zeros at the end, and none for what isn't there."""
+    shown = F.call_function("format_number", x, F.lit("0." + "#" * digits))
+    return F.when(x.isNull() | F.isnan(x), "").when(shown == "-0", "0").otherwise(shown)
+
+
 def score_class(level: float) -> Column:
     return F.when(F.col("is_decoy"), "decoy").when(F.col("q") <= level, "reported").otherwise("target")
 

@@ -299,3 +299,15 @@ def test_a_best_variant_that_is_a_target_gives_way_to_the_next(spark):
     more = spark.createDataFrame([(p,) for p in sorted(taken)], "peptide string")
     got = own(keys, more)
     assert {s: v for s, v in got.items() if s in plain} == {s: v for s, v in expected(taken).items()}
+
+
+def test_labels_and_number_texts(spark):
+    rows = [(0, "abcdefghijkl", 1.0), (1, "abcdefghijklm", -0.0001), (2, None, None), (3, "", float("nan")), (4, "x", 12345.67891), (5, "y", -2.5), (6, "z", 0.0005001)]
+    df = spark.createDataFrame(rows, "i int, s string, x double").select("i", views.shortened(F.col("s"), 12, 11).alias("s"), views.number_text(F.col("x")).alias("x"))
+    got = [(r.s, r.x) for r in df.orderBy("i").collect()]
+    assert got == [("abcdefghijkl", "1"), ("abcdefghijk…", "0"), (None, ""), ("", ""), ("x", "12345.679"), ("y", "-2.5"), ("z", "0.001")]
+
+
+def test_a_run_section_is_missed_among_several():
+    with pytest.raises(config.ConfigError, match="RUN"):
+        config.load('[A]\nevents = "x"\n[B]\npsms = "y"\n')
