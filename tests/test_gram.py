@@ -51,3 +51,35 @@ def test_no_rows_of_pairs_and_pixels(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     valid = evidence.valid_images(images, named, 120, 64)
     assert valid.where("valid").count() == 120
+
+
+@pytest.mark.parametrize("tile", [512, 4])
+def test_pairs_within_groups_are_those_of_asked_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(gram, "WITHIN", tile)
+    rng = np.random.default_rng(8)
+    dense = np.where(rng.random((23, 30)) < 0.4, rng.random((23, 30)), 0.0)
+    dense[5] = 0.0
+    images = spark.createDataFrame([(i, f"P{i % 3}", p, float(dense[i, p])) for i in range(23) for p in range(30)], "qi int, protein string, pix int, m double")
+    members = images.select("qi", F.col("protein").alias("group")).distinct()
+    assert gram.apart(members) and not gram.apart(members.union(spark.createDataFrame([(1, "P0")], "qi int, group string")))
+    table = lambda df: {tuple(r)[:2]: r.r for r in df.collect()}
+    same = lambda a, b: a.keys() == b.keys() and all((a[k] is None) == (b[k] is None) and (a[k] is None or a[k] == pytest.approx(b[k], abs=1e-9)) for k in a)
+    assert same(table(views.correlations_within(images, members, 30)), table(views.image_correlations(images, views.image_pairs(images), 30)))
+    pairs = members.withColumnRenamed("qi", "x").join(members.withColumnRenamed("qi", "y"), "group").where("x <> y").select(F.col("x").alias("qi"), F.col("y").alias("pqi"))
+    found = evidence.colocalisation(images, pairs, 23, 30)
+    assert same(table(evidence.colocalisation_within(images, members, 23, 30)), table(found))
+    weights = members.select("qi", (F.col("qi") % 4 / 7).alias("p90"), (F.col("qi") / 20).alias("ev"))
+    from ionlake.operators import score
+
+    named = pairs.select(F.col("qi").alias("feature_mz"), F.lit("").alias("protein"), "qi", F.col("pqi").alias("partner_mz"), "pqi")
+    expected = score.weighted_coloc(named, found.withColumn("r", F.round("r", 6)), weights, weights.select(F.col("qi").alias("partner_mz"), "ev"))
+    got = {r.qi: (r.x, r.n_partners) for r in evidence.colocalisation_within(images, members, 23, 30, weights).collect()}
+    assert got == {r.feature_mz: (r.x if r.x is None else pytest.approx(r.x, abs=1e-9), r.n_partners) for r in expected.collect()}
+
+
+def test_pairs_within_groups_arent_shuffled(spark):
+    images = spark.range(120 * 8).select((F.col("id") % 120).cast("int").alias("qi"), (F.col("id") / 120).cast("int").alias("pix"), (F.col("id") * 7919 % 101).cast("double").alias("m"))
+    got = evidence.colocalisation_within(images, images.select("qi", F.lit("P").alias("group")), 120, 8)
+    assert got.count() == 120 * 119
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("FlatMapGroupsInArrow")[0], plan[:2000]
