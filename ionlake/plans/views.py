@@ -251,8 +251,12 @@ def headline(peptides: DataFrame, proteins: DataFrame, level: float) -> DataFram
 
 
 def only_in_one(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
-    """Keys that one of two tables has and the other hasn't, with a column side."""
-    return a.select(*keys).distinct().join(b, list(keys), "left_anti").withColumn("side", F.lit("left")).unionByName(b.select(*keys).distinct().join(a, list(keys), "left_anti").withColumn("side", F.lit("right")))
+    """Keys that one of two tables has and the other hasn't, with a column side. One
+    pre-aggregated pass, no join of all rows."""
+    tagged = lambda df, left: df.select(*keys, F.lit(left).alias("__left"))
+    unmatched = F.when(reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys]), F.col("__left"))  # a null equals no other
+    found = tagged(a, True).unionByName(tagged(b, False)).groupBy(*keys, unmatched.alias("__own")).agg(F.bool_or("__left").alias("__any"), F.bool_and("__left").alias("__all"))
+    return found.where("__any = __all").select(*keys, F.when(F.col("__any"), "left").otherwise("right").alias("side"))
 
 
 def compared_runs(a: dict[str, DataFrame], b: dict[str, DataFrame], levels: tuple[float, ...] = LEVELS) -> dict[str, DataFrame]:
