@@ -228,13 +228,11 @@ def family(rows: DataFrame, peptide: str) -> DataFrame:
 
 def viewer_selection(rows: DataFrame, peptides: DataFrame, proteins: DataFrame, all_targets: bool = False, all_decoys: bool = False) -> DataFrame:
     """qi whose images are kept: peptides at REPORTED_Q, target peptides of proteins at that picked q,
-    known ones, and the TOP_DECOYS best decoys."""
-    reported = peptides.where(F.col("q") <= REPORTED_Q).select("peptide")
-    good = proteins.where((F.col("q_picked") <= REPORTED_Q) & ~F.col("is_decoy")).select("protein")
-    of_good = peptides.where("not is_decoy").join(good, "protein", "left_semi").select("peptide")
-    known = peptides.where("is_gt and not is_decoy").select("peptide")
+    known ones, and the TOP_DECOYS best decoys. Peptides are read once, and once more for the decoys."""
+    good = proteins.where((F.col("q_picked") <= REPORTED_Q) & ~F.col("is_decoy")).select("protein", F.lit(True).alias("__good"))
+    wanted = (F.col("q") <= REPORTED_Q) | (~F.col("is_decoy") & (F.coalesce("__good", F.lit(False)) | F.col("is_gt")))
     top = peptides.where("is_decoy").orderBy(F.desc("s"), "peptide").limit(TOP_DECOYS).select("peptide")
-    chosen = reported.union(of_good).union(known).union(top).distinct()
+    chosen = peptides.join(good, "protein", "left").where(wanted).select("peptide").union(top)
     out = rows.join(chosen, "peptide", "left_semi").select("qi")
     if all_targets:
         out = out.union(rows.where("not is_decoy").select("qi"))
