@@ -11,12 +11,27 @@ from pyspark.sql import functions as F
 
 from ionlake.operators.lineage import cut, shared_folder
 
-__all__ = ["BATCH_ROWS", "cut", "filesystem", "hash_share", "kept", "per_batch", "shared_folder", "small_batches", "table"]
+__all__ = ["BATCH_ROWS", "cut", "filesystem", "hash_share", "kept", "make_room", "memory", "per_batch", "shared_folder", "small_batches", "table"]
 
 #: Rows that Spark hands to a Python task at once. Texts are whole, so that fewer rows mean less memory.
 BATCH_ROWS = 500
 
 
+_memories: list[dict] = []
+
+
+def memory() -> dict:
+    """A dictionary that a Python worker keeps from task to task, until another operator makes room."""
+    _memories.append({})
+    return _memories[-1]
+
+
+def make_room() -> None:
+    """Empties all memories of this Python worker, which may serve another operator than before."""
+    for kept_so_far in _memories:
+        kept_so_far.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

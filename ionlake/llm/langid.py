@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, per_batch, small_batches
+from .common import hash_share, memory, per_batch, small_batches
 
 UNDETERMINED = "und"
 #: Bound of the labelled documents of a language, of which the classifier is fitted.
@@ -193,7 +193,7 @@ class Scorer:
         return self.model.languages[best], float(1 / np.exp((total - total[best]) / words_of_text ** 0.5).sum())
 
 
-_remembered: dict[str, Scorer] = {}
+_remembered: dict[str, Scorer] = memory()
 
 
 def scorer_of(shared, named: str) -> Scorer:

@@ -33,11 +33,12 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash_share, per_batch, small_batches
+from .common import cut, hash_share, make_room, per_batch, small_batches
 
 #: Bound of the sample that the trees are fitted on.
 SAMPLE = 40_000
@@ -50,8 +51,8 @@ CHUNK = 32_768
 SEED = 42
 #: Least Jaccard similarity of near-duplicates, as a fraction.
 LIKE = (4, 5)
-#: Shingles of texts that one task compares with as many others.
-SETS = 2_000_000
+#: Shingles of texts that one task compares with as many others, and those that are looked up at once.
+SETS, LOOKED_UP = 2_000_000, 250_000
 
 
 @dataclass(frozen=True)
@@ -315,6 +316,7 @@ def links(distinct: DataFrame, scheme: Scheme = CLOSE, sample_bound: int = SAMPL
         return pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), *(batch.column(c).take(pa.array(at)) for c in columns), pa.array(home)], ["shard", *columns, "home"])
 
     def within(group: pa.Table) -> pa.Table:
+        make_room()
         group = group.sort_by([("home", "descending")])
         mask = scheme.masks[bisect_right(shared.value.first, group.column("shard")[0].as_py()) - 1]
         pair = _links(stacked(group), int(np.asarray(group.column("home")).sum()), mask, scheme)
@@ -388,6 +390,25 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return small_batches(docs.select("text")).mapInArrow(per_batch(run), "key long, text string")
 
 
+def _cuts(n: np.ndarray) -> np.ndarray:
+    """Where to cut sets of ``n`` shingles so that those between two cuts have about LOOKED_UP."""
+    return np.nonzero(np.diff((np.cumsum(n) - 1) // LOOKED_UP))[0] + 1
+
+
+def _count_marked(some: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """How many ids of each of ``some`` sets are marked."""
+    n = sizes[some]
+    begin = np.cumsum(n) - n
+    flat = np.repeat(starts[some] - begin, n) + np.arange(int(n.sum()))
+    return np.add.reduceat(marked[ids[flat]], begin, dtype=np.int64)
+
+
+def _numbered(shingles: pa.ChunkedArray) -> np.ndarray:
+    """Numbers from 0 for the shingles of lists, one after the other; the same for the same."""
+    found = pc.list_flatten(shingles).dictionary_encode()
+    return np.concatenate([np.zeros(0, np.int32), *(np.asarray(chunk.indices) for chunk in found.chunks)])
+
+
 def _alike(ids: np.ndarray, starts: np.ndarray, part: np.ndarray) -> np.ndarray:
     """A spanning forest of the pairs within each part whose sets have a similarity of LIKE. Set i is
     ids[starts[i]:starts[i + 1]], of numbers from 0; parts are numbers too. Sets aren't empty."""
@@ -406,9 +427,7 @@ def _alike(ids: np.ndarray, starts: np.ndarray, part: np.ndarray) -> np.ndarray:
                 own = ids[starts[x] : starts[x + 1]]
                 marked[own] = True
                 n = sizes[others]
-                begin = np.cumsum(n) - n
-                flat = np.repeat(starts[others] - begin, n) + np.arange(int(n.sum()))
-                shared = np.add.reduceat(marked[ids[flat]], begin, dtype=np.int64)
+                shared = np.concatenate([_count_marked(part_of, starts, sizes, ids, marked) for part_of in np.split(others, _cuts(n))])
                 marked[own] = False
                 found = others[shared * under >= (n + sizes[x] - shared) * over]
                 if len(found):
@@ -437,16 +456,16 @@ def like_links(docs: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame
     one = F.array(F.pmod(F.xxhash64("root"), F.lit(tasks)))
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        make_room()
         found = [np.unique(np.concatenate([h[:, 0] for h in _shingles(_tokens(t), FIRST)])).view(np.int64) for t in batch.column(3).to_pylist()]
         starts = np.cumsum([0, *map(len, found)])
         lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate(found)))
         return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), lists], ["tasks", "root", "key", "shingles"])
 
     def within(group: pa.Table) -> pa.Table:
-        lists = group.column("shingles").combine_chunks()
-        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-        ids = np.unique(np.asarray(lists.flatten()), return_inverse=True)[1]
-        starts = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()).astype(np.int64))])
+        make_room()
+        ids = _numbered(group.column("shingles"))
+        starts = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(group.column("shingles"))).astype(np.int64))])
         pair = _alike(ids, starts, np.unique(np.asarray(group.column("root")), return_inverse=True)[1])
         keys = np.asarray(group.column("key"))
         return pa.table({"a": keys[pair[:, 0]], "b": keys[pair[:, 1]]})
@@ -461,6 +480,7 @@ def alike(docs: DataFrame, scheme: Scheme = WIDE) -> DataFrame:
     neighbours have a similarity of LIKE) and root (the component's least key) of each row of ``docs`` (doc_id, text)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        make_room()
         words = [_tokens(t) for t in batch.column(1).to_pylist()]
         found = [_fingerprint(w, scheme) for w in words]
         fps = np.array([f for f, _ in found], np.uint64).view(np.int64)

@@ -195,3 +195,31 @@ def test_planted_pairs_are_linked_from_a_similarity_of_four_fifths_on(spark):
 def test_an_empty_table_has_no_groups(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert s.near_duplicates(docs).count() == 0 and s.alike(docs).count() == 0 and s.one_of_each(docs).count() == 0
+
+
+def test_a_group_is_compared_in_pieces():
+    """4,000 sets of 1,000 shingles: neither their numbers nor what is looked up at once takes much more than the sets."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    shared = rng.integers(0, 2**62, 1_050)
+    sets = [rng.permutation(shared)[:1_000] if k % 100 else rng.integers(0, 2**62, 1_000) for k in range(4_000)]
+    column = pa.chunked_array([pa.array(sets[at : at + 500], pa.list_(pa.int64())) for at in range(0, 4_000, 500)])
+    starts = np.arange(4_001) * 1_000
+    tracemalloc.start()
+    ids = s._numbered(column)
+    pairs = s._alike(ids, starts, np.zeros(4_000, np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs) == 4_000 - 40 - 1 and peak < 60e6
+    assert (np.unique(np.concatenate(sets), return_inverse=True)[1][np.unique(ids, return_index=True)[1]][ids] == np.unique(np.concatenate(sets), return_inverse=True)[1]).all()
+
+
+def test_memories_make_room():
+    from ionlake.llm import common, langid
+
+    langid._remembered["some"] = None
+    common.make_room()
+    assert not langid._remembered
