@@ -6,10 +6,10 @@ distance under the mask. Under CLOSE, fingerprints of 64 bits that differ in at
 most 1 in one of their halves, so that the forest finds every pair.
 
 Groups of near-duplicates (one_of_each) link texts whose sets of five-word shingles have a Jaccard
-similarity of 0.8 (LIKE) or more, and no others: fingerprints only say which texts to compare, under
-WIDE, whose radius and masks miss a pair at 0.8 with a probability below 0.0002 (binomial; up to 0.004
-where texts have four or five shingles) and closer ones still less. Every pair of texts in a component
-of WIDE is then decided by the sets themselves, unless both are already joined by decided links.
+similarity of 0.8 (LIKE) or more, and no others: bands of least hashes only say which texts to compare.
+A text has as many bands (BANDS) in any corpus; a pair at 0.8 shares none with a probability of
+0.000008, whatever the number of its shingles, and closer ones still less. Every pair of texts in a component
+of shared bands is then decided by the sets themselves, unless both are already joined by decided links.
 
 A node splits its fingerprints by their distance to a vantage point; by the triangle inequality a
 fingerprint has to visit the other side only if its own distance is within the radius of the split.
@@ -19,8 +19,8 @@ vantage-point recursion, then a blockwise comparison of all bits). A shard retur
 of its links, never all pairs, and the forests are joined to components by alternating large-star
 and small-star steps.
 
-Nulls and ties: a null or empty text has fingerprint zero; under CLOSE it is linked like any other,
-under WIDE such texts are a group of their own. A null doc_id takes part; a component's id is its
+Nulls and ties: a null or empty text has fingerprint zero and is linked like any other; of near-duplicates
+such texts are a group of their own. A null doc_id takes part; a component's id is its
 smallest doc_id that isn't null, or null if it has none. Repeated rows each get their row. Other
 columns of the input are ignored. An empty table gives no rows.
 """
@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, hash_share, make_room, per_batch, small_batches
@@ -53,14 +53,17 @@ SEED = 42
 LIKE = (4, 5)
 #: Shingles of texts that one task compares with as many others, and those that are looked up at once.
 SETS, LOOKED_UP = 2_000_000, 250_000
+#: Bands of a text, and least hashes that a band holds: sets of similarity x share no band with probability (1 - x**WIDTH) ** BANDS.
+BANDS, WIDTH = 64, 8
+#: Shingles whose hashes are made at once.
+HASHED = 128
 
 
 @dataclass(frozen=True)
 class Scheme:
     """``words``: of a shingle. ``longs``: 64-bit parts of a fingerprint. ``width``: bits of a mask;
     masks lie side by side. ``mask_radius``, ``radius``: most differing bits under a mask, and of a
-    link. ``shard``: fingerprints that a shard should hold. ``empty_apart``: texts without words
-    aren't linked to others. ``once``: repeats of a shingle don't count."""
+    link. ``shard``: fingerprints that a shard should hold."""
 
     words: int
     longs: int
@@ -68,8 +71,6 @@ class Scheme:
     mask_radius: int
     radius: int
     shard: int
-    empty_apart: bool = False
-    once: bool = False
 
     @property
     def masks(self) -> list[tuple[int, int]]:
@@ -82,9 +83,8 @@ class Scheme:
 
 
 CLOSE = Scheme(words=3, longs=1, width=32, mask_radius=1, radius=3, shard=1_500)
-WIDE = Scheme(words=5, longs=3, width=16, mask_radius=2, radius=52, shard=4_000, empty_apart=True, once=True)
-#: For the sets of shingles: the first part of WIDE's hashes alone.
-FIRST = replace(WIDE, longs=1)
+#: For the sets of shingles.
+FIVE = replace(CLOSE, words=5)
 
 
 def _hashes(shingles: Iterator[bytes], longs: int) -> np.ndarray:
@@ -111,27 +111,17 @@ def _shingles(tokens: list[bytes], scheme: Scheme) -> Iterator[np.ndarray]:
 
 
 def fingerprint(text: str | None, scheme: Scheme = CLOSE) -> list[int]:
-    """SimHash of the shingles of a text, repeats included unless the scheme leaves them out, as
-    unsigned 64-bit parts."""
-    return _fingerprint(_tokens(text), scheme)[0]
-
-
-def _fingerprint(tokens: list[bytes], scheme: Scheme) -> tuple[list[int], int]:
-    """The parts, and how many shingles they are made of."""
+    """SimHash of the shingles of a text, repeats included, as unsigned 64-bit parts."""
+    tokens = _tokens(text)
     if not tokens:
-        return [0] * scheme.longs, 0
-    chunks: Iterator[np.ndarray] = _shingles(tokens, scheme)
-    if scheme.once:
-        whole = np.concatenate(list(chunks))
-        chunks = iter([whole[np.unique(whole[:, 0], return_index=True)[1]]])
+        return [0] * scheme.longs
     ones, n = np.zeros(64 * scheme.longs, np.int64), 0
-    for h in chunks:
-        for i in range(0, len(h), CHUNK):
-            bits = np.unpackbits(h[i : i + CHUNK].view(np.uint8).reshape(-1, 8 * scheme.longs), axis=1, bitorder="little")
-            for j in range(0, len(bits), 255):  # so many ones fit a byte
-                ones += np.add.reduce(bits[j : j + 255], axis=0, dtype=np.uint8)
+    for h in _shingles(tokens, scheme):
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8 * scheme.longs), axis=1, bitorder="little")
+        for j in range(0, len(bits), 255):  # so many ones fit a byte
+            ones += np.add.reduce(bits[j : j + 255], axis=0, dtype=np.uint8)
         n += len(h)
-    return np.packbits(2 * ones > n, bitorder="little").view("<u8").tolist(), n
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8").tolist()
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
@@ -352,12 +342,8 @@ def _named(own: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
     return own.join(rooted.join(ids, "root").select("key", "component_id", "root"), "key")
 
 
-def _distinct(own: DataFrame, scheme: Scheme, *more: str) -> DataFrame:
-    return cut(own.groupBy("key").agg(*(F.first(p).alias(p) for p in (*scheme.parts, *more)), F.min("doc_id").alias("first_id")))
-
-
-def _with_words(distinct: DataFrame, scheme: Scheme) -> DataFrame:
-    return distinct.where(" or ".join(f"{p} <> 0" for p in scheme.parts)) if scheme.empty_apart else distinct
+def _distinct(own: DataFrame, *columns: str) -> DataFrame:
+    return cut(own.groupBy("key").agg(*(F.first(c).alias(c) for c in columns), F.min("doc_id").alias("first_id")))
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
@@ -365,8 +351,8 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
     linked fingerprints reaches) of each row of ``docs`` (doc_id, text)."""
     own = fingerprints(docs, scheme)
     own = cut(own.withColumn("key", F.col("f0") if scheme.longs == 1 else F.xxhash64(*scheme.parts)))
-    distinct = _distinct(own, scheme)
-    return _named(own, distinct, components(links(_with_words(distinct, scheme), scheme))).select("doc_id", *scheme.parts, "component_id")
+    distinct = _distinct(own, *scheme.parts)
+    return _named(own, distinct, components(links(distinct, scheme))).select("doc_id", *scheme.parts, "component_id")
 
 
 # Texts that are alike by their shingles.
@@ -377,7 +363,7 @@ def _key(tokens: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(tokens), SEED)
 
 
-def _signed(values: list[int]) -> pa.Array:
+def _signed(values: list[int] | np.ndarray) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
@@ -390,6 +376,35 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return small_batches(docs.select("text")).mapInArrow(per_batch(run), "key long, text string")
 
 
+def _set(tokens: list[bytes]) -> np.ndarray:
+    """Hashes of the distinct shingles of some words, ascending; none of no words."""
+    return np.unique(np.concatenate([h[:, 0] for h in _shingles(tokens, FIVE)])) if tokens else np.zeros(0, np.uint64)
+
+
+_draw = np.random.default_rng(SEED)
+#: What makes the hash functions of the bands from halves of a shingle's hash, and the weights that make a number of a band's least hashes.
+_FLIP, _ODD = _draw.integers(0, 1 << 32, (2, BANDS * WIDTH), np.uint32) | np.array([[0], [1]], np.uint32)
+_WEIGHT = _draw.integers(0, 1 << 63, (BANDS, WIDTH), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _bands(shingles: np.ndarray) -> np.ndarray:
+    """A number for each band of a set that isn't empty."""
+    half = shingles.astype(np.uint32)
+    least = np.full(BANDS * WIDTH, (1 << 32) - 1, np.uint32)
+    for i in range(0, len(half), HASHED):
+        h = half[i : i + HASHED, None] ^ _FLIP
+        h *= _ODD
+        np.minimum(least, h.min(axis=0), out=least)
+    return (least.reshape(BANDS, WIDTH) * _WEIGHT).sum(axis=1, dtype=np.uint64)
+
+
+def band_links(own: DataFrame) -> DataFrame:
+    """Links a, b between keys that share a band (own: key, bands), each with the least key of the band. A
+    text goes to its bands and nowhere else, however many texts there are."""
+    bands = own.dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
+    return bands.select(F.col("key").alias("a"), F.min("key").over(Window.partitionBy("band").orderBy("key")).alias("b")).where("a <> b")
+
+
 def _cuts(n: np.ndarray) -> np.ndarray:
     """Where to cut sets of ``n`` shingles so that those between two cuts have about LOOKED_UP."""
     return np.nonzero(np.diff((np.cumsum(n) - 1) // LOOKED_UP))[0] + 1
@@ -457,7 +472,7 @@ def like_links(docs: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         make_room()
-        found = [np.unique(np.concatenate([h[:, 0] for h in _shingles(_tokens(t), FIRST)])).view(np.int64) for t in batch.column(3).to_pylist()]
+        found = [_set(_tokens(t)).view(np.int64) for t in batch.column(3).to_pylist()]
         starts = np.cumsum([0, *map(len, found)])
         lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate(found)))
         return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), lists], ["tasks", "root", "key", "shingles"])
@@ -475,28 +490,35 @@ def like_links(docs: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame
     return dealt.select(F.explode("tasks").alias("task"), "root", "key", "shingles").groupBy("task").applyInArrow(within, "a long, b long")
 
 
-def alike(docs: DataFrame, scheme: Scheme = WIDE) -> DataFrame:
-    """doc_id, key (of its words), component_id (the smallest doc_id that a chain of texts reaches whose
-    neighbours have a similarity of LIKE) and root (the component's least key) of each row of ``docs`` (doc_id, text)."""
+def banded(docs: DataFrame) -> DataFrame:
+    """doc_id, key (of its words), n (its distinct shingles) and bands of each row; a text without words has none."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         make_room()
         words = [_tokens(t) for t in batch.column(1).to_pylist()]
-        found = [_fingerprint(w, scheme) for w in words]
-        fps = np.array([f for f, _ in found], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), _signed([_key(w) for w in words]), pa.array([n for _, n in found], pa.int64()), *(pa.array(fps[:, i]) for i in range(scheme.longs))], ["doc_id", "key", "n", *scheme.parts])
+        sets = [_set(w) for w in words]
+        ends = np.cumsum([0, *(BANDS * bool(len(x)) for x in sets)])
+        bands = np.concatenate([np.zeros(0, np.uint64), *(_bands(x) for x in sets if len(x))])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(bands))
+        return pa.RecordBatch.from_arrays([batch.column(0), _signed([_key(w) for w in words]), pa.array([len(x) for x in sets], pa.int64()), lists], ["doc_id", "key", "n", "bands"])
 
-    own = cut(small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(per_batch(run), "doc_id long, key long, n long, " + ", ".join(f"{p} long" for p in scheme.parts)))
-    distinct = _distinct(own, scheme, "n")
-    candidates = components(links(_with_words(distinct, scheme), scheme))
-    return _named(own, distinct, components(like_links(docs, distinct, candidates))).select("doc_id", "key", "component_id", "root")
+    return small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(per_batch(run), "doc_id long, key long, n long, bands array<long>")
+
+
+def alike(docs: DataFrame) -> DataFrame:
+    """doc_id, key (of its words), component_id (the smallest doc_id that a chain of texts reaches whose
+    neighbours have a similarity of LIKE) and root (the component's least key) of each row of ``docs`` (doc_id, text)."""
+    own = cut(banded(docs))
+    distinct = _distinct(own, "n")
+    candidates = components(band_links(own))
+    return _named(own.drop("bands"), distinct, components(like_links(docs, distinct, candidates))).select("doc_id", "key", "component_id", "root")
 
 
-def one_of_each(docs: DataFrame, scheme: Scheme = WIDE) -> DataFrame:
+def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, the one of the smallest doc_id (rows
     without doc_id last; of equal ones that whose words have the least hash). Of rows that repeat both
     doc_id and words one stays."""
-    found = cut(alike(docs, scheme))
+    found = cut(alike(docs))
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
     kept = found.groupBy("root").agg(F.min(first).alias("x")).select("x.doc_id", "x.key")
     repeated = not found.join(kept.withColumnRenamed("doc_id", "__id"), "key", "left_semi").groupBy("doc_id", "key").count().where("count > 1").isEmpty()

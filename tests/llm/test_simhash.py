@@ -223,3 +223,35 @@ def test_memories_make_room():
     langid._remembered["some"] = None
     common.make_room()
     assert not langid._remembered
+
+
+def test_a_text_goes_to_as_many_bands_in_any_corpus(spark):
+    """What is moved to find candidates grows no faster than the texts, and texts without a common shingle meet nowhere."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.getrandbits(60):x}" for _ in range(rng.choice([1, 4, 5, 40])))) for i in range(400)] + [(400, None), (401, " ")]
+    bands = {}
+    for n in (50, 402):
+        own = s.banded(spark.createDataFrame(rows[:n], "doc_id long, text string"))
+        found = {r.doc_id: r.bands for r in own.collect()}
+        assert [len(found[i]) for i in range(n)] == [s.BANDS * (i < 400) for i in range(n)]
+        assert all(found[i] == x for i, x in bands.items())
+        assert s.band_links(own).count() == 0
+        bands = found
+
+
+def test_bands_miss_no_planted_pair_of_any_size():
+    """Sets at a similarity of four fifths agree in a band as often as independent hash functions would."""
+    rng = np.random.default_rng(6)
+    for shared, more in ((4, 1), (36, 9), (400, 100)):
+        common = []
+        for _ in range(400):
+            a = rng.integers(0, 1 << 64, shared + more, dtype=np.uint64)
+            common.append(int((s._bands(a) == s._bands(a[:shared])).sum()))
+        assert min(common) > 0 and abs(np.mean(common) / s.BANDS - 0.8**s.WIDTH) < 0.012
+    a = rng.integers(0, 1 << 64, 1_000, dtype=np.uint64)
+    assert (s._bands(a) == s._bands(np.concatenate([a[::-1], a[:5]]))).all() and len(set(s._bands(a[:1]).tolist())) == s.BANDS
+
+
+def test_each_text_of_a_band_is_linked_with_the_least(spark):
+    own = spark.createDataFrame([(5, [1, 2]), (3, [1, 9]), (-4, [2]), (5, [1, 2]), (7, [])], "key long, bands array<long>")
+    assert sorted((r.a, r.b) for r in s.band_links(own).collect()) == [(5, -4), (5, 3)]
