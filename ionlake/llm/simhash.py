@@ -55,6 +55,8 @@ LIKE = (4, 5)
 SETS, LOOKED_UP = 2_000_000, 250_000
 #: Bands of a text, and least hashes that a band holds: sets of similarity x share no band with probability (1 - x**WIDTH) ** BANDS.
 BANDS, WIDTH = 64, 8
+#: Bits of the table of keys to be compared, and bits of one of its pieces (Spark's bitmaps).
+MARKS, PIECE = 1 << 25, 1 << 15
 #: Shingles whose hashes are made at once.
 HASHED = 128
 
@@ -367,11 +369,25 @@ def _signed(values: list[int] | np.ndarray) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """key and text of each row."""
+def _marks(members: DataFrame) -> np.ndarray:
+    """A table of MARKS bits, of which those of the members' keys are set: 4 MB for any number of keys."""
+    slot = F.pmod("key", F.lit(MARKS))
+    pieces = members.groupBy((slot / PIECE).cast("int").alias("piece")).agg(F.bitmap_construct_agg(slot % PIECE).alias("bits")).collect()
+    marks = np.zeros((MARKS // PIECE, PIECE // 8), np.uint8)
+    for r in pieces:
+        marks[r.piece] = np.frombuffer(r.bits, np.uint8)
+    return marks.reshape(-1)
+
+
+def _keyed(docs: DataFrame, marks: np.ndarray) -> DataFrame:
+    """key and text of the rows whose key's bit is set: all members, and few others."""
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([_signed([_key(_tokens(t)) for t in batch.column(0).to_pylist()]), batch.column(0)], ["key", "text"])
+        keys = np.array([_key(_tokens(t)) for t in batch.column(0).to_pylist()], np.uint64)
+        slot = (keys % np.uint64(MARKS)).astype(np.int64)
+        found = pa.array((shared.value[slot >> 3] >> (slot & 7) & 1).astype(bool))
+        return pa.RecordBatch.from_arrays([_signed(keys), batch.column(0)], ["key", "text"]).filter(found)
 
     return small_batches(docs.select("text")).mapInArrow(per_batch(run), "key long, text string")
 
@@ -465,7 +481,7 @@ def like_links(docs: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame
     weights = cut(members.join(sizes.select("key", "n"), "key").groupBy("root").agg(F.sum("n").alias("n")))
     tasks = max(1, -(-(weights.agg(F.sum("n")).first()[0] or 0) // SETS))
     large = F.broadcast(weights.where(F.col("n") > SETS).select("root", F.ceil(F.col("n") / SETS).cast("int").alias("blocks")))  # one for each SETS shingles at most
-    texts = _keyed(docs).groupBy("key").agg(F.first("text").alias("text")).join(members, "key").join(large, "root", "left")
+    texts = _keyed(docs, _marks(members)).groupBy("key").agg(F.first("text").alias("text")).join(members, "key").join(large, "root", "left")
     block = F.pmod(F.xxhash64("key", F.lit(SEED)), F.col("blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("root", F.least(block, j), F.greatest(block, j)))
     one = F.array(F.pmod(F.xxhash64("root"), F.lit(tasks)))

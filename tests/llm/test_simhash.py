@@ -255,3 +255,13 @@ def test_bands_miss_no_planted_pair_of_any_size():
 def test_each_text_of_a_band_is_linked_with_the_least(spark):
     own = spark.createDataFrame([(5, [1, 2]), (3, [1, 9]), (-4, [2]), (5, [1, 2]), (7, [])], "key long, bands array<long>")
     assert sorted((r.a, r.b) for r in s.band_links(own).collect()) == [(5, -4), (5, 3)]
+
+
+def test_only_texts_to_be_compared_are_moved(spark):
+    docs = spark.createDataFrame([(f"text {i}",) for i in range(500)] + [(None,), ("text  7",)], "text string")
+    keys = np.array([s._key([b"text", str(i).encode()]) for i in range(0, 500, 7)], np.uint64).view(np.int64)
+    marks = s._marks(spark.createDataFrame([(int(k),) for k in keys], "key long"))
+    assert marks.nbytes == 4 << 20 and np.bitwise_count(marks).sum() == len(keys)
+    found = [(r.key, r.text) for r in s._keyed(docs, marks).collect()]
+    assert sorted(t for _, t in found) == sorted(["text  7", *(f"text {i}" for i in range(0, 500, 7))]) and {k for k, _ in found} == set(keys.tolist())
+    assert s._keyed(docs, s._marks(spark.createDataFrame([], "key long"))).count() == 0
