@@ -6,10 +6,12 @@ distance under the mask. Under CLOSE, fingerprints of 64 bits that differ in at
 most 1 in one of their halves, so that the forest finds every pair.
 
 Groups of near-duplicates (one_of_each) link texts whose sets of five-word shingles have a Jaccard
-similarity of 0.8 (LIKE) or more, and no others: bands of least hashes only say which texts to compare.
-A text has as many bands (BANDS) in any corpus; a pair at 0.8 shares none with a probability of
-0.000008, whatever the number of its shingles, and closer ones still less. Every pair of texts in a component
-of shared bands is then decided by the sets themselves, unless both are already joined by decided links.
+similarity of 0.8 (LIKE) or more, all of them and no others. Bands of least hashes first say which texts to
+compare; every pair of texts in a component of shared bands is decided by the sets themselves, unless both are
+already joined by decided links. A pair at 0.8 shares none of its bands with a probability of 0.000008. So
+texts that are still apart are met once more, exactly (apart_links): two sets at 0.8 share a shingle among
+the rarest fifth of either, in any order of all shingles. Of such pairs, sizes, places in that order and bits that
+bound the difference of two sets leave those that may be linked, and the sets decide again.
 
 A node splits its fingerprints by their distance to a vantage point; by the triangle inequality a
 fingerprint has to visit the other side only if its own distance is within the radius of the split.
@@ -59,6 +61,10 @@ BANDS, WIDTH = 64, 8
 MARKS, PIECE = 1 << 25, 1 << 15
 #: Shingles whose hashes are made at once.
 HASHED = 128
+#: Texts that say which shingles are common, and how many of these are put last in the order of all shingles.
+LEARNED, COMMON = 4_000, 200_000
+#: Least and most bits that bound the difference of two sets.
+BITS = 64, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -421,6 +427,102 @@ def band_links(own: DataFrame) -> DataFrame:
     return bands.select(F.col("key").alias("a"), F.min("key").over(Window.partitionBy("band").orderBy("key")).alias("b")).where("a <> b")
 
 
+def _bits(shingles: np.ndarray) -> bytes:
+    """Whether an odd number of shingles fall to each of about as many bits: those of two sets differ in no more places than the sets do."""
+    width = min(max(BITS[0], 1 << (len(shingles) - 1).bit_length()), BITS[1]) if len(shingles) else BITS[0]
+    return np.packbits(np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """A bound of how many shingles only one of two sets has. The wider bits are folded."""
+    x, y = sorted((x, y), key=len)
+    a, b, width = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(y)
+    while width > 8 * len(x):
+        width //= 2
+        b = (b >> width) ^ (b & ((1 << width) - 1))
+    return (a ^ b).bit_count()
+
+
+def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, ascending, that several texts of a bounded sample have, and how many do. Only the order of shingles
+    and with it the work rests on them, never what is found."""
+    share = min(1.0, LEARNED / max(1, docs.count()))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [_set(_tokens(t)) for t in batch.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([_signed(np.concatenate(sets))], ["shingle"])
+
+    rows = small_batches(docs.where(hash_share(F.col("text"), share, SEED)).select("text")).mapInArrow(per_batch(run), "shingle long")
+    found = rows.groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(COMMON).toPandas()
+    names = found["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(names)
+    return names[order], found["count"].to_numpy(np.int64)[order]
+
+
+def _rarest(shingles: np.ndarray, names: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, ascending by how common they are and by hash, of which a set with a similarity
+    of LIKE has one among its own first ones."""
+    n, (over, under) = len(shingles), LIKE
+    if len(names):
+        at = np.minimum(np.searchsorted(names, shingles), len(names) - 1)
+        shingles = shingles[np.argsort(np.where(names[at] == shingles, texts[at], 0), kind="stable")]
+    return shingles[: n + over * n // -under + 1] if n else shingles
+
+
+def _met(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """shingle, key, n and place of the rarest shingles of each text, of those shingles that two texts have among theirs."""
+    learned = docs.sparkSession.sparkContext.broadcast(common(docs))
+    over, under = LIKE
+    buckets = 1 + (own.agg(F.sum(F.col("n") * (under - over) / under + 1)).first()[0] or 0) // LOOKED_UP
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        make_room()
+        texts = {_key(w): w for w in map(_tokens, batch.column(0).to_pylist())}
+        sets = [_set(w) for w in texts.values()]
+        first = [_rarest(x, *learned.value) for x in sets]
+        n = np.array([len(x) for x in first], np.int64)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        shape = np.repeat(np.array([len(x) for x in sets], np.int64), n) << 32 | place
+        return pa.RecordBatch.from_arrays([_signed(np.concatenate(first)), _signed(np.repeat(np.array([*texts], np.uint64), n)), pa.array(shape)], ["shingle", "key", "shape"])
+
+    def several(group: pa.Table) -> pa.Table:
+        make_room()
+        shingle, key, shape = (np.asarray(group.column(c)) for c in ("shingle", "key", "shape"))
+        order = np.lexsort((key, shingle))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(shingle[order]) != 0) | (np.diff(key[order]) != 0)
+        rows = order[new]
+        same = np.diff(shingle[rows]) == 0
+        rows = rows[np.append(same, False) | np.append(False, same)]
+        return pa.table({"shingle": shingle[rows], "key": key[rows], "n": shape[rows] >> 32, "place": shape[rows] & 0xFFFFFFFF})
+
+    rows = small_batches(docs.select("text")).mapInArrow(per_batch(run), "shingle long, key long, shape long")
+    return rows.groupBy(F.pmod("shingle", F.lit(int(buckets))).alias("bucket")).applyInArrow(several, "shingle long, key long, n long, place long")
+
+
+def apart_links(docs: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs a, b of keys of texts (distinct: key, n, bits) in different components (roots: node, root) that may have a
+    similarity of LIKE; every pair that has it is there. Pairs of one component aren't made."""
+    over, under = LIKE
+    met = _met(docs, distinct).join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    held = cut(met.groupBy("shingle", "root").agg(F.collect_list(F.struct("key", "n", "place")).alias("texts")))
+    side = lambda x: held.select("shingle", F.col("root").alias(f"root_{x}"), F.col("texts").alias(x))
+    pairs = side("a").join(side("b"), "shingle").where("root_a < root_b").select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b"))
+    total = F.col("a.n") + F.col("b.n")
+    enough = lambda x: (F.col(f"{x}.n") - F.col(f"{x}.place")) * (over + under) >= over * total
+    pairs = pairs.where((F.least("a.n", "b.n") * under >= F.greatest("a.n", "b.n") * over) & enough("a") & enough("b"))
+    pairs = pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
+    for x in "ab":
+        pairs = pairs.join(distinct.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
+
+    def near(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b, n, m, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "bits_a", "bits_b"))
+        found = [_differ(x[i], y[i]) * (over + under) <= (n[i] + m[i]) * (under - over) for i in range(len(a))]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(found))
+
+    return small_batches(pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b")).mapInArrow(per_batch(near), "a long, b long")
+
+
 def _cuts(n: np.ndarray) -> np.ndarray:
     """Where to cut sets of ``n`` shingles so that those between two cuts have about LOOKED_UP."""
     return np.nonzero(np.diff((np.cumsum(n) - 1) // LOOKED_UP))[0] + 1
@@ -507,7 +609,7 @@ def like_links(docs: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame
 
 
 def banded(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of its words), n (its distinct shingles) and bands of each row; a text without words has none."""
+    """doc_id, key (of its words), n (its distinct shingles), bits (of these) and bands of each row; a text without words has none."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         make_room()
@@ -516,18 +618,22 @@ def banded(docs: DataFrame) -> DataFrame:
         ends = np.cumsum([0, *(BANDS * bool(len(x)) for x in sets)])
         bands = np.concatenate([np.zeros(0, np.uint64), *(_bands(x) for x in sets if len(x))])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(bands))
-        return pa.RecordBatch.from_arrays([batch.column(0), _signed([_key(w) for w in words]), pa.array([len(x) for x in sets], pa.int64()), lists], ["doc_id", "key", "n", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column(0), _signed([_key(w) for w in words]), pa.array([len(x) for x in sets], pa.int64()), pa.array([_bits(x) for x in sets]), lists], ["doc_id", "key", "n", "bits", "bands"])
 
-    return small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(per_batch(run), "doc_id long, key long, n long, bands array<long>")
+    return small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(per_batch(run), "doc_id long, key long, n long, bits binary, bands array<long>")
 
 
 def alike(docs: DataFrame) -> DataFrame:
     """doc_id, key (of its words), component_id (the smallest doc_id that a chain of texts reaches whose
     neighbours have a similarity of LIKE) and root (the component's least key) of each row of ``docs`` (doc_id, text)."""
     own = cut(banded(docs))
-    distinct = _distinct(own, "n")
-    candidates = components(band_links(own))
-    return _named(own.drop("bands"), distinct, components(like_links(docs, distinct, candidates))).select("doc_id", "key", "component_id", "root")
+    distinct = _distinct(own, "n", "bits")
+    found = cut(like_links(docs, distinct, components(band_links(own))))
+    roots = components(found)
+    missed = cut(apart_links(docs, distinct, roots))
+    if not missed.isEmpty():
+        roots = components(found.union(like_links(docs, distinct, components(missed))))
+    return _named(own.drop("bands", "bits"), distinct, roots).select("doc_id", "key", "component_id", "root")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

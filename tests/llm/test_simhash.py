@@ -265,3 +265,38 @@ def test_only_texts_to_be_compared_are_moved(spark):
     found = [(r.key, r.text) for r in s._keyed(docs, marks).collect()]
     assert sorted(t for _, t in found) == sorted(["text  7", *(f"text {i}" for i in range(0, 500, 7))]) and {k for k, _ in found} == set(keys.tolist())
     assert s._keyed(docs, s._marks(spark.createDataFrame([], "key long"))).count() == 0
+
+
+def test_pairs_that_share_no_band_are_linked_too(spark, monkeypatch):
+    """Bands may miss a pair; what they miss is found by the rarest shingles, among common and short texts as well."""
+    rng = random.Random(13)
+    line = [f"c{i}" for i in range(30)]
+    rows, linked = [], []
+    for n, changed in ((5, 0), (9, 1), (44, 4), (104, 11), (104, 12), (204, 23)):
+        for _ in range(20):
+            base, other = ([f"w{rng.getrandbits(60):x}" for _ in range(n)] for _ in range(2))
+            rows += [" ".join(base + line), " ".join(base[: n - changed] + other[:changed] + line)]
+            linked.append(jaccard(*rows[-2:]) >= 0.8)
+    assert {True, False} == set(linked) and linked.count(False) >= 20
+    docs = spark.createDataFrame([*enumerate(rows), (1000, None), (1001, "a b"), (1002, "A  b")], "doc_id long, text string")
+    before = {r.doc_id: r.component_id for r in s.alike(docs).collect()}
+    monkeypatch.setattr(s, "band_links", lambda own: spark.createDataFrame([], "a long, b long"))
+    found = {r.doc_id: r.component_id for r in s.alike(docs).collect()}
+    assert [found[2 * i] == found[2 * i + 1] for i in range(len(linked))] == [before[2 * i] == before[2 * i + 1] for i in range(len(linked))]
+    assert all(found[2 * i] == found[2 * i + 1] for i, x in enumerate(linked) if x) and found == before
+
+
+def test_rarest_shingles_and_bits_leave_out_no_alike_pair():
+    rng = np.random.default_rng(5)
+    names = np.unique(rng.integers(0, 400, 150, dtype=np.uint64))
+    order = names, rng.integers(3, 9, len(names))
+    alike = 0
+    for _ in range(3000):
+        a = np.unique(rng.integers(0, 400, int(rng.integers(1, 120)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.95], rng.integers(0, 400, int(rng.integers(0, 12)), dtype=np.uint64)]))
+        shared, total = len(np.intersect1d(a, b)), len(a) + len(b)
+        assert s._differ(s._bits(a), s._bits(b)) <= total - 2 * shared
+        if 5 * shared >= 4 * (total - shared):
+            alike += 1
+            assert np.intersect1d(s._rarest(a, *order), s._rarest(b, *order)).size
+    assert alike > 500
