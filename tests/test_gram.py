@@ -83,3 +83,22 @@ def test_pairs_within_groups_arent_shuffled(spark):
     assert got.count() == 120 * 119
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("FlatMapGroupsInArrow")[0], plan[:2000]
+
+
+def test_tiles_grow_with_their_groups_and_are_multiplied_in_steps(spark, monkeypatch):
+    """How often an image is sent doesn't grow with its group, and no table of all pairs of a block is made."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(gram, "WITHIN", 4)
+    monkeypatch.setattr(gram, "BLOCKS", 8, raising=False)
+    images = spark.range(200 * 5).select((F.col("id") % 200).cast("int").alias("qi"), (F.col("id") / 200).cast("int").alias("pix"), (F.col("id") * 7919 % 11).cast("double").alias("m"))
+    members = images.select("qi", F.lit("P").alias("group")).distinct()
+    count = lambda qi, i, j, g: pa.table({"images": [len(qi)], "pairs": [len(i)], "ordered": [bool((qi[i] < qi[j]).all())]})
+    made = lambda: gram.within(images, members, members.select("qi"), count, "images long, pairs long, ordered boolean").collect()
+    rows = made()
+    assert sum(r.images for r in rows) <= 200 * 5 and sum(r.pairs for r in rows) == 19900 and all(r.ordered for r in rows)
+    monkeypatch.setattr(gram, "STEP", 7, raising=False)
+    rows = made()
+    assert max(r.pairs for r in rows) <= 49 and sum(r.pairs for r in rows) == 19900 and all(r.ordered for r in rows)
+    table = lambda df: {tuple(r)[:2]: round(r.r, 9) for r in df.collect() if r.r is not None}
+    assert table(views.correlations_within(images, members, 5)) == table(views.image_correlations(images, views.image_pairs(members.withColumnRenamed("group", "protein")), 5))
