@@ -433,16 +433,6 @@ def _bits(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-def _differ(x: bytes, y: bytes) -> int:
-    """A bound of how many shingles only one of two sets has. The wider bits are folded."""
-    x, y = sorted((x, y), key=len)
-    a, b, width = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(y)
-    while width > 8 * len(x):
-        width //= 2
-        b = (b >> width) ^ (b & ((1 << width) - 1))
-    return (a ^ b).bit_count()
-
-
 def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles, ascending, that several texts of a bounded sample have, and how many do. Only the order of shingles
     and with it the work rests on them, never what is found."""
@@ -470,7 +460,7 @@ def _rarest(shingles: np.ndarray, names: np.ndarray, texts: np.ndarray) -> np.nd
 
 
 def _met(docs: DataFrame, own: DataFrame) -> DataFrame:
-    """shingle, key, n and place of the rarest shingles of each text, of those shingles that two texts have among theirs."""
+    """bucket (of shingles), shingle, key, n and place of the rarest shingles of each text, of those shingles that two texts have among theirs."""
     learned = docs.sparkSession.sparkContext.broadcast(common(docs))
     over, under = LIKE
     buckets = 1 + (own.agg(F.sum(F.col("n") * (under - over) / under + 1)).first()[0] or 0) // LOOKED_UP
@@ -494,33 +484,60 @@ def _met(docs: DataFrame, own: DataFrame) -> DataFrame:
         rows = order[new]
         same = np.diff(shingle[rows]) == 0
         rows = rows[np.append(same, False) | np.append(False, same)]
-        return pa.table({"shingle": shingle[rows], "key": key[rows], "n": shape[rows] >> 32, "place": shape[rows] & 0xFFFFFFFF})
+        return pa.table({"bucket": np.full(len(rows), group.column("bucket")[0].as_py()), "shingle": shingle[rows], "key": key[rows], "n": shape[rows] >> 32, "place": shape[rows] & 0xFFFFFFFF})
 
     rows = small_batches(docs.select("text")).mapInArrow(per_batch(run), "shingle long, key long, shape long")
-    return rows.groupBy(F.pmod("shingle", F.lit(int(buckets))).alias("bucket")).applyInArrow(several, "shingle long, key long, n long, place long")
+    return rows.withColumn("bucket", F.pmod("shingle", F.lit(int(buckets)))).groupBy("bucket").applyInArrow(several, "bucket long, shingle long, key long, n long, place long")
 
 
-def apart_links(docs: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs a, b of keys of texts (distinct: key, n, bits) in different components (roots: node, root) that may have a
-    similarity of LIKE; every pair that has it is there. Pairs of one component aren't made."""
+def _maybe_alike(shingle: np.ndarray, text: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray, bits: list[bytes]) -> np.ndarray:
+    """A spanning forest of the pairs of texts of different roots that meet in a shingle and may have a similarity of
+    LIKE: rows of two numbers of texts. A row is a shingle among a text's rarest; root, n and bits are its text's."""
     over, under = LIKE
-    met = _met(docs, distinct).join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    held = cut(met.groupBy("shingle", "root").agg(F.collect_list(F.struct("key", "n", "place")).alias("texts")))
-    side = lambda x: held.select("shingle", F.col("root").alias(f"root_{x}"), F.col("texts").alias(x))
-    pairs = side("a").join(side("b"), "shingle").where("root_a < root_b").select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b"))
-    total = F.col("a.n") + F.col("b.n")
-    enough = lambda x: (F.col(f"{x}.n") - F.col(f"{x}.place")) * (over + under) >= over * total
-    pairs = pairs.where((F.least("a.n", "b.n") * under >= F.greatest("a.n", "b.n") * over) & enough("a") & enough("b"))
-    pairs = pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
-    for x in "ab":
-        pairs = pairs.join(distinct.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
-
-    def near(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b, n, m, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "bits_a", "bits_b"))
-        found = [_differ(x[i], y[i]) * (over + under) <= (n[i] + m[i]) * (under - over) for i in range(len(a))]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(found))
-
-    return small_batches(pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b")).mapInArrow(per_batch(near), "a long, b long")
+    label = np.arange(int(text.max(initial=-1)) + 1)
+    width = np.array([len(x) for x in bits], np.int64)
+    rank, table = np.zeros(len(bits), np.int64), {}
+    for w in np.unique(width).tolist():
+        rows = np.nonzero(width == w)[0]
+        rank[rows] = np.arange(len(rows))
+        table[w] = np.frombuffer(b"".join(bits[r] for r in rows), "<u8").reshape(len(rows), -1)
+    order, found = np.lexsort((n, shingle)), []
+    for rows in np.split(order, np.nonzero(np.diff(shingle[order]))[0] + 1):
+        for at, i in enumerate(rows[:-1]):
+            later = rows[at + 1 :]
+            total = n[i] + n[later]
+            fits = (n[later] * over <= n[i] * under) & ((n[i] - place[i]) * (over + under) >= over * total) & ((n[later] - place[later]) * (over + under) >= over * total)
+            later = later[fits & (root[later] != root[i]) & (label[text[later]] != label[text[i]])]
+            for w in np.unique(width[later]).tolist():
+                some = later[width[later] == w]
+                for k in range(0, len(some), max(1, CELLS // w)):
+                    part = some[k : k + max(1, CELLS // w)]
+                    x = table[w][rank[part]]
+                    while x.shape[1] * 8 > width[i]:
+                        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+                    differ = np.bitwise_count(x ^ table[width[i]][rank[i]]).sum(axis=1, dtype=np.int64)
+                    for j in part[differ * (over + under) <= (n[i] + n[part]) * (under - over)]:
+                        one, other = label[text[i]], label[text[j]]
+                        if one != other:
+                            label[label == other] = one
+                            found.append((text[i], text[j]))
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
+def apart_links(docs: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links a, b between keys of texts (distinct: key, n, bits) in different components (roots: node, root): enough to join
+    every two of these texts that have a similarity of LIKE. Pairs are made and left out in the task where a shingle's texts
+    meet, and never are rows."""
+    texts = distinct.select("key", "bits").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    met = _met(docs, distinct).join(texts, "key")
+
+    def within(group: pa.Table) -> pa.Table:
+        make_room()
+        names, text = np.unique(np.asarray(group.column("key")), return_inverse=True)
+        pair = _maybe_alike(np.asarray(group.column("shingle")), text, *(np.asarray(group.column(c)) for c in ("root", "n", "place")), group.column("bits").to_pylist())
+        return pa.table({"a": names[pair[:, 0]], "b": names[pair[:, 1]]})
+
+    return met.groupBy("bucket").applyInArrow(within, "a long, b long")
 
 
 def _cuts(n: np.ndarray) -> np.ndarray:

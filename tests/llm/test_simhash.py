@@ -286,7 +286,7 @@ def test_pairs_that_share_no_band_are_linked_too(spark, monkeypatch):
     assert all(found[2 * i] == found[2 * i + 1] for i, x in enumerate(linked) if x) and found == before
 
 
-def test_rarest_shingles_and_bits_leave_out_no_alike_pair():
+def test_rarest_shingles_places_and_bits_leave_out_no_alike_pair():
     rng = np.random.default_rng(5)
     names = np.unique(rng.integers(0, 400, 150, dtype=np.uint64))
     order = names, rng.integers(3, 9, len(names))
@@ -294,9 +294,24 @@ def test_rarest_shingles_and_bits_leave_out_no_alike_pair():
     for _ in range(3000):
         a = np.unique(rng.integers(0, 400, int(rng.integers(1, 120)), dtype=np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.95], rng.integers(0, 400, int(rng.integers(0, 12)), dtype=np.uint64)]))
-        shared, total = len(np.intersect1d(a, b)), len(a) + len(b)
-        assert s._differ(s._bits(a), s._bits(b)) <= total - 2 * shared
+        if not len(b):
+            continue
+        shared, total, first = len(np.intersect1d(a, b)), len(a) + len(b), [s._rarest(x, *order) for x in (a, b)]
+        n = [len(x) for x in first]
+        rows = np.concatenate(first).view(np.int64), np.repeat([0, 1], n), np.repeat([7, 9], n), np.repeat([len(a), len(b)], n), np.concatenate([np.arange(x) for x in n])
+        bits = [s._bits(a)] * n[0] + [s._bits(b)] * n[1]
+        found = s._maybe_alike(*rows, bits)
+        assert len(found) <= 1 and not len(s._maybe_alike(*rows[:2], np.full(sum(n), 7), *rows[3:], bits))
         if 5 * shared >= 4 * (total - shared):
             alike += 1
-            assert np.intersect1d(s._rarest(a, *order), s._rarest(b, *order)).size
+            assert sorted(found[0]) == [0, 1]
     assert alike > 500
+
+
+def test_a_crowd_that_is_nearly_alike_gives_a_forest_of_links():
+    """300 texts that all meet in all shingles: 44,850 pairs, but no more links than texts."""
+    n, rng = 300, np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, 40, dtype=np.uint64)
+    sets = [np.unique(np.append(base, rng.integers(0, 1 << 62, 2, dtype=np.uint64))) for _ in range(n)]
+    rows = np.tile(np.arange(5), n), np.repeat(np.arange(n), 5), np.repeat(np.arange(n), 5), np.full(5 * n, 42), np.tile(np.arange(5), n)
+    assert len(s._maybe_alike(*rows, [s._bits(x) for x in sets for _ in range(5)])) == n - 1
